@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qanat.llm.exact_dedup import exact_dedup
+from qanat.llm.mixing import mix
+from qanat.llm.sharding import shard
 from qanat.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +40,50 @@ SELECT doc_id,
        text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST)
 """
+
+
+@register
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the law ``bytes``: sizes near equal."""
+    return shard(table(spark, sf_dir, "documents"), shards=24).select(
+        "_doc.doc_id",
+        "size",
+        F.crc32(F.coalesce("_doc.text", F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@register
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("_doc.doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE_SQL["op8_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source,
+         CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (
+  SELECT *, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS weight,
+         source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS everything FROM s),
+c AS (
+  SELECT *, (everything - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) > cap / weight AS capped
+  FROM r WINDOW w AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+  SELECT source, source_size, CASE WHEN capped THEN cap ELSE
+    weight * (everything - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () END AS target
+  FROM c),
+a AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole,
+         target - (CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END) * source_size AS more FROM t),
+g AS (SELECT source, h, sum(size) AS n FROM d GROUP BY source, h),
+u AS (SELECT source, h, n, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM g)
+SELECT d.doc_id, d.size, a.source_size, a.target,
+       CAST(d.size * (a.whole + CASE WHEN u.upto <= a.more OR (u.upto - u.n <= a.more AND u.upto - a.more < a.more - (u.upto - u.n)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source JOIN u ON u.source IS NOT DISTINCT FROM d.source AND u.h = d.h
+"""
