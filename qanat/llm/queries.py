@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qanat.llm.exact_dedup import exact_dedup
+from qanat.llm.jaccard_join import jaccard_components
 from qanat.llm.mixing import mix
 from qanat.llm.sharding import shard
 from qanat.sources.tables import table
@@ -64,7 +65,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op8_mixing"] = r"""
 WITH d AS (
   SELECT doc_id, source,
-         CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')) AS BIGINT) AS size,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -87,3 +88,8 @@ SELECT d.doc_id, d.size, a.source_size, a.target,
        CAST(d.size * (a.whole + CASE WHEN u.upto <= a.more OR (u.upto - u.n <= a.more AND u.upto - a.more < a.more - (u.upto - u.n)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source JOIN u ON u.source IS NOT DISTINCT FROM d.source AND u.h = d.h
 """
+
+
+@register
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=80)

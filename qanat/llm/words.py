@@ -98,9 +98,9 @@ def shingle_sets(texts: Texts, width: int) -> Iterator[np.ndarray]:
             x = np.sort(grams[a : b - width + 1])
             yield x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) > 1 else x
         elif n:
-            whole = words[a]
-            for w in words[a + 1 : b]:
-                whole = np.asarray(whole * k + w)
-            yield mix(np.atleast_1d(whole ^ np.uint64(n)))
+            whole = words[a : a + 1]
+            for i in range(a + 1, b):
+                whole = whole * k + words[i : i + 1]
+            yield mix(whole ^ np.uint64(n))
         else:
             yield np.zeros(0, np.uint64)
