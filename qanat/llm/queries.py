@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from qanat.llm.exact_dedup import exact_dedup
 from qanat.llm.jaccard_join import jaccard_components
 from qanat.llm.mixing import mix
+from qanat.llm.packing import pack
 from qanat.llm.sharding import shard
+from qanat.llm.topk import top_k
 from qanat.sources.tables import table
 
+#: Folder-independent place of the public vocabularies; a parameter of every operator that tokenises.
+TOKENIZER = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -22,6 +27,12 @@ def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return f
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @register
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select(
@@ -93,3 +104,26 @@ FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source JOIN u ON u.source IS NO
 @register
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
+@register
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return top_k(rows, k=5, is_query=F.col("id") % 50 == 0)
+
+
+ORACLE_SQL["op3_exact_topk"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@register
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
