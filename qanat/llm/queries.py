@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qanat.llm.exact_dedup import exact_dedup
+from qanat.llm.html import extract
 from qanat.llm.jaccard_join import jaccard_components
+from qanat.llm.language_id import identify
 from qanat.llm.mixing import mix
 from qanat.llm.packing import pack
 from qanat.llm.sharding import shard
 from qanat.llm.topk import top_k
+from qanat.llm.toxicity import toxicity
+from qanat.llm.urls import judge
 from qanat.sources.tables import table
 
 #: Folder-independent place of the public vocabularies; a parameter of every operator that tokenises.
@@ -127,3 +131,27 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 @register
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@register
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: (host, path, verdict)
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@register
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@register
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
