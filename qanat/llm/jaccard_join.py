@@ -333,3 +333,12 @@ def class_components(docs: DataFrame, classes: DataFrame, total: int, width: int
     if in_blocks.filter(F.col("members") > LARGE).head(1):
         links = links.unionByName(large_blocks(checkpointed(placed.filter(F.col("members") > LARGE)), percent))
     return components(links)
+
+
+def kept_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the row that names it; rows with null ids stay."""
+    found = checkpointed(jaccard_components(docs, width, percent))
+    stay = docs.join(found.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    if found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").head(1):  # rows that share an id
+        stay = stay.filter("doc_id is null").unionByName(stay.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    return stay
