@@ -1,10 +1,6 @@
-"""Queries over the reference's own operators and their DuckDB oracles."""
+"""All queries over the reference's own operators and their DuckDB oracles."""
 
-from __future__ import annotations
+from qanat.plans import answer_queries, evaluation_queries, retrieval_queries, telemetry_queries, text_queries  # noqa: F401
+from qanat.plans.base import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
