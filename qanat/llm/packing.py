@@ -6,8 +6,9 @@ first, each into the open sequence with the least room that takes it, found by a
 capacities. Padding is left only in a pool's last sequences. Pools are cut from counts of all rows, so their size does
 not grow with the input.
 
-Tokenising works on each batch's distinct words (runs without ASCII white space, where the tokeniser cuts anyway);
-their ids are looked up and joined by array operations.
+Tokenising works on each batch's distinct words, in lower case: runs without ASCII white space, cut as well between a
+letter and punctuation other than the apostrophe. The tokeniser folds case and cuts in all these places itself. Words'
+ids are looked up and joined by array operations.
 
 Defined cases: a null text is empty and holds the end id only; repeated rows are packed each; rows with null ids are
 packed as any other; an empty table gives an empty result; further columns of any name are kept apart.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,12 @@ from qanat.llm.words import slices
 LENGTH, END = 2048, 1
 #: Pieces of a pool, in expectation.
 POOL = 40_000
+#: Bytes of text whose distinct words are taken together.
+STEP = 2 << 20
 #: Distinct words whose ids a Python worker keeps.
-KEEP = 400_000
+KEEP = 300_000
 
-_ids: dict[str, tuple[dict[int, int], list[np.ndarray], object]] = {}
+_ids: dict[str, "WordIds"] = {}
 
 
 class WordIds:
@@ -51,26 +55,26 @@ class WordIds:
         self.starts, self.used = [0], 0
 
     def learn(self, hashes: list[int], words: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        for h, e in zip(hashes, encoded, strict=True):
-            ids = e.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.place[h] = len(self.starts) - 1
-            self.starts.append(self.used)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ends = np.cumsum([len(x) for x in ids]) + self.used
+        while ends[-1] > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : ends[-1]] = list(chain.from_iterable(ids))
+        self.place.update(zip(hashes, range(len(self.starts) - 1, len(self.starts) - 1 + len(ids)), strict=True))
+        self.starts += ends.tolist()
+        self.used = int(ends[-1])
 
     def of(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids start and end."""
         if len(self.place) > KEEP:
             self.clear()
-        distinct, first, inverse = np.unique(texts.hashes(fold=False), return_index=True, return_inverse=True)
+        distinct, first, inverse = np.unique(texts.hashes(fold=True), return_index=True, return_inverse=True)
         known = [self.place.get(h) for h in distinct.tolist()]
         new = [i for i, at in enumerate(known) if at is None]
         if new:
-            data, hashes = texts.bytes, distinct[new].tolist()
-            self.learn(hashes, [data[texts.starts[j] : texts.ends[j]].tobytes().decode("utf-8", "replace") for j in first[new]])
+            data, hashes = texts.bytes.tobytes(), distinct[new].tolist()
+            spans = zip(texts.starts[first[new]].tolist(), texts.ends[first[new]].tolist(), strict=True)
+            self.learn(hashes, [data[a:b].decode("utf-8", "replace") for a, b in spans])
             for i, h in zip(new, hashes, strict=True):
                 known[i] = self.place[h]
         starts = np.asarray(self.starts)
@@ -143,16 +147,16 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, wit
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): each document's ids cut into full windows and a remainder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = word_ids(path)
-        for batch, texts in slices(batches):
+        known, last = word_ids(path), np.array([end], "<u4").tobytes()
+        for batch, texts in slices(batches, cut_points=True, step=STEP):
             ids, edges = known.of(texts)
             ids = ids.astype("<u4")
             out: list[list] = [[], [], [], [], [], []]
             for row, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-                own = np.append(ids[a:b], np.uint32(end)).astype("<u4")
-                for start in range(0, len(own), length):
-                    part = own[start : start + length].tobytes()
-                    for to, v in zip(out, (row, start, len(part) // 4, zlib.crc32(part), len(own), part if with_ids else None), strict=True):
+                own = ids[a:b].tobytes() + last
+                for start in range(0, len(own), 4 * length):
+                    part = own[start : start + 4 * length]
+                    for to, v in zip(out, (row, start // 4, len(part) // 4, zlib.crc32(part), len(own) // 4, part if with_ids else None), strict=True):
                         to.append(v)
             columns = [batch.column("doc_id").take(pa.array(out[0], pa.int64())), *(pa.array(c, pa.int64()) for c in out[1:5])]
             if with_ids:

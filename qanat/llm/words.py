@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are taken together up to about this many bytes at a time; a longer text is taken alone, whole.
-STEP = 4 << 20
+STEP = 1 << 20
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _BYTES = _random.integers(0, 2**64, 256, np.uint64, endpoint=False)
@@ -19,6 +19,10 @@ _FOLDED = _BYTES.copy()
 _FOLDED[65:91] = _BYTES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_POINT = np.zeros(256, bool)
+_POINT[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -43,7 +47,8 @@ def _power(n: int) -> list[np.ndarray]:
 class Texts:
     """Some texts in one buffer: bytes, and where each text's words start and end; null texts are empty."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, cut_points: bool = False):
+        """cut_points: words end as well between a letter, ASCII or of Latin-1, and ASCII punctuation but the apostrophe."""
         texts = texts.cast(pa.large_string()).fill_null("")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = texts.buffers()[2]
@@ -58,6 +63,15 @@ class Texts:
         before = np.ones(len(full) + 1, bool)  # at i: byte i - 1 is the last of its run
         before[1:-1] = ~full[1:]
         before[inner] = True
+        if cut_points and len(full) > 1:
+            begins, ends = _LETTER[self.bytes], _LETTER[self.bytes]
+            pair = (self.bytes[:-1] == 0xC3) & (self.bytes[1:] != 0x97) & (self.bytes[1:] != 0xB7)
+            begins[:-1] |= pair
+            ends[1:] |= pair
+            point = _POINT[self.bytes]
+            cut = (ends[:-1] & point[1:]) | (point[:-1] & begins[1:])
+            after[1:-1] |= cut
+            before[1:-1] |= cut
         self.starts = np.flatnonzero(full & after[:-1])
         self.ends = np.flatnonzero(full & before[1:]) + 1
         #: first[i]: number of the first word of text i
@@ -71,17 +85,17 @@ class Texts:
         return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] ^ (self.ends - self.starts).astype(np.uint64))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """The batches in parts of about STEP bytes of text."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", cut_points: bool = False, step: int = STEP) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """The batches in parts of about ``step`` bytes of text."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = batch.column(column).cast(pa.large_binary())
         sizes = np.diff(np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset : sizes.offset + batch.num_rows + 1])
-        part = np.cumsum(sizes) // STEP
+        part = np.cumsum(sizes) // step
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):
-            yield (own := batch.slice(a, b - a)), Texts(own.column(column))
+            yield (own := batch.slice(a, b - a)), Texts(own.column(column), cut_points)
 
 
 def shingle_sets(texts: Texts, width: int) -> Iterator[np.ndarray]:
