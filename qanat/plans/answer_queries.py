@@ -123,3 +123,14 @@ def cost_join(spark: SparkSession, sf: str) -> DataFrame:  # G11 as a join with
 @query("SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN 'span' ELSE 'event' END AS kind FROM conversations")
 def trace_kinds(spark: SparkSession, sf: str) -> DataFrame:  # K13 T17
     return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.length("text") > 200, "span").otherwise("event").alias("kind"))
+
+
+@query(
+    PAIRS + ", w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(question), '[\\s]+'), lambda x: x <> '')) AS q, list_distinct(list_filter(regexp_split_to_array(lower(answer), '[\\s]+'), lambda x: x <> '')) AS a FROM p) "
+    "SELECT conv_id, turn, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, a))::DOUBLE / len(q) ELSE 0 END, 6) AS answer_relevancy FROM w"
+)
+def judge_scores(spark: SparkSession, sf: str) -> DataFrame:  # A22 R5
+    from qanat.operators.judge import judged
+
+    rows = pairs(spark, sf).select("conv_id", "turn", F.col("question").alias("user_input"), F.col("answer").alias("response"), F.array(F.col("answer")).alias("contexts"), F.col("answer").alias("reference"))
+    return judged(rows).select("conv_id", "turn", F.round("answer_relevancy", 6).alias("answer_relevancy"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,7 +75,7 @@ def load_test(spark: SparkSession, path: str) -> DataFrame:
 def first_number(lines: DataFrame, pattern: str) -> DataFrame:
     """The number in the first line that the pattern matches; null if none does."""
     hits = lines.withColumn("n", F.nullif(F.regexp_extract("value", pattern, 1), F.lit("")).try_cast("double")).filter("n is not null")
-    return hits.agg(F.min_by("n", F.monotonically_increasing_id()).alias("value"))
+    return hits.withColumn("at", F.monotonically_increasing_id()).agg(F.min_by("n", "at").alias("value"))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -88,5 +92,30 @@ def first_readable(spark: SparkSession, paths: list[str], schema: str) -> DataFr
     raise FileNotFoundError(", ".join(paths))
 
 
+def layout_texts(spark: SparkSession, path: str, extract: Callable[[bytes], str]) -> DataFrame:
+    """(path, text) of binary documents by a function that reads one; it runs in the tasks."""
+
+    @F.pandas_udf("string")
+    def run(content: pd.Series) -> pd.Series:
+        return content.map(extract)
+
+    return spark.read.format("binaryFile").load(path).select("path", run("content").alias("text"))
+
+
+def layout_dump(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
+def locked_digest(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """The md5 that a YAML lock file holds for an output path; null if it has none."""
+    rows = spark.read.text(path, wholetext=True)
+    own = rf"path: {re.escape(target)}\n(?:[ ]+(?!- )[^\n]*\n)*?[ ]+md5: (\w+)"
+    return rows.select(F.nullif(F.regexp_extract("value", own, 1), F.lit("")).alias("md5"))
+
+
+def question_pool(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    return rows.orderBy(F.rand(seed)).limit(n)
+
+
 def numbered(rows: DataFrame, order: str) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.orderBy(order)) - 1)
