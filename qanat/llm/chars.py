@@ -26,14 +26,17 @@ def folded() -> np.ndarray:
     return out
 
 
-@functools.cache
-def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _INVERSE):
-        step = np.full(1 << bits, base, np.uint64)
-        step[0] = 1
-        out.append(np.multiply.accumulate(step))
-    return out[0], out[1]
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """At least n powers of the base and of its inverse; the longest ones are kept."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, _INVERSE)):
+            step = np.full(n, base, np.uint64)
+            step[0] = 1
+            _powers[i] = np.multiply.accumulate(step)
+    return _powers
 
 
 class Chars:
@@ -66,7 +69,7 @@ class Chars:
         full = self.points != 32
         edge = np.diff(np.concatenate(([0], full.astype(np.int8), [0])))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        up, down = powers(max(10, int(len(self.points) + 1).bit_length()))
+        up, down = powers(len(self.points) + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.points.astype(np.uint64) * up[: len(self.points)], dtype=np.uint64)))
         of = lambda a, b, salt: mix((sums[b] - sums[a]) * down[a] ^ np.uint64(salt << 56))
         out, rows = [of(starts, ends, 0)], [self.row[starts]]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +36,8 @@ def bounded_sample(rows: DataFrame, key: Column, label: Column, most: int) -> Da
     counts = rows.groupBy(label.alias("_label")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_label").limit(LABELS)
     part = (F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 30)) / float(1 << 30)).alias("_u")
     return rows.withColumns({"_key_label": label, "_u": part}).join(F.broadcast(counts), F.col("_key_label") == F.col("_label")).filter(F.col("_u") * F.col("_n") < most).drop("_key_label", "_label", "_n", "_u")
+
+
+def packed(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """The arrays of a binary column, without copies."""
+    return [np.frombuffer(v.as_buffer(), kind) for v in column]

@@ -35,14 +35,14 @@ from qanat.llm.words import shingle_sets, slices
 from qanat.session import checkpointed
 
 #: N-grams that one task of a counting step holds at most, in expectation.
-SPREAD = 4_000_000
+SPREAD = 2_000_000
 #: N-grams of a bin of blocks, in expectation; classes of a block that are joined in one task; classes of a cell's side.
 BIN, LARGE, SIDE = 2_000_000, 2_000, 1_500
 PIVOTS = 4
 #: The most frequent n-grams whose counts every task knows: a broadcast of 12 bytes each.
 KNOWN = 1 << 18
 #: N-grams gathered in a task before they are dealt out.
-GATHER = 1_000_000
+GATHER = 500_000
 
 
 def needed(n, percent: int):
@@ -293,8 +293,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     twice = named.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high")
     if twice.head(1):
         more = named.join(twice.select("doc_id"), "doc_id", "left_semi").join(kin, "digest").select(F.col("doc_id").alias("u"), F.col("root").alias("v"))
-        merged = components(checkpointed(more))
-        kin = kin.join(merged, F.col("root") == F.col("node"), "left").select("digest", F.coalesce(merged["root"], kin["root"]).alias("root"))
+        merged = components(more).select(F.col("node").alias("from"), F.col("root").alias("to"))
+        kin = kin.join(merged, F.col("root") == F.col("from"), "left").select("digest", F.coalesce("to", "root").alias("root"))
     found = rows.join(kin, "digest", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qanat.llm.chars import Chars
-from qanat.llm.ftrl import Ftrl, bounded_sample
+from qanat.llm.ftrl import Ftrl, bounded_sample, packed
 from qanat.llm.words import slices
 
 LENGTHS, FEATURES, SAMPLE, EPOCHS = (1, 2, 3), 1 << 16, 1500, 3
@@ -69,13 +69,12 @@ def fit(rows: pa.Table) -> Model:
     order = np.lexsort((pc.fill_null(rows.column("doc_id"), 0).to_numpy(), rows.column("u").to_numpy()))
     langs = sorted(set(rows.column("lang").to_pylist()))
     y = np.array([langs.index(v) for v in rows.column("lang").to_pylist()])
-    at = [np.frombuffer(v, np.int32) for v in rows.column("at").to_pylist()]
-    share = [np.frombuffer(v, np.float32).astype(np.float64) for v in rows.column("share").to_pylist()]
+    at, share = packed(rows.column("at"), np.int32), packed(rows.column("share"), np.float32)
     held = np.zeros(len(y), bool)
     held[order[::5]] = len(y) >= 5 * len(langs)
     seen = np.bincount(np.concatenate([a for a, h in zip(at, held, strict=True) if not h]), minlength=FEATURES)
     idf = np.log((1 + (~held).sum()) / (1 + seen)) + 1
-    x = [s * idf[a] * SCALE for a, s in zip(at, share, strict=True)]
+    x = [(s * idf[a] * SCALE).astype(np.float32) for a, s in zip(at, share, strict=True)]
     model, bias = Ftrl((FEATURES, len(langs)), ALPHA, BETA, L1 / SCALE, L2), Ftrl((1, len(langs)), ALPHA, BETA, 0.0, 0.0)
     one = np.zeros(1, np.int64)
     for _ in range(EPOCHS):

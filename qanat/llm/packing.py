@@ -31,6 +31,8 @@ from qanat.llm.words import slices
 LENGTH, END = 2048, 1
 #: Pieces of a pool, in expectation.
 POOL = 40_000
+#: Words that the tokeniser gets at a time.
+AT_ONCE = 8192
 #: Bytes of text whose distinct words are taken together.
 STEP = 2 << 20
 #: Distinct words whose ids a Python worker keeps.
@@ -73,8 +75,9 @@ class WordIds:
         new = [i for i, at in enumerate(known) if at is None]
         if new:
             data, hashes = texts.bytes.tobytes(), distinct[new].tolist()
-            spans = zip(texts.starts[first[new]].tolist(), texts.ends[first[new]].tolist(), strict=True)
-            self.learn(hashes, [data[a:b].decode("utf-8", "replace") for a, b in spans])
+            spans = list(zip(texts.starts[first[new]].tolist(), texts.ends[first[new]].tolist(), strict=True))
+            for i in range(0, len(new), AT_ONCE):
+                self.learn(hashes[i : i + AT_ONCE], [data[a:b].decode("utf-8", "replace") for a, b in spans[i : i + AT_ONCE]])
             for i, h in zip(new, hashes, strict=True):
                 known[i] = self.place[h]
         starts = np.asarray(self.starts)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qanat.llm.chars import Chars
-from qanat.llm.ftrl import Ftrl, bounded_sample
+from qanat.llm.ftrl import Ftrl, bounded_sample, packed
 from qanat.llm.words import slices
 
 PREFIXES, FEATURES, SAMPLE, EPOCHS = (4, 5), 1 << 18, 6000, 4
@@ -54,8 +54,8 @@ def vectors(rows: DataFrame) -> DataFrame:
         for batch, _ in slices(batches):
             at, row, counts = features(batch.column("text"))
             edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            pack = lambda v: pa.array([v[a:b].astype(np.int32).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pack(at), pack(counts)], ["doc_id", "toxic", "at", "counts"])
+            pack = lambda v: pa.array([v[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pack(at.astype(np.int32)), pack(np.minimum(counts, 255).astype(np.uint8))], ["doc_id", "toxic", "at", "counts"])
 
     return rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, at binary, counts binary")
 
@@ -65,7 +65,7 @@ def grades(at: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray) ->
     seen = [np.bincount(np.concatenate([a for a, t in zip(at, toxic, strict=True) if t == v]), minlength=FEATURES) for v in (0, 1)]
     odds = np.log((seen[1] + 0.5) / (toxic == 1).sum()) - np.log((seen[0] + 0.5) / (toxic == 0).sum())
     typical = (odds > TYPICAL) & (seen[1] >= 3)
-    hits = np.array([c[typical[a]].sum() for a, c in zip(at, counts, strict=True)])
+    hits = np.array([c[typical[a]].sum(dtype=np.int64) for a, c in zip(at, counts, strict=True)])
     cuts = np.quantile(hits[toxic == 1], [1 / 3, 2 / 3])
     return np.where(toxic == 1, 1 + (hits[:, None] > cuts).sum(1), 0)
 
@@ -93,8 +93,7 @@ def fit(rows: pa.Table) -> Model:
     """The model of a sample's rows; its cut rests on scores of rows by models that did not see them."""
     order = np.argsort(rows.column("u").to_numpy(), kind="stable")
     toxic = rows.column("toxic").to_numpy()
-    at = [np.frombuffer(v, np.int32) for v in rows.column("at").to_pylist()]
-    counts = [np.frombuffer(v, np.int32) for v in rows.column("counts").to_pylist()]
+    at, counts = packed(rows.column("at"), np.int32), packed(rows.column("counts"), np.uint8)
     y = grades(at, counts, toxic)
     w, cuts = learn(at, y, order)
     scores = np.zeros(len(y))
