@@ -140,8 +140,11 @@ def buckets_for(n: int) -> int:
     return max(1, math.ceil(n / SPREAD))
 
 
-def shared_heads(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
-    """(class, shared): of a class's head, how many n-grams the head of another class holds; a class is known by 64 bits."""
+def shared_heads(docs: DataFrame, width: int, percent: int, buckets: int, sums: int) -> DataFrame:
+    """(class, shared): of a class's head, how many n-grams the head of another class holds; a class is known by 64 bits.
+
+    A bucket's counts go on as packed arrays, one for each of the ``sums`` ranges of classes that it has counts for.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -158,9 +161,17 @@ def shared_heads(docs: DataFrame, width: int, percent: int, buckets: int) -> Dat
     def count(rows: pa.Table) -> pa.Table:
         _, owners, _, lengths = runs(*dealt(rows, np.uint32))
         who, n = np.unique(owners[np.repeat(lengths > 1, lengths)], return_counts=True)
-        return pa.table({"class": pa.array(who, pa.int64()), "shared": pa.array(n, pa.int64())})
+        to = ((who.view(np.uint64) >> np.uint64(32)) * np.uint64(sums) >> np.uint64(32)).astype(np.int64)
+        own = [(int(t), who[to == t].tobytes(), n[to == t].astype(np.uint32).tobytes()) for t in np.unique(to)]
+        return pa.table({"to": pa.array([o[0] for o in own], pa.int32()), "classes": pa.array([o[1] for o in own], pa.binary()), "counts": pa.array([o[2] for o in own], pa.binary())})
+
+    def add(rows: pa.Table) -> pa.Table:
+        who, at = np.unique(np.frombuffer(b"".join(rows.column("classes").to_pylist()), np.int64), return_inverse=True)
+        n = np.bincount(at, np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32), len(who))
+        return pa.table({"class": pa.array(who, pa.int64()), "shared": pa.array(n.astype(np.int64), pa.int64())})
 
-    return docs.select("text").mapInArrow(deal, Dealer.schema).groupBy("bucket").applyInArrow(count, "class long, shared long").groupBy("class").agg(F.sum("shared").alias("shared"))
+    packed = docs.select("text").mapInArrow(deal, Dealer.schema).groupBy("bucket").applyInArrow(count, "to int, classes binary, counts binary")
+    return packed.groupBy("to").applyInArrow(add, "class long, shared long")
 
 
 def each_set(rows: DataFrame, run: Callable[[Iterator[tuple[int, np.ndarray]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -286,8 +297,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     rows = checkpointed(set_sizes(docs, width))
     named = rows.filter("digest is not null and doc_id is not null")
     classes = checkpointed(named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n")))
-    total = classes.agg(F.sum("n")).head()[0] or 0
-    labels = class_components(docs, classes, total, width, percent)
+    labels = class_components(docs, classes, width, percent)
     kin = classes.join(labels, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("root"))
     # rows of one id and different sets are one document
     twice = named.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high")
@@ -299,10 +309,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
-def class_components(docs: DataFrame, classes: DataFrame, total: int, width: int, percent: int) -> DataFrame:
+def class_components(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, root) of the classes (digest, id, n) that link with another one."""
     spark = docs.sparkSession
-    shared = shared_heads(docs, width, percent, buckets_for(2 * total * (100 - percent) // 100))
+    number_of, total = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
+    in_heads = 2 * total * (100 - percent) // 100
+    buckets = buckets_for(in_heads)
+    shared = shared_heads(docs, width, percent, buckets, buckets_for(min(in_heads, number_of * buckets)))
     n = F.col("n")
     ceil = lambda x: F.floor((x * percent + 99) / 100)
     m = ceil(n)
