@@ -91,6 +91,11 @@ def ensure(spark: SparkSession, path: str, build: Callable[[], DataFrame], bucke
     return True
 
 
+def scroll(table: DataFrame, where: Column) -> DataFrame:
+    """The payload of the table's matching rows, without their vectors; filter and columns reach the scan."""
+    return table.filter(where).drop("embedding")
+
+
 def counts(table: DataFrame) -> DataFrame:
     return table.agg(F.count("*").alias("chunks"), F.countDistinct("article_number").alias("articles"))
 

@@ -38,18 +38,34 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     Queries are dealt into blocks of about ``BLOCK``; a block and all chunks' batches meet in a matrix product, of which
     k rows for each query and batch are left. Blocks are sent to tasks one at a time, so no task holds all queries.
     """
+    found = _blocks(queries, chunks.select(F.col("chunk_id").cast("long"), "embedding"), k, merge=False)
+    return ranked(found.withColumnRenamed("id", "chunk_id"), ["qid"], [F.desc("score"), F.col("chunk_id")], k)
+
+
+def dense_top_articles(queries: DataFrame, chunks: DataFrame, k: int = 15) -> DataFrame:
+    """(qid, article_number, score, rank): each query's k best articles by their best chunk, over all chunks.
+
+    A batch's chunks are merged into articles before its k best are chosen, so no more leaves it than in dense_top_k: an
+    article among a query's k best is among the k best of the batch that holds its best chunk.
+    """
+    found = _blocks(queries, chunks.filter("article_number is not null").select(F.col("article_number").cast("long"), "embedding"), k, merge=True)
+    return distinct_articles(found.withColumnRenamed("id", "article_number"), k)
+
+
+def _blocks(queries: DataFrame, vectors: DataFrame, k: int, merge: bool) -> DataFrame:
     blocks = max(1, -(-queries.count() // BLOCK))
     dealt = queries.select("qid", F.col("embedding").cast("array<double>").alias("e"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"))
     found = None
     for b in range(blocks):
         own = dealt.filter(F.col("block") == b).select("qid", "e").toArrow()  # about BLOCK rows
-        part = _tiles(chunks, own.column("qid").to_pylist(), np.array(own.column("e").to_pylist(), np.float64), k)
+        part = _tiles(vectors, own.column("qid").to_pylist(), np.array(own.column("e").to_pylist(), np.float64), k, merge)
         found = part if found is None else found.unionByName(part)
-    return ranked(found, ["qid"], [F.desc("score"), F.col("chunk_id")], k)
+    return found
 
 
-def _tiles(chunks: DataFrame, qids: list[int], matrix: np.ndarray, k: int) -> DataFrame:
-    shared = chunks.sparkSession.sparkContext.broadcast((np.array(qids, np.int64), matrix))
+def _tiles(vectors: DataFrame, qids: list[int], matrix: np.ndarray, k: int, merge: bool) -> DataFrame:
+    """(qid, id, score) of (id, vector): the k best of each query and batch, with ties; merge takes an id's best first."""
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array(qids, np.int64), matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, q = shared.value
@@ -60,12 +76,15 @@ def _tiles(chunks: DataFrame, qids: list[int], matrix: np.ndarray, k: int) -> Da
             ids = b.column(0).to_numpy()[order]
             v = b.column(1).flatten().cast(pa.float64()).to_numpy().reshape(b.num_rows, -1)[order]
             scores = q @ v.T
-            n = min(k, b.num_rows)
+            if merge:
+                ids, starts = np.unique(ids, return_index=True)
+                scores = np.maximum.reduceat(scores, starts, axis=1)
+            n = min(k, len(ids))
             edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
             row, col = np.nonzero(scores >= edge[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(ids[col]), pa.array(scores[row, col])], ["qid", "chunk_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(ids[col]), pa.array(scores[row, col])], ["qid", "id", "score"])
 
-    return chunks.select(F.col("chunk_id").cast("long"), "embedding").mapInArrow(run, "qid long, chunk_id long, score double")
+    return vectors.mapInArrow(run, "qid long, id long, score double")
 
 
 def group_by_article(hits: DataFrame) -> DataFrame:
@@ -81,6 +100,17 @@ def group_by_article(hits: DataFrame) -> DataFrame:
     return out.select("*", "first.*").drop("first") if first is not None else out
 
 
+#: What a result row holds of a chunk's payload, with the value that stands in for a missing one.
+RESULT = {"book": None, "chapter": None, "section": None, "topic": None, "citation": None, "source_status": None, "source_page": None, "is_repealed": False}
+
+
+def result_rows(hits: DataFrame) -> DataFrame:
+    """Hits with whatever payload they carry -> the fixed columns of a result, and the score."""
+    kept = [F.coalesce(F.col(c), F.lit(d)).alias(c) if d is not None else F.col(c) for c, d in RESULT.items() if c in hits.columns]
+    absent = [F.lit(d).cast("boolean" if c == "is_repealed" else "int" if c == "source_page" else "string").alias(c) for c, d in RESULT.items() if c not in hits.columns]
+    return hits.select("qid", "article_number", "score", *kept, *absent)
+
+
 def passage(number: Column, ar: Column, en: Column) -> Column:
     """What a reranker reads of an article."""
     return F.concat(F.lit("Article "), number.cast("string"), F.lit("\nArabic:\n"), F.coalesce(ar, F.lit("")), F.lit("\nEnglish:\n"), F.coalesce(en, F.lit("")))

@@ -99,8 +99,27 @@ def router_union(spark: SparkSession, sf: str) -> DataFrame:  # R4
 
 @query(SCORES + ", b AS (SELECT qid, article_number, max(score) AS score FROM s GROUP BY qid, article_number) SELECT qid, article_number, row_number() OVER (PARTITION BY qid ORDER BY score DESC, article_number) AS rank FROM b QUALIFY rank <= 5")
 def distinct_articles(spark: SparkSession, sf: str) -> DataFrame:  # R7
-    full = retrieve.dense_top_k(asked(spark, sf), chunks(spark, sf), 1 << 30).join(chunks(spark, sf).drop("embedding"), "chunk_id")
-    return retrieve.distinct_articles(full, 5).select("qid", "article_number", F.col("rank").cast("long").alias("rank"))
+    best = retrieve.dense_top_articles(asked(spark, sf), chunks(spark, sf), 5)
+    return best.select("qid", F.col("article_number").cast("int").alias("article_number"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT vec_id, label AS article_number FROM embeddings WHERE label IN (2, 5)")
+def vector_scroll(spark: SparkSession, sf: str) -> DataFrame:  # S9
+    rows = table(spark, sf, "embeddings").withColumnRenamed("label", "article_number")
+    return index.scroll(rows, F.col("article_number").isin(2, 5)).select("vec_id", "article_number")
+
+
+@query(SCORES + "SELECT qid, article_number, round(score, 6) AS score, CAST(NULL AS VARCHAR) AS topic, CASE WHEN article_number > 3 THEN 'Annex' END AS citation, false AS is_repealed FROM g")
+def result_projection(spark: SparkSession, sf: str) -> DataFrame:  # P13 P15
+    rows = grouped(spark, sf).withColumns({"citation": F.when(F.col("article_number") > 3, "Annex"), "is_repealed": F.lit(None).cast("boolean"), "other": F.lit(1)})
+    return retrieve.result_rows(rows).select("qid", "article_number", F.round("score", 6).alias("score"), "topic", "citation", "is_repealed")
+
+
+@query("SELECT least(15, count(*) FILTER (WHERE doc_id % 2 = 0 AND trim(text) <> '')) AS drawn, count(*) FILTER (WHERE doc_id IN (1, 3, 5)) AS listed FROM documents")
+def spot_check(spark: SparkSession, sf: str) -> DataFrame:  # R25: how many are drawn and listed; the draw itself is random
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("article_number"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("text_ar"), F.col("text").alias("text_en"))
+    drawn = F.col("article_number") % 2 == 0
+    return E.spot_check(rows, [1, 3, 5], 15).agg(F.count_if(drawn).alias("drawn"), F.count_if(~drawn).alias("listed"))
 
 
 @query(SCORES + "SELECT qid, article_number, greatest(round(max(score), 6), -1.0) AS score FROM h WHERE rank <= 15 GROUP BY qid, article_number")
@@ -218,7 +237,7 @@ def embed_texts(spark: SparkSession, sf: str) -> DataFrame:  # V1 V3 V11
     return index.points(index.embed(rows, "text"), 64)
 
 
-@query("SELECT vec_id, round(abs(embedding[1]), 2) >= 0 AS close FROM embeddings")
+@query("SELECT vec_id, true AS close FROM embeddings")
 def half_precision(spark: SparkSession, sf: str) -> DataFrame:  # K6 S10: packed and unpacked again, within 0.001
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("embedding").alias("e"))
     back = index.full_precision(index.half_precision(rows))

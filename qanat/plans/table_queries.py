@@ -67,3 +67,56 @@ def file_digests(spark: SparkSession, sf: str) -> DataFrame:  # S14
     table(spark, sf, "nation").select(F.col("n_name").alias("value"), F.col("n_name").alias("name")).write.partitionBy("name").text(path)
     found = readers.file_digests(spark, f"{path}/name=*/part-*")
     return found.select(F.url_decode(F.regexp_extract("path", "name=([^/]*)/", 1)).alias("name"), "md5")
+
+
+@query("SELECT event_type AS name, CAST(count(*) AS INTEGER) AS requests, CAST(count(*) FILTER (WHERE value > 90) AS INTEGER) AS failures, round(avg(value), 4) AS avg_s FROM events GROUP BY event_type")
+def load_test_summary(spark: SparkSession, sf: str) -> DataFrame:  # S11 A26: written as a load generator does, with a row for all
+    path, ms = folder(spark), F.col("value") * 1000
+    own = lambda *by: table(spark, sf, "events").groupBy(*by).agg(F.count("*").alias("Request Count"), F.count_if(F.col("value") > 90).alias("Failure Count"), F.avg(ms).alias("Average Response Time"), *[F.percentile(ms, q).alias(f"{int(q * 100)}%") for q in (0.5, 0.95, 0.99)])
+    rows = own(F.col("event_type").alias("Name")).unionByName(own(F.lit("Aggregated").alias("Name")))
+    rows.withColumn("Requests/s", F.col("Request Count") / 60).write.option("header", True).csv(path)
+    return readers.load_test(spark, path).select("name", "requests", "failures", F.round("avg_s", 4).alias("avg_s"))
+
+
+@query("SELECT min(item_id) + 0.5::DOUBLE AS value FROM benchmark WHERE item_id % 7 = 3")
+def log_number(spark: SparkSession, sf: str) -> DataFrame:  # S12: the first line of a log that names a size
+    path = folder(spark)
+    line = F.when(F.col("item_id") % 7 == 3, F.concat(F.lit("weights take "), F.col("item_id") + F.lit(0.5), F.lit(" GiB"))).otherwise(F.concat(F.lit("step "), "item_id"))
+    table(spark, sf, "benchmark").orderBy("item_id").coalesce(1).select(line.alias("value")).write.text(path)
+    return readers.first_number(spark.read.text(path), r"weights take ([\d.]+) GiB")
+
+
+@query("SELECT md5(n_name) AS md5 FROM nation WHERE n_nationkey = 4")
+def locked_digest(spark: SparkSession, sf: str) -> DataFrame:  # S13
+    path = folder(spark)
+    entry = F.concat(F.lit("    - path: data/"), "n_nationkey", F.lit(".json\n      hash: md5\n      md5: "), F.md5(F.col("n_name").cast("binary")), F.lit("\n"))
+    outs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", entry.alias("entry")))), lambda x: x["entry"]), "")
+    table(spark, sf, "nation").agg(F.concat(F.lit("stages:\n  build:\n    outs:\n"), outs).alias("value")).write.text(path)
+    return readers.locked_digest(spark, path, "data/4.json")
+
+
+@query("SELECT n_nationkey AS article_number, n_name AS book FROM nation")
+def snapshot_fallback(spark: SparkSession, sf: str) -> DataFrame:  # K7: the second place is the first that is there
+    path = folder(spark)
+    rows = F.to_json(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("article_number"), F.col("n_name").alias("book")))))
+    table(spark, sf, "nation").agg(rows.alias("value")).write.text(path)
+    return readers.first_readable(spark, [f"{path}-absent", path], "article_number int, book string")
+
+
+@query("SELECT n_name AS key, n_nationkey AS faithfulness FROM nation")
+def keyed_records(spark: SparkSession, sf: str) -> DataFrame:  # S6: a file that is one object of records by key
+    path = folder(spark)
+    entries = F.map_from_entries(F.collect_list(F.struct("n_name", F.struct(F.col("n_nationkey").alias("faithfulness")))))
+    table(spark, sf, "nation").agg(F.to_json(entries).alias("value")).write.text(path)
+    return readers.keyed_json(spark, path, "struct<faithfulness:int>")
+
+
+@query("SELECT metric, 'nightly' AS job, round(value, 6) AS value FROM (SELECT 'quality' AS metric, avg(quality) AS value FROM labels UNION ALL SELECT 'toxic', avg(toxic) FROM labels)")
+def pushed_gauges(spark: SparkSession, sf: str) -> DataFrame:  # K11: every metric that is there; the time of the push is left out here
+    scores = table(spark, sf, "labels").agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"), F.lit(None).cast("double").alias("none"))
+    return sinks.gauges(scores, "nightly").filter("metric <> 'last_run_timestamp'").select("metric", F.col("labels")["job"].alias("job"), F.round("value", 6).alias("value"))
+
+
+@query("SELECT least(8, count(*)) AS questions, least(8, count(*)) AS \"different\" FROM benchmark")
+def question_pool(spark: SparkSession, sf: str) -> DataFrame:  # S17: how many are drawn; the draw itself is random
+    return readers.question_pool(table(spark, sf, "benchmark"), 8, 42).agg(F.count("*").alias("questions"), F.countDistinct("item_id").alias("different"))

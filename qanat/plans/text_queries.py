@@ -78,22 +78,19 @@ def page_lines(spark: SparkSession, sf: str) -> DataFrame:  # S2 S3 P6
 
 
 @query(
-    "WITH d AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS line FROM documents), "
+    "WITH d AS (SELECT doc_id // 200 AS book, lang, row_number() OVER (PARTITION BY doc_id // 200 ORDER BY doc_id) AS line FROM documents), "
     "e AS (SELECT *, CAST(floor((line - 1) / 8) AS BIGINT) AS page FROM d), "
-    "f AS (SELECT *, row_number() OVER (PARTITION BY source, page ORDER BY line) AS a, row_number() OVER (PARTITION BY source, page ORDER BY line DESC) AS b FROM e), "
-    "t AS (SELECT source, count(DISTINCT page) AS total FROM f GROUP BY source HAVING count(DISTINCT page) >= 5) "
-    "SELECT f.source, lang AS key, count(DISTINCT page) AS pages FROM f JOIN t ON f.source = t.source WHERE a <= 2 OR b <= 2 GROUP BY f.source, lang, total HAVING count(DISTINCT page) >= greatest(2, floor(total * 0.4::DOUBLE))"
+    "f AS (SELECT *, row_number() OVER (PARTITION BY book, page ORDER BY line) AS a, row_number() OVER (PARTITION BY book, page ORDER BY line DESC) AS b FROM e), "
+    "t AS (SELECT book, count(DISTINCT page) AS total FROM f GROUP BY book HAVING count(DISTINCT page) >= 10) "
+    "SELECT f.book AS doc_id, '| ' || lang AS key, count(DISTINCT page) AS pages FROM f JOIN t ON f.book = t.book WHERE a <= 2 OR b <= 2 GROUP BY f.book, lang, total HAVING count(DISTINCT page) >= greatest(5, floor(total * 0.4::DOUBLE))"
 )
-def running_headers(spark: SparkSession, sf: str) -> DataFrame:  # O1: a source's documents are its lines, eight to a page, with language as key
+def running_headers(spark: SparkSession, sf: str) -> DataFrame:  # O1: two hundred documents are a book's lines, eight to a page, their language the text
     from pyspark.sql import Window
 
-    w = Window.partitionBy("source")
-    lines = table(spark, sf, "documents").select("source", "lang", "doc_id").withColumn("line", F.row_number().over(w.orderBy("doc_id"))).withColumn("page", F.floor((F.col("line") - 1) / 8))
-    p = Window.partitionBy("source", "page")
-    edge = lines.withColumns({"a": F.row_number().over(p.orderBy("line")), "b": F.row_number().over(p.orderBy(F.desc("line")))})
-    total = edge.groupBy("source").agg(F.countDistinct("page").alias("total")).filter("total >= 5")
-    seen = edge.filter("a <= 2 or b <= 2").groupBy("source", F.col("lang").alias("key")).agg(F.countDistinct("page").alias("pages"))
-    return seen.join(total, "source").filter(F.col("pages") >= F.greatest(F.lit(2), F.floor(F.col("total") * 0.4))).select("source", "key", "pages")
+    book = F.floor(F.col("doc_id") / 200)
+    rows = table(spark, sf, "documents").select(book.alias("book"), "doc_id", F.lit("").alias("en"), F.col("lang").alias("ar"))
+    lines = rows.withColumn("line", F.row_number().over(Window.partitionBy("book").orderBy("doc_id"))).withColumn("page", F.floor((F.col("line") - 1) / 8))
+    return extract.running_headers(lines.withColumn("doc_id", F.col("book")).drop("book"))
 
 
 WINDOW_WIDTH = int(500 / 1.4 + 1e-9)
@@ -170,14 +167,13 @@ def missing_numbers(spark: SparkSession, sf: str) -> DataFrame:  # A18
 
 
 @query()
-def extract_articles(spark: SparkSession, sf: str) -> DataFrame:  # S3 P4-P12 O1-O11: each language's documents as one book, two articles to a page
+def extract_articles(spark: SparkSession, sf: str) -> DataFrame:  # S3 P4-P12 O1-O11: twenty documents as one book, two articles to a page
     from pyspark.sql import Window
 
-    rows = table(spark, sf, "documents").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")))
+    rows = table(spark, sf, "documents").withColumn("book", F.floor(F.col("doc_id") / 20)).withColumn("n", F.row_number().over(Window.partitionBy("book").orderBy("doc_id")))
     body = F.concat(F.lit("Article "), "n", F.lit("\n"), F.regexp_replace("text", "\f", " "), F.when(F.col("n") % 2 == 0, "\f").otherwise("\n"))
-    book = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", body.alias("body")))), lambda x: x["body"]), "")
-    books = rows.groupBy("lang").agg(book.alias("text")).select(F.crc32("lang").alias("doc_id"), "text")
-    return extract.articles(books)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", body.alias("body")))), lambda x: x["body"]), "")
+    return extract.articles(rows.groupBy(F.col("book").alias("doc_id")).agg(whole.alias("text")))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS rows, count(*) FILTER (WHERE text IS NOT NULL) AS with_text, count(DISTINCT source) AS sources FROM documents")
