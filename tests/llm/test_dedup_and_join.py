@@ -76,6 +76,14 @@ def test_jaccard_join_with_few_known_counts(docs_of, monkeypatch):
     assert got == brute.components(rows)
 
 
+def test_jaccard_join_over_many_buckets(docs_of, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SPREAD", 40)
+    monkeypatch.setattr(jaccard_join, "GATHER", 100)
+    rows = near_copies(25, 6)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs_of(rows)).collect()}
+    assert got == brute.components(rows)
+
+
 def test_jaccard_join_cases(docs_of):
     text = " ".join(f"w{i}" for i in range(60))
     near = text.replace("w30", "x")
