@@ -130,3 +130,41 @@ def test_runs_and_registry(spark, tmp_path):
     for cfg in ("x", "y"):
         sinks.promote(f"{tmp_path}/registry", spark, "chunking", cfg)
     assert {r["config"]: r["alias"] for r in sinks.registry(spark.read.parquet(f"{tmp_path}/registry")).collect()} == {"x": "archived", "y": "production"}
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_best_articles_of_all_chunks(spark, batch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    vectors = rng.integers(-3, 4, (60, 4)).astype(float)  # small whole numbers, so that scores tie
+    articles = [None if i == 7 else int(a) for i, a in enumerate(rng.integers(1, 12, 60))]
+    asked = rng.integers(-3, 4, (5, 4)).astype(float)
+    chunks = spark.createDataFrame([(i, a, v.tolist()) for i, (a, v) in enumerate(zip(articles, vectors, strict=True))], "chunk_id long, article_number int, embedding array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "qid long, embedding array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = sorted((r["qid"], r["rank"], r["article_number"], r["score"]) for r in retrieve.dense_top_articles(queries, chunks, 4).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for q, v in enumerate(asked):
+        best = {}
+        for a, s in zip(articles, vectors @ v, strict=True):
+            if a is not None:
+                best[a] = max(best.get(a, -1e9), s)
+        want += [(q, i + 1, a, s) for i, (a, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:4])]
+    assert got == want
+
+
+def test_scroll_reads_no_vectors(spark, sf):
+    found = index.scroll(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("label") == 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(label,3)" in plan and "embedding:" not in plan
+
+
+def test_result_rows_have_every_column(spark):
+    row = spark.createDataFrame([(1, 2, 0.5, "b", None)], "qid long, article_number int, score double, book string, is_repealed boolean")
+    got = retrieve.result_rows(row.withColumn("extra", F.lit(1)))
+    assert got.columns[:3] == ["qid", "article_number", "score"] and set(got.columns[3:]) == set(retrieve.RESULT)
+    assert (got.head()["book"], got.head()["is_repealed"], got.head()["source_page"]) == ("b", False, None)
