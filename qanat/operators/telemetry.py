@@ -11,10 +11,27 @@ from qanat.functions.vectors import dot, norm, unit
 BUCKETS = (0.1, 0.25, 0.5, 1.0, 2.0, 3.0, 5.0, 8.0, 13.0, 21.0, 34.0, 60.0)
 
 
-def increases(samples: DataFrame, series: list[str]) -> DataFrame:
-    """(series.., ts, value) of counters -> with delta; after a reset the new value itself."""
-    before = F.lag("value").over(Window.partitionBy(*series).orderBy("ts"))
-    return samples.withColumn("delta", F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before))
+def increases(samples: DataFrame, series: list[str], slot: Column | None = None) -> DataFrame:
+    """(series.., ts, value) of counters -> with delta; after a reset the new value itself.
+
+    slot, which must not fall as ts rises, cuts long series into parts that are read apart; each part's first sample
+    takes up the value that the part before it ended with.
+    """
+    cut = samples.withColumn("_slot", F.lit(0) if slot is None else slot)
+    inside = F.lag(F.struct("value")).over(Window.partitionBy(*series, "_slot").orderBy("ts"))
+    if slot is None:
+        known = cut.withColumn("_before", inside["value"])
+    else:
+        ends = cut.groupBy(*series, "_slot").agg(F.max_by(F.struct("value"), "ts").alias("end"))
+        carried = ends.withColumn("_end", F.lag("end").over(Window.partitionBy(*series).orderBy("_slot")))
+        carried = carried.select(*[F.col(c).alias(f"_{c}") for c in series], F.col("_slot").alias("_own"), "_end")
+        same = F.col("_slot").eqNullSafe(F.col("_own"))
+        for c in series:
+            same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+        known = cut.withColumn("_in", inside).join(carried, same, "left").withColumn("_before", F.coalesce("_in", "_end")["value"])
+    before = F.col("_before")
+    delta = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
+    return known.withColumn("delta", delta).select(*samples.columns, "delta")
 
 
 def over_windows(deltas: DataFrame, by: list[str], length: str, step: str, per_second: bool) -> DataFrame:
@@ -74,10 +91,15 @@ def split_traffic(key: Column, percent: int = 10) -> Column:
 
 
 def moving_average(rows: DataFrame, by: list[str], order: str, value: str, alpha: float = 0.2) -> DataFrame:
-    """The exponential moving average of each group's values in order, the first one seeding it."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
-    ema = F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.element_at(values, 1).cast("double"), lambda s, x: s + alpha * (x - s))
-    return rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(ema.alias("ema"), F.count("*").alias("n"))
+    """The exponential moving average of each group's values in order, the first one seeding it.
+
+    A value's weight follows from its place counted from the last, so no group's values are gathered.
+    """
+    w = Window.partitionBy(*by)
+    placed = rows.filter(F.col(value).isNotNull()).withColumns({"_back": F.row_number().over(w.orderBy(F.desc(order), F.desc(value))) - 1, "_n": F.count("*").over(w)})
+    fade = F.pow(F.lit(1 - alpha), F.col("_back"))
+    weight = F.when(F.col("_back") == F.col("_n") - 1, fade).otherwise(alpha * fade)
+    return placed.groupBy(*by).agg(F.sum(weight * F.col(value)).alias("ema"), F.count("*").alias("n"))
 
 
 def centroid(rows: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame:

@@ -44,7 +44,7 @@ COUNTER = (
 
 def _deltas(spark: SparkSession, sf: str) -> DataFrame:
     rows = events(spark, sf).select("event_type", F.struct(F.unix_timestamp("ts").alias("s"), "event_id").alias("ts"), (F.col("event_id") % 100).cast("double").alias("value"), F.col("ts").alias("time"))
-    return T.increases(rows, ["event_type"]).select("event_type", F.col("time").alias("ts"), "delta")
+    return T.increases(rows, ["event_type"], F.floor(F.col("ts.s") / 86400)).select("event_type", F.col("time").alias("ts"), "delta")
 
 
 @query(COUNTER + " SELECT event_type, (ts // 300 + 1) * 300 AS at, round(sum(delta) / 300.0::DOUBLE, 6) AS value FROM i GROUP BY 1, 2")

@@ -100,6 +100,23 @@ def test_counter_reset_and_quantile(spark):
     assert telemetry.histogram_quantile(tail, 0.9, ["m"]).head()["quantile"] == 1.0
 
 
+def test_counters_cut_into_parts_give_the_same(spark):
+    rows = spark.createDataFrame([(k, i, v) for k in ("a", None) for i, v in enumerate([5.0, 7.0, 3.0, None, 4.0, 9.0, 1.0, 1.0])], "series string, ts long, value double")
+    whole = sorted(map(tuple, telemetry.increases(rows, ["series"]).collect()), key=repr)
+    for width in (1, 2, 3, 100):
+        assert sorted(map(tuple, telemetry.increases(rows, ["series"], F.floor(F.col("ts") / width)).collect()), key=repr) == whole
+
+
+def test_moving_average_of_long_and_short_series(spark):
+    values = {"one": [4.0], "two": [1.0, 2.0], "long": [float(i % 13) for i in range(3000)]}
+    rows = spark.createDataFrame([(k, i, v) for k, own in values.items() for i, v in enumerate(own)] + [("one", 9, None)], "k string, i int, v double")
+    for r in telemetry.moving_average(rows, ["k"], "i", "v").collect():
+        want = values[r["k"]][0]
+        for x in values[r["k"]][1:]:
+            want += 0.2 * (x - want)
+        assert math.isclose(r["ema"], want, rel_tol=1e-12) and r["n"] == len(values[r["k"]])
+
+
 def test_drift_of_clusters(spark):
     import numpy as np
 
