@@ -36,7 +36,7 @@ AT_ONCE = 8192
 #: Bytes of text whose distinct words are taken together.
 STEP = 2 << 20
 #: Distinct words whose ids a Python worker keeps.
-KEEP = 300_000
+KEEP = 600_000
 
 _ids: dict[str, "WordIds"] = {}
 
