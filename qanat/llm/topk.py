@@ -54,7 +54,8 @@ def tile(k: int):
         order = np.argsort(ids, kind="stable")
         c = order[~is_query[order]]
         q = order[is_query[order]]
-        cand, cid = comp[c], ids[c]
+        cand = comp[c]
+        cid, first = np.unique(ids[c], return_index=True)
         exact = len(c) == 0 or np.abs(comp).max() ** 2 * comp.shape[1] < 2**53
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i in range(0, len(q) if len(c) else 0, STRIPE):
@@ -63,19 +64,15 @@ def tile(k: int):
                 scores = comp[own] @ cand.T
             else:
                 scores = np.array([[sum(int(x) * int(y) for x, y in zip(a, b, strict=True)) for b in cand] for a in comp[own]], object)
+            if len(cid) < len(c):  # rows of one id count once, with their best score
+                scores = np.maximum.reduceat(scores, first, axis=1)
             for row, qid in zip(scores, ids[own], strict=True):
                 at = np.arange(len(cid))
-                if exact and len(cid) > 4 * k:  # all that reach the k-th best, with room for the query's own rows
-                    mine = int(np.searchsorted(cid, qid, "right") - np.searchsorted(cid, qid))
-                    if (m := k + mine) < len(cid):
-                        at = np.flatnonzero(row >= np.partition(row, len(cid) - m)[len(cid) - m])
+                if exact and (m := k + 1) < len(cid) and len(cid) > 4 * k:  # all that reach the k-th best, with room for the query's own id
+                    at = np.flatnonzero(row >= np.partition(row, len(cid) - m)[len(cid) - m])
                 at = at[cid[at] != qid]
-                best = at[np.argsort(-row[at], kind="stable")]
-                seen: dict[int, int] = {}
-                for j in best:  # rows of one id count once
-                    if seen.setdefault(int(cid[j]), int(row[j])) is not None and len(seen) == k and len(best) > k:
-                        break
-                out.append((np.full(len(seen), qid), np.array(list(seen), np.int64), np.array([max(-(2**63), min(2**63 - 1, s)) for s in seen.values()], np.int64)))
+                top = at[np.argsort(-row[at], kind="stable")][:k]
+                out.append((np.full(len(top), qid), cid[top], np.array([max(-(2**63), min(2**63 - 1, int(s))) for s in row[top]], np.int64)))
         cat = lambda n: np.concatenate([o[n] for o in out]) if out else np.zeros(0, np.int64)
         return pa.table({"query_id": pa.array(cat(0), pa.int64()), "block": pa.array(np.full(len(cat(0)), block[0] if len(block) else 0), pa.int32()), "vec_id": pa.array(cat(1), pa.int64()), "score": pa.array(cat(2), pa.int64())})
 

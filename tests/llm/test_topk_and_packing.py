@@ -47,6 +47,15 @@ def test_top_k_against_brute_force(spark, monkeypatch, blocks):
     assert got == brute_top(rows, 5, 10)
 
 
+@pytest.mark.parametrize("candidates", [16384, 20])
+def test_an_id_repeated_among_the_best_takes_one_place(spark, monkeypatch, candidates):
+    monkeypatch.setattr(topk, "CANDIDATES", candidates)
+    rows = [(0, [1.0])] + [(7, [float(1000 - i)]) for i in range(9)] + [(i, [float(500 - i)]) for i in range(10, 60)]
+    rows += [(12, [900.0])] + [(100, [float(-i)]) for i in range(9)]
+    got = sorted(map(tuple, topk.top_k(vectors(spark, rows), 5, F.col("id") == 0).collect()))
+    assert got == brute_top(rows, 5, 50)[:5] and [r[2] for r in got] == [7, 12, 10, 11, 13]
+
+
 def test_top_k_of_large_components(spark):
     rows = [(0, [3e5, 1.0]), (1, [3e5, 0.5]), (2, [3e5, 0.75]), (3, [-3e5, 0.0])]
     got = sorted(map(tuple, topk.top_k(vectors(spark, rows), 2, F.col("id") == 0).collect()))
