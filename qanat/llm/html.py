@@ -1,13 +1,16 @@
 """Main-text extraction from web pages by tag-path ratios.
 
 A page is read into blocks: the text between block-level tags, each with its root-to-leaf tag path. Elements that are
-never main text by their tag, role or class (scripts, navigation, adverts, comments and the like) are left out with all
-below them. For each path, the text length and the punctuation of its blocks are summed and divided by the number of
+never main text by their tag (scripts, navigation and the like) are left out with all below them, and so are those whose
+class, id or role marks them (adverts, comments and the like), but for marked elements that hold most of the page's
+text (and stand in the page's article or main, if there is one with text outside them), and but for all marks where
+nothing else is left. For each path, the text length and the punctuation of its blocks are summed and divided by the number of
 nodes on that path; both ratios are smoothed along the page, fused into one, and paths below a share of the page's
 spread are dropped. Headings and other blocks that stand among the kept ones, in the same container, are kept as well.
 
 Defined cases: null and empty pages, and pages without main text, give an empty text; broken markup is read as far as
-it goes (an unclosed element ends with its parent); repeated rows give the same text each; an empty table gives an
+it goes (an unclosed element ends with its parent, and head ends at the first text or tag that cannot stand in it);
+repeated rows give the same text each; an empty table gives an
 empty result; further columns of any name are ignored.
 """
 
@@ -27,6 +30,10 @@ from qanat.llm.words import slices
 RAW = frozenset("script style noscript template textarea iframe svg math xmp object noembed noframes".split())
 #: Elements whose content is never main text.
 NEVER = RAW | frozenset("head nav header footer aside form button select option input label dialog menu title".split())
+#: Elements that name the main text.
+WHOLE = frozenset(("article", "main"))
+#: What can stand in head; any other start tag ends an open head.
+IN_HEAD = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img br ruby rt rp data".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -50,35 +57,40 @@ Block = tuple[str, str, tuple[int, ...]]  # text, tag path, numbers of the open
 
 
 def marked(attributes: str) -> bool:
-    if HIDDEN.search(attributes):
-        return True
     return any(w in MARKS for m in MARKED.finditer(attributes) for w in re.split(r"[^a-z]+", next(filter(None, m.groups()), "").lower()))
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks outside elements that are never main text."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number, whether it or one above is left out
-    text: list[str] = []
+    out: list[tuple[list[tuple[str, tuple[int, ...]]], str, tuple[int, ...]]] = []  # as Block, but texts in pieces, each with its marked elements
+    stack: list[tuple[str, int, bool, tuple[int, ...]]] = []  # tag, number, whether it or one above is left out, the marked ones of it and those above
+    text: list[tuple[str, tuple[int, ...]]] = []
     number, at = 0, 0
 
     def close() -> None:
-        own = " ".join("".join(text).split())
+        if any(t.strip() for t, _ in text):
+            kept = [(t, n) for t, n, _, _ in stack if t not in INLINE]
+            out.append((text.copy(), "/".join(t for t, _ in kept), tuple(n for _, n in kept)))
         text.clear()
-        if own:
-            kept = [(t, n) for t, n, _ in stack if t not in INLINE]
-            out.append((own, "/".join(t for t, _ in kept), tuple(n for _, n in kept)))
 
     def shut(depth: int) -> None:
-        if any(t not in INLINE for t, _, _ in stack[depth:]):
+        if any(t not in INLINE for t, *_ in stack[depth:]):
             close()
         del stack[depth:]
 
+    def end_head() -> None:
+        depth = next((i for i, (t, *_) in enumerate(stack) if t in ("head", "title")), None)
+        if depth is not None:
+            shut(depth)
+
     while at < len(page):
         m = TOKEN.search(page, at)
         end = m.start() if m else len(page)
-        if end > at and not (stack and stack[-1][2]):
-            text.append(html.unescape(page[at:end]))
+        if end > at:
+            if stack and stack[-1][0] == "head" and not page[at:end].isspace():
+                end_head()
+            if not (stack and stack[-1][2]):
+                text.append((html.unescape(page[at:end]), stack[-1][3] if stack else ()))
         if not m:
             break
         at = m.end()
@@ -88,19 +100,22 @@ def blocks(page: str) -> list[Block]:
         tag = tag.lower()
         if slash:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None and not (tag in INLINE and any(t not in INLINE for t, _, _ in stack[depth:])):
+            if depth is not None and not (tag in INLINE and any(t not in INLINE for t, *_ in stack[depth:])):
                 shut(depth)
             continue
+        if tag not in IN_HEAD:
+            end_head()
         if tag in VOID:
             if tag == "br":
-                text.append(" ")
+                text.append((" ", ()))
             elif tag == "hr":
                 close()
             continue
-        if tag in RAW:
+        if tag in RAW or tag == "title":
             found = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            at = found.end() if found else len(page)
-            continue
+            if found or tag in RAW:
+                at = found.end() if found else len(page)
+                continue
         if tag not in INLINE:
             inner = ENDS.get(tag, ())
             for i in range(len(stack) - 1, -1, -1):
@@ -111,12 +126,42 @@ def blocks(page: str) -> list[Block]:
                     break
             close()
         number += 1
-        left_out = bool(stack and stack[-1][2]) or tag in NEVER or tag not in ("html", "body", "main", "article") and marked(attributes)
+        whole = tag in ("html", "body") or tag in WHOLE
+        left_out = bool(stack and stack[-1][2]) or tag in NEVER or not whole and bool(HIDDEN.search(attributes))
+        marks = stack[-1][3] if stack else ()
+        if not left_out and not whole and marked(attributes):
+            marks = (*marks, number)
         if not attributes.rstrip().endswith("/") or tag not in ("svg", "path"):
-            stack.append((tag, number, left_out))
+            stack.append((tag, number, left_out, marks))
     shut(0)
     close()
-    return out
+    return unmarked(out)
+
+
+def unmarked(found: list[tuple[list[tuple[str, tuple[int, ...]]], str, tuple[int, ...]]]) -> list[Block]:
+    """The blocks without text of marked elements.
+
+    A mark does not count on an element that holds most of the text, unless it stands outside the article or main where
+    unmarked text is; no mark counts if no text is left.
+    """
+    total, sizes, inside, named = 0, {}, set(), False
+    for pieces, path, numbers in found:
+        tags = path.split("/")
+        for text, marks in pieces:
+            n = sum(map(len, text.split()))
+            total += n
+            named = named or n > 0 and not marks and not WHOLE.isdisjoint(tags)
+            for m in marks:
+                sizes[m] = sizes.get(m, 0) + n
+                if not WHOLE.isdisjoint(tags[: numbers.index(m)] if m in numbers else tags):
+                    inside.add(m)
+    left_out = {m for m, n in sizes.items() if 2 * n <= total or named and m not in inside}
+
+    def texts(left_out: set[int]) -> list[Block]:
+        joined = ((" ".join("".join(t for t, marks in pieces if left_out.isdisjoint(marks)).split()), path, numbers) for pieces, path, numbers in found)
+        return [b for b in joined if b[0]]
+
+    return texts(left_out) or texts(set())
 
 
 def smoothed(x: list[float]) -> list[float]:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from qanat.llm import html, language_id, toxicity, urls
@@ -107,6 +108,26 @@ def test_main_text():
     assert html.main_text("<p>a < b and \"c\" <1></p><p class='x>broken, markup.</p>").startswith('a < b and "c" <1>')
 
 
+ARTICLE = "<h1>Title</h1><p>A long text, with much to say, and to read.</p><p>More of it, also long, and as full of commas.</p>"
+ARTICLE_TEXT = "Title\nA long text, with much to say, and to read.\nMore of it, also long, and as full of commas."
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title><body>", "<head><meta charset=utf-8><title>a <p> b</title><link rel=x>", "<head><title>T<body>"])
+def test_head_that_is_left_open(head):
+    assert html.main_text(f"<!DOCTYPE html><html>{head}<div>{ARTICLE}</div>") == ARTICLE_TEXT
+    assert html.main_text("<head><title>T</title>Some text, no tag.") == "Some text, no tag."
+
+
+@pytest.mark.parametrize("wrapper", ['div class="has-sidebar"', 'div id="content-sidebar-wrap"', 'div class="ad-free"', 'section class="discussion"'])
+def test_marks_on_a_wrapper_of_the_article(wrapper):
+    tag = wrapper.split()[0]
+    page = f'<body><{wrapper}><div>{ARTICLE}</div><div class="comments"><p>A reader writes, at length.</p></div></{tag}><div class="ad">Buy this, now.</div></body>'
+    assert html.main_text(page) == ARTICLE_TEXT
+    assert html.main_text(f"<body><article><h2>Top</h2><{wrapper}>{ARTICLE}</{tag}></article></body>").endswith(ARTICLE_TEXT)
+    parts = "".join(f"<{wrapper}><p>Part {i}, of a text.</p></{tag}>" for i in range(3))
+    assert html.main_text(f"<body>{parts}</body>").count("of a text.") == 3
+
+
 def test_pages_cut_to_their_article(spark, sf):
     import re
     from html import unescape
