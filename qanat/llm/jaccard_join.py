@@ -1,7 +1,7 @@
 """N-gram Jaccard join: components of documents whose word n-gram sets are similar, exact.
 
 A document's set holds the 64-bit hashes of its distinct word n-grams, in the global order of the hashes. Documents of
-equal sets form a class, known by its smallest id; only classes are joined. The join runs in four steps:
+equal sets form a class, known by 64 bits of its set's digest; only classes are joined. The join runs in four steps:
 
 1. Pruning. Two linked sets share at least ``l`` n-grams within the first ``|x| - ceil(t |x|) + l`` of each, in any
    global order. The heads of that length are dealt out by hash range as packed arrays, and a class goes on only if
@@ -296,9 +296,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     """(doc_id, n_shingles, component_id): the size of each row's set, and the smallest id that its links reach."""
     rows = checkpointed(set_sizes(docs, width))
     named = rows.filter("digest is not null and doc_id is not null")
-    classes = checkpointed(named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n")))
+    leading = F.expr("conv(hex(substring(digest, 1, 8)), 16, -10)").cast("long")  # number
+    classes = checkpointed(named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n")).withColumn("class", leading))
     labels = class_components(docs, classes, width, percent)
-    kin = classes.join(labels, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("root"))
+    linked = classes.join(labels, F.col("class") == F.col("node")).select("class", "id", "root")
+    least = linked.groupBy("root").agg(F.min("id").alias("least"))
+    names = linked.join(least, "root").select(F.col("class").alias("node"), F.col("least").alias("root"))
+    kin = classes.join(names, F.col("class") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("root"))
     # rows of one id and different sets are one document
     twice = named.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high")
     if twice.head(1):
@@ -310,7 +314,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 
 def class_components(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, root) of the classes (digest, id, n) that link with another one."""
+    """(node, root), both of column class, of the classes (digest, id, n, class) that link with another one."""
     spark = docs.sparkSession
     number_of, total = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
     in_heads = 2 * total * (100 - percent) // 100
@@ -321,14 +325,13 @@ def class_components(docs: DataFrame, classes: DataFrame, width: int, percent: i
     m = ceil(n)
     base = m - ceil(m) + 1
     enough = F.least(m, 2 * base) - base + 1  # shared_at_least
-    leading = F.expr("conv(hex(substring(digest, 1, 8)), 16, -10)").cast("long")
-    alive = classes.withColumn("class", leading).join(shared, "class").filter(F.col("shared") >= enough).select(F.col("id").alias("doc_id"), "digest")
+    alive = classes.join(shared, "class").filter(F.col("shared") >= enough).select(F.col("id").alias("doc_id"), "digest")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             sets = list(shingle_sets(texts, width))
             own = [i for i, (x, d) in enumerate(zip(sets, batch.column("digest").to_pylist(), strict=True)) if digest(x) == d]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own, pa.int64())), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["id", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array([number(digest(sets[i])) for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["id", "grams"])
 
     sets = checkpointed(docs.select("doc_id", "text").join(alive, "doc_id").mapInArrow(grams, "id long, grams binary"))
     left = sets.agg(F.sum(F.octet_length("grams"))).head()[0] or 0

@@ -104,6 +104,20 @@ def test_rows_that_share_an_id(docs_of):
     assert got == {(4, 2), (2, 2), (9, 2)}
 
 
+@pytest.mark.parametrize("large", [2000, 2])
+def test_texts_that_share_their_smallest_id(docs_of, monkeypatch, large):
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
+    words = [[f"{c}{i}" for i in range(60)] for c in "abc"]
+    a, b, c = (" ".join(w) for w in words)
+    near = lambda w, x: " ".join([*w[:-1], x])
+    rows = [(4, a), (4, b), (4, c), (9, near(words[1], "x")), (3, near(words[2], "y")), (8, near(words[0], "z")), (12, "a text of its own, apart from all")]
+    for order in (rows, rows[::-1]):
+        docs = docs_of(order)
+        got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()}
+        assert got == {(4, 3), (9, 3), (3, 3), (8, 3), (12, 12)}
+    assert sorted(r["doc_id"] for r in jaccard_join.kept_rows(docs).collect()) == [3, 12]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 95)], "u long, v long")
     assert {r["node"]: r["root"] for r in components(links).collect()} == {**dict.fromkeys(range(61), 0), 90: 90, 95: 90, 100: 90}
