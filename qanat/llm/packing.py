@@ -8,7 +8,8 @@ not grow with the input.
 
 Tokenising works on each batch's distinct words, in lower case: runs without ASCII white space, cut as well between a
 letter and punctuation other than the apostrophe. The tokeniser folds case and cuts in all these places itself. Words'
-ids are looked up and joined by array operations.
+ids are looked up and joined by array operations. Texts that hold one of the tokeniser's added tokens (such as
+<|endoftext|>) are few and are encoded whole, by the tokeniser as its file sets it.
 
 Defined cases: a null text is empty and holds the end id only; repeated rows are packed each; rows with null ids are
 packed as any other; an empty table gives an empty result; further columns of any name are kept apart.
@@ -42,13 +43,15 @@ _ids: dict[str, "WordIds"] = {}
 
 
 class WordIds:
-    """Ids of whole texts by one tokeniser, through those of their distinct words."""
+    """Ids of whole texts by one tokeniser, through those of their distinct words; ``of`` reads added tokens as words, ``exact`` as the tokens they are."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.path, self.whole = path, None
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -87,6 +90,37 @@ class WordIds:
         source = np.repeat(starts[at] - ends[:-1], lengths) + np.arange(ends[-1]) if len(at) else at
         return self.flat[source], ends[texts.first]
 
+    def holding(self, texts) -> list[int]:
+        """The texts that hold an added token, in any case."""
+        data, offsets = texts.bytes.tobytes().lower(), texts.offsets
+        found: set[int] = set()
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                own = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(token) <= offsets[own + 1]:
+                    found.add(own)
+                    at = data.find(token, int(offsets[own + 1]))
+                else:
+                    at = data.find(token, at + 1)
+        return sorted(found)
+
+    def exact(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """As ``of``, with the tokeniser's own setting for added tokens."""
+        ids, edges = self.of(texts)
+        if not (special := self.holding(texts)):
+            return ids, edges
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        data, lengths, parts, at = texts.bytes.tobytes(), np.diff(edges), [], 0
+        for i in special:
+            own = np.array(self.whole.encode(data[texts.offsets[i] : texts.offsets[i + 1]].decode("utf-8", "replace"), add_special_tokens=False).ids, ids.dtype)
+            parts += [ids[at : edges[i]], own]
+            lengths[i], at = len(own), edges[i + 1]
+        return np.concatenate([*parts, ids[at:]]), np.concatenate(([0], np.cumsum(lengths)))
+
 
 def word_ids(path: str) -> WordIds:
     """One for each Python worker and tokeniser."""
@@ -152,7 +186,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, wit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last = word_ids(path), np.array([end], "<u4").tobytes()
         for batch, texts in slices(batches, cut_points=True, step=STEP):
-            ids, edges = known.of(texts)
+            ids, edges = known.exact(texts)
             ids = ids.astype("<u4")
             out: list[list] = [[], [], [], [], [], []]
             for row, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):

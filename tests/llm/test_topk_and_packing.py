@@ -79,6 +79,19 @@ def test_word_ids_equal_the_tokenizer():
         assert ids[a:b].tolist() == own.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_of_added_tokens_are_those_of_the_unchanged_tokenizer(docs_of):
+    own = Tokenizer.from_file(tokenizer_path())
+    rnd = random.Random(4)
+    parts = [*"aZé É,'!-(1 \n中<|>", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endof", "text|>", "I'LL", "word "]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(2000)]
+    ids, edges = packing.WordIds(tokenizer_path()).exact(Texts(pa.array(texts), True))
+    for t, a, b in zip(texts, edges[:-1], edges[1:], strict=True):
+        assert ids[a:b].tolist() == own.encode(t, add_special_tokens=False).ids
+    rows = [(1, "one <|endoftext|> two"), (2, "<|startoftext|>"), (3, "plain"), (4, None), (5, "<|endof"), (6, "text|>")]
+    check(packing.pack(docs_of(rows), tokenizer_path()).collect(), rows, 2048)
+    assert 49407 in own.encode(rows[0][1], add_special_tokens=False).ids
+
+
 def check(rows, texts, length):
     own = Tokenizer.from_file(tokenizer_path())
     by, fill = {}, {}
