@@ -1,15 +1,16 @@
 """Packing of tokenised documents into sequences of bounded length, by best-fit decreasing.
 
-Every document's ids, with one end id, are first cut into full windows, which are sequences of their own; what remains
-is shorter than a window. Remainders are dealt by hash into pools of bounded size. In a pool they are placed longest
-first, each into the open sequence with the least room that takes it, found by a segment tree over remaining
-capacities. Padding is left only in a pool's last sequences. Pools are cut from counts of all rows, so their size does
-not grow with the input.
+Every document's ids, with one end id, are first cut into full windows, which are sequences of their own and need no
+shuffle; what remains is shorter than a window. A document has one remainder at most, so remainders are dealt evenly,
+by hash of their place in the table, into pools cut from the number of documents; a pool's size does not grow with the
+input. In a pool they are placed longest first, each into the open sequence with the least room that takes it, found by
+a segment tree over remaining capacities. Padding is left only in a pool's last sequences. Full windows have odd
+sequence ids, filled ones even ids.
 
 Tokenising works on each batch's distinct words, in lower case: runs without ASCII white space, cut as well between a
 letter and punctuation other than the apostrophe. The tokeniser folds case and cuts in all these places itself. Words'
-ids are looked up and joined by array operations. Texts that hold one of the tokeniser's added tokens (such as
-<|endoftext|>) are few and are encoded whole, by the tokeniser as its file sets it.
+ids are looked up and joined by array operations. An added token of the tokeniser (such as <|endoftext|>) is one id and
+may reach over such cuts, so texts that hold one are encoded whole. The tokeniser stays as its file sets it.
 
 Defined cases: a null text is empty and holds the end id only; repeated rows are packed each; rows with null ids are
 packed as any other; an empty table gives an empty result; further columns of any name are kept apart.
@@ -28,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qanat.llm.words import slices
+from qanat.session import checkpointed
 
 LENGTH, END = 2048, 1
-#: Pieces of a pool, in expectation.
+#: Documents, and so remainders at most, of a pool, in expectation.
 POOL = 40_000
 #: Words that the tokeniser gets at a time.
 AT_ONCE = 8192
@@ -43,14 +45,12 @@ _ids: dict[str, "WordIds"] = {}
 
 
 class WordIds:
-    """Ids of whole texts by one tokeniser, through those of their distinct words; ``of`` reads added tokens as words, ``exact`` as the tokens they are."""
+    """Ids of whole texts by one tokeniser, through those of their distinct words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.path, self.whole = path, None
         self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
@@ -69,8 +69,8 @@ class WordIds:
         self.starts += ends.tolist()
         self.used = int(ends[-1])
 
-    def of(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and where each text's ids start and end."""
+    def by_words(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """As ``of``, for texts without added tokens."""
         if len(self.place) > KEEP:
             self.clear()
         distinct, first, inverse = np.unique(texts.hashes(fold=True), return_index=True, return_inverse=True)
@@ -105,18 +105,14 @@ class WordIds:
                     at = data.find(token, at + 1)
         return sorted(found)
 
-    def exact(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """As ``of``, with the tokeniser's own setting for added tokens."""
-        ids, edges = self.of(texts)
+    def of(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's ids start and end."""
+        ids, edges = self.by_words(texts)
         if not (special := self.holding(texts)):
             return ids, edges
-        if self.whole is None:
-            from tokenizers import Tokenizer
-
-            self.whole = Tokenizer.from_file(self.path)
         data, lengths, parts, at = texts.bytes.tobytes(), np.diff(edges), [], 0
         for i in special:
-            own = np.array(self.whole.encode(data[texts.offsets[i] : texts.offsets[i + 1]].decode("utf-8", "replace"), add_special_tokens=False).ids, ids.dtype)
+            own = np.array(self.tokenizer.encode(data[texts.offsets[i] : texts.offsets[i + 1]].decode("utf-8", "replace"), add_special_tokens=False).ids, ids.dtype)
             parts += [ids[at : edges[i]], own]
             lengths[i], at = len(own), edges[i + 1]
         return np.concatenate([*parts, ids[at:]]), np.concatenate(([0], np.cumsum(lengths)))
@@ -186,7 +182,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, wit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last = word_ids(path), np.array([end], "<u4").tobytes()
         for batch, texts in slices(batches, cut_points=True, step=STEP):
-            ids, edges = known.exact(texts)
+            ids, edges = known.of(texts)
             ids = ids.astype("<u4")
             out: list[list] = [[], [], [], [], [], []]
             for row, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
@@ -207,14 +203,16 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, wit
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, pool: int = POOL, with_ids: bool = False) -> DataFrame:
     """``pieces`` with sequence_id and offset; the ids of a sequence are its pieces' ids in order of offset."""
     pools = max(1, math.ceil(docs.count() / pool))
-    cut = pieces(docs, path, length, end, with_ids)
+    cut = checkpointed(pieces(docs, path, length, end, with_ids).withColumn("place", F.monotonically_increasing_id()))  # read twice, tokenised once
+    names = [c for c in cut.columns if c != "place"]
 
-    def place(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+    def fill(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("place", "ascending")])
         sequence, offset = best_fit_decreasing(rows.column("length").to_numpy(), length)
         own = rows.column("pool")[0].as_py()
-        return rows.drop_columns(["pool"]).append_column("sequence_id", pa.array(sequence * pools + own, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+        return rows.select(names).append_column("sequence_id", pa.array(2 * (sequence * pools + own), pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    dealt = cut.withColumn("pool", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(pools)).cast("int"))
-    schema = ", ".join(f"{n} {t}" for n, t in [*cut.dtypes, ("sequence_id", "long"), ("offset", "long")])
-    return dealt.groupBy("pool").applyInArrow(place, schema)
+    full = cut.filter(F.col("length") == length).select(*names, (F.col("place") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = cut.filter(F.col("length") < length).withColumn("pool", F.pmod(F.xxhash64("place"), F.lit(pools)).cast("int"))
+    schema = ", ".join(f"{n} {t}" for n, t in [*[t for t in cut.dtypes if t[0] in names], ("sequence_id", "long"), ("offset", "long")])
+    return rest.groupBy("pool").applyInArrow(fill, schema).unionByName(full)

@@ -1,10 +1,12 @@
 """Words and hashes of whole Arrow batches of texts, in numpy.
 
-A word is a run of bytes other than ASCII white space. Hashes are 64 bit; with ``fold`` A-Z count as a-z.
+A word is a run of bytes other than ASCII white space. Hashes are 64 bit; with ``fold`` A-Z count as a-z. Words of over
+``SHORT`` bytes are hashed by BLAKE2, all others in whole columns.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,19 +15,19 @@ import pyarrow as pa
 #: Texts are taken together up to about this many bytes at a time; a longer text is taken alone, whole.
 STEP = 1 << 20
 
-_random = np.random.Generator(np.random.PCG64(20240229))
-_BYTES = _random.integers(0, 2**64, 256, np.uint64, endpoint=False)
-_FOLDED = _BYTES.copy()
-_FOLDED[65:91] = _BYTES[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _POINT = np.zeros(256, bool)
 _POINT[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASE = 0x9E3779B97F4A7C15
+#: Words of more bytes than this are known by a digest; shorter ones by their bytes, eight at a time.
+SHORT = 64
+#: _FIRST[n]: a mask of the first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,15 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            step = np.full(n, base, np.uint64)
-            step[0] = 1
-            _powers[i] = np.multiply.accumulate(step)
-    return _powers
-
-
 class Texts:
     """Some texts in one buffer: bytes, and where each text's words start and end; null texts are empty."""
 
@@ -78,11 +71,21 @@ class Texts:
         self.first = np.searchsorted(self.starts, self.offsets)
 
     def hashes(self, fold: bool) -> np.ndarray:
-        n = len(self.bytes)
-        up, down = _power(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((_FOLDED if fold else _BYTES)[self.bytes] * up[:n], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] ^ (self.ends - self.starts).astype(np.uint64))
+        """64 bits of each word. Every step is a bijection of eight bytes, so no structure within words can cancel out."""
+        data = np.zeros(len(self.bytes) + 8, np.uint8)
+        data[:-8] = _LOWER[self.bytes] if fold else self.bytes
+        eight = np.ndarray((len(self.bytes) + 1,), "<u8", data, strides=(1,))  # the eight bytes from each place on
+        sizes = self.ends - self.starts
+        out = mix(sizes.astype(np.uint64) * np.uint64(_BASE) + np.uint64(1))
+        own = np.flatnonzero(sizes <= SHORT)
+        at, rest = self.starts[own], sizes[own]
+        while len(own):
+            out[own] = mix(out[own] ^ (eight[at] & _FIRST[np.minimum(rest, 8)]))
+            more = rest > 8
+            own, at, rest = own[more], at[more] + 8, rest[more] - 8
+        for i in np.flatnonzero(sizes > SHORT):
+            out[i] = int.from_bytes(hashlib.blake2b(data[self.starts[i] : self.ends[i]].data, digest_size=8).digest(), "little")
+        return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", cut_points: bool = False, step: int = STEP) -> Iterator[tuple[pa.RecordBatch, Texts]]:

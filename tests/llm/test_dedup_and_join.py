@@ -98,6 +98,16 @@ def test_jaccard_join_cases(docs_of):
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_very_long_words_are_told_apart(docs_of):
+    word = "a"
+    for _ in range(12):  # Thue and Morse: a word and its complement have one hash under any polynomial over 64 bits
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(k, word[: 1 << n].translate(t)) for k, (n, t) in enumerate((n, t) for n in (3, 6, 7, 10, 12) for t in ({}, str.maketrans("ab", "ba")))]
+    rows += [(100, "x y z"), (101, "x y z " + word), (102, "X y Z")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs_of(rows)).collect()}
+    assert got == brute.components(rows)
+
+
 def test_rows_that_share_an_id(docs_of):
     a, b = (" ".join(f"{c}{i}" for i in range(9)) for c in "ab")
     got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(docs_of([(4, a), (4, b), (2, b), (9, a)])).collect()}

@@ -67,29 +67,31 @@ def test_top_k_of_nothing(spark):
     assert topk.top_k(vectors(spark, [(0, [1.0])]), 5, F.col("id") == 0).count() == 0
 
 
-def test_word_ids_equal_the_tokenizer():
-    path = public_tokenizers.path("word_bpe_49k.json")
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
+def test_ids_are_those_of_the_unchanged_tokenizer(docs_of):
+    own = Tokenizer.from_file(tokenizer_path())
     rnd = random.Random(3)
-    parts = [*"aZé É×÷ß.,'’!-(sStd…1٣² \n\t\x1c中ñÇ<|>", "'s", "'re", "<|endoftext|>", "I'LL", "é"]
-    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
-    ids, edges = packing.WordIds(path).of(Texts(pa.array(texts), True))
+    plain = [*"aZé É×÷ß.,'’!-(sStd…1٣² \n\t\x1c中ñÇ<|>", "'s", "'re", "I'LL", "é"]
+    added = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endof", "text|>", "word "]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for parts in (plain, plain + added) for _ in range(2500)]
+    ids, edges = packing.WordIds(tokenizer_path()).of(Texts(pa.array(texts), True))
     for t, a, b in zip(texts, edges[:-1], edges[1:], strict=True):
         assert ids[a:b].tolist() == own.encode(t, add_special_tokens=False).ids
+    rows = [(1, "one <|endoftext|> two"), (2, "<|startoftext|> text"), (3, "plain"), (4, None), (5, "<|endof"), (6, "text|>")]
+    check(packing.pack(docs_of(rows), tokenizer_path()).collect(), rows, 2048)
+    assert 49407 in own.encode(rows[0][1], add_special_tokens=False).ids and own.encode(rows[1][1], add_special_tokens=False).ids[0] == 49406
 
 
-def test_ids_of_added_tokens_are_those_of_the_unchanged_tokenizer(docs_of):
-    own = Tokenizer.from_file(tokenizer_path())
-    rnd = random.Random(4)
-    parts = [*"aZé É,'!-(1 \n中<|>", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endof", "text|>", "I'LL", "word "]
-    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(2000)]
-    ids, edges = packing.WordIds(tokenizer_path()).exact(Texts(pa.array(texts), True))
-    for t, a, b in zip(texts, edges[:-1], edges[1:], strict=True):
-        assert ids[a:b].tolist() == own.encode(t, add_special_tokens=False).ids
-    rows = [(1, "one <|endoftext|> two"), (2, "<|startoftext|>"), (3, "plain"), (4, None), (5, "<|endof"), (6, "text|>")]
+def thue_morse(steps):
+    """A word and its complement, which polynomials over 64 bits cannot tell apart."""
+    word = "a"
+    for _ in range(steps):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_very_long_words_keep_their_own_ids(docs_of):
+    rows = [(2 * k + i, w) for k in (3, 6, 10, 12) for i, w in enumerate(thue_morse(k))]
     check(packing.pack(docs_of(rows), tokenizer_path()).collect(), rows, 2048)
-    assert 49407 in own.encode(rows[0][1], add_special_tokens=False).ids
 
 
 def check(rows, texts, length):
@@ -131,6 +133,8 @@ def test_packing_cases(docs_of):
 def test_repeated_rows_are_packed_each(docs_of):
     rows = packing.pack(docs_of([(None, "a b"), (7, "a b"), (7, "a b")]), tokenizer_path()).collect()
     assert len(rows) == 3 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 3
+    windows = packing.pack(docs_of([(7, "a b " * 4000)] * 3), tokenizer_path()).filter("length = 2048").collect()
+    assert len(windows) == len({r["sequence_id"] for r in windows}) > 3 and all(r["offset"] == 0 for r in windows)
 
 
 def test_best_fit_takes_the_tightest_window():
