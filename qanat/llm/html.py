@@ -1,17 +1,25 @@
 """Main-text extraction from web pages by tag-path ratios.
 
-A page is read into blocks: the text between block-level tags, each with its root-to-leaf tag path. Elements that are
-never main text by their tag (scripts, navigation and the like) are left out with all below them, and so are those whose
-class, id or role marks them (adverts, comments and the like), but for marked elements that hold most of the page's
-text (and stand in the page's article or main, if there is one with text outside them), and but for all marks where
-nothing else is left. For each path, the text length and the punctuation of its blocks are summed and divided by the number of
-nodes on that path; both ratios are smoothed along the page, fused into one, and paths below a share of the page's
-spread are dropped. Headings and other blocks that stand among the kept ones, in the same container, are kept as well.
-
-Defined cases: null and empty pages, and pages without main text, give an empty text; broken markup is read as far as
-it goes (an unclosed element ends with its parent, and head ends at the first text or tag that cannot stand in it);
-repeated rows give the same text each; an empty table gives an
-empty result; further columns of any name are ignored.
+A page is read once, in time linear in its length, into a tree of elements and into blocks: the text between
+block-level tags, each with its root-to-leaf tag path. Paths are nodes of a trie, so nothing is kept twice for deep
+pages. For each path, the text length and the punctuation of its blocks are summed and divided by the number of nodes
+on that path; both ratios are smoothed along the page and fused into one, and paths below a share of the page's mean are
+dropped. Short blocks (headings, list items) that stand in the same container as the kept ones are kept as well.
+
+What stands before the ratios, and what they decide:
+
+* Elements that are never main text by their tag (scripts, menus, footers, asides, controls) are left out with all below
+  them; so is ``header`` outside an article or main element, and ``form`` unless the page's article lies within it.
+* A class, id or role with a word of ``MARKS`` (adverts, comments, notices and the like) leaves an element out, unless
+  it holds most of the page's text (and stands in the page's article or main, if there is one with text outside such
+  elements). If nothing is left, no mark counts.
+* A word of ``DOUBTFUL`` only makes a path of its own: its ratio, at ``DOUBT`` of its value, decides, and its blocks are
+  not kept for the sake of their container.
+
+Defined cases: null and empty pages, and pages without main text, give an empty text; hidden elements are text as any
+other; broken markup is read as far as it goes (an unclosed element ends with its parent, an unclosed quote is no quote,
+an unclosed comment or script takes the rest, and head ends at the first text or tag that cannot stand in it); repeated
+rows give the same text each; an empty table gives an empty result; further columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -26,142 +34,237 @@ from pyspark.sql import DataFrame
 
 from qanat.llm.words import slices
 
-#: Raw-text elements: their content is no markup.
-RAW = frozenset("script style noscript template textarea iframe svg math xmp object noembed noframes".split())
+#: Elements whose content is no text of the page.
+RAW = frozenset("script style noscript template textarea iframe svg noembed noframes annotation annotation-xml title".split())
 #: Elements whose content is never main text.
-NEVER = RAW | frozenset("head nav header footer aside form button select option input label dialog menu title".split())
+NEVER = frozenset("head nav footer aside menu button select option label dialog".split())
 #: Elements that name the main text.
 WHOLE = frozenset(("article", "main"))
 #: What can stand in head; any other start tag ends an open head.
 IN_HEAD = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img br ruby rt rp data".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var "
+    "math semantics mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mtable mtr mtd mstyle mpadded mphantom menclose mspace".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the key ends an open element of the value, up to the nearest of its bounds.
-ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), **dict.fromkeys(HEADINGS, tuple(HEADINGS))}
 BOUNDS = frozenset("ul ol dl table body html article section div main".split())
 #: Words of a class, id or role that mark what is not main text.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login "
-    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc header masthead footer foot sidebar aside widget related recommended share sharing social "
-    "comment comments reply replies respond disqus discussion search contentinfo complementary skip copyright".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr notice notices newsletter "
+    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager masthead footer sidebar comment comments disqus contentinfo complementary".split()
+)
+#: Words that may as well stand on main text.
+DOUBTFUL = frozenset(
+    "promo promotion banner popup modal overlay subscribe signup login toc header foot aside widget related recommended share sharing social "
+    "reply replies respond discussion search skip copyright".split()
 )
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What ends a tag, or opens a quoted value.
+STOP = re.compile(r""">|=\s*(["'])""")
 MARKED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-HIDDEN = re.compile(r"""\shidden(?=[\s/=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？¿¡،؛؟]")
-#: Share of the mean ratio, weighted by text, that a path must reach; weight of a block's neighbours in smoothing.
-KEEP, NEIGHBOUR = 0.2, 0.25
-
-Block = tuple[str, str, tuple[int, ...]]  # text, tag path, numbers of the open elements
-
-
-def marked(attributes: str) -> bool:
-    return any(w in MARKS for m in MARKED.finditer(attributes) for w in re.split(r"[^a-z]+", next(filter(None, m.groups()), "").lower()))
-
-
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks outside elements that are never main text."""
-    out: list[tuple[list[tuple[str, tuple[int, ...]]], str, tuple[int, ...]]] = []  # as Block, but texts in pieces, each with its marked elements
-    stack: list[tuple[str, int, bool, tuple[int, ...]]] = []  # tag, number, whether it or one above is left out, the marked ones of it and those above
-    text: list[tuple[str, tuple[int, ...]]] = []
-    number, at = 0, 0
-
-    def close() -> None:
-        if any(t.strip() for t, _ in text):
-            kept = [(t, n) for t, n, _, _ in stack if t not in INLINE]
-            out.append((text.copy(), "/".join(t for t, _ in kept), tuple(n for _, n in kept)))
-        text.clear()
-
-    def shut(depth: int) -> None:
-        if any(t not in INLINE for t, *_ in stack[depth:]):
-            close()
-        del stack[depth:]
-
-    def end_head() -> None:
-        depth = next((i for i, (t, *_) in enumerate(stack) if t in ("head", "title")), None)
-        if depth is not None:
-            shut(depth)
-
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        end = m.start() if m else len(page)
-        if end > at:
-            if stack and stack[-1][0] == "head" and not page[at:end].isspace():
-                end_head()
-            if not (stack and stack[-1][2]):
-                text.append((html.unescape(page[at:end]), stack[-1][3] if stack else ()))
-        if not m:
-            break
-        at = m.end()
-        slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
-        if slash:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None and not (tag in INLINE and any(t not in INLINE for t, *_ in stack[depth:])):
-                shut(depth)
-            continue
+#: Share of the mean ratio, weighted by text, that a path must reach; weight of a block's neighbours in smoothing; what a doubtful path's ratio counts.
+KEEP, NEIGHBOUR, DOUBT = 0.2, 0.25, 0.5
+
+_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.IGNORECASE) for t in RAW}
+
+
+def words_of(attributes: str) -> set[str]:
+    return {w for m in MARKED.finditer(attributes) for w in re.split(r"[^a-z]+", next(filter(None, m.groups()), "").lower())}
+
+
+class Page:
+    """A page's elements, numbered in page order, and its blocks.
+
+    An element has the numbers of its parent and path, its tag, whether it lies in an article or main, and whether it is
+    left out, marked or doubtful. A block is its element's number and (text, element's number) pieces.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.parent, self.tag, self.path, self.whole = [-1], [""], [0], [False]
+        self.never, self.marked, self.doubtful = [False], [False], [False]
+        self.paths: dict[tuple[int, str, bool], int] = {}
+        self.blocks: list[tuple[int, list[tuple[str, int]]]] = []
+        self.stack = [0]
+        self.nested = [0]  # of a marked inline element on the stack: start tags of its kind in it
+        self.open_at: dict[str, list[int]] = {}  # by tag: places on the stack
+        self.bounds = [0]
+        self.text: list[tuple[str, int]] = []
+        self.unclosed: set[str] = set()  # quotes and tags that nothing closes from here on
+        self.read()
+
+    def push(self, tag: str, attributes: str) -> None:
+        up, words = self.stack[-1], words_of(attributes) if "=" in attributes else set()
+        holder = tag in ("html", "body") or tag in WHOLE
+        doubtful, inline = not holder and not words.isdisjoint(DOUBTFUL), tag in INLINE
+        self.parent.append(up)
+        self.tag.append(tag)
+        self.path.append(self.path[up] if inline else self.paths.setdefault((self.path[up], tag, doubtful), len(self.paths) + 1))
+        self.whole.append(self.whole[up] or tag in WHOLE)
+        self.never.append(self.never[up] or tag in NEVER or tag == "header" and not self.whole[up])
+        self.marked.append(not holder and not words.isdisjoint(MARKS))
+        self.doubtful.append(doubtful)
+        self.open_at.setdefault(tag, []).append(len(self.stack))
+        if tag in BOUNDS:
+            self.bounds.append(len(self.stack))
+        self.stack.append(len(self.tag) - 1)
+        self.nested.append(0)
+
+    def flush(self) -> None:
+        """The text so far is a block of the innermost element."""
+        if any(t and not t.isspace() for t, _ in self.text):
+            at = len(self.stack) - 1
+            while self.tag[self.stack[at]] in INLINE:
+                at -= 1
+            self.blocks.append((self.stack[at], self.text))
+        self.text = []
+
+    def shut(self, depth: int) -> None:
+        """Ends the elements from a place on the stack on."""
+        if any(self.tag[n] not in INLINE for n in self.stack[depth:]):
+            self.flush()
+        while len(self.stack) > depth:
+            tag = self.tag[self.stack.pop()]
+            self.nested.pop()
+            self.open_at[tag].pop()
+            if tag in BOUNDS:
+                self.bounds.pop()
+
+    def end_head(self) -> None:
+        if self.open_at.get("head"):
+            self.shut(self.open_at["head"][0])
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag ends that is open at a place; -1 if it does not."""
+        while m := STOP.search(self.page, at):
+            if not (quote := m[1]):
+                return m.end()
+            at = m.end()
+            if quote not in self.unclosed:
+                close = self.page.find(quote, at)
+                if close < 0:
+                    self.unclosed.add(quote)
+                else:
+                    at = close + 1
+        return -1
+
+    def read(self) -> None:
+        page, at, last = self.page, 0, self.page.rfind(">")
+        while at < len(page):
+            lt = page.find("<", at)
+            while 0 <= lt < last and not (page[lt + 1] in "!?" or page[lt + 1].isalpha() or page[lt + 1] == "/" and page[lt + 2].isalpha()):
+                lt = page.find("<", lt + 1)  # a sign, no tag
+            if page.startswith("<!--", lt if lt >= 0 else len(page)):
+                end = page.find("-->", lt + 4)
+                end = end + 3 if end >= 0 else len(page)
+            elif not 0 <= lt < last:
+                lt = end = len(page)
+            elif page[lt + 1] in "!?":
+                end = page.find(">", lt) + 1
+            elif (end := self.tag_end(lt)) < 0:
+                end = page.find(">", lt) + 1
+            self.add_text(page[at:lt])
+            at = self.add_tag(lt, end) if lt < len(page) and page[lt + 1] not in "!?" else end
+        self.shut(1)
+        self.flush()
+
+    def add_text(self, text: str) -> None:
+        if not text:
+            return
+        if self.tag[self.stack[-1]] == "head" and not text.isspace():
+            self.end_head()
+        if not self.never[self.stack[-1]]:
+            self.text.append((html.unescape(text), self.stack[-1]))
+
+    def add_tag(self, lt: int, end: int) -> int:
+        """Takes the tag in; where to read on."""
+        ends = self.page[lt + 1] == "/"
+        name = NAME.match(self.page, lt + 1 + ends)
+        tag, attributes = name[0].lower(), self.page[name.end() : end - 1]
+        if tag in INLINE:
+            self.add_inline(tag, attributes, ends)
+            return end
+        if ends:
+            if places := self.open_at.get(tag):
+                self.shut(places[-1])
+            return end
         if tag not in IN_HEAD:
-            end_head()
+            self.end_head()
+        if tag == "br":
+            self.add_text(" ")
+        elif tag == "hr":
+            self.flush()
         if tag in VOID:
-            if tag == "br":
-                text.append((" ", ()))
-            elif tag == "hr":
-                close()
-            continue
-        if tag in RAW or tag == "title":
-            found = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            if found or tag in RAW:
-                at = found.end() if found else len(page)
-                continue
-        if tag not in INLINE:
-            inner = ENDS.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] in HEADINGS and tag in HEADINGS or stack[i][0] in inner:
-                    shut(i)
-                    break
-                if stack[i][0] in BOUNDS:
-                    break
-            close()
-        number += 1
-        whole = tag in ("html", "body") or tag in WHOLE
-        left_out = bool(stack and stack[-1][2]) or tag in NEVER or not whole and bool(HIDDEN.search(attributes))
-        marks = stack[-1][3] if stack else ()
-        if not left_out and not whole and marked(attributes):
-            marks = (*marks, number)
-        if not attributes.rstrip().endswith("/") or tag not in ("svg", "path"):
-            stack.append((tag, number, left_out, marks))
-    shut(0)
-    close()
-    return unmarked(out)
-
-
-def unmarked(found: list[tuple[list[tuple[str, tuple[int, ...]]], str, tuple[int, ...]]]) -> list[Block]:
-    """The blocks without text of marked elements.
-
-    A mark does not count on an element that holds most of the text, unless it stands outside the article or main where
-    unmarked text is; no mark counts if no text is left.
-    """
-    total, sizes, inside, named = 0, {}, set(), False
-    for pieces, path, numbers in found:
-        tags = path.split("/")
-        for text, marks in pieces:
-            n = sum(map(len, text.split()))
-            total += n
-            named = named or n > 0 and not marks and not WHOLE.isdisjoint(tags)
-            for m in marks:
-                sizes[m] = sizes.get(m, 0) + n
-                if not WHOLE.isdisjoint(tags[: numbers.index(m)] if m in numbers else tags):
-                    inside.add(m)
-    left_out = {m for m, n in sizes.items() if 2 * n <= total or named and m not in inside}
-
-    def texts(left_out: set[int]) -> list[Block]:
-        joined = ((" ".join("".join(t for t, marks in pieces if left_out.isdisjoint(marks)).split()), path, numbers) for pieces, path, numbers in found)
-        return [b for b in joined if b[0]]
-
-    return texts(left_out) or texts(set())
+            return end
+        if tag in RAW:
+            if attributes.endswith("/") and tag == "svg":
+                return end
+            close = None if tag in self.unclosed else _CLOSE[tag].search(self.page, end)
+            if close:
+                return close.end()
+            self.unclosed.add(tag)
+            return end if tag == "title" else len(self.page)
+        closes = [self.open_at[t][-1] for t in ("p", *ENDS.get(tag, ())) if self.open_at.get(t)]
+        if closes and max(closes) > self.bounds[-1]:
+            self.shut(min(c for c in closes if c > self.bounds[-1]))
+        self.flush()
+        self.push(tag, attributes)
+        return end
+
+    def add_inline(self, tag: str, attributes: str, ends: bool) -> None:
+        """Inline elements are elements of their own only where they are marked."""
+        top = self.stack[-1]
+        if self.tag[top] == tag:
+            if not ends:
+                self.nested[-1] += 1
+            elif self.nested[-1]:
+                self.nested[-1] -= 1
+            else:
+                self.shut(len(self.stack) - 1)
+        elif not ends:
+            self.end_head()
+            if "=" in attributes and not words_of(attributes).isdisjoint(MARKS):
+                self.push(tag, attributes)
+
+    def left_out(self) -> list[bool]:
+        """Of each element, whether it is left out by a mark on it or above, or as a form; see the top of this file."""
+        n = len(self.tag)
+        size, named = [0] * n, [t in WHOLE or t in HEADINGS for t in self.tag]
+        for _, pieces in self.blocks:
+            for text, node in pieces:
+                size[node] += sum(map(len, text.split()))
+        bare = [False] * n  # under a mark
+        for i in range(1, n):
+            bare[i] = bare[self.parent[i]] or self.marked[i]
+        main = any(size[i] and self.whole[i] and not bare[i] for i in range(n))
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+            named[self.parent[i]] = named[self.parent[i]] or named[i]
+        out = [False] * n
+        for i in range(1, n):
+            most = 2 * size[i] > size[0]
+            own = self.marked[i] and not (most and (self.whole[i] or not main)) or self.tag[i] == "form" and not (most and named[i])
+            out[i] = out[self.parent[i]] or own
+        return out
+
+    def texts(self) -> list[tuple[str, int]]:
+        """(text, element) of the blocks that hold text outside elements that are left out."""
+
+        def joined(out: list[bool]) -> list[tuple[str, int]]:
+            found = ((" ".join("".join(t for t, n in pieces if not out[n]).split()), node) for node, pieces in self.blocks)
+            return [f for f in found if f[0]]
+
+        out = self.left_out()
+        if found := joined(out):
+            return found
+        form = [False] * len(self.tag)
+        for i in range(1, len(self.tag)):
+            form[i] = form[self.parent[i]] or self.tag[i] == "form"
+        return joined(form)
 
 
 def smoothed(x: list[float]) -> list[float]:
@@ -169,43 +272,55 @@ def smoothed(x: list[float]) -> list[float]:
     return [(v + NEIGHBOUR * (x[max(i - 1, 0)] + x[min(i + 1, len(x) - 1)])) / (1 + 2 * NEIGHBOUR) for i, v in enumerate(x)]
 
 
+def ratios(found: list[tuple[str, int]]) -> dict[int, float]:
+    """(text, path) of each block -> each path's fused ratio."""
+    nodes: dict[int, int] = {}
+    lengths: dict[int, int] = {}
+    points: dict[int, int] = {}
+    for text, path in found:
+        nodes[path] = nodes.get(path, 0) + 1
+        lengths[path] = lengths.get(path, 0) + len(text)
+        points[path] = points.get(path, 0) + len(PUNCTUATION.findall(text))
+    by_length = smoothed([lengths[p] / nodes[p] for _, p in found])
+    by_points = smoothed([points[p] / nodes[p] for _, p in found])
+    out = dict.fromkeys(nodes, 0.0)
+    for (_, p), a, b in zip(found, by_length, by_points, strict=True):
+        out[p] += a * (1 + b) ** 0.5 / nodes[p]
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The page's main text, its blocks joined by line feeds."""
-    found = blocks(page or "")
+    tree = Page(page or "")
+    found = tree.texts()
     if not found:
         return ""
-    nodes: dict[str, int] = {}
-    lengths: dict[str, int] = {}
-    points: dict[str, int] = {}
-    for text, path, _ in found:
-        nodes[path] = nodes.get(path, 0) + 1
-        lengths[path] = lengths.get(path, 0) + len(text)
-        points[path] = points.get(path, 0) + len(PUNCTUATION.findall(text))
-    length_ratio = smoothed([lengths[p] / nodes[p] for _, p, _ in found])
-    point_ratio = smoothed([points[p] / nodes[p] for _, p, _ in found])
-    fused = [a * (1 + b) ** 0.5 for a, b in zip(length_ratio, point_ratio, strict=True)]
-    by_path: dict[str, float] = {}
-    for (_, p, _), v in zip(found, fused, strict=True):
-        by_path[p] = by_path.get(p, 0.0) + v / nodes[p]
-    total = sum(lengths.values())
-    cut = KEEP * sum(by_path[p] * lengths[p] for p in by_path) / total
-    kept = [by_path[p] >= cut for _, p, _ in found]
-    tops = [n for (_, _, n), k in zip(found, kept, strict=True) if k]
-    shared = 0
-    while all(len(n) > shared for n in tops) and len({n[shared] for n in tops}) == 1:
-        shared += 1
-    if len(tops) == 1 and shared:
-        shared -= 1
-    container = tops[0][:shared]
-    depth_tags = found[kept.index(True)][1].split("/")[:shared]
-    inside = [n[:shared] == container for _, _, n in found]
-    if depth_tags and depth_tags[-1] not in ("html", "body"):
-        kept = [k or i for k, i in zip(kept, inside, strict=True)]
+    n = len(tree.tag)
+    doubt = [False] * n
+    for i in range(1, n):
+        doubt[i] = doubt[tree.parent[i]] or tree.doubtful[i]
+    ratio = ratios([(t, tree.path[i]) for t, i in found])
+    total = sum(len(t) for t, _ in found)
+    cut = KEEP * sum(ratio[tree.path[i]] * len(t) for t, i in found) / total
+    kept = [ratio[tree.path[i]] * (DOUBT if doubt[i] else 1.0) >= cut for _, i in found]
+    if not any(kept):
+        return ""
+    end = list(range(n))  # the last element within each
+    for i in range(n - 1, 0, -1):
+        end[tree.parent[i]] = max(end[tree.parent[i]], end[i])
+    tops = [i for (_, i), k in zip(found, kept, strict=True) if k]
+    low, high = min(tops), max(tops)
+    container = tree.parent[low] if low == high else low  # the innermost element that holds all kept ones
+    while end[container] < high:
+        container = tree.parent[container]
+    inside = [container < i <= end[container] or i == container for _, i in found]
+    if tree.tag[container] not in ("", "html", "body"):
+        kept = [k or a and (not doubt[i] or doubt[container]) for k, a, (_, i) in zip(kept, inside, found, strict=True)]
     else:  # no container of its own: what leads to a kept block as its heading
         for i, j in reversed(list(pairwise(range(len(found))))):
-            if kept[j] and inside[i] and found[i][1].rpartition("/")[2] in HEADINGS:
+            if kept[j] and tree.tag[found[i][1]] in HEADINGS:
                 kept[i] = True
-    return "\n".join(text for (text, _, _), k in zip(found, kept, strict=True) if k)
+    return "\n".join(text for (text, _), k in zip(found, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small tables."""
 
+import html
 import re
 from collections import Counter
 
@@ -42,3 +43,48 @@ def dedup(rows):
     for i, t in rows:
         groups.setdefault(re.sub(SPACE, "", t or ""), []).append((-len(t or ""), i))
     return {i: (min(g)[1], len(g)) for g in groups.values() for _, i in g}
+
+
+def page_text(page):
+    """Main text of a page of nav, footer, .ad, article, p, h1, b, br and li only, by tag-path ratios over whole path strings."""
+    blocks, stack, text, number = [], [], "", 0
+
+    def close():
+        nonlocal text
+        if text.split() and not any(t in ("head", "nav", "footer", 'div class="ad"') for t, _ in stack):
+            blocks.append((" ".join(html.unescape(text).split()), tuple(stack)))
+        text = ""
+
+    for piece in re.split(r"(<script.*?</script>|<style.*?</style>|<title.*?</title>|<!--.*?-->|<[^>]*>)", page or "", flags=re.S):
+        m = re.match(r"<(/?)(\w+)(.*)>", piece, re.S)
+        tag = m[2] if m else None
+        if not piece.startswith("<"):
+            text += piece
+        elif tag == "br":
+            text += " "
+        elif m and tag not in ("b", "a", "meta", "script", "style", "title"):
+            if m[1]:
+                if tag in [t.split()[0] for t, _ in stack]:
+                    close()
+                    while stack.pop()[0].split()[0] != tag:
+                        pass
+                continue
+            close()
+            for old in ("p", "li"):
+                if [t for t, _ in stack][-1:] == [old] and (old == "p" or tag == "li"):
+                    stack.pop()
+            number += 1
+            stack.append((tag + m[3], number))
+    close()
+    paths = ["/".join(t for t, _ in s) for _, s in blocks]
+    mean = lambda f: [sum(f(b) for (b, _), q in zip(blocks, paths) if q == p) / paths.count(p) for p in paths]
+    smooth = lambda x: [(v + 0.25 * (x[max(i - 1, 0)] + x[min(i + 1, len(x) - 1)])) / 1.5 for i, v in enumerate(x)]
+    fused = [a * (1 + b) ** 0.5 for a, b in zip(smooth(mean(len)), smooth(mean(lambda t: len(re.findall(r"[.,;:!?…、。，；：！？¿¡،؛؟]", t)))))]
+    ratio = {p: sum(f for f, q in zip(fused, paths) if q == p) / paths.count(p) for p in paths}
+    cut = 0.2 * sum(ratio[p] * len(t) for p, (t, _) in zip(paths, blocks)) / max(1, sum(len(t) for t, _ in blocks))
+    kept = [s for p, (_, s) in zip(paths, blocks) if ratio[p] >= cut]
+    n = 0
+    while kept and all(len(s) > n for s in kept) and len({s[n] for s in kept}) == 1:
+        n += 1
+    top = kept[0][: n - (len(kept) == 1)] if kept else ()
+    return "\n".join(t for p, (t, s) in zip(paths, blocks) if ratio[p] >= cut or top and top[-1][0].split()[0] not in ("html", "body") and s[: len(top)] == top)

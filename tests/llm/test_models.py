@@ -138,6 +138,45 @@ def test_pages_cut_to_their_article(spark, sf):
         assert r["text"] == "\n".join(p for p in parts if p)
 
 
+def test_path_ratios_against_brute_force(spark, sf):
+    from tests.llm import brute
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    found = html.extract(pages).join(pages.select("page_id", "html"), "page_id").collect()
+    assert found and all(r["text"] == brute.page_text(r["html"]) for r in found)
+    loose = "<body><ul><li>One</li><li>Two</li></ul><p>A text, of some length, with signs; and more.</p><p>Short.</p><h1>x</h1><ul><li>Three</li></ul>"
+    assert html.main_text(loose) == brute.page_text(loose) == "A text, of some length, with signs; and more.\nShort.\nx"
+
+
+def test_what_the_ratios_decide():
+    long = "A long text, with much to say, and to read."
+    page = f'<body><header><p>Site, of ours.</p></header><article><header><h1>Head line</h1></header><p>{long}</p><p class="search-results">{long}</p><p hidden>{long}</p><div class="share">Share</div><p>{long}</p></article></body>'
+    assert html.main_text(page).split("\n") == ["Head line", long, long, long, long]
+    assert html.main_text("<p>As <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, so it is.</p>") == "As x=2, so it is."
+    comments = f'<article><p>{long}</p></article><div id="comments"><p>{long}</p><p>{long}</p><p>{long}</p></div>'
+    assert html.main_text(comments) == long
+    assert html.main_text(f"<form id=all><div><article><p>{long}</p></article></div></form>") == long
+    assert html.main_text(f"<article><p>{long}</p><form><p>{long}</p></form></article>") == long
+    assert html.main_text(f'<p>{long} <span class="ad">Buy <span>it</span> now.</span> {long}</p>') == f"{long} {long}"
+
+
+@pytest.mark.parametrize(
+    ("part", "times", "rest"),
+    [("<div>a ", 40_000, ""), ("<center>a ", 40_000, ""), ("<b>", 60_000, "</i>" * 60_000), ("<div>", 40_000, "</b></p>" * 40_000), ('<a "', 90_000, ""), ('<a href="', 40_001, ">x"), ("<p class='x>", 40_000, ""), ("<title>", 60_000, ""), ("<", 300_000, ">"), ("<!--", 80_000, ""), ("<p ", 1, "= " * 200_000 + ">"), ("<li>a", 60_000, "")],
+)
+def test_hostile_markup_takes_linear_time(part, times, rest):
+    import time
+
+    took = []
+    for n in (times // 4, times):
+        began = time.process_time()
+        html.main_text(part * n + rest)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
 def test_html_table_cases(spark):
     rows = spark.createDataFrame([(1, None, None), (2, "u", ""), (2, "u", "")], "page_id long, url string, html string").withColumnRenamed("url", "url")
     assert [r["text"] for r in html.extract(rows).collect()] == ["", "", ""] and html.extract(rows.limit(0)).count() == 0
+    more = spark.createDataFrame([(1, "u", "<p>a, b</p>", "t", 5)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html.extract(more).collect()] == [(1, "u", "a, b")]
