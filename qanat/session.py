@@ -1,4 +1,4 @@
-"""Session factory and the shared checkpoint folder."""
+"""Session factory, the shared checkpoint folder, and broadcasts behind a check of size."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "qanat", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -24,10 +25,12 @@ def get_session(app: str = "qanat", master: str | None = None, shuffle_partition
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; set one only where it is unset (local tests)."""
+    """Use the folder the cluster names in spark.checkpoint.dir; set one only in local mode, where it is unset in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "qanat-checkpoints"))
 
 
@@ -35,3 +38,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so a lost executor costs no recomputation of what lies before."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_side(df: DataFrame, most: int) -> DataFrame:
+    """``df`` to be broadcast if it has ``most`` rows or fewer, else as it is; it is counted, so it should be written already."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
