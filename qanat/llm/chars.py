@@ -1,4 +1,8 @@
-"""Letters and words of whole Arrow batches of texts as folded code points, in numpy."""
+"""Letters and words of whole Arrow batches of texts as folded code points, in numpy.
+
+The hashes here name features of models, which share far fewer slots; that some very long words have one hash matters
+no more than that they share a slot.
+"""
 
 from __future__ import annotations
 
@@ -26,6 +30,12 @@ def folded() -> np.ndarray:
     return out
 
 
+@functools.cache
+def letters() -> np.ndarray:
+    """For each code point, whether it is a letter; marks alone are none."""
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)])
+
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -44,13 +54,13 @@ class Chars:
 
     def __init__(self, texts: pa.Array):
         raw = [t or "" for t in texts.to_pylist()]
-        points = np.frombuffer("".join(t + " " for t in raw).encode("utf-32-le", "replace"), np.uint32)
-        self.points = folded()[points]
+        self.raw = np.frombuffer("".join(t + " " for t in raw).encode("utf-32-le", "replace"), np.uint32)
+        self.points = folded()[self.raw]
         self.edges = np.concatenate(([0], np.cumsum([len(t) + 1 for t in raw]))).astype(np.int64)
         self.row = np.repeat(np.arange(len(raw)), np.diff(self.edges))
 
     def has_letter(self) -> np.ndarray:
-        return np.bincount(self.row[self.points != 32], minlength=len(self.edges) - 1) > 0
+        return np.bincount(self.row[letters()[self.raw]], minlength=len(self.edges) - 1) > 0
 
     def ngrams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, row) of each n-gram that holds a letter first or last; runs of other characters are single spaces."""

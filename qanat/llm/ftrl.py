@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qanat.session import checkpointed, small_side
+
 
 class Ftrl:
     """Weights of shape (features,) or (features, classes); l1 keeps those of little use at exactly 0."""
@@ -27,15 +29,20 @@ class Ftrl:
         self.n[rows] = more
 
 
-#: The most frequent labels, so many at most, are learned.
-LABELS = 1000
+#: Labels whose shares are broadcast; more of them are joined by a shuffle.
+LABELS = 100_000
+
 
+def bounded_sample(rows: DataFrame, key: Column, label: Column, most: int, size: Column, most_size: int) -> DataFrame:
+    """About ``most`` rows of each label at most, and rows of about ``most_size`` in all by ``size``, the same at every run.
 
-def bounded_sample(rows: DataFrame, key: Column, label: Column, most: int) -> DataFrame:
-    """About ``most`` rows of each label at most, the same at every run: those whose hash lies below the label's share."""
-    counts = rows.groupBy(label.alias("_label")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_label").limit(LABELS)
+    They are the rows whose hash lies below the label's share.
+    """
+    named = checkpointed(rows.groupBy(label.alias("_label")).agg(F.count("*").alias("_n"), F.sum(size).alias("_size")))
+    shares = named.select("_label", F.least(most / F.col("_n"), most_size / F.greatest(F.col("_size"), F.lit(1))).alias("_share"))
     part = (F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 30)) / float(1 << 30)).alias("_u")
-    return rows.withColumns({"_key_label": label, "_u": part}).join(F.broadcast(counts), F.col("_key_label") == F.col("_label")).filter(F.col("_u") * F.col("_n") < most).drop("_key_label", "_label", "_n", "_u")
+    marked = rows.withColumns({"_key_label": label, "_u": part})
+    return marked.join(small_side(shares, LABELS), F.col("_key_label") == F.col("_label")).filter(F.col("_u") < F.col("_share")).drop("_key_label", "_label", "_share", "_u")
 
 
 def packed(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:

@@ -1,12 +1,13 @@
 """Language identification by sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Features are hashed n-grams of 1 to 3 folded characters, weighted by relative frequency and inverse document frequency.
-The model is trained by follow-the-regularised-leader with elastic-net penalties on a bounded sample of the labelled
-rows, ``SAMPLE`` for each language, in one task; a temperature, fitted on a fifth of the sample that training leaves
-out, calibrates its probabilities. Prediction is one pass over every whole text, without a shuffle: a text's score is
-the sum of its n-grams' weights over their number.
+Document frequencies are counted over all labelled rows. The model is trained by follow-the-regularised-leader with
+elastic-net penalties on a bounded sample of them in one task: about ``SAMPLE`` rows of each language, and rows of about
+``SAMPLE_BYTES`` of text. A temperature, fitted on a fifth of the sample that training leaves out, calibrates its
+probabilities. Every label value is learned; the model holds ``FEATURES`` weights of each. Prediction is one pass over
+every whole text, without a shuffle: a text's score is the sum of its n-grams' weights over their number.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; without a labelled row every text is; rows
+Defined cases: a null text, or one without a letter (marks are none), is ``und`` with score 0; without a labelled row every text is; rows
 with null ids are predicted as any other and are held in; repeated rows are predicted alike; an empty table gives an
 empty result; further columns of any name are ignored.
 """
@@ -21,11 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qanat.llm import sums
 from qanat.llm.chars import Chars
 from qanat.llm.ftrl import Ftrl, bounded_sample, packed
 from qanat.llm.words import slices
 
-LENGTHS, FEATURES, SAMPLE, EPOCHS = (1, 2, 3), 1 << 16, 1500, 3
+LENGTHS, FEATURES, SAMPLE, SAMPLE_BYTES, EPOCHS = (1, 2, 3), 1 << 16, 1500, 64 << 20, 3
 ALPHA, BETA, L1, L2, SCALE = 0.5, 1.0, 0.05, 0.05, 10.0
 NONE = "und"
 
@@ -64,7 +66,21 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def fit(rows: pa.Table) -> Model:
+def frequencies(rows: DataFrame) -> np.ndarray:
+    """In how many rows each feature occurs; the number of rows stands last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(FEATURES + 1, np.int64)
+        for batch, _ in slices(batches):
+            at, row, _ = features(batch.column("text"))
+            counts[:-1] += np.bincount(np.unique(row * FEATURES + at) % FEATURES, minlength=FEATURES)
+            counts[-1] += batch.num_rows
+        yield from sums.pieces(counts)
+
+    return sums.summed(rows.select("text").mapInArrow(run, sums.SCHEMA), FEATURES + 1)
+
+
+def fit(rows: pa.Table, idf: np.ndarray) -> Model:
     """The model of a sample's rows, the same for the same rows in any order."""
     order = np.lexsort((pc.fill_null(rows.column("doc_id"), 0).to_numpy(), rows.column("u").to_numpy()))
     langs = sorted(set(rows.column("lang").to_pylist()))
@@ -72,8 +88,6 @@ def fit(rows: pa.Table) -> Model:
     at, share = packed(rows.column("at"), np.int32), packed(rows.column("share"), np.float32)
     held = np.zeros(len(y), bool)
     held[order[::5]] = len(y) >= 5 * len(langs)
-    seen = np.bincount(np.concatenate([a for a, h in zip(at, held, strict=True) if not h]), minlength=FEATURES)
-    idf = np.log((1 + (~held).sum()) / (1 + seen)) + 1
     x = [(s * idf[a] * SCALE).astype(np.float32) for a, s in zip(at, share, strict=True)]
     model, bias = Ftrl((FEATURES, len(langs)), ALPHA, BETA, L1 / SCALE, L2), Ftrl((1, len(langs)), ALPHA, BETA, 0.0, 0.0)
     one = np.zeros(1, np.int64)
@@ -95,10 +109,15 @@ def fit(rows: pa.Table) -> Model:
 
 def train(labelled: DataFrame) -> Model | None:
     """From a bounded sample of (doc_id, text, lang); None without rows. The sample's features reach one task only."""
-    sample = vectors(bounded_sample(labelled, F.col("doc_id"), F.col("lang"), SAMPLE)).withColumn("u", F.xxhash64("doc_id", F.lit(6)))
+    counts = frequencies(labelled)
+    if not counts[-1]:
+        return None
+    idf = np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1
+    sample = vectors(bounded_sample(labelled, F.col("doc_id"), F.col("lang"), SAMPLE, F.octet_length("text"), SAMPLE_BYTES)).withColumn("u", F.xxhash64("doc_id", F.lit(6)))
+    shared = labelled.sparkSession.sparkContext.broadcast(idf)
 
     def run(rows: pa.Table) -> pa.Table:
-        langs, w, b, temperature = fit(rows)
+        langs, w, b, temperature = fit(rows, shared.value)
         return pa.table({"langs": pa.array([langs], pa.list_(pa.string())), "w": pa.array([w.tobytes()], pa.binary()), "b": pa.array([b.tobytes()], pa.binary()), "t": pa.array([temperature], pa.float64())})
 
     found = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "langs array<string>, w binary, b binary, t double").head()

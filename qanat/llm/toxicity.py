@@ -4,13 +4,17 @@ Severity has four grades: 0 for clean rows and 1 to 3 for toxic ones. Labels onl
 rows of the sample are graded by how many of their words are typical of toxic rows (log odds above ``TYPICAL``), cut at
 thirds. One weight vector over hashed words and word beginnings is shared by the ordered thresholds between grades:
 P(grade > k) = sigmoid(w x - threshold k). It is trained by follow-the-regularised-leader with elastic-net penalties on
-a bounded sample of labelled rows, ``SAMPLE`` of each label, in one task. A row's severity is its expected grade; it
-is toxic if its score w x reaches a cut that is set on the sample, each row scored by a model that did not see it. Scoring is one
-pass over every whole text, without a shuffle.
+a bounded sample of labelled rows: about ``SAMPLE`` of each label, and rows of about ``SAMPLE_BYTES`` of text.
 
-Defined cases: null and empty texts are clean with the severity of an empty text; without labels of both kinds every
-row is clean with severity 0; a document with several labels is toxic if one says so; rows with null ids are scored as
-any other; repeated rows are scored alike; an empty table gives an empty result; further columns are kept apart.
+A row's severity is its expected grade; it is toxic if its score w x reaches a cut. The cut is set over all labelled
+rows, from histograms of their scores, each row scored by one of ``FOLDS`` further models that saw no row of its fold.
+The models are trained beside each other, a task each. Texts are never shuffled: a pass gives each row its scores, which
+meet the labels alone.
+
+Defined cases: a text without a word (null and empty ones too) is clean with severity and grade 0, at any cut; without
+labels of both kinds every row is clean with severity 0; a document with several labels is toxic if one says so; rows
+with null ids are scored as any other; repeated rows are scored alike; an empty table gives an empty result; further
+columns are kept apart.
 """
 
 from __future__ import annotations
@@ -19,21 +23,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qanat.llm.chars import Chars
 from qanat.llm.ftrl import Ftrl, bounded_sample, packed
 from qanat.llm.words import slices
+from qanat.session import checkpointed, small_side
 
-PREFIXES, FEATURES, SAMPLE, EPOCHS = (4, 5), 1 << 18, 6000, 4
+PREFIXES, FEATURES, SAMPLE, SAMPLE_BYTES, EPOCHS = (4, 5), 1 << 18, 6000, 64 << 20, 4
 ALPHA, BETA, L1, L2 = 0.05, 1.0, 6.0, 0.1
 GRADES, TYPICAL, RATE = 4, 3.0, 0.2
 #: What a clean row taken for toxic costs, against a toxic one taken for clean, both as shares of their kind.
 FALSE_ALARM, FOLDS = 4.0, 3
+#: Labelled documents of the sample that are broadcast; more are joined by a shuffle.
+CHOSEN = 1_000_000
+#: Scores are binned for the cut, from -LIMIT to LIMIT, BINS to one.
+LIMIT, BINS = 1024, 64
 
 Model = tuple[np.ndarray, np.ndarray, float]  # weights, thresholds, cut
+Models = list[tuple[np.ndarray, np.ndarray]]  # weights and thresholds: one without each fold, then that of all rows
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -55,7 +65,7 @@ def vectors(rows: DataFrame) -> DataFrame:
             at, row, counts = features(batch.column("text"))
             edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
             pack = lambda v: pa.array([v[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pack(at.astype(np.int32)), pack(np.minimum(counts, 255).astype(np.uint8))], ["doc_id", "toxic", "at", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pack(at.astype(np.int32)), pack(counts.astype(np.int32))], ["doc_id", "toxic", "at", "counts"])
 
     return rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, at binary, counts binary")
 
@@ -89,40 +99,86 @@ def learn(at: list[np.ndarray], y: np.ndarray, order: np.ndarray) -> tuple[np.nd
     return model.at(slice(None)), cuts
 
 
-def fit(rows: pa.Table) -> Model:
-    """The model of a sample's rows; its cut rests on scores of rows by models that did not see them."""
+def fit(rows: pa.Table) -> tuple[np.ndarray, np.ndarray] | None:
+    """Weights and thresholds from a sample's rows, the same in any order; None without both labels."""
     order = np.argsort(rows.column("u").to_numpy(), kind="stable")
     toxic = rows.column("toxic").to_numpy()
-    at, counts = packed(rows.column("at"), np.int32), packed(rows.column("counts"), np.uint8)
-    y = grades(at, counts, toxic)
-    w, cuts = learn(at, y, order)
-    scores = np.zeros(len(y))
-    for fold in range(FOLDS):
-        part = order[fold::FOLDS]
-        own, _ = learn(at, y, np.setdiff1d(order, part, assume_unique=True)) if len(set(toxic[np.setdiff1d(order, part)])) == 2 else (w, cuts)
-        scores[part] = [own[at[i]].sum() for i in part]
-    clean, bad = np.sort(scores[toxic == 0]), np.sort(scores[toxic == 1])
-    tries = np.unique(scores)
-    edges = np.concatenate((tries[:1] - 1, (tries[1:] + tries[:-1]) / 2, tries[-1:] + 1))
-    merit = FALSE_ALARM * np.searchsorted(clean, edges) / len(clean) - np.searchsorted(bad, edges) / len(bad)
-    best = np.flatnonzero(merit >= merit.max() - 1e-12)
-    return w.astype(np.float32), cuts, float((edges[best[0]] + edges[best[-1]]) / 2)
+    if len(set(toxic.tolist())) < 2:
+        return None
+    at, counts = packed(rows.column("at"), np.int32), packed(rows.column("counts"), np.int32)
+    w, cuts = learn(at, grades(at, counts, toxic), order)
+    return w.astype(np.float32), cuts
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """From a bounded sample of the labelled documents; None without labels of both kinds."""
-    named = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = bounded_sample(named, F.col("doc_id"), F.col("toxic"), SAMPLE)
-    sample = vectors(docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")).withColumn("u", F.xxhash64("doc_id", F.lit(6)))
+def fold() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int")
+
+
+def named(labels: DataFrame) -> DataFrame:
+    return labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> Models | None:
+    """All models from a bounded sample of the labelled documents; None without labels of both kinds."""
+    sizes = docs.filter("text is not null").select("doc_id", F.octet_length("text").alias("size"))
+    chosen = checkpointed(bounded_sample(sizes.join(named(labels), "doc_id"), F.col("doc_id"), F.col("toxic"), SAMPLE, F.col("size"), SAMPLE_BYTES).select("doc_id", "toxic").distinct())
+    sample = vectors(docs.select("doc_id", "text").filter("text is not null").join(small_side(chosen, CHOSEN), "doc_id"))
+    parts = F.filter(F.sequence(F.lit(0), F.lit(FOLDS)), lambda p: p != fold())
+    dealt = sample.withColumn("u", F.xxhash64("doc_id", F.lit(6))).withColumn("part", F.explode(parts)).repartition(16, "part")  # the parts meet in tasks of their own
 
     def run(rows: pa.Table) -> pa.Table:
-        if len(set(rows.column("toxic").to_pylist())) < 2:
-            return pa.table({"w": pa.array([], pa.binary()), "cuts": pa.array([], pa.list_(pa.float64())), "cut": pa.array([], pa.float64())})
-        w, cuts, cut = fit(rows)
-        return pa.table({"w": pa.array([w.tobytes()], pa.binary()), "cuts": pa.array([cuts.tolist()], pa.list_(pa.float64())), "cut": pa.array([cut], pa.float64())})
+        found = fit(rows)
+        own = [] if found is None else [(rows.column("part")[0].as_py(), found[0].tobytes(), found[1].tolist())]
+        return pa.table({"part": pa.array([o[0] for o in own], pa.int32()), "w": pa.array([o[1] for o in own], pa.binary()), "cuts": pa.array([o[2] for o in own], pa.list_(pa.float64()))})
+
+    found = {r["part"]: (np.frombuffer(r["w"], np.float32), np.array(r["cuts"])) for r in dealt.groupBy("part").applyInArrow(run, "part int, w binary, cuts array<double>").collect()}  # FOLDS + 1 models
+    return [found.get(p, found[FOLDS]) for p in range(FOLDS + 1)] if FOLDS in found else None
+
+
+def scores(texts: pa.Array, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a text has words, scores by text and model)."""
+    n = len(texts)
+    h, row = Chars(texts).words(PREFIXES)
+    at = (h & np.uint64(FEATURES - 1)).astype(np.int64)
+    heavy = np.any([w[at] != 0 for w in weights], axis=0) if len(at) else np.zeros(0, bool)
+    pairs = np.unique(row[heavy] * FEATURES + at[heavy])
+    return np.bincount(row, minlength=n) > 0, np.stack([np.bincount(pairs // FEATURES, w[pairs % FEATURES], n) for w in weights], 1)
 
-    found = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "w binary, cuts array<double>, cut double").head()
-    return None if found is None else (np.frombuffer(found["w"], np.float32), np.array(found["cuts"]), found["cut"])
+
+def out_of_fold(docs: DataFrame, models: Models) -> DataFrame:
+    """(doc_id, score) of each row with words, by the model that saw no row of its fold."""
+    shared = docs.sparkSession.sparkContext.broadcast([w for w, _ in models[:FOLDS]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _ in slices(batches):
+            words, found = scores(batch.column("text"), shared.value)
+            at = np.flatnonzero(words)
+            own = found[at, batch.column("fold").to_numpy()[at]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(own, pa.float64())], ["doc_id", "score"])
+
+    return docs.filter("doc_id is not null").select("doc_id", "text", fold().alias("fold")).mapInArrow(run, "doc_id long, score double")
+
+
+def set_cut(bins: np.ndarray, toxic: np.ndarray, counts: np.ndarray) -> float:
+    """The cut of least cost, the middle of the best range, from counts of rows by the bin of their score and their label."""
+    order = np.argsort(bins, kind="stable")
+    bins, toxic, counts = bins[order], toxic[order], counts[order]
+    values, first = np.unique(bins, return_index=True)
+    totals = [np.concatenate(([0], np.cumsum(np.add.reduceat(np.where(toxic == v, counts, 0), first)))) for v in (0, 1)]
+    cost = FALSE_ALARM * (1 - totals[0] / max(1, totals[0][-1])) + totals[1] / max(1, totals[1][-1])  # of a cut below the bin, and of one above all
+    best = np.flatnonzero(cost <= cost.min() + 1e-12)
+    edges = np.concatenate((values[:1] - 1.0, (values[1:] + values[:-1] + 1) / 2, values[-1:] + 2.0)) / BINS
+    return float((edges[best[0]] + edges[best[-1]]) / 2)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Fitted on a bounded sample, its cut set over all labelled documents; None without labels of both kinds."""
+    models = fitted(docs, labels)
+    if models is None:
+        return None
+    bin_ = F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("score"))) * BINS).alias("bin")
+    cells = out_of_fold(docs, models).join(named(labels), "doc_id").groupBy(bin_, "toxic").agg(F.count("*").alias("n")).toArrow()  # 4 * LIMIT * BINS rows at most
+    return *models[FOLDS], set_cut(*(cells.column(c).to_numpy() for c in ("bin", "toxic", "n")))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -136,15 +192,10 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             severity, grade, toxic = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, bool)
             if shared.value is not None:
                 w, cuts, cut = shared.value
-                h, row = Chars(batch.column("text")).words(PREFIXES)
-                at = (h & np.uint64(FEATURES - 1)).astype(np.int64)
-                heavy = w[at] != 0
-                pairs = np.unique(row[heavy] * FEATURES + at[heavy])
-                s = np.bincount(pairs // FEATURES, w[pairs % FEATURES], n)
-                above = sigmoid(s[:, None] - cuts)
-                severity, toxic = above.sum(1), s >= cut
+                words, found = scores(batch.column("text"), [w])
+                above = sigmoid(found - cuts)
                 p = np.concatenate((np.ones((n, 1)), above), 1) - np.concatenate((above, np.zeros((n, 1))), 1)
-                grade = p.argmax(1)
+                severity, grade, toxic = np.where(words, above.sum(1), 0.0), np.where(words, p.argmax(1), 0), words & (found[:, 0] >= cut)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(severity, pa.float64()), pa.array(grade, pa.int32()), pa.array(toxic, pa.bool_())], [*batch.schema.names, *names])
 
     added = [T.StructField(n, t) for n, t in zip(names, (T.DoubleType(), T.IntegerType(), T.BooleanType()), strict=True)]

@@ -1,8 +1,15 @@
+import math
+import random
+import re
+import unicodedata
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from qanat.llm import html, language_id, toxicity, urls
+from qanat.llm.ftrl import Ftrl
 from qanat.llm.queries import URL_RULES
 
 
@@ -67,6 +74,130 @@ def test_toxicity_cases(spark, docs_of):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_texts_without_words_are_clean_at_any_cut(spark, docs_of):
+    w = np.zeros(toxicity.FEATURES, np.float32)
+    odd = docs_of([(1, None), (2, ""), (3, "12 ?!"), (4, "word"), (5, "\u0301 1")])
+    got = {r["doc_id"]: (r["_toxic"], r["_severity"] > 0, r["_grade"]) for r in toxicity.score(odd, (w, np.array([-3.0, -2.0, -1.0]), -2.5)).collect()}
+    assert got == {1: (False, False, 0), 2: (False, False, 0), 3: (False, False, 0), 4: (True, True, 3), 5: (True, True, 3)}
+
+
+def test_the_cut_covers_all_labelled_rows():
+    bins = np.array([-200, -100, -50, 30, 40, 90])
+    assert toxicity.set_cut(bins, np.array([0, 0, 0, 1, 1, 1]), np.array([5, 5, 5, 1, 1, 1])) == (-50 + 30 + 1) / 2 / toxicity.BINS
+    assert toxicity.set_cut(bins, np.array([0, 0, 0, 1, 1, 1]), np.array([5, 5, 5, 0, 0, 1])) == ((-50 + 30 + 1) / 2 + (40 + 90 + 1) / 2) / 2 / toxicity.BINS
+    both = np.array([7, 7])
+    assert toxicity.set_cut(both, np.array([0, 1]), np.array([100, 1])) > 7 / toxicity.BINS
+
+
+def plain_ftrl(rows, alpha, beta, l1, l2, slope):
+    """Weights by feature after the rows, coordinate by coordinate; slope(weighted sum, row) is the loss's slope."""
+    z, n, w = {}, {}, {}
+    for x, y in rows:
+        for f in x:
+            zf, nf = z.get(f, 0.0), n.get(f, 0.0)
+            w[f] = 0.0 if abs(zf) <= l1 else -(zf - math.copysign(l1, zf)) / ((beta + math.sqrt(nf)) / alpha + l2)
+        g = slope(sum(w[f] * v for f, v in x.items()), y)
+        for f, v in x.items():
+            nf, gf = n.get(f, 0.0), g * v
+            z[f] = z.get(f, 0.0) + gf - (math.sqrt(nf + gf * gf) - math.sqrt(nf)) / alpha * w[f]
+            n[f] = nf + gf * gf
+    return {f: 0.0 if abs(z[f]) <= l1 else -(z[f] - math.copysign(l1, z[f])) / ((beta + math.sqrt(n[f])) / alpha + l2) for f in z}
+
+
+def test_follow_the_leader_against_plain_loops():
+    rnd = random.Random(3)
+    rows = [({f: rnd.choice((0.5, 1.0, 2.0)) for f in rnd.sample(range(30), 6)}, rnd.random() < 0.4) for _ in range(200)]
+    logistic = lambda s, y: 1 / (1 + math.exp(-s)) - y
+    want = plain_ftrl(rows, 0.3, 1.0, 0.4, 0.2, logistic)
+    model = Ftrl((30,), 0.3, 1.0, 0.4, 0.2)
+    for x, y in rows:
+        at, v = np.array(list(x)), np.array(list(x.values()))
+        w = model.at(at)
+        model.update(at, w, logistic(float(w @ v), y) * v)
+    got = model.at(slice(None))
+    assert all(abs(got[f] - want.get(f, 0.0)) < 1e-9 for f in range(30)) and (got == 0).any() and (got != 0).any()
+
+
+def plain_hash(points):
+    h = points
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> shift)) * factor % 2**64
+    return h ^ (h >> 31)
+
+
+def plain_folded(text):
+    out = "".join((c.lower() if len(c.lower()) == 1 else c) if unicodedata.category(c)[0] in "LM" else " " for c in text)
+    return out
+
+
+def plain_ngrams(text):
+    """The features of a text, n-gram by n-gram."""
+    base, flat = 0x9E3779B97F4A7C15, re.sub(" +", " ", plain_folded(text) + " ")
+    for n in language_id.LENGTHS:
+        for i in range(len(flat) - n + 1):
+            if flat[i] != " " or flat[i + n - 1] != " ":
+                h = n
+                for c in flat[i : i + n]:
+                    h = (h * base + ord(c)) % 2**64
+                yield plain_hash(h) % language_id.FEATURES
+
+
+ODD_TEXTS = ["The cat, the DOG.", "Ünï çode ß — 中文 字", "a", "  x  y ", "İstanbul 12 e\u0301te\u0301", "12 \u0301 34", "", None, "word " * 3000]
+
+
+def test_languages_against_plain_softmax(spark, documents, docs_of):
+    model = language_id.train(documents.filter("lang is not null and text is not null"))
+    langs, w, b, temperature = model
+    got = {r["doc_id"]: r for r in language_id.predict(docs_of(list(enumerate(ODD_TEXTS))), model).collect()}
+    for i, text in enumerate(ODD_TEXTS):
+        found = list(plain_ngrams(text or ""))
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        logits = [(sum(float(w[f, k]) for f in found) / len(found) + b[k]) / temperature for k in range(len(langs))]
+        top = max(logits)
+        p = [math.exp(x - top) for x in logits]
+        best = max(range(len(langs)), key=p.__getitem__)
+        assert got[i]["lang_pred"] == langs[best] and abs(got[i]["score"] - p[best] / sum(p)) < 1e-6
+
+
+def test_document_frequencies_against_plain_counts(docs_of):
+    texts = [*[t for t in ODD_TEXTS if t is not None], "a", "a"]
+    counts = language_id.frequencies(docs_of(list(enumerate(texts))))
+    want = Counter(f for t in texts for f in set(plain_ngrams(t)))
+    assert counts[-1] == len(texts) and {f: n for f, n in enumerate(counts[:-1].tolist()) if n} == dict(want)
+
+
+def plain_words(text):
+    """The features of a text: its words and the beginnings of longer ones."""
+    base, flat = 0x9E3779B97F4A7C15, plain_folded(text)
+    found = set()
+    for word in flat.split(" "):
+        for salt in (0, *toxicity.PREFIXES):
+            if word and (not salt or len(word) > salt):
+                h = 0
+                for k, c in enumerate(word[: salt or None]):
+                    h = (h + ord(c) * pow(base, k, 2**64)) % 2**64
+                found.add(plain_hash(h ^ (salt << 56)) % toxicity.FEATURES)
+    return found
+
+
+def test_severity_against_plain_cumulative_links(spark, docs_of):
+    docs, labels = toxic_table(spark)
+    w, cuts, cut = model = toxicity.train(docs, labels)
+    texts = [*ODD_TEXTS, "w1 grosso", "Grosso GROSSO vilestuff vilething", *[r["text"] for r in docs.collect()]]
+    got = {r["doc_id"]: r for r in toxicity.score(docs_of(list(enumerate(texts))), model).collect()}
+    for i, text in enumerate(texts):
+        found = plain_words(text or "")
+        if not found:
+            assert (got[i]["_severity"], got[i]["_grade"], got[i]["_toxic"]) == (0.0, 0, False)
+            continue
+        s = sum(float(w[f]) for f in found)
+        above = [1.0, *(1 / (1 + math.exp(c - s)) for c in cuts), 0.0]
+        p = [a - b for a, b in zip(above, above[1:], strict=False)]
+        assert abs(got[i]["_severity"] - sum(k * v for k, v in enumerate(p))) < 1e-5 and got[i]["_toxic"] == (s >= cut) and p[got[i]["_grade"]] > max(p) - 1e-6
+
+
 def test_url_parts_and_rules(spark):
     rows = [(1, "https://A.Example.ORG/es/1?x#y"), (2, "http://example.org/en/12"), (3, "http://badexample.org/es/1"), (4, "http://x.com/fr/2"), (5, "http://x.com/de/2"), (6, None), (7, "no scheme"), (8, "http://org"), (9, "http://a.net?q=/es/")]
     got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES).collect()}
