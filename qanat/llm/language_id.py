@@ -30,6 +30,8 @@ from qanat.llm.words import slices
 LENGTHS, FEATURES, SAMPLE, SAMPLE_BYTES, EPOCHS = (1, 2, 3), 1 << 16, 1500, 64 << 20, 3
 ALPHA, BETA, L1, L2, SCALE = 0.5, 1.0, 0.05, 0.05, 10.0
 NONE = "und"
+#: Rows whose features are marked together: AT_ONCE * FEATURES bytes.
+AT_ONCE = 256
 
 Model = tuple[list[str], np.ndarray, np.ndarray, float]  # languages, weights by feature and language, biases, temperature
 
@@ -70,10 +72,16 @@ def frequencies(rows: DataFrame) -> np.ndarray:
     """In how many rows each feature occurs; the number of rows stands last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(FEATURES + 1, np.int64)
+        counts, seen = np.zeros(FEATURES + 1, np.int64), np.zeros(AT_ONCE * FEATURES, bool)
         for batch, _ in slices(batches):
-            at, row, _ = features(batch.column("text"))
-            counts[:-1] += np.bincount(np.unique(row * FEATURES + at) % FEATURES, minlength=FEATURES)
+            chars = Chars(batch.column("text"))
+            found = [chars.ngrams(n) for n in LENGTHS]  # each by row
+            for first in range(0, batch.num_rows, AT_ONCE):
+                for h, row in found:
+                    a, b = np.searchsorted(row, (first, first + AT_ONCE))
+                    seen[(row[a:b] - first) * FEATURES + (h[a:b] & np.uint64(FEATURES - 1)).astype(np.int64)] = True
+                counts[:-1] += seen.reshape(AT_ONCE, FEATURES).sum(0, dtype=np.int64)
+                seen[:] = False
             counts[-1] += batch.num_rows
         yield from sums.pieces(counts)
 
@@ -138,8 +146,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 langs, w, b, temperature = shared.value
                 at, row, chars = features(batch.column("text"))
                 total = np.maximum(np.bincount(row, minlength=n), 1)
-                sums = np.stack([np.bincount(row, w[at, k], n) for k in range(len(langs))], 1)
-                p = softmax((sums / total[:, None] + b) / temperature)
+                found = np.stack([np.bincount(row, own[at], n) for own in w.T.copy()], 1)
+                p = softmax((found / total[:, None] + b) / temperature)
                 fine = chars.has_letter()
                 best = p.argmax(1)
                 names[fine], score[fine] = np.array(langs, object)[best[fine]], p.max(1)[fine]

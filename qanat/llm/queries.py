@@ -17,7 +17,7 @@ from qanat.llm.sharding import shard
 from qanat.llm.topk import top_k
 from qanat.llm.toxicity import toxicity
 from qanat.llm.urls import judge
-from qanat.sources.tables import table
+from qanat.sources.tables import spread, table
 
 #: Folder-independent place of the public vocabularies; a parameter of every operator that tokenises.
 TOKENIZER = "word_bpe_49k.json"
@@ -107,7 +107,7 @@ FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source JOIN u ON u.source IS NO
 
 @register
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=80)
+    return jaccard_components(spread(table(spark, sf_dir, "documents")), width=5, percent=80)
 
 
 @register
@@ -130,17 +130,17 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 @register
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack(spread(table(spark, sf_dir, "documents")), tokenizer_path())
 
 
 @register
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents"))
+    return identify(spread(table(spark, sf_dir, "documents")))
 
 
 @register
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 #: (host, path, verdict)
@@ -149,9 +149,9 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 
 @register
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judge(spread(table(spark, sf_dir, "pages")), URL_RULES)
 
 
 @register
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return extract(spread(table(spark, sf_dir, "pages"))).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
