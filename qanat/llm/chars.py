@@ -19,11 +19,15 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
+#: The planes that hold letters and marks.
+ASSIGNED = [*range(0x40000), *range(0xE0000, 0xE1000)]
+
+
 @functools.cache
 def folded() -> np.ndarray:
     """For each code point its lower case, or 32 if it is no letter or mark."""
     out = np.full(sys.maxunicode + 1, 32, np.uint32)
-    for c in range(sys.maxunicode + 1):
+    for c in ASSIGNED:
         if unicodedata.category(ch := chr(c))[0] in "LM":
             low = ch.lower()
             out[c] = ord(low) if len(low) == 1 else c
@@ -33,7 +37,10 @@ def folded() -> np.ndarray:
 @functools.cache
 def letters() -> np.ndarray:
     """For each code point, whether it is a letter; marks alone are none."""
-    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)])
+    out = np.zeros(sys.maxunicode + 1, bool)
+    for c in ASSIGNED:
+        out[c] = unicodedata.category(chr(c))[0] == "L"
+    return out
 
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

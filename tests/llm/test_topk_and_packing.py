@@ -26,7 +26,7 @@ def brute_top(rows, k, every):
     out = []
     for (q, n), vs in fine.items():
         if q % every == 0:
-            scores = sorted((-max(sum(a * b for a, b in zip(vs[0], w, strict=True)) for w in ws), c) for (c, m), ws in fine.items() if c != q and m == n)
+            scores = sorted((-max(sum(a * b for a, b in zip(v, w, strict=True)) for v in vs for w in ws), c) for (c, m), ws in fine.items() if c != q and m == n)
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -42,6 +42,7 @@ def test_top_k_against_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(topk, "FAN", 3)
     rnd = random.Random(1)
     rows = [(i, [rnd.choice((-1.0, -0.25, 0.0, 0.5, 0.75)) for _ in range(3)]) for i in range(90)]
+    rows += [(10, [-1.0, 0.5, 0.5]), (10, [0.75, 0.0, -1.0]), (33, [0.5, -0.25, 0.75])]  # ids that name several vectors
     rows += [(200, None), (201, []), (202, [1.0, None, 0.0]), (203, [float("nan"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (204, [1.0, 0.5]), (210, [0.5, 0.5]), (89, rows[89][1])]
     got = sorted(map(tuple, topk.top_k(vectors(spark, rows), 5, F.col("id") % 10 == 0).collect()))
     assert got == brute_top(rows, 5, 10)
@@ -62,6 +63,16 @@ def test_top_k_of_large_components(spark):
     assert got == brute_top(rows, 2, 50)
 
 
+def test_top_k_of_huge_and_long_vectors(spark):
+    top = 1.7e308
+    rows = [(0, [top, 0.0]), (1, [top, 0.0]), (2, [-top, 0.0]), (3, [1.0, 0.0])] + [(10 * i, [0.25 * (i + j) % 3 for j in range(5000)]) for i in range(1, 6)]
+    got = sorted(tuple(r)[:3] for r in topk.top_k(vectors(spark, rows), 5, F.col("id") % 10 == 0).collect())
+    assert [g for g in got if g[0] == 0] == [(0, 1, 1), (0, 2, 3), (0, 3, 2)]
+    assert [g for g in got if g[0] > 0] == [r[:3] for r in brute_top(rows[4:], 5, 10)]
+    named = vectors(spark, [(0, [1.0]), (1, [2.0])]).withColumns({"query": F.lit("x"), "block": F.lit(7), "comp": F.lit(None).cast("string")})
+    assert [tuple(r) for r in topk.top_k(named, 5, F.col("id") == 0).collect()] == [(0, 1, 1, 131072)]
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(vectors(spark, [(1, [1.0])]).limit(0), 5, F.col("id") == 1).count() == 0
     assert topk.top_k(vectors(spark, [(0, [1.0])]), 5, F.col("id") == 0).count() == 0
