@@ -29,13 +29,39 @@ def test_shards_are_near_equal(documents):
     check(rows, 6, 0.03 + largest)
 
 
+def shards_of_texts(rows):
+    found = defaultdict(set)
+    for r in rows:
+        found[r["text"]].add(r["shard"])
+    return found
+
+
 def test_one_text_fills_several_shards(docs_of):
     rows = placed(sharding.shard(docs_of([(i, "same text") for i in range(300)] + [(1000 + i, f"t{i}") for i in range(30)]), 5))
     check(rows, 5, 0.05)
-    few = defaultdict(set)
-    for r in rows:
-        few[r["text"]].add(r["shard"])
-    assert all(len(s) == 1 for t, s in few.items() if t != "same text")
+    assert all(len(s) == 1 for t, s in shards_of_texts(rows).items() if t != "same text")
+
+
+def test_only_a_group_that_fits_no_shard_is_cut(docs_of):
+    groups = [("a", 100), ("b", 70), ("c", 70), ("d", 70), ("e", 30), ("f", 3)]  # as bytes of 16 a row
+    rows = [t * 8 for t, n in groups for _ in range(n)] + [f"text{i:04}" for i in range(457)]
+    found = placed(sharding.shard(docs_of(list(enumerate(rows))), 8))
+    check(found, 8, 0.05)
+    assert {t[0]: len(s) for t, s in shards_of_texts(found).items() if len(set(t)) == 1 and len(t) == 8} == dict.fromkeys("abcdef", 1)
+
+
+def test_ranges_within_shards(docs_of, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE", 300)
+    rows = [(i % 200, "same text" if i % 3 else f"t{i}") for i in range(900)] + [(None, None)] * 40
+    for offsets in (400_000, 1):  # broadcast, and joined
+        monkeypatch.setattr(sharding, "OFFSETS", offsets)
+        check(placed(sharding.shard(docs_of(rows), 5)), 5, 0.06)
+
+
+def test_groups_that_end_at_a_boundary(docs_of):
+    rows = placed(sharding.shard(docs_of([(i, f"text {i % 4}") for i in range(400)] + [(1000 + i, "x" * 100_000) for i in range(4)]), 4))
+    check(rows, 4, 0.06)
+    assert all(len(s) == 1 for t, s in shards_of_texts(rows).items() if t.startswith("text"))
 
 
 def test_sharding_cases(docs_of):
