@@ -3,7 +3,8 @@
 A Misra-Gries summary per input task names the digests that can hold more than 1/k of the rows. Their groups are
 counted exactly, with map-side combining, and the at most ``k`` verified winners are broadcast, so the rows of large
 groups are decided where they lie. All other digests, each with at most a k-th of the rows, meet by an ordinary
-shuffle of narrow rows; texts are never shuffled.
+shuffle of narrow rows. To drop the copies from a table, the rows that go are named by id and broadcast, so texts stay
+where they are; over ``GONE`` such rows are joined by a shuffle of the table.
 
 Defined cases: a null text counts as the empty text; of equal texts the row with the most code points, then the
 smallest id (null ids last), then the first row stays; of fully repeated rows exactly one stays; an empty table gives
@@ -23,6 +24,8 @@ from qanat.session import checkpointed
 
 #: ASCII white space, as one class of code points.
 SPACE = r"[\x20\x09-\x0D]"
+#: Rows that go, named by id, digest and code points, that are broadcast.
+GONE = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -80,12 +83,25 @@ def exact_dedup(docs: DataFrame, k: int = 256, text: str = "text", key: str = "d
 def kept_rows(docs: DataFrame, k: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows are matched to the winners by digest, id and code points together, so the copies of a large group spread over
-    the join's partitions. Only where a winner's id is repeated is one of its rows picked after the join.
+    A row is known by id, digest and code points together; only rows whose id names a row that goes are digested again.
+    Where rows with all three equal are the winners, they are reduced to one of them.
     """
-    decided = decide(narrow(docs, text, key), k).filter(F.col("key").eqNullSafe(F.col("best.key")) & (F.col("points") == -F.col("best.less")))
-    win = decided.groupBy(F.col("digest").alias("_wd"), F.col("key").alias("_wk"), F.col("points").alias("_wp")).agg(F.count("*").alias("_same"))
+    decided = checkpointed(decide(narrow(docs, text, key), k))
+    wins = F.col("key").eqNullSafe(F.col("best.key")) & (F.col("points") == -F.col("best.less"))
+    named = [F.col("key").alias("_wk"), F.col("digest").alias("_wd"), F.col("points").alias("_wp")]
+    gone = decided.filter(~wins).select(*named).distinct()
+    twins = checkpointed(decided.filter(wins).groupBy(*named).agg(F.count("*").alias("_same")).filter("_same > 1").drop("_same"))
+    marked = checkpointed(gone.withColumn("_twin", F.lit(False)).unionByName(twins.withColumn("_twin", F.lit(True))))
     digest, points = marks(text)
-    marked = docs.withColumns({"_digest_": digest, "_points_": points})
-    stay = marked.join(win, (F.col("_digest_") == F.col("_wd")) & F.col(key).eqNullSafe(F.col("_wk")) & (F.col("_points_") == F.col("_wp")))
-    return stay.filter("_same = 1").unionByName(stay.filter("_same > 1").dropDuplicates(["_digest_"])).select(docs.columns)
+    few = marked.limit(GONE + 1).count() <= GONE
+    if few:
+        ids = marked.select(F.col("_wk").alias("_id")).distinct().withColumn("_hit", F.lit(True))
+        seen = docs.join(F.broadcast(ids), F.col(key).eqNullSafe(F.col("_id")), "left").withColumns({"_digest_": F.when(F.col("_hit"), digest), "_points_": points})
+    else:
+        seen = docs.withColumns({"_digest_": digest, "_points_": points})
+    same = F.col(key).eqNullSafe(F.col("_wk")) & (F.col("_digest_") == F.col("_wd")) & (F.col("_points_") == F.col("_wp"))
+    known = seen.join(F.broadcast(marked) if few else marked, same, "left")
+    stay = known.filter("_twin is null")
+    if twins.head(1):
+        stay = stay.unionByName(known.filter("_twin").dropDuplicates(["_digest_"]))
+    return stay.select([f"`{c}`" for c in docs.columns])

@@ -4,7 +4,8 @@ Each document has a 60-bit hash of its id. A source's target, in words, is met b
 number of times and, once more, those whose hash lies below the source's threshold. Thresholds are found from
 histograms: words by source and leading hash bits are summed over all documents, cumulated, and the bucket that holds
 the boundary is refined by the next bits, until it holds one hash. Documents are never sorted; every shuffle carries
-sums by source and bucket, combined before it.
+sums by source and bucket, combined before it. Documents meet the plan of their source where they lie: it has a row for
+each source and is broadcast, but for over ``SOURCES`` of them.
 
 Defined cases: a null text has no words; a null source is a source of its own, ordered last; null ids hash as the
 empty string; repeated rows share a hash and are taken together; an empty table gives an empty result; further columns
@@ -16,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qanat.session import checkpointed
+from qanat.session import checkpointed, small_side
 
 BITS, HASH_BITS = 12, 60
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
+#: Sources whose plan is broadcast; more are joined by a shuffle.
+SOURCES = 200_000
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -57,13 +60,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     """(source, more) -> (source, below): documents with a hash under ``below`` hold nearest to ``more`` words."""
-    state = budgets.select("source", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("under"), "more")
+    state = checkpointed(budgets).select("source", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("under"), "more")
     depth = 0
     while True:
         bits = min(BITS, HASH_BITS - depth)
         left = HASH_BITS - depth - bits
         state = state.select(F.col("source").alias("s"), "block", "under", "more")
-        inside = rows.join(state, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", HASH_BITS - depth) == F.col("block")))
+        inside = rows.join(small_side(state, SOURCES), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", HASH_BITS - depth) == F.col("block")))
         cells = inside.groupBy("source", "under", "more", F.shiftright("h", left).alias("cell")).agg(F.sum("size").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         up_to = F.sum("n").over(Window.partitionBy("source").orderBy("cell"))
         last = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("cell"))) == 1
@@ -85,7 +88,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     aims = checkpointed(aims.withColumn("whole", whole).withColumn("more", F.col("target") - F.col("whole") * F.col("source_size")))
     found = thresholds(rows, aims.select("source", "more")).withColumnRenamed("source", "s2")
     plan = checkpointed(aims.join(found, F.col("source").eqNullSafe(F.col("s2")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("below", F.lit(0)).alias("below")))
-    full = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *marks).join(plan, F.col("source").eqNullSafe(F.col("s")))
+    full = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *marks).join(small_side(plan, SOURCES), F.col("source").eqNullSafe(F.col("s")))
     times = F.col("whole") + (F.col("h") < F.col("below")).cast("long")
     return full.select("_doc", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
 

@@ -28,10 +28,18 @@ def test_exact_dedup_cases(docs_of):
     assert sorted(r["doc_id"] for r in stay.collect()) == [3, 6, 8, 9] and stay.columns == docs.columns
 
 
+@pytest.mark.parametrize("gone", [1_000_000, 0])
+def test_rows_that_go_are_named_or_joined(docs_of, monkeypatch, gone):
+    monkeypatch.setattr(exact_dedup, "GONE", gone)
+    rows = [(1, "a b"), (1, "ab"), (1, "a b"), (2, "a b"), (2, "other"), (3, None), (3, None), (None, "a b"), (None, "x"), (None, "x"), (5, "é" * 100_000), (5, "é " * 100_000)]
+    stay = exact_dedup.kept_rows(docs_of(rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in stay), key=str) == sorted([(1, "a b"), (2, "other"), (3, None), (None, "x"), (5, "é " * 100_000)], key=str)
+
+
 def test_exact_dedup_empty_and_more_columns(docs_of, spark):
     docs = docs_of([(1, "a"), (2, "a")]).withColumnRenamed("lang", "digest").withColumnRenamed("source", "key")
     assert [r["doc_id"] for r in exact_dedup.kept_rows(docs).collect()] == [1]
-    assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
+    assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0 and exact_dedup.kept_rows(docs.limit(0)).count() == 0
 
 
 def test_misra_gries_finds_all_frequent(spark):
