@@ -1,17 +1,23 @@
 """N-gram Jaccard join: components of documents whose word n-gram sets are similar, exact.
 
 A document's set holds the 64-bit hashes of its distinct word n-grams, in the global order of the hashes. Documents of
-equal sets form a class, known by 64 bits of its set's digest; only classes are joined. The join runs in four steps:
+equal sets form a class, known by 64 bits of its set's digest (of 10^9 classes, two share theirs with a chance of 3%);
+only classes are joined. The join runs in four steps:
 
 1. Pruning. Two linked sets share at least ``l`` n-grams within the first ``|x| - ceil(t |x|) + l`` of each, in any
    global order. The heads of that length are dealt out by hash range as packed arrays, and a class goes on only if
-   enough of its head is shared with another class. No text of a document without near copies goes further.
-2. Blocks. The n-grams of what is left are counted, and the order becomes rarest first. Linked sets share one n-gram of
-   their prefixes in this order too; classes that share one are tied, and ties form blocks. Every link lies in a block.
+   enough of its head is shared with another class. No text of a document without near copies goes further: the few
+   that do are found by a broadcast of their ids, or by a join beyond ``ALIVE`` of them.
+2. Blocks. The n-grams of what is left are counted, and the order becomes rarest first, so a passage that many unlike
+   documents hold comes last and ties none of them. Linked sets share one n-gram of their prefixes in this order too;
+   classes that share one are tied, and ties form blocks. Every link lies in a block.
 3. Prefix-tree join of each block, in bins of bounded size (``trie``).
-4. A block of over ``LARGE`` classes is never gathered. Each class is first compared with a few pivots of the block,
-   which connects most of a large group of near copies. Then the classes outside the block's largest component meet
-   all others, in cells of bounded size; pairs within a component need no comparison.
+4. A block of over ``LARGE`` classes or ``BIN`` n-grams is never gathered. Each class is first compared with a few
+   pivots of the block, which connects most of a large group of near copies. Then the classes outside the block's
+   largest component meet all others, in cells of bounded size; pairs within a component need no comparison.
+
+Holders of one n-gram are combined before every exchange: a task sends one entry for each n-gram that it has gathered,
+not one for each holder, so an n-gram that a third of all documents hold makes no task large.
 
 Defined cases: null and empty texts, and texts without words, have empty sets and link with nothing; rows with null ids
 get a set size and a null component, and take no part; rows that share an id count as linked; repeated rows are one
@@ -32,17 +38,21 @@ from pyspark.sql import functions as F
 from qanat.llm import trie
 from qanat.llm.components import components
 from qanat.llm.words import shingle_sets, slices
-from qanat.session import checkpointed
+from qanat.session import checkpointed, small_side
 
 #: N-grams that one task of a counting step holds at most, in expectation.
 SPREAD = 2_000_000
-#: N-grams of a bin of blocks, in expectation; classes of a block that are joined in one task; classes of a cell's side.
-BIN, LARGE, SIDE = 2_000_000, 2_000, 1_500
+#: N-grams of a bin of blocks, and of a cell's side, in expectation; classes of a block that are joined in one task.
+BIN, LARGE = 500_000, 2_000
+#: Classes of a cell's side, against pivots and against each other.
+NEAR, SIDE = 250, 1_500
 PIVOTS = 4
 #: The most frequent n-grams whose counts every task knows: a broadcast of 12 bytes each.
 KNOWN = 1 << 18
-#: N-grams gathered in a task before they are dealt out.
+#: N-grams gathered in a task before they are combined and dealt out.
 GATHER = 500_000
+#: Classes that pruning leaves whose ids are broadcast to find their texts.
+ALIVE = 1_000_000
 
 
 def needed(n, percent: int):
@@ -79,99 +89,116 @@ def set_sizes(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary")
 
 
-class Dealer:
-    """Gathers (owner, hashes) and deals them by hash range into rows (bucket, owners, counts, hashes)."""
-
-    names = ["bucket", "owners", "counts", "hashes"]
-    schema = "bucket int, owners binary, counts binary, hashes binary"
+class Gathered:
+    """Sets of a task, combined by n-gram once there are enough of them."""
 
-    def __init__(self, buckets: int, short: bool):
-        self.buckets, self.short = buckets, short
+    def __init__(self) -> None:
         self.owners: list[int] = []
         self.sets: list[np.ndarray] = []
         self.n = 0
 
-    def add(self, owner: int, x: np.ndarray) -> None:
+    def add(self, owner: int, x: np.ndarray) -> bool:
+        """Whether there are enough."""
         self.owners.append(owner)
         self.sets.append(x)
         self.n += len(x)
+        return self.n >= GATHER
 
-    def rows(self) -> pa.RecordBatch:
-        """short: of each hash the 32 bits below the bucket's; else whole."""
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted by hash, owners ascending: hashes, owners, start and length of each run of one hash. Starts anew."""
         x = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(self.sets), dtype=np.int64), [len(s) for s in self.sets])
-        scaled = (x >> np.uint64(32)) * np.uint64(self.buckets)
-        bucket = (scaled >> np.uint64(32)).astype(np.int64)
-        value = (scaled & np.uint64(0xFFFFFFFF)).astype(np.uint32) if self.short else x
-        order = np.lexsort((owner, bucket))
-        bucket, owner, value = bucket[order], owner[order], value[order]
-        ids = np.array(self.owners, np.int64)
-        out: list[list] = [[], [], [], []]
-        edges = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            i, j = edges[b], edges[b + 1]
-            if i < j:
-                who, counts = np.unique(owner[i:j], return_counts=True)
-                for to, v in zip(out, (b, ids[who].tobytes(), counts.astype(np.uint32).tobytes(), value[i:j].tobytes()), strict=True):
-                    to.append(v)
-        self.owners, self.sets, self.n = [], [], 0
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], self.names)
-
-
-def dealt(rows: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, their owners) of a bucket; an owner that came from several tasks counts once."""
-    glue = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t)
-    owners, counts, hashes = glue("owners", np.int64), glue("counts", np.uint32), glue("hashes", kind)
-    first = np.zeros(len(owners), bool)
-    first[np.unique(owners, return_index=True)[1]] = True
-    keep = np.repeat(first, counts)
-    return hashes[keep], np.repeat(owners, counts)[keep]
+        owner = np.repeat(np.array(self.owners, np.int64), [len(v) for v in self.sets])
+        self.__init__()
+        return runs(x, owner)
 
 
 def runs(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by hash: hashes, owners, start of each run of equal hashes, length of each run."""
-    order = np.argsort(hashes, kind="stable")
+    """Distinct (hash, owner) pairs sorted by both: hashes, owners, start and length of each run of one hash."""
+    order = np.lexsort((owners, hashes))
     hashes, owners = hashes[order], owners[order]
+    if len(hashes):
+        new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])))
+        hashes, owners = hashes[new], owners[new]
     starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
     return hashes, owners, starts, np.diff(np.append(starts, len(hashes)))
 
 
+def ranges(x: np.ndarray, n: int) -> np.ndarray:
+    """Which of n equal ranges each unsigned hash lies in."""
+    return (((x >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def by_range(where: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """(to, packed columns): a row for each range that has values."""
+    order = np.argsort(where, kind="stable")
+    where = where[order]
+    edges = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1], [True]))) if len(where) else np.zeros(1, np.int64)
+    packed = [pa.array([c[order][a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary()) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(where[edges[:-1]], pa.int32()), *packed], ["to", *[f"c{i}" for i in range(len(columns))]])
+
+
+def unpacked(rows: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+
+
 def buckets_for(n: int) -> int:
     return max(1, math.ceil(n / SPREAD))
 
 
 def shared_heads(docs: DataFrame, width: int, percent: int, buckets: int, sums: int) -> DataFrame:
-    """(class, shared): of a class's head, how many n-grams the head of another class holds; a class is known by 64 bits.
+    """(class, shared): of a class's head, no fewer n-grams than the heads of other classes hold.
 
-    A bucket's counts go on as packed arrays, one for each of the ``sums`` ranges of classes that it has counts for.
+    A class counts the n-grams that it shares within its task at once; for every n-gram, a task sends one holder, and
+    whether it has more. A bucket's counts go on packed, one row for each of the ``sums`` ranges of classes. Copies of
+    a class may lie in several tasks: an n-gram that none of them sends was counted in each, so the least count holds.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def combined() -> Iterator[pa.RecordBatch]:
+            own = np.unique(np.array(gathered.owners, np.int64))
+            hashes, owners, starts, lengths = gathered.take()
+            who, n = np.unique(owners[np.repeat(lengths > 1, lengths)], return_counts=True)
+            here = np.zeros(len(own), np.int64)
+            here[np.searchsorted(own, who)] = n
+            yield by_range(ranges(hashes[starts], buckets), hashes[starts].astype(np.uint32), owners[starts], (lengths > 1).astype(np.uint8))
+            counts = by_range(ranges(own.view(np.uint64), sums), own, here.astype(np.uint32), np.zeros(len(own), np.uint8))
+            yield counts.set_column(0, "to", pa.array([-1 - t for t in counts.column("to").to_pylist()], pa.int32()))
+
         seen: set[int] = set()
-        dealer = Dealer(buckets, short=True)
+        gathered = Gathered()
         for _, texts in slices(batches):
             for x in shingle_sets(texts, width):
                 if len(x) and (own := number(digest(x))) not in seen:
                     seen.add(own)
-                    dealer.add(own, x[: int(head(len(x), percent))])
-            if dealer.n >= GATHER:
-                yield dealer.rows()
-        yield dealer.rows()
-
-    def count(rows: pa.Table) -> pa.Table:
-        _, owners, _, lengths = runs(*dealt(rows, np.uint32))
-        who, n = np.unique(owners[np.repeat(lengths > 1, lengths)], return_counts=True)
-        to = ((who.view(np.uint64) >> np.uint64(32)) * np.uint64(sums) >> np.uint64(32)).astype(np.int64)
-        own = [(int(t), who[to == t].tobytes(), n[to == t].astype(np.uint32).tobytes()) for t in np.unique(to)]
-        return pa.table({"to": pa.array([o[0] for o in own], pa.int32()), "classes": pa.array([o[1] for o in own], pa.binary()), "counts": pa.array([o[2] for o in own], pa.binary())})
+                    if gathered.add(own, x[: int(head(len(x), percent))]):
+                        yield from combined()
+        yield from combined()
+
+    def count(key: tuple, rows: pa.Table) -> pa.Table:
+        to = key[0].as_py()
+        if to < 0:  # counts within tasks
+            classes, n = unpacked(rows, "c0", np.int64), unpacked(rows, "c1", np.uint32)
+            order = np.lexsort((n, classes))
+            first = np.unique(classes[order], return_index=True)[1]
+            out = by_range(np.full(len(first), -1 - to), classes[order][first], n[order][first])
+        else:
+            hashes, owners, more = unpacked(rows, "c0", np.uint32), unpacked(rows, "c1", np.int64), unpacked(rows, "c2", np.uint8)
+            many = np.unique(hashes[more > 0])
+            own = more == 0
+            hashes_, owners_, _, lengths = runs(hashes, owners)
+            shared = np.union1d(many, hashes_[np.repeat(lengths > 1, lengths)])
+            hashes, owners, _, lengths = runs(hashes[own], owners[own])
+            who, n = np.unique(owners[np.isin(hashes, shared)], return_counts=True)
+            out = by_range(ranges(who.view(np.uint64), sums), who, n.astype(np.uint32))
+        return pa.Table.from_batches([out])
 
     def add(rows: pa.Table) -> pa.Table:
-        who, at = np.unique(np.frombuffer(b"".join(rows.column("classes").to_pylist()), np.int64), return_inverse=True)
-        n = np.bincount(at, np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32), len(who))
+        who, at = np.unique(unpacked(rows, "c0", np.int64), return_inverse=True)
+        n = np.bincount(at, unpacked(rows, "c1", np.uint32), len(who))
         return pa.table({"class": pa.array(who, pa.int64()), "shared": pa.array(n.astype(np.int64), pa.int64())})
 
-    packed = docs.select("text").mapInArrow(deal, Dealer.schema).groupBy("bucket").applyInArrow(count, "to int, classes binary, counts binary")
-    return packed.groupBy("to").applyInArrow(add, "class long, shared long")
+    packed = docs.select("text").mapInArrow(deal, "to int, c0 binary, c1 binary, c2 binary").groupBy("to").applyInArrow(count, "to int, c0 binary, c1 binary")
+    return packed.groupBy("to").applyInArrow(add, "class long, shared long").filter("shared > 0")
 
 
 def each_set(rows: DataFrame, run: Callable[[Iterator[tuple[int, np.ndarray]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -189,21 +216,25 @@ def frequent(sets: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent n-grams, KNOWN at most, ascending, and the number of sets that hold each."""
 
     def deal(pairs: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        dealer = Dealer(buckets, short=False)
+        def combined() -> pa.RecordBatch:
+            hashes, _, starts, lengths = gathered.take()
+            return by_range(ranges(hashes[starts], buckets), hashes[starts], lengths.astype(np.uint32))
+
+        gathered = Gathered()
         for own, x in pairs:
-            dealer.add(own, x)
-            if dealer.n >= GATHER:
-                yield dealer.rows()
-        yield dealer.rows()
+            if gathered.add(own, x):
+                yield combined()
+        yield combined()
 
     def count(rows: pa.Table) -> pa.Table:
-        hashes, _, starts, lengths = runs(*dealt(rows, np.uint64))
-        hashes, lengths = hashes[starts][lengths > 1], lengths[lengths > 1]
-        level = np.floor(np.log2(np.maximum(lengths, 1)) * 4).astype(np.int64)
-        out = [(int(v), int((level == v).sum()), hashes[level == v].tobytes(), lengths[level == v].astype(np.uint32).tobytes()) for v in np.unique(level)]
+        hashes, at = np.unique(unpacked(rows, "c0", np.uint64), return_inverse=True)
+        n = np.bincount(at, unpacked(rows, "c1", np.uint32), len(hashes)).astype(np.int64)
+        hashes, n = hashes[n > 1], n[n > 1]
+        level = np.floor(np.log2(np.maximum(n, 1)) * 4).astype(np.int64)
+        out = [(int(v), int((level == v).sum()), hashes[level == v].tobytes(), n[level == v].astype(np.uint32).tobytes()) for v in np.unique(level)]
         return pa.table({"level": pa.array([o[0] for o in out], pa.int32()), "n": pa.array([o[1] for o in out], pa.int64()), "hashes": pa.array([o[2] for o in out], pa.binary()), "counts": pa.array([o[3] for o in out], pa.binary())})
 
-    counts = checkpointed(each_set(sets, deal, Dealer.schema).groupBy("bucket").applyInArrow(count, "level int, n long, hashes binary, counts binary"))
+    counts = checkpointed(each_set(sets, deal, "to int, c0 binary, c1 binary").groupBy("to").applyInArrow(count, "level int, n long, hashes binary, counts binary"))
     least, room = 1 << 30, KNOWN
     for r in counts.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():  # four levels for each power of two
         if (room := room - r["n"]) < 0:
@@ -216,29 +247,44 @@ def frequent(sets: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ties(sets: DataFrame, known: tuple[np.ndarray, np.ndarray], percent: int, buckets: int) -> DataFrame:
-    """(u, v): links from each class to the smallest one with which it shares an n-gram of the prefixes, rarest first."""
+    """(u, v): links between classes that share an n-gram of the prefixes, rarest first: from each to the smallest one.
+
+    Holders within a task are linked there, and their smallest one is sent.
+    """
     shared = sets.sparkSession.sparkContext.broadcast(known)
 
+    def links(owners: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> bytes:
+        least = np.repeat(owners[starts], lengths)
+        return np.unique(np.stack([owners, least], 1)[owners != least], axis=0).tobytes()
+
     def deal(pairs: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        def combined() -> Iterator[pa.RecordBatch]:
+            hashes, owners, starts, lengths = gathered.take()
+            yield by_range(ranges(hashes[starts], buckets), hashes[starts], owners[starts])
+            found = links(owners, starts, lengths)
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - int(owners[0]) % buckets] if found else [], pa.int32()), *(pa.array([v] if found else [], pa.binary()) for v in (found, b""))], ["to", "c0", "c1"])
+
         hashes, counts = shared.value
-        dealer = Dealer(buckets, short=False)
+        gathered = Gathered()
         for own, x in pairs:
             n = np.zeros(len(x), np.uint32)
             if len(hashes):
                 at = np.minimum(np.searchsorted(hashes, x), len(hashes) - 1)
                 n = np.where(hashes[at] == x, counts[at], n)
-            dealer.add(own, x[np.argsort(n, kind="stable")[: len(x) - int(needed(len(x), percent)) + 1]])
-            if dealer.n >= GATHER:
-                yield dealer.rows()
-        yield dealer.rows()
-
-    def tie(rows: pa.Table) -> pa.Table:
-        _, owners, starts, lengths = runs(*dealt(rows, np.uint64))
-        least = np.repeat(np.minimum.reduceat(owners, starts), lengths) if len(owners) else owners
-        pairs = np.unique(np.stack([owners, least], 1)[owners != least], axis=0)
+            if gathered.add(own, x[np.argsort(n, kind="stable")[: len(x) - int(needed(len(x), percent)) + 1]]):
+                yield from combined()
+        yield from combined()
+
+    def tie(key: tuple, rows: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            pairs = unpacked(rows, "c0", np.int64)
+        else:
+            _, owners, starts, lengths = runs(unpacked(rows, "c0", np.uint64), unpacked(rows, "c1", np.int64))
+            pairs = np.frombuffer(links(owners, starts, lengths), np.int64)
+        pairs = pairs.reshape(-1, 2)
         return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
 
-    return each_set(sets, deal, Dealer.schema).groupBy("bucket").applyInArrow(tie, "u long, v long")
+    return each_set(sets, deal, "to int, c0 binary, c1 binary").groupBy("to").applyInArrow(tie, "u long, v long")
 
 
 def joined(rows: DataFrame, by: str, percent: int) -> DataFrame:
@@ -270,8 +316,9 @@ def chunk(n: Column, seed: int) -> Column:
 
 
 def large_blocks(sets: DataFrame, percent: int) -> DataFrame:
-    """Links within blocks that no task may gather, of (id, grams, block, members); see step 4 above."""
-    chunks = F.ceil(F.col("members") / SIDE)
+    """Links within blocks that no task may gather, of (id, grams, block, members, size); see step 4 above."""
+    parts = lambda n, side: F.greatest(F.lit(1), F.ceil(n / side), F.ceil(n / F.col("members") * F.col("size") / BIN))
+    chunks = parts(F.col("members"), NEAR)
     by_hash = [F.min(F.struct(F.xxhash64("id", F.lit(i)), "id"))["id"].alias(f"p{i}") for i in range(PIVOTS)]
     pivots = checkpointed(sets.groupBy("block").agg(*by_hash).select("block", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("id")))
     all_to = sets.select("id", "grams", chunk(chunks, 11).alias("cell"), "block", *roles(False, True))
@@ -280,11 +327,11 @@ def large_blocks(sets: DataFrame, percent: int) -> DataFrame:
     links = checkpointed(joined(first, "group", percent))
 
     roots = components(links)
-    named = sets.join(roots, F.col("id") == F.col("node"), "left").select("id", "grams", "block", "members", F.coalesce("root", "id").alias("label"))
+    named = sets.join(roots, F.col("id") == F.col("node"), "left").select("id", "grams", "block", "members", "size", F.coalesce("root", "id").alias("label"))
     kin = named.groupBy("block", "label").agg(F.count("*").alias("n"))
     main = checkpointed(kin.groupBy("block").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).select(F.col("block").alias("b"), F.col("top.label").alias("main"), (F.col("all") - F.col("top.n")).alias("others")).filter("others > 0"))
     named = named.join(main, F.col("block") == F.col("b"))
-    sides = F.ceil(F.col("others") / SIDE)
+    chunks, sides = parts(F.col("members"), SIDE), parts(F.col("others"), SIDE)
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     store = named.select("id", "grams", "label", "block", chunk(chunks, 12).alias("x"), span(sides).alias("y"), *roles(True, False))
     probe = named.filter("label <> main").select("id", "grams", "label", "block", span(chunks).alias("x"), chunk(sides, 13).alias("y"), *roles(False, True))
@@ -333,6 +380,7 @@ def class_components(docs: DataFrame, classes: DataFrame, width: int, percent: i
             own = [i for i, (x, d) in enumerate(zip(sets, batch.column("digest").to_pylist(), strict=True)) if digest(x) == d]
             yield pa.RecordBatch.from_arrays([pa.array([number(digest(sets[i])) for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["id", "grams"])
 
+    alive = small_side(checkpointed(alive), ALIVE)
     sets = checkpointed(docs.select("doc_id", "text").join(alive, "doc_id").mapInArrow(grams, "id long, grams binary"))
     left = sets.agg(F.sum(F.octet_length("grams"))).head()[0] or 0
     if not left:
@@ -340,14 +388,17 @@ def class_components(docs: DataFrame, classes: DataFrame, width: int, percent: i
     known = frequent(sets, buckets_for(left // 8))
     tied = ties(sets, known, percent, buckets_for(left * (100 - percent) // 800))
     blocks = components(tied)
-    members = blocks.groupBy("root").agg(F.count("*").alias("members"))
-    in_blocks = checkpointed(blocks.join(members, "root").select(F.col("node").alias("id"), F.col("root").alias("block"), "members"))
+    sizes = sets.select("id", (F.octet_length("grams") / 8).cast("long").alias("n"))
+    named = blocks.join(sizes, F.col("node") == F.col("id"))
+    members = named.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("size"))
+    in_blocks = checkpointed(blocks.join(members, "root").select(F.col("node").alias("id"), F.col("root").alias("block"), "members", "size"))
     placed = sets.join(in_blocks, "id")
+    large = (F.col("members") > LARGE) | (F.col("size") > BIN)
     bins = max(1, math.ceil(left / 8 / BIN))
-    small = placed.filter(F.col("members") <= LARGE).select(F.pmod(F.xxhash64("block"), F.lit(bins)).alias("bin"), "id", F.col("block").alias("part"), "grams", F.col("id").alias("label"), *roles(True, True))
+    small = placed.filter(~large & (F.col("members") > 1)).select(F.pmod(F.xxhash64("block"), F.lit(bins)).alias("bin"), "id", F.col("block").alias("part"), "grams", F.col("id").alias("label"), *roles(True, True))
     links = joined(small, "bin", percent)
-    if in_blocks.filter(F.col("members") > LARGE).head(1):
-        links = links.unionByName(large_blocks(checkpointed(placed.filter(F.col("members") > LARGE)), percent))
+    if in_blocks.filter(large).head(1):
+        links = links.unionByName(large_blocks(checkpointed(placed.filter(large)), percent))
     return components(links)
 
 

@@ -92,6 +92,34 @@ def test_jaccard_join_over_many_buckets(docs_of, monkeypatch):
     assert got == brute.components(rows)
 
 
+@pytest.mark.parametrize(("own", "shared"), [(30, 30), (6, 40)])
+def test_one_passage_in_many_unlike_documents(docs_of, own, shared):
+    passage = " ".join(f"p{i}" for i in range(shared))
+    rows = [(i, f"{passage} " + " ".join(f"w{i}x{j}" for j in range(own))) for i in range(10_000)]
+    rows += [(20_000 + i, rows[i][1].replace(f"w{i}x{own - 1}", "y")) for i in range(50)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs_of(rows)).collect()}
+    assert got == {**{i: i for i in range(10_000)}, **{20_000 + i: i for i in range(50)}}  # the near copy's last word is in one shingle
+
+
+def test_copies_over_many_tasks_keep_their_links(docs_of, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SPREAD", 300)
+    monkeypatch.setattr(jaccard_join, "GATHER", 200)
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:-1], f"x{k}"]) for k in range(6)]
+    rows = [(i, near[i % 6]) for i in range(120)] + near_copies(10, 9)[:30] + [(1000 + i, f"{near[0]} " + " ".join(f"z{i}y{j}" for j in range(60))) for i in range(40)]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs_of(rows).repartition(7)).collect()}
+    assert got == brute.components(rows)
+
+
+@pytest.mark.parametrize("size", [60, 400])
+def test_blocks_of_many_ngrams_are_cut(docs_of, monkeypatch, size):
+    monkeypatch.setattr(jaccard_join, "BIN", size)
+    rows = near_copies(12, size)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs_of(rows)).collect()}
+    assert got == brute.components(rows)
+
+
 def test_jaccard_join_cases(docs_of):
     text = " ".join(f"w{i}" for i in range(60))
     near = text.replace("w30", "x")
