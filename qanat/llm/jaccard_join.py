@@ -137,6 +137,21 @@ def by_range(where: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(where[edges[:-1]], pa.int32()), *packed], ["to", *[f"c{i}" for i in range(len(columns))]])
 
 
+def by_owner(where: np.ndarray, owners: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """As by_range of columns sorted by range and owner, with each owner once: (to, owners, their numbers of values, values)."""
+    first = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]) | (owners[1:] != owners[:-1])))) if len(where) else np.zeros(0, np.int64)
+    heads = by_range(where[first], owners[first], np.diff(np.append(first, len(where))).astype(np.uint32))
+    rest = by_range(where, values)
+    return sparse(pa.RecordBatch.from_arrays([*heads.columns, rest.column("c0")], ["to", "c0", "c1", "c2"]), "c0", "c1", "c2")
+
+
+def sparse(rows: pa.RecordBatch, *names: str) -> pa.RecordBatch:
+    """(to, columns) as (to, c0, c1, c2, c3), the columns under the names and the others empty."""
+    own = dict(zip(names, rows.columns[1:], strict=True))
+    empty = pa.array([b""] * rows.num_rows, pa.binary())
+    return pa.RecordBatch.from_arrays([rows.column(0), *(own.get(c, empty) for c in ("c0", "c1", "c2", "c3"))], ["to", "c0", "c1", "c2", "c3"])
+
+
 def unpacked(rows: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
 
@@ -160,9 +175,14 @@ def shared_heads(docs: DataFrame, width: int, percent: int, buckets: int, sums:
             who, n = np.unique(owners[np.repeat(lengths > 1, lengths)], return_counts=True)
             here = np.zeros(len(own), np.int64)
             here[np.searchsorted(own, who)] = n
-            yield by_range(ranges(hashes[starts], buckets), hashes[starts].astype(np.uint32), owners[starts], (lengths > 1).astype(np.uint8))
-            counts = by_range(ranges(own.view(np.uint64), sums), own, here.astype(np.uint32), np.zeros(len(own), np.uint8))
-            yield counts.set_column(0, "to", pa.array([-1 - t for t in counts.column("to").to_pylist()], pa.int32()))
+            hashes, owners, more = hashes[starts], owners[starts], lengths > 1
+            where = ranges(hashes, buckets)
+            order = np.lexsort((owners, where))
+            order = order[~more[order]]
+            yield by_owner(where[order], owners[order], hashes[order].astype(np.uint32))
+            yield sparse(by_range(where[more], hashes[more].astype(np.uint32)), "c3")
+            counts = by_range(ranges(own.view(np.uint64), sums), own, here.astype(np.uint32))
+            yield sparse(counts.set_column(0, "to", pa.array([-1 - t for t in counts.column("to").to_pylist()], pa.int32())), "c0", "c1")
 
         seen: set[int] = set()
         gathered = Gathered()
@@ -182,13 +202,15 @@ def shared_heads(docs: DataFrame, width: int, percent: int, buckets: int, sums:
             first = np.unique(classes[order], return_index=True)[1]
             out = by_range(np.full(len(first), -1 - to), classes[order][first], n[order][first])
         else:
-            hashes, owners, more = unpacked(rows, "c0", np.uint32), unpacked(rows, "c1", np.int64), unpacked(rows, "c2", np.uint8)
-            many = np.unique(hashes[more > 0])
-            own = more == 0
-            hashes_, owners_, _, lengths = runs(hashes, owners)
-            shared = np.union1d(many, hashes_[np.repeat(lengths > 1, lengths)])
-            hashes, owners, _, lengths = runs(hashes[own], owners[own])
-            who, n = np.unique(owners[np.isin(hashes, shared)], return_counts=True)
+            ids, at = np.unique(unpacked(rows, "c0", np.int64), return_inverse=True)
+            at = np.repeat(at.astype(np.uint64), unpacked(rows, "c1", np.uint32))
+            pairs = np.unique(unpacked(rows, "c2", np.uint32).astype(np.uint64) << np.uint64(32) | at)  # copies of a class count once
+            hashes = (pairs >> np.uint64(32)).astype(np.uint32)
+            starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(pairs) else np.zeros(0, np.int64)
+            lengths = np.diff(np.append(starts, len(pairs)))
+            shared = (lengths > 1) | np.isin(hashes[starts], unpacked(rows, "c3", np.uint32))
+            n = np.bincount((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)[np.repeat(shared, lengths)], minlength=len(ids))
+            who, n = ids[n > 0], n[n > 0]
             out = by_range(ranges(who.view(np.uint64), sums), who, n.astype(np.uint32))
         return pa.Table.from_batches([out])
 
@@ -197,7 +219,7 @@ def shared_heads(docs: DataFrame, width: int, percent: int, buckets: int, sums:
         n = np.bincount(at, unpacked(rows, "c1", np.uint32), len(who))
         return pa.table({"class": pa.array(who, pa.int64()), "shared": pa.array(n.astype(np.int64), pa.int64())})
 
-    packed = docs.select("text").mapInArrow(deal, "to int, c0 binary, c1 binary, c2 binary").groupBy("to").applyInArrow(count, "to int, c0 binary, c1 binary")
+    packed = docs.select("text").mapInArrow(deal, "to int, c0 binary, c1 binary, c2 binary, c3 binary").groupBy("to").applyInArrow(count, "to int, c0 binary, c1 binary")
     return packed.groupBy("to").applyInArrow(add, "class long, shared long").filter("shared > 0")
 
 

@@ -135,12 +135,12 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Models | None:
     return [found.get(p, found[FOLDS]) for p in range(FOLDS + 1)] if FOLDS in found else None
 
 
-def scores(texts: pa.Array, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(whether a text has words, scores by text and model)."""
+def scores(texts: pa.Array, weights: list[np.ndarray], used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a text has words, scores by text and model); ``used`` marks the features with a weight in any model."""
     n = len(texts)
     h, row = Chars(texts).words(PREFIXES)
     at = (h & np.uint64(FEATURES - 1)).astype(np.int64)
-    heavy = np.any([w[at] != 0 for w in weights], axis=0) if len(at) else np.zeros(0, bool)
+    heavy = used[at]
     pairs = np.unique(row[heavy] * FEATURES + at[heavy])
     return np.bincount(row, minlength=n) > 0, np.stack([np.bincount(pairs // FEATURES, w[pairs % FEATURES], n) for w in weights], 1)
 
@@ -150,8 +150,9 @@ def out_of_fold(docs: DataFrame, models: Models) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast([w for w, _ in models[:FOLDS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = np.any(shared.value, axis=0)
         for batch, _ in slices(batches):
-            words, found = scores(batch.column("text"), shared.value)
+            words, found = scores(batch.column("text"), shared.value, used)
             at = np.flatnonzero(words)
             own = found[at, batch.column("fold").to_numpy()[at]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(own, pa.float64())], ["doc_id", "score"])
@@ -192,7 +193,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             severity, grade, toxic = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, bool)
             if shared.value is not None:
                 w, cuts, cut = shared.value
-                words, found = scores(batch.column("text"), [w])
+                words, found = scores(batch.column("text"), [w], w != 0)
                 above = sigmoid(found - cuts)
                 p = np.concatenate((np.ones((n, 1)), above), 1) - np.concatenate((above, np.zeros((n, 1))), 1)
                 severity, grade, toxic = np.where(words, above.sum(1), 0.0), np.where(words, p.argmax(1), 0), words & (found[:, 0] >= cut)
