@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from qanat.functions import text as T
 from qanat.operators import chunk, evaluate, extract
 from qanat.plans.base import query
-from qanat.sources.tables import table
+from qanat.sources.tables import spread, table
 
 #: ASCII white space as DuckDB writes it.
 WORDS = "list_filter(regexp_split_to_array(text, '[\\s]+'), lambda w: w <> '')"
@@ -97,8 +97,8 @@ WINDOW_WIDTH = int(500 / 1.4 + 1e-9)
 
 
 @query(
-    f"WITH d AS (SELECT doc_id AS id, CAST(len({WORDS}) AS INTEGER) AS n FROM documents), c AS (SELECT id, n, unnest(generate_series(0, (n - 1) // {WINDOW_WIDTH})) AS i FROM d WHERE n > 0) "
-    f"SELECT id, CAST(i AS INTEGER) AS chunk_index, CAST(least({WINDOW_WIDTH}, n - i * {WINDOW_WIDTH}) AS INTEGER) AS words FROM c"
+    f"WITH d AS (SELECT doc_id AS id, {WORDS} AS w, CAST(len({WORDS}) AS INTEGER) AS n FROM documents), c AS (SELECT id, w, n, unnest(generate_series(0, (n - 1) // {WINDOW_WIDTH})) AS i FROM d WHERE n > 0) "
+    f"SELECT id, CAST(i AS INTEGER) AS chunk_index, CAST(least({WINDOW_WIDTH}, n - i * {WINDOW_WIDTH}) AS INTEGER) AS words, array_to_string(w[i * {WINDOW_WIDTH} + 1 : (i + 1) * {WINDOW_WIDTH}], ' ') AS text FROM c"
 )
 def chunk_window(spark: SparkSession, sf: str) -> DataFrame:  # C6
     return chunk.window_chunks(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), chunk.ChunkConfig(strategy="window"))
@@ -106,7 +106,7 @@ def chunk_window(spark: SparkSession, sf: str) -> DataFrame:  # C6
 
 def english(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as articles of one language."""
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("int").alias("article_number"), F.lit("").alias("text_ar"), F.col("text").alias("text_en"), F.col("source").alias("book"), F.col("lang").alias("chapter"))
+    return spread(table(spark, sf, "documents")).select(F.col("doc_id").cast("int").alias("article_number"), F.lit("").alias("text_ar"), F.col("text").alias("text_en"), F.col("source").alias("book"), F.col("lang").alias("chapter"))
 
 
 @query()

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from qanat.operators import chunk, extract
@@ -66,6 +68,36 @@ def test_chunks_rebuild_their_text(spark, cfg):
     assert stats["total_chunks"] == len(by) and stats["chunk_type_repealed_notice"] == 2 and stats["articles_split"] == 1
 
 
+def plain_chunks(pieces, limit, overlap, count, tail):
+    """Pieces one after the other, each counted anew."""
+    out, own = [], []
+    for p in pieces:
+        if own and count(" ".join([*own, p])) > limit:
+            out.append(own)
+            held = []
+            while overlap and len(held) < len(own) and count(" ".join(own[len(own) - len(held) - 1 :])) <= overlap:
+                held = own[len(own) - len(held) - 1 :]
+            while held and count(" ".join([*held, p])) > limit:
+                held = held[1:]
+            own = held
+        own = [*own, p]
+    out.append(own)
+    if len(out) > 1 and not overlap and count(" ".join(out[-1])) < tail and count(" ".join(out[-2] + out[-1])) <= limit:
+        out[-2:] = [out[-2] + out[-1]]
+    return [" ".join(c) for c in out]
+
+
+@pytest.mark.parametrize("count", [chunk.estimate, lambda t: len(t.split())])
+def test_runs_of_pieces_against_plain_filling(count):
+    rnd = random.Random(1)
+    for _ in range(300):
+        pieces = [" ".join(rnd.choice(("a", "bb", "مادة" if rnd.random() < 0.1 else "c")) for _ in range(rnd.randint(1, 9))) for _ in range(rnd.randint(1, 40))]
+        limit, overlap = rnd.randint(20, 60), rnd.choice((0, 0, 5, 9))
+        own = chunk.Pieces(pieces, count)
+        assert [own.text(*r) for r in own.runs(limit, overlap, 12)] == plain_chunks(pieces, limit, overlap, count, 12)
+
+
 def test_small_tail_is_merged():
-    assert chunk.fill([f"w{i}" for i in range(60)], 70, 0, chunk.estimate, 24) == [" ".join(f"w{i}" for i in range(50)), " ".join(f"w{i}" for i in range(50, 60))]
-    assert chunk.fill(["a " * 30, "b"], 60, 0, chunk.estimate, 24) == ["a " * 30 + " b"]
+    own = lambda pieces, limit: [chunk.Pieces(pieces, chunk.estimate).text(*r) for r in chunk.Pieces(pieces, chunk.estimate).runs(limit, 0, 24)]
+    assert own([f"w{i}" for i in range(60)], 70) == [" ".join(f"w{i}" for i in range(50)), " ".join(f"w{i}" for i in range(50, 60))]
+    assert own(["a " * 30, "b"], 60) == ["a " * 30 + " b"]
