@@ -85,11 +85,22 @@ def clipped_from_counts(cells: Column, q: float) -> Column:
 
 
 def spot_check(rows: DataFrame, listed: list[int], n: int, seed: int = 42) -> DataFrame:
-    """The listed articles, and n random ones with text in both languages, by number."""
-    both = rows.filter("trim(coalesce(text_ar, '')) <> '' and trim(coalesce(text_en, '')) <> ''").orderBy(F.rand(seed)).limit(n)
+    """The listed articles, and n others with text in both languages, drawn by the hash of seed and number; by number."""
+    draw = F.md5(F.concat(F.lit(str(seed)), F.col("article_number").cast("string")))
+    both = rows.filter("trim(coalesce(text_ar, '')) <> '' and trim(coalesce(text_en, '')) <> ''").orderBy(draw, "article_number").limit(n)
     return rows.filter(F.col("article_number").isin(listed)).unionByName(both).dropDuplicates(["article_number"]).orderBy("article_number")
 
 
+def weakest(rows: DataFrame, score: str, tie: str, n: int = 5) -> DataFrame:
+    """The n rows of lowest score, rows without one left out."""
+    return rows.filter(F.col(score).isNotNull()).orderBy(score, tie).limit(n)
+
+
+def latest_of(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """Of each group, the value of the last row in order."""
+    return rows.groupBy(*by).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
 def ranked_percentile(rows: DataFrame, by: list[str], x: str, q: float, lower: bool = False) -> DataFrame:
     """The same values by rank instead of by gathering a group: for groups that fit no task."""
     w = Window.partitionBy(*by)

@@ -115,9 +115,15 @@ def half_precision(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.withColumn(vector, pack(vector))
 
 
-def full_precision(rows: DataFrame, vector: str = "embedding", digits: int = 6) -> DataFrame:
+def full_precision(rows: DataFrame, vector: str = "embedding", digits: int | None = 6) -> DataFrame:
+    """Unpacked again, rounded unless ``digits`` is None."""
+
+    def plain(v: bytes) -> list[float]:
+        x = np.frombuffer(v, np.float16).astype(np.float64)
+        return (x if digits is None else np.round(x, digits)).tolist()
+
     @F.pandas_udf("array<float>")
     def unpack(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: np.round(np.frombuffer(v, np.float16).astype(np.float64), digits).tolist(), na_action="ignore")
+        return x.map(plain, na_action="ignore")
 
     return rows.withColumn(vector, unpack(vector))

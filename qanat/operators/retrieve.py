@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from qanat.functions.text import detect_article
 
-#: Queries of one block; a block's matrix product runs against each batch of chunks.
-BLOCK = 1024
+#: Queries and vectors of a block, in expectation; blocks meet in tasks, STRIPE queries at a time.
+BLOCK, VECTORS, STRIPE = 8_192, 65_536, 128
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -26,65 +26,64 @@ def candidates(top_k: int) -> int:
     return max(4 * top_k, 15)
 
 
-def exact_lookup(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """All chunks of each query's article, in order of language and place, with score 1."""
+def exact_lookup(queries: DataFrame, chunks: DataFrame, skip_own: bool = False) -> DataFrame:
+    """All chunks of each query's article, in order of language and place, with score 1; skip_own leaves out chunk qid."""
     found = queries.join(chunks, "article_number")
+    found = found.filter("chunk_id <> qid") if skip_own else found
     return ranked(found.withColumn("score", F.lit(1.0)), ["qid"], [F.col("language"), F.col("chunk_index")], 100)
 
 
-def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, skip_own: bool = False) -> DataFrame:
     """(qid, chunk_id, score, rank): each query's k best chunks by dot product; ties by chunk id.
 
-    Queries are dealt into blocks of about ``BLOCK``; a block and all chunks' batches meet in a matrix product, of which
-    k rows for each query and batch are left. Blocks are sent to tasks one at a time, so no task holds all queries.
+    Queries and chunks are dealt into blocks; each pair of blocks is a matrix product in a task of its own, which k
+    rows for each query leave, with ties. skip_own leaves out chunk qid, where questions are chunks themselves.
     """
-    found = _blocks(queries, chunks.select(F.col("chunk_id").cast("long"), "embedding"), k, merge=False)
+    found = _tiles(queries, chunks.select(F.col("chunk_id").cast("long").alias("id"), F.col("chunk_id").cast("long"), "embedding"), k, False, skip_own)
     return ranked(found.withColumnRenamed("id", "chunk_id"), ["qid"], [F.desc("score"), F.col("chunk_id")], k)
 
 
-def dense_top_articles(queries: DataFrame, chunks: DataFrame, k: int = 15) -> DataFrame:
+def dense_top_articles(queries: DataFrame, chunks: DataFrame, k: int = 15, skip_own: bool = False) -> DataFrame:
     """(qid, article_number, score, rank): each query's k best articles by their best chunk, over all chunks.
 
-    A batch's chunks are merged into articles before its k best are chosen, so no more leaves it than in dense_top_k: an
-    article among a query's k best is among the k best of the batch that holds its best chunk.
+    A block's chunks are merged into articles before its k best are chosen, so no more leaves it than in dense_top_k: an
+    article among a query's k best is among the k best of the block that holds its best chunk.
     """
-    found = _blocks(queries, chunks.filter("article_number is not null").select(F.col("article_number").cast("long"), "embedding"), k, merge=True)
-    return distinct_articles(found.withColumnRenamed("id", "article_number"), k)
-
-
-def _blocks(queries: DataFrame, vectors: DataFrame, k: int, merge: bool) -> DataFrame:
-    blocks = max(1, -(-queries.count() // BLOCK))
-    dealt = queries.select("qid", F.col("embedding").cast("array<double>").alias("e"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"))
-    found = None
-    for b in range(blocks):
-        own = dealt.filter(F.col("block") == b).select("qid", "e").toArrow()  # about BLOCK rows
-        part = _tiles(vectors, own.column("qid").to_pylist(), np.array(own.column("e").to_pylist(), np.float64), k, merge)
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def _tiles(vectors: DataFrame, qids: list[int], matrix: np.ndarray, k: int, merge: bool) -> DataFrame:
-    """(qid, id, score) of (id, vector): the k best of each query and batch, with ties; merge takes an id's best first."""
-    shared = vectors.sparkSession.sparkContext.broadcast((np.array(qids, np.int64), matrix))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, q = shared.value
-        for b in batches:
-            if not b.num_rows or not len(asked):
-                continue
-            order = np.argsort(b.column(0).to_numpy(), kind="stable")
-            ids = b.column(0).to_numpy()[order]
-            v = b.column(1).flatten().cast(pa.float64()).to_numpy().reshape(b.num_rows, -1)[order]
-            scores = q @ v.T
+    vectors = chunks.filter("article_number is not null").select(F.col("article_number").cast("long").alias("id"), F.col("chunk_id").cast("long"), "embedding")
+    return distinct_articles(_tiles(queries, vectors, k, True, skip_own).withColumnRenamed("id", "article_number"), k)
+
+
+def _tiles(queries: DataFrame, vectors: DataFrame, k: int, merge: bool, skip_own: bool) -> DataFrame:
+    """(qid, id, score) of (qid, embedding) and (id, chunk_id, embedding): the k best of each query and block, with ties."""
+    y, x = max(1, -(-queries.count() // BLOCK)), max(1, -(-vectors.count() // VECTORS))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    e = F.col("embedding").cast("array<double>").alias("e")
+    asked = queries.select(F.col("qid").cast("long"), e, deal("qid", y).alias("y"), every(x).alias("x"))
+    held = vectors.select("id", "chunk_id", e, deal("chunk_id", x).alias("x"), every(y).alias("y"))
+
+    def matrix(rows: pa.Table) -> np.ndarray:
+        return rows.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[pa.Table] = [pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        right = right.sort_by([("id", "ascending"), ("chunk_id", "ascending")])
+        ids, own, qids = (t.column(c).to_numpy() for t, c in ((right, "id"), (right, "chunk_id"), (left, "qid")))
+        places, starts = np.unique(ids, return_index=True)
+        for i in range(0, left.num_rows if right.num_rows else 0, STRIPE):
+            part = left.slice(i, STRIPE)
+            scores = matrix(part) @ matrix(right).T
+            if skip_own:
+                scores[own[None] == qids[i : i + STRIPE, None]] = -np.inf
             if merge:
-                ids, starts = np.unique(ids, return_index=True)
                 scores = np.maximum.reduceat(scores, starts, axis=1)
-            n = min(k, len(ids))
+            n = min(k, scores.shape[1])
             edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
-            row, col = np.nonzero(scores >= edge[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(ids[col]), pa.array(scores[row, col])], ["qid", "id", "score"])
+            row, col = np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
+            out.append(pa.table({"qid": qids[i : i + STRIPE][row], "id": (places if merge else ids)[col], "score": scores[row, col]}))
+        return pa.concat_tables(out)
 
-    return vectors.mapInArrow(run, "qid long, id long, score double")
+    return asked.groupBy("x", "y").cogroup(held.groupBy("x", "y")).applyInArrow(run, "qid long, id long, score double")
 
 
 def group_by_article(hits: DataFrame) -> DataFrame:
@@ -172,3 +171,15 @@ def even_subset(rows: DataFrame, order: str, n: int) -> DataFrame:
     numbered = rows.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1).withColumn("_t", F.count("*").over(Window.partitionBy()))
     i = F.ceil(F.col("_i") * n / F.col("_t"))
     return numbered.filter((i < n) & (F.floor(i * F.col("_t") / n) == F.col("_i"))).drop("_i", "_t")
+
+
+def alternate(rows: DataFrame, order: str) -> DataFrame:
+    """Adds side: reference and live in turn, in order; for question sets, which are small."""
+    nth = F.row_number().over(Window.orderBy(order)) - 1
+    return rows.withColumn("side", F.when(nth % 2 == 0, "reference").otherwise("live"))
+
+
+def part_of(rows: DataFrame, order: str, start: int, limit: int | None = None) -> DataFrame:
+    """Rows from number ``start`` on, in order, ``limit`` at most."""
+    rest = rows.orderBy(order).offset(start)
+    return rest if limit is None else rest.limit(limit)
