@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,14 @@ _INVERSE = pow(_BASE, -1, 2**64)
 
 
 #: The planes that hold letters and marks.
-ASSIGNED = [*range(0x40000), *range(0xE0000, 0xE1000)]
+ASSIGNED = (range(0x40000), range(0xE0000, 0xE1000))
 
 
 @functools.cache
 def folded() -> np.ndarray:
     """For each code point its lower case, or 32 if it is no letter or mark."""
     out = np.full(sys.maxunicode + 1, 32, np.uint32)
-    for c in ASSIGNED:
+    for c in chain(*ASSIGNED):
         if unicodedata.category(ch := chr(c))[0] in "LM":
             low = ch.lower()
             out[c] = ord(low) if len(low) == 1 else c
@@ -38,7 +39,7 @@ def folded() -> np.ndarray:
 def letters() -> np.ndarray:
     """For each code point, whether it is a letter; marks alone are none."""
     out = np.zeros(sys.maxunicode + 1, bool)
-    for c in ASSIGNED:
+    for c in chain(*ASSIGNED):
         out[c] = unicodedata.category(chr(c))[0] == "L"
     return out
 

@@ -41,7 +41,7 @@ from qanat.llm.words import shingle_sets, slices
 from qanat.session import checkpointed, small_side
 
 #: N-grams that one task of a counting step holds at most, in expectation.
-SPREAD = 2_000_000
+SPREAD = 500_000
 #: N-grams of a bin of blocks, and of a cell's side, in expectation; classes of a block that are joined in one task.
 BIN, LARGE = 500_000, 2_000
 #: Classes of a cell's side, against pivots and against each other.
