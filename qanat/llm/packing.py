@@ -37,7 +37,7 @@ POOL = 40_000
 #: Words that the tokeniser gets at a time.
 AT_ONCE = 8192
 #: Bytes of text whose distinct words are taken together.
-STEP = 2 << 20
+STEP = 1 << 20
 #: Distinct words whose ids a Python worker keeps.
 KEEP = 600_000
 
@@ -55,39 +55,39 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts, self.used = [0], 0
-
-    def learn(self, hashes: list[int], words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        ends = np.cumsum([len(x) for x in ids]) + self.used
-        while ends[-1] > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : ends[-1]] = list(chain.from_iterable(ids))
-        self.place.update(zip(hashes, range(len(self.starts) - 1, len(self.starts) - 1 + len(ids)), strict=True))
-        self.starts += ends.tolist()
-        self.used = int(ends[-1])
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # known words, ascending, and their numbers
+        self.flat, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Hashes ascend and are not known."""
+        for i in range(0, len(words), AT_ONCE):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + AT_ONCE], add_special_tokens=False)]
+            used, own = int(self.starts[-1]), hashes[i : i + AT_ONCE]
+            ends = np.cumsum([len(x) for x in ids]) + used
+            while ends[-1] > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[used : ends[-1]] = list(chain.from_iterable(ids))
+            at = np.searchsorted(self.hashes, own)
+            self.hashes = np.insert(self.hashes, at, own)
+            self.place = np.insert(self.place, at, np.arange(len(self.starts) - 1, len(self.starts) - 1 + len(own)))
+            self.starts = np.concatenate((self.starts, ends))
 
     def by_words(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """As ``of``, for texts without added tokens."""
-        if len(self.place) > KEEP:
+        if len(self.hashes) > KEEP:
             self.clear()
         distinct, first, inverse = np.unique(texts.hashes(fold=True), return_index=True, return_inverse=True)
-        known = [self.place.get(h) for h in distinct.tolist()]
-        new = [i for i, at in enumerate(known) if at is None]
-        if new:
-            data, hashes = texts.bytes.tobytes(), distinct[new].tolist()
-            spans = list(zip(texts.starts[first[new]].tolist(), texts.ends[first[new]].tolist(), strict=True))
-            for i in range(0, len(new), AT_ONCE):
-                self.learn(hashes[i : i + AT_ONCE], [data[a:b].decode("utf-8", "replace") for a, b in spans[i : i + AT_ONCE]])
-            for i, h in zip(new, hashes, strict=True):
-                known[i] = self.place[h]
-        starts = np.asarray(self.starts)
-        at = np.asarray(known, np.int64)[inverse] if len(distinct) else np.zeros(0, np.int64)
-        lengths = starts[at + 1] - starts[at] if len(at) else at
+        if not len(distinct):
+            return self.flat[:0], np.zeros(len(texts.first), np.int64)
+        new = np.flatnonzero(~np.isin(distinct, self.hashes, assume_unique=True))
+        if len(new):
+            data = texts.bytes.tobytes()
+            spans = zip(texts.starts[first[new]].tolist(), texts.ends[first[new]].tolist(), strict=True)
+            self.learn(distinct[new], [data[a:b].decode("utf-8", "replace") for a, b in spans])
+        at = self.place[np.searchsorted(self.hashes, distinct)][inverse]
+        lengths = self.starts[at + 1] - self.starts[at]
         ends = np.concatenate(([0], np.cumsum(lengths)))
-        source = np.repeat(starts[at] - ends[:-1], lengths) + np.arange(ends[-1]) if len(at) else at
+        source = np.repeat(self.starts[at] - ends[:-1], lengths) + np.arange(ends[-1])
         return self.flat[source], ends[texts.first]
 
     def holding(self, texts) -> list[int]:
