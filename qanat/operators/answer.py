@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from qanat.functions.text import prompt_tokens, strip_think
 
+# The answer without sources, and prices by provider.
 NO_SOURCES = "لم يتم العثور على مصادر قانونية كافية للإجابة عن السؤال."
 #: USD for a million input and output tokens.
 PRICES = {"GROQ": (0.29, 0.59), "GOOGLE_GENAI": (0.30, 2.50), "OLLAMA": (0.0, 0.0), "VLLM": (0.10, 0.25)}

@@ -27,14 +27,24 @@ def scorer(name: str) -> Score:
     return SCORERS[name]
 
 
+def tried(score: Score, a: str, b: str, attempts: int = 2) -> float | None:
+    """The scorer's value, null if every attempt fails: one pair must not end the task."""
+    for _ in range(attempts):
+        try:
+            return score(a, b)
+        except Exception:  # noqa: BLE001, S112 - scorers are plugged in and may raise anything
+            continue
+    return None
+
+
 def pair_score(query: Column, passage: Column, name: str = "overlap") -> Column:
-    """The scorer's value for each pair, batch by batch."""
+    """The scorer's value for each pair, batch by batch; null where it fails."""
     score = scorer(name)
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for q, p in batches:
-            yield pd.Series([score(a or "", b or "") for a, b in zip(q, p, strict=True)])
+            yield pd.Series([tried(score, a or "", b or "") for a, b in zip(q, p, strict=True)], dtype="float64")
 
     return run(query, passage)
 

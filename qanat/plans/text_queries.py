@@ -121,12 +121,6 @@ def chunk_reconstruct(spark: SparkSession, sf: str) -> DataFrame:  # C11: the ch
     return own.groupBy(F.col("article_number").cast("long").alias("article_number")).agg(F.array_join(ordered, " ").alias("rebuilt"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS problem, CAST(NULL AS VARCHAR) AS id WHERE false")
-def chunk_check(spark: SparkSession, sf: str) -> DataFrame:  # C11: no problems
-    articles, cfg = english(spark, sf), chunk.ChunkConfig()
-    return chunk.chunk_problems(chunk.chunk_articles(articles, cfg), articles, cfg)
-
-
 #: The window strategy in SQL: a header of eight words takes 12 of 510 tokens, so a chunk holds 355 words at 1.4 tokens.
 WINDOWS = (
     f"WITH d AS (SELECT doc_id AS id, len({WORDS}) AS n FROM documents), c AS (SELECT id, n, unnest(generate_series(0, (n - 1) // 355)) AS i FROM d WHERE n > 0), "
@@ -134,6 +128,13 @@ WINDOWS = (
 )
 
 
+@query(WINDOWS + "SELECT 'language' AS problem, 'art' || lpad(CAST(id AS VARCHAR), CAST(greatest(4, length(CAST(id AS VARCHAR))) AS INTEGER), '0') || '-en-' || lpad(CAST(i AS VARCHAR), CAST(greatest(2, length(CAST(i AS VARCHAR))) AS INTEGER), '0') AS id FROM c WHERE id % 11 = 0 UNION ALL SELECT 'text differs', CAST(id AS VARCHAR) FROM d WHERE n > 0 AND id % 11 = 0")
+def chunk_check(spark: SparkSession, sf: str) -> DataFrame:  # C11: the chunks of every eleventh document carry a wrong language, all others have no problems
+    articles, cfg = english(spark, sf), chunk.ChunkConfig(strategy="window")
+    wrong = F.when(F.col("article_number") % 11 == 0, "xx").otherwise(F.col("language"))
+    return chunk.chunk_problems(chunk.chunk_articles(articles, cfg).withColumn("language", wrong), articles, cfg)
+
+
 @query(
     WINDOWS + "SELECT count(*) AS total_chunks, 0::BIGINT AS language_ar, count(*) AS language_en, count(*) FILTER (WHERE n <= 355) AS chunk_type_article, count(*) FILTER (WHERE n > 355) AS chunk_type_article_part, 0::BIGINT AS chunk_type_repealed_notice, "
     "count(DISTINCT CASE WHEN n > 355 THEN id END) AS articles_split, min(k) AS min, quantile_cont(k, 0.5) AS median, round_even(avg(k), 1) AS mean, max(k) AS max, list_sort(list(k))[least(count(*), CAST(floor(count(*) * 0.95::DOUBLE) AS BIGINT) + 1)] AS p95 FROM t"

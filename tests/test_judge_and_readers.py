@@ -40,3 +40,17 @@ def test_gaps_and_spot_check(spark):
     rows = spark.createDataFrame([(n, "a", "b") for n in (1, 2, 5, 6, 9)], "article_number int, text_ar string, text_en string")
     assert sorted(r[0] for r in chunk.gaps(rows).collect()) == [2, 6]
     assert 9 in [r["article_number"] for r in evaluate.spot_check(rows, [9], 2).collect()]
+
+
+def test_a_scorer_that_fails_gives_null():
+    from qanat.operators.judge import tried
+
+    calls = []
+
+    def flaky(a, b):
+        calls.append(a)
+        if len(calls) == 1 or a == "bad":
+            raise ValueError(a)
+        return 0.5
+
+    assert tried(flaky, "good", "x") == 0.5 and len(calls) == 2 and tried(flaky, "bad", "x") is None
