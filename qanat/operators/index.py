@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +101,20 @@ def counts(table: DataFrame) -> DataFrame:
     return table.agg(F.count("*").alias("chunks"), F.countDistinct("article_number").alias("articles"))
 
 
+def health(read: Callable[[], DataFrame], cache: dict[str, float | dict], now: float, ttl: float = 60) -> dict:
+    """Counts of the table and whether it serves; counted again only when the last good count is older than ttl seconds.
+
+    A table that can't be read is unhealthy, with the failure as detail, and leaves the cache as it is.
+    """
+    if "counts" not in cache or now - cache["at"] > ttl:
+        try:
+            cache |= {"at": now, "counts": counts(read()).head().asDict()}
+        except PySparkException as e:
+            return {"status": "unhealthy", "chunks": 0, "articles": 0, "documents": 0, "detail": str(e)}
+    found = cache["counts"]
+    return {"status": "healthy" if found["articles"] > 0 else "unhealthy", **found, "documents": found["articles"], "detail": None}
+
+
 def missing(numbers: DataFrame, table: DataFrame) -> DataFrame:
     """Article numbers without a row in the table."""
     return numbers.select("article_number").distinct().join(table, "article_number", "left_anti")

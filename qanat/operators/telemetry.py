@@ -1,8 +1,9 @@
-"""Time series: rates, histograms and their quantiles, alerts with a duration, canary analysis, drift, moving averages."""
+"""Time series: rates, histograms and their quantiles, alerts with a duration, canary analysis, drift, moving averages, timings of requests."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qanat.functions.vectors import dot, norm, unit
@@ -23,20 +24,28 @@ def increases(samples: DataFrame, series: list[str], slot: Column | None = None)
         known = cut.withColumn("_before", inside["value"])
     else:
         ends = cut.groupBy(*series, "_slot").agg(F.max_by(F.struct("value"), "ts").alias("end"))
-        carried = ends.withColumn("_end", F.lag("end").over(Window.partitionBy(*series).orderBy("_slot")))
-        carried = carried.select(*[F.col(c).alias(f"_{c}") for c in series], F.col("_slot").alias("_own"), "_end")
-        same = F.col("_slot").eqNullSafe(F.col("_own"))
-        for c in series:
-            same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-        known = cut.withColumn("_in", inside).join(carried, same, "left").withColumn("_before", F.coalesce("_in", "_end")["value"])
+        carried = ends.withColumn("_end", F.lag("end").over(Window.partitionBy(*series).orderBy("_slot"))).drop("end")
+        known = _beside(cut.withColumn("_in", inside), carried, [*series, "_slot"]).withColumn("_before", F.coalesce("_in", "_end")["value"])
     before = F.col("_before")
     delta = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
     return known.withColumn("delta", delta).select(*samples.columns, "delta")
 
 
+def _beside(rows: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with what is known of its part; keys may be null."""
+    named = parts.withColumnsRenamed({c: f"_key{i}" for i, c in enumerate(keys)})
+    same = [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(keys)]
+    return rows.join(named, same, "left").drop(*[f"_key{i}" for i in range(len(keys))])
+
+
 def over_windows(deltas: DataFrame, by: list[str], length: str, step: str, per_second: bool) -> DataFrame:
-    """Sums of delta in sliding windows; per second for a rate, else an increase."""
+    """Sums of delta in sliding windows; per second for a rate, else an increase. length is a whole number of steps.
+
+    Samples are summed by step first, so what falls into many windows is a sum for each step, not each sample.
+    """
     seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
+    if length != step:
+        deltas = deltas.groupBy(F.window("ts", step).alias("w"), *by).agg(F.sum("delta").alias("delta")).withColumn("ts", F.col("w.start"))
     out = deltas.groupBy(F.window("ts", length, step).alias("w"), *by).agg(F.sum("delta").alias("total"))
     return out.select(F.col("w.end").alias("at"), *by, (F.col("total") / seconds if per_second else F.col("total")).alias("value"))
 
@@ -63,14 +72,22 @@ def latest(samples: DataFrame, by: list[str]) -> DataFrame:
     return samples.groupBy(*by).agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
 
 
-def alerts_for(samples: DataFrame, breach: Column, hold: int, by: list[str]) -> DataFrame:
-    """Breaches that have lasted ``hold`` seconds: (by.., since, fired, until, n) for each run of breaching samples."""
-    w = Window.partitionBy(*by).orderBy("ts")
-    flagged = samples.withColumn("bad", F.coalesce(breach, F.lit(False)))
-    runs = flagged.withColumn("run", F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(w)).filter("bad")
-    spans = runs.groupBy(*by, "run").agg(F.min("ts").alias("since"), F.max("ts").alias("until"), F.count("*").alias("n"))
-    lasted = F.unix_timestamp("until") - F.unix_timestamp("since") >= hold
-    return spans.filter(lasted).select(*by, "since", (F.unix_timestamp("since") + hold).alias("fired"), F.unix_timestamp("until").alias("until"), "n")
+def alerts_for(samples: DataFrame, breach: Column, hold: int, by: list[str], order: str = "ts", slot: Column | None = None) -> DataFrame:
+    """Breaches that have lasted ``hold`` seconds: (by.., since, fired, until, n), in seconds, for each run of breaching samples.
+
+    order tells samples of one ts apart. slot, which must not fall in that order, cuts long series into parts that are
+    read apart: a run is known by how many good samples precede it, and each part adds those of the parts before it.
+    """
+    flagged = samples.withColumns({"_bad": F.coalesce(breach, F.lit(False)), "_slot": F.lit(0) if slot is None else slot})
+    good = F.sum(F.when(F.col("_bad"), 0).otherwise(1))
+    runs = flagged.withColumn("_run", good.over(Window.partitionBy(*by, "_slot").orderBy(order)))
+    if slot is not None:
+        totals = flagged.groupBy(*by, "_slot").agg(good.alias("_good"))
+        earlier = totals.withColumn("_earlier", F.sum("_good").over(Window.partitionBy(*by).orderBy("_slot")) - F.col("_good")).drop("_good")
+        runs = _beside(runs, earlier, [*by, "_slot"]).withColumn("_run", F.col("_run") + F.col("_earlier"))
+    seconds = F.unix_timestamp("ts")
+    spans = runs.filter("_bad").groupBy(*by, "_run").agg(F.min(seconds).alias("since"), F.max(seconds).alias("until"), F.count("*").alias("n"))
+    return spans.filter(F.col("until") - F.col("since") >= hold).select(*by, "since", (F.col("since") + hold).alias("fired"), "until", "n")
 
 
 def repeated(alerts: DataFrame, by: list[str], every: int) -> DataFrame:
@@ -87,7 +104,34 @@ def canary(rows: DataFrame, step: str = "1 minute", most_p95: float = 10.0, most
 
 
 def split_traffic(key: Column, percent: int = 10) -> Column:
-    return F.when(F.pmod(F.xxhash64(key), F.lit(100)) < percent, "canary").otherwise("stable")
+    """Which side a key goes to, by the first 32 bits of its MD5: the same side in every run and engine."""
+    place = F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 100
+    return F.when(place < percent, "canary").otherwise("stable")
+
+
+def request_timings(marks: DataFrame, by: list[str], stages: dict[str, Column]) -> DataFrame:
+    """(by.., ts) -> (by.., latency, a column for each stage): seconds from a request's first mark to its last, and to
+    the first mark of each stage; null for a stage that a request does not reach."""
+    clock = F.unix_micros("ts")
+    spans = {"latency": F.max(clock), **{name: F.min(F.when(mark, clock)) for name, mark in stages.items()}}
+    found = marks.groupBy(*by).agg(F.min(clock).alias("_start"), *[x.alias(name) for name, x in spans.items()])
+    return found.select(*by, *[((F.col(name) - F.col("_start")) / 1e6).alias(name) for name in spans])
+
+
+def save_reference(rows: DataFrame, path: str) -> None:
+    """The centroid of all vectors, for ``monitor``."""
+    centroid(rows, []).write.mode("overwrite").parquet(path)
+
+
+def monitor(spark: SparkSession, path: str, window: int = 100, threshold: float = 0.15) -> dict | None:
+    """Reference and settings of a drift monitor; none, so no monitoring, where no reference was saved."""
+    try:
+        found = spark.read.parquet(path).head()  # one vector
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return {"reference": found["centroid"], "window": window, "threshold": threshold}
 
 
 def moving_average(rows: DataFrame, by: list[str], order: str, value: str, alpha: float = 0.2) -> DataFrame:

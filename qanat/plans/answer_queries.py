@@ -78,7 +78,13 @@ def citation_dedupe(spark: SparkSession, sf: str) -> DataFrame:  # G5 R23
     return A.prompts(questions, _sources(spark, sf), SYSTEM).select("qid", "sources")
 
 
-@query()
+PROMPT = f"'{SYSTEM}' || chr(10) || chr(10) || 'SOURCES:' || chr(10) || context || chr(10) || chr(10) || 'QUESTION:' || chr(10) || n.n_name || chr(10) || chr(10) || 'Answer in the language of the question, from these sources alone, and name the articles.' || chr(10)"
+
+
+@query(
+    BLOCKS + f", w AS (SELECT qid, arg_min(c, rank) || ': ' || arg_min(t, rank) AS answer FROM s GROUP BY qid), p AS (SELECT n.n_nationkey::BIGINT AS qid, {PROMPT} AS prompt, w.answer, coalesce(cites, []) AS sources FROM nation n LEFT JOIN j ON j.qid = n.n_nationkey LEFT JOIN l ON l.qid = n.n_nationkey LEFT JOIN w ON w.qid = n.n_nationkey) "
+    f"SELECT qid, coalesce(answer, '{A.NO_SOURCES}') AS answer, sources, coalesce({TOKENS.format('prompt')}, 0) * CAST(prompt IS NOT NULL AS INTEGER) AS input_tokens, coalesce({TOKENS.format('answer')}, 0) * CAST(prompt IS NOT NULL AS INTEGER) AS output_tokens, 0.0::DOUBLE AS cost_usd FROM p"
+)
 def answers(spark: SparkSession, sf: str) -> DataFrame:  # G6 G8 G9
     questions = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("qid"), F.col("n_name").alias("question"))
     return A.answers(A.prompts(questions, _sources(spark, sf), SYSTEM)).select("qid", "answer", "sources", "input_tokens", "output_tokens", "cost_usd")
@@ -121,7 +127,7 @@ def cost_join(spark: SparkSession, sf: str) -> DataFrame:  # G11 as a join with
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN 'span' ELSE 'event' END AS kind FROM conversations")
-def trace_kinds(spark: SparkSession, sf: str) -> DataFrame:  # K13 T17
+def trace_kinds(spark: SparkSession, sf: str) -> DataFrame:  # K13
     return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.length("text") > 200, "span").otherwise("event").alias("kind"))
 
 

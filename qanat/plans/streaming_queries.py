@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qanat.operators import telemetry
-from qanat.plans import telemetry_queries  # noqa: F401
+from qanat.plans import telemetry_queries
 from qanat.plans.base import ORACLE_SQL, query
 from qanat.sources.tables import table
 from qanat.streaming import stateful
@@ -29,17 +29,16 @@ def stream_ema(spark: SparkSession, sf: str) -> DataFrame:  # T4 as a stream
     return out.select(F.col("stream").cast("long").alias("user_id"), F.round("ema", 6).alias("ema"), "n")
 
 
-@query(
-    "WITH v AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS r FROM embeddings) SELECT CAST(label AS VARCHAR) AS stream, CAST(count(*) AS INTEGER) AS n FROM v WHERE r <= 100 GROUP BY label HAVING count(*) >= 20"
-)
-def stream_drift(spark: SparkSession, sf: str) -> DataFrame:  # T2 T3 as a stream: how many vectors each label's window holds
+@query(telemetry_queries.LAST + "SELECT CAST(label AS VARCHAR) AS stream, CAST(n AS INTEGER) AS n, round(drift, 6) AS drift, round(similarity, 6) AS similarity, round(1 - similarity, 6) AS similarity_drop, drift > 0.15 AS alert FROM q JOIN g USING (label) WHERE n >= 20")
+def stream_drift(spark: SparkSession, sf: str) -> DataFrame:  # T2 T3 as a stream: each label's last vectors against the centroid of all
     middle = telemetry.centroid(table(spark, sf, "embeddings"), []).head()["centroid"]  # one vector
     rows = source(spark, sf, "embeddings").select(F.col("label").cast("string").alias("stream"), F.col("vec_id").alias("seq"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return latest(finished(stateful.drift_stream(rows, middle, 1.0), "update"), ["stream"]).select("stream", "n")
+    out = latest(finished(stateful.drift_stream(rows, middle, 1.0), "update"), ["stream"])
+    return out.select("stream", "n", *[F.round(c, 6).alias(c) for c in ("drift", "similarity", "similarity_drop")], "alert")
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS request, ltrim(string_agg(text, '' ORDER BY turn)) AS text FROM conversations GROUP BY conv_id")
-def stream_thinking(spark: SparkSession, sf: str) -> DataFrame:  # O12 T17
+def stream_thinking(spark: SparkSession, sf: str) -> DataFrame:  # O12
     return _thinking(spark, sf)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qanat.functions.vectors import dot, unit
@@ -47,9 +47,9 @@ def _deltas(spark: SparkSession, sf: str) -> DataFrame:
     return T.increases(rows, ["event_type"], F.floor(F.col("ts.s") / 86400)).select("event_type", F.col("time").alias("ts"), "delta")
 
 
-@query(COUNTER + " SELECT event_type, (ts // 300 + 1) * 300 AS at, round(sum(delta) / 300.0::DOUBLE, 6) AS value FROM i GROUP BY 1, 2")
+@query(COUNTER + " SELECT event_type, (ts // 15 + k) * 15 AS at, round(sum(delta) / 300.0::DOUBLE, 6) AS value FROM i, generate_series(1, 20) s(k) GROUP BY 1, 2")
 def rate_5m(spark: SparkSession, sf: str) -> DataFrame:  # T6
-    out = T.over_windows(_deltas(spark, sf), ["event_type"], "5 minutes", "5 minutes", per_second=True)
+    out = T.over_windows(_deltas(spark, sf), ["event_type"], "5 minutes", "15 seconds", per_second=True)
     return out.select("event_type", F.unix_timestamp("at").alias("at"), F.round("value", 6).alias("value"))
 
 
@@ -78,11 +78,8 @@ ALERTS = (
 
 
 def _alerts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = events(spark, sf).select("event_type", "value", F.col("ts").alias("time"), F.struct("ts", "event_id").alias("ts"))
-    w = Window.partitionBy("event_type").orderBy("ts")
-    runs = rows.withColumn("bad", F.col("value") > 50)
-    spans = runs.withColumn("run", F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(w)).filter("bad").groupBy("event_type", "run").agg(F.unix_timestamp(F.min("time")).alias("since"), F.unix_timestamp(F.max("time")).alias("until"), F.count("*").alias("n"))
-    return spans.filter("until - since >= 300").select("event_type", "since", (F.col("since") + 300).alias("fired"), "until", "n")
+    rows = events(spark, sf).select("event_type", "value", "ts", F.struct("ts", "event_id").alias("at"))
+    return T.alerts_for(rows, F.col("value") > 50, 300, ["event_type"], "at", F.to_date("ts"))
 
 
 @query(ALERTS + " SELECT event_type, since, since + 300 AS fired, until, n FROM a WHERE until - since >= 300")
@@ -109,7 +106,7 @@ def canary_analysis(spark: SparkSession, sf: str) -> DataFrame:  # T13
     return T.canary(events(spark, sf).select("ts", F.col("value").alias("latency"), (F.col("event_type") == "error").alias("error")), "1 day")
 
 
-@query()
+@query("SELECT CASE WHEN ('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8))::BIGINT % 100 < 10 THEN 'canary' ELSE 'stable' END AS side, count(*) AS n FROM events GROUP BY 1")
 def traffic_split(spark: SparkSession, sf: str) -> DataFrame:  # T14
     return events(spark, sf).groupBy(T.split_traffic(F.col("event_id")).alias("side")).agg(F.count("*").alias("n"))
 
@@ -152,9 +149,43 @@ def drift_by_label(spark: SparkSession, sf: str) -> DataFrame:  # T2 T3: each la
     return out.select("label", "n", F.round("drift", 6).alias("drift"), F.round("similarity", 6).alias("similarity"), "alert")
 
 
-@query("SELECT label, count(*) AS n, min(vec_id) AS first FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS r FROM embeddings) WHERE r <= 20 GROUP BY label")
+#: The last hundred vectors of each label against the centroid of all.
+LAST = (
+    UNITS + ", k AS (SELECT vec_id FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS r FROM embeddings) WHERE r <= 100), l AS (SELECT p.* FROM p SEMI JOIN k USING (vec_id)), "
+    "s AS (SELECT label, vec_id, sum(l.x * ac.x) AS d FROM l JOIN ac USING (i) GROUP BY 1, 2), q AS (SELECT label, avg(d) AS similarity, count(*) AS n FROM s GROUP BY label), "
+    "wm AS (SELECT label, i, avg(x) AS x FROM l GROUP BY 1, 2), wn AS (SELECT label, sqrt(sum(x * x)) AS size FROM wm GROUP BY label), "
+    "g AS (SELECT label, 1 - sum(wm.x * ac.x) / any_value(size) AS drift FROM wm JOIN wn USING (label) JOIN ac USING (i) GROUP BY label) "
+)
+
+
+@query(LAST + "SELECT label, n, round(CASE WHEN n >= 20 THEN drift END, 6) AS drift, round(CASE WHEN n >= 20 THEN similarity END, 6) AS similarity, CASE WHEN n >= 20 THEN drift > 0.15 END AS alert FROM q JOIN g USING (label)")
 def drift_window(spark: SparkSession, sf: str) -> DataFrame:  # T2: the last vectors of each stream
-    return T.last_window(table(spark, sf, "embeddings"), ["label"], "vec_id", 20).groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
+    ref = _reference(spark, sf).head()["ref"]  # one vector
+    last = T.last_window(table(spark, sf, "embeddings"), ["label"], "vec_id")
+    out = T.drift(last, F.array(*[F.lit(float(x)) for x in ref]), F.lit(1.0), by=["label"])
+    return out.select("label", "n", F.round("drift", 6).alias("drift"), F.round("similarity", 6).alias("similarity"), "alert")
+
+
+@query(UNITS + " SELECT 'saved' AS monitor, true AS enabled, 100 AS window_size, 0.15::DOUBLE AS threshold, round(sum(x), 6) AS reference_sum FROM ac UNION ALL SELECT 'absent', false, NULL, NULL, NULL")
+def drift_monitors(spark: SparkSession, sf: str) -> DataFrame:  # T2b: with a saved reference, and where none was saved
+    from qanat.plans.table_queries import folder
+
+    path = folder(spark)
+    T.save_reference(table(spark, sf, "embeddings"), path)
+    found = {"saved": T.monitor(spark, path), "absent": T.monitor(spark, f"{path}-absent")}
+    rows = [(k, m is not None, m and m["window"], m and m["threshold"], m and sum(m["reference"])) for k, m in found.items()]
+    out = spark.createDataFrame(rows, "monitor string, enabled boolean, window_size int, threshold double, reference_sum double")
+    return out.withColumn("reference_sum", F.round("reference_sum", 6))
+
+
+@query(
+    "WITH m AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, min(epoch_us(ts)) AS s, max(epoch_us(ts)) AS e, min(epoch_us(ts)) FILTER (WHERE event_type = 'view') AS v, min(epoch_us(ts)) FILTER (WHERE event_type = 'click') AS c FROM events GROUP BY 1, 2) "
+    "SELECT user_id, day, round((e - s) / 1e6::DOUBLE, 6) AS latency, round((v - s) / 1e6::DOUBLE, 6) AS retrieval, round((c - s) / 1e6::DOUBLE, 6) AS ttft FROM m"
+)
+def request_timings(spark: SparkSession, sf: str) -> DataFrame:  # T17: a user's day is a request, its first view the end of retrieval, its first click the first token
+    marks = events(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    out = T.request_timings(marks, ["user_id", "day"], {"retrieval": F.col("event_type") == "view", "ttft": F.col("event_type") == "click"})
+    return out.select("user_id", "day", *[F.round(c, 6).alias(c) for c in ("latency", "retrieval", "ttft")])
 
 
 @query(
@@ -171,8 +202,15 @@ def exposition(spark: SparkSession, sf: str) -> DataFrame:  # K16
     return T.exposition(rows.select(F.lit("requests_total").alias("metric"), F.create_map(F.lit("status"), F.col("event_type")).alias("labels"), "value"))
 
 
-@query("SELECT count(*) AS chunks, count(DISTINCT label) AS articles, count(DISTINCT label) > 0 AS healthy FROM embeddings")
-def health(spark: SparkSession, sf: str) -> DataFrame:  # T15
-    from qanat.operators.index import counts
-
-    return counts(table(spark, sf, "embeddings").withColumnRenamed("label", "article_number")).withColumn("healthy", F.col("articles") > 0)
+@query(
+    "WITH c AS (SELECT count(*) AS chunks, count(DISTINCT label) AS articles FROM embeddings) SELECT 'there' AS place, 'healthy' AS status, chunks, articles, articles AS documents, false AS failed FROM c "
+    "UNION ALL SELECT 'empty', 'unhealthy', 0, 0, 0, false UNION ALL SELECT 'absent', 'unhealthy', 0, 0, 0, true"
+)
+def health(spark: SparkSession, sf: str) -> DataFrame:  # T15: of a table, of one without rows and of one that is not there
+    from qanat.operators import index
+
+    chunks = table(spark, sf, "embeddings").withColumnRenamed("label", "article_number")
+    places = {"there": lambda: chunks, "empty": lambda: chunks.filter("false"), "absent": lambda: spark.read.parquet(f"{sf}/absent.parquet")}
+    found = [(k, index.health(read, {}, 0.0)) for k, read in places.items()]
+    rows = [(k, h["status"], h["chunks"], h["articles"], h["documents"], h["detail"] is not None) for k, h in found]
+    return spark.createDataFrame(rows, "place string, status string, chunks long, articles long, documents long, failed boolean")

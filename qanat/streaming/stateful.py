@@ -16,13 +16,15 @@ OPEN, CLOSE = "<think>", "</think>"
 def drift_stream(rows: DataFrame, reference: list[float], baseline: float, window: int = 100, least: int = 20, threshold: float = 0.15) -> DataFrame:
     """(stream, seq, embedding) -> drift of each stream's last vectors after each batch, once there are enough.
 
-    State is the last ``window`` unit vectors of a stream.
+    State is the last ``window`` unit vectors of a stream; while a batch is read, no more of it is kept.
     """
     middle = np.asarray(reference, np.float64)
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = np.frombuffer(state.get[0], np.float64).reshape(-1, len(middle)) if state.exists else np.zeros((0, len(middle)))
-        new = pd.concat(list(parts)).sort_values("seq")
+        new = None
+        for part in parts:
+            new = (part if new is None else pd.concat((new, part))).sort_values("seq").tail(window)
         vectors = np.array(new["embedding"].tolist(), np.float64)
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         held = np.concatenate((held, vectors))[-window:]

@@ -185,3 +185,77 @@ def test_result_rows_have_every_column(spark):
     got = retrieve.result_rows(row.withColumn("extra", F.lit(1)))
     assert got.columns[:3] == ["qid", "article_number", "score"] and set(got.columns[3:]) == set(retrieve.RESULT)
     assert (got.head()["book"], got.head()["is_repealed"], got.head()["source_page"]) == ("b", False, None)
+
+
+def test_alerts_by_parts_equal_alerts_in_one(spark):
+    import random
+
+    rng = random.Random(3)
+    rows, t = [], 0
+    for i in range(600):
+        t += rng.choice([0, 40, 200])
+        rows.append((rng.choice(["a", None]), t, i, rng.choice([10.0, 60.0, 60.0, 60.0, None])))
+    samples = spark.createDataFrame(rows, "series string, s long, i long, value double").withColumn("ts", F.timestamp_seconds("s")).withColumn("at", F.struct("s", "i"))
+    whole = telemetry.alerts_for(samples, F.col("value") > 50, 300, ["series"], "at").collect()
+    parts = telemetry.alerts_for(samples, F.col("value") > 50, 300, ["series"], "at", F.floor(F.col("s") / 3000)).collect()
+    want = []
+    for name in ("a", None):
+        run = []
+        for r in [*[r for r in rows if r[0] == name], (name, 0, 0, 0.0)]:
+            if r[3] is not None and r[3] > 50:
+                run.append(r[1])
+            else:
+                if run and run[-1] - run[0] >= 300:
+                    want.append((name, run[0], run[0] + 300, run[-1], len(run)))
+                run = []
+    assert len(want) > 5
+    assert sorted(map(tuple, whole), key=repr) == sorted(map(tuple, parts), key=repr) == sorted(want, key=repr)
+
+
+def test_rates_summed_by_step_first(spark):
+    deltas = spark.createDataFrame([("a", 0, 1.0), ("a", 14, 2.0), ("a", 15, 4.0), ("a", 310, 8.0)], "series string, s long, delta double").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r["s"]: r["value"] for r in telemetry.over_windows(deltas, ["series"], "5 minutes", "15 seconds", per_second=False).select(F.unix_timestamp("at").alias("s"), "value").collect()}
+    want = {e: sum(d for s, d in ((0, 1), (14, 2), (15, 4), (310, 8)) if e - 300 <= s < e) for e in range(15, 615, 15)}
+    assert got == {e: v for e, v in want.items() if v}
+
+
+def test_request_timings_of_missing_stages(spark):
+    marks = spark.createDataFrame([(1, 10.0, "ask"), (1, 10.5, "found"), (1, 12.0, "done"), (2, 3.0, "ask")], "q long, s double, kind string").withColumn("ts", F.col("s").cast("timestamp"))
+    got = telemetry.request_timings(marks, ["q"], {"retrieval": F.col("kind") == "found"}).collect()
+    assert sorted(map(tuple, got)) == [(1, 2.0, 0.5), (2, 0.0, None)]
+
+
+def test_health_counts_again_after_its_time(spark):
+    rows, cache, reads = spark.createDataFrame([(1,), (1,), (2,)], "article_number int"), {}, []
+
+    def read():
+        reads.append(1)
+        return rows
+
+    assert index.health(read, cache, 100.0)["articles"] == 2
+    assert index.health(read, cache, 160.0)["chunks"] == 3 and len(reads) == 1
+    assert index.health(read, cache, 161.0)["status"] == "healthy" and len(reads) == 2
+    gone = index.health(lambda: spark.read.parquet("/nowhere"), cache, 300.0)
+    assert (gone["status"], gone["chunks"], cache["at"]) == ("unhealthy", 0, 161.0)
+
+
+def test_no_monitor_without_a_reference(spark, tmp_path):
+    telemetry.save_reference(spark.createDataFrame([([3.0, 0.0],), ([0.0, 2.0],)], "embedding array<double>"), f"{tmp_path}/r")
+    found = telemetry.monitor(spark, f"{tmp_path}/r", window=5)
+    assert [round(x, 6) for x in found["reference"]] == [0.707107] * 2 and (found["window"], found["threshold"]) == (5, 0.15)
+    assert telemetry.monitor(spark, f"{tmp_path}/none") is None
+
+
+def test_hash_embedding_by_hand(spark):
+    import hashlib
+
+    texts = ["One two two", "", "x " * 300]
+    got = {r["text"]: r["embedding"] for r in index.embed(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()}
+    for t in (texts[0], texts[2]):
+        want = [0.0] * 64
+        for w in t.lower().split():
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            want[h % 64] += 1 if h >= 2**63 else -1
+        size = math.sqrt(sum(x * x for x in want))
+        assert got[t] == pytest.approx([x / size for x in want], abs=1e-6)
+    assert len(got) == 2
