@@ -311,3 +311,34 @@ def test_html_table_cases(spark):
     assert [r["text"] for r in html.extract(rows).collect()] == ["", "", ""] and html.extract(rows.limit(0)).count() == 0
     more = spark.createDataFrame([(1, "u", "<p>a, b</p>", "t", 5)], "page_id long, url string, html string, text string, n_chars int")
     assert [tuple(r) for r in html.extract(more).collect()] == [(1, "u", "a, b")]
+
+
+def test_url_scores_equal_plain_ones(spark):
+    good = ["https://a.org/one", "https://a.org/one", "https://b.org/é?x=1", "", None]
+    bad = ["http://spam.de/win", "http://spam.de/win/now"]
+    asked = ["https://a.org/win", None, "", "http://spam.de/" + "x" * 300, "é"]
+
+    def places(url):
+        data = bytes(urls.ORDER) + (url or "").encode() + b"\n"
+        return [[(k, data[i - k : i], data[i]) for k in range(urls.ORDER + 1)] for i in range(urls.ORDER, len(data))]
+
+    def model(known):
+        n, full = {}, {}
+        for u in known:
+            for k, context, byte in (x for at in places(u) for x in at):
+                n[k, context] = n.get((k, context), 0) + 1
+                full[k, context, byte] = full.get((k, context, byte), 0) + 1
+
+        def log_p(at):
+            p = 1 / 256
+            for k, context, byte in at:
+                p = (full.get((k, context, byte), 0) + urls.PRIOR * p) / (n.get((k, context), 0) + urls.PRIOR)
+            return np.log(p)
+
+        return log_p
+
+    counts = urls.counted(spark.createDataFrame([(u, True) for u in good] + [(u, False) for u in bad], "url string, good boolean"))
+    got = {r["i"]: r["score"] for r in urls.scored(spark.createDataFrame(list(enumerate(asked)), "i int, url string"), counts).collect()}
+    accepted, rejected = model(good), model(bad)
+    want = {i: np.mean([accepted(at) - rejected(at) for at in places(u)]) for i, u in enumerate(asked)}
+    assert got == pytest.approx(want, abs=1e-9)
