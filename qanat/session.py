@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path of this name in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared checkpoint folder; unlike a checkpoint it can be read by column."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame, most: int) -> DataFrame:
     """``df`` to be broadcast if it has ``most`` rows or fewer, else as it is; it is counted, so it should be written already."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
