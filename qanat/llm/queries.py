@@ -11,6 +11,7 @@ from qanat.llm.exact_dedup import exact_dedup
 from qanat.llm.html import extract
 from qanat.llm.jaccard_join import jaccard_components
 from qanat.llm.language_id import identify
+from qanat.llm.line_dedup import applied, line_dedup
 from qanat.llm.mixing import mix
 from qanat.llm.packing import pack
 from qanat.llm.sharding import shard
@@ -155,3 +156,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spread(table(spark, sf_dir, "pages"))).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@register
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    left = applied(docs, line_dedup(docs, least_points=40, least_docs=5))
+    return left.select("_doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op12_line_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+e AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM e),
+c AS (
+  SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key
+  HAVING count(DISTINCT doc_id) + CASE WHEN count(*) > count(doc_id) THEN 1 ELSE 0 END >= 5)
+SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (c.key IS NOT NULL AND c.last IS DISTINCT FROM k.doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (c.key IS NULL OR c.last IS NOT DISTINCT FROM k.doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN c ON k.key = c.key GROUP BY k.r, k.doc_id
+"""
