@@ -11,9 +11,11 @@ from qanat.llm.exact_dedup import exact_dedup
 from qanat.llm.html import extract
 from qanat.llm.jaccard_join import jaccard_components
 from qanat.llm.language_id import identify
+from qanat.llm.lexical import ranked
 from qanat.llm.line_dedup import applied, line_dedup
 from qanat.llm.mixing import mix
 from qanat.llm.packing import pack
+from qanat.llm.repair import repair, summary
 from qanat.llm.sharding import shard
 from qanat.llm.topk import top_k
 from qanat.llm.toxicity import toxicity
@@ -178,3 +180,34 @@ SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (c.key IS NOT NULL AND c.l
        sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (c.key IS NULL OR c.last IS NOT DISTINCT FROM k.doc_id), '')) AS kept_sha256
 FROM k LEFT JOIN c ON k.key = c.key GROUP BY k.r, k.doc_id
 """
+
+
+@register
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLE_SQL["op11_ranked_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+size AS (SELECT r, doc_id, CAST(len(t) AS BIGINT) AS n FROM d WHERE len(t) > 0),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM size),
+tf AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (
+  SELECT item_id, term, CAST(count(*) AS BIGINT) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+s AS (
+  SELECT q.item_id, size.r, size.doc_id,
+         CAST(sum(q.times * CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df.df + 1 AS DOUBLE))) AS BIGINT)
+                  * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (25 + (75 * size.n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN df ON df.term = q.term JOIN tf ON tf.term = q.term JOIN size ON size.r = tf.r, whole
+  GROUP BY q.item_id, size.r, size.doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
+@register
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(repair(table(spark, sf_dir, "conversations")))

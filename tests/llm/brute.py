@@ -1,7 +1,11 @@
 """Plain versions of the operators, for small tables."""
 
+import functools
+import hashlib
 import html
+import math
 import re
+import zlib
 from collections import Counter
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -88,3 +92,97 @@ def page_text(page):
         n += 1
     top = kept[0][: n - (len(kept) == 1)] if kept else ()
     return "\n".join(t for p, (t, s) in zip(paths, blocks) if ratio[p] >= cut or top and top[-1][0].split()[0] not in ("html", "body") and s[: len(top)] == top)
+
+
+def line_dedup(rows, least_points=40, least_docs=5):
+    """[(id, lines, lines that go, sha256 of what stays)] in the order of rows."""
+    key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
+    split = [(i, (t or "").split("\n")) for i, t in rows]
+    held = {}
+    for i, lines in split:
+        for k in map(key, lines):
+            if len(k) >= least_points:
+                held.setdefault(k, set()).add(i)
+    last = {k: max(ids, key=lambda i: (i is not None, i or 0)) for k, ids in held.items() if len(ids) >= least_docs}
+    out = []
+    for i, lines in split:
+        stay = [x for x in lines if last.get(key(x), i) == i]
+        out.append((i, len(lines), len(lines) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()))
+    return out
+
+
+def search(docs, items, k=10):
+    """{(item, rank, doc, score)}."""
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    held = [(i, Counter(terms(t))) for i, t in docs]
+    held = [(i, c, sum(c.values())) for i, c in held if c]
+    n_docs, n_terms = len(held), sum(n for _, _, n in held)
+    df = Counter(t for _, c, _ in held for t in c)
+    asked = {}
+    for i, t in items:
+        asked.setdefault(i, Counter()).update(terms(t))
+    out = set()
+    for item, want in asked.items():
+        found = []
+        for i, c, n in held:
+            m = 25 + 75 * n * n_docs // n_terms
+            s = sum(r * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t, r in want.items() if t in c)
+            if s > 0:
+                found.append((-s, i is None, i or 0, i))
+        out |= {(item, r + 1, i, -s) for r, (s, _, _, i) in enumerate(sorted(found)[:k])}
+    return out
+
+
+def damage(rows):
+    out = []
+    for row in rows:
+        conv, turn, role, text = (" " if x is None else x for x in row)
+        kind = zlib.crc32(f"{conv}:{turn}".encode()) % 20
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        out += [(row[0], row[1], "user" if kind == 4 else role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    return out
+
+
+def repair(rows):
+    """{conv: (gaps, blank, duplicate, truncated, illegal, cost, audit, sha256)} by trying every edit."""
+    out = {}
+    turns = damage(rows)
+    for conv in {r[0] for r in rows}:
+        own = sorted((r[1:] for r in turns if r[0] == conv), key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2]))
+        faults, seen = [], set()
+        for _, role, text in own:
+            bare = re.sub(r"[\x20\x09-\x0D]+$", "", text)
+            faults.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else None)
+            seen.add((role, text))
+        follow = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+
+        @functools.cache
+        def best(k, state, inserted):
+            ways = [(0, "", "")] if k == len(own) and state in ("", "a") else []
+
+            def add(price, letter, to, inserted, text):
+                c, audit, rest = best(to[0], to[1], inserted)
+                ways.append((c + price, letter + audit, text + rest))
+
+            for letter, name in (("u", "user"), ("a", "assistant")):
+                to = follow[state].get(letter)
+                if to and inserted < 3:
+                    add(5, "I", (k, to), inserted + 1, f"\n{name}:")
+                if to and k < len(own) and faults[k] not in ("blank", "duplicate"):
+                    add(1 + 5 * (faults[k] == "truncated"), "R", (k + 1, to), 0, f"\n{name}:{own[k][2]}")
+            if k < len(own):
+                add(2, "D", (k + 1, state), 0, "")
+                to = follow[state].get(own[k][1][:1])
+                if to and faults[k] not in ("blank", "duplicate"):
+                    add(5 * (faults[k] == "truncated"), "K", (k + 1, to), 0, f"\n{own[k][1]}:{own[k][2]}")
+            return min(ways) if ways else (10**9, "", "")
+
+        cost, audit, text = best(0, "", 0)
+        numbers = {t for t, _, _ in own if t is not None}
+        pairs = [a[1][:1] + b[1][:1] for a, b in zip(own, own[1:], strict=False)]
+        out[conv] = (
+            max(numbers) - min(numbers) + 1 - len(numbers) if numbers else 0,
+            *(faults.count(f) for f in ("blank", "duplicate", "truncated")),
+            sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, hashlib.sha256(text[1:].encode()).hexdigest(),
+        )
+    return out
