@@ -278,7 +278,8 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 10, text: str = "text", k
         df = summed(held.select("terms").mapInArrow(frequencies(len(block.terms)), SCHEMA), len(block.terms))
         weight = np.array([math.floor(1000 * math.log((2 * all_["docs"] + 2) / (2 * int(x) + 1))) for x in df], np.int64)
         found = held.mapInArrow(scores(block, weight, all_["docs"], all_["terms"] or 1, k), FOUND)
-        found = merged(found.withColumn("part", F.floor(F.spark_partition_id() / FAN)), k, "number", "part").drop("rank")
+        found = checkpointed(found.withColumn("part", F.floor(F.spark_partition_id() / FAN)))  # k rows an item and task, sampled for ranges and then read
+        found = merged(found, k, "number", "part").drop("rank")
         named = spark.createDataFrame(pa.table({"number": pa.array(range(len(block.ids)), pa.int32()), "item_id": pa.array(block.ids, pa.int64())}))
         top = merged(found, k, "number").join(F.broadcast(named), "number").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
         out = top if out is None else out.unionByName(top)
