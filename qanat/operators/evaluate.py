@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qanat.operators.order import interpolated, order_statistics
+
 
 def hit_at(retrieved: Column, gold: Column, k: int) -> Column:
     """1 if any gold number is among the first k."""
@@ -59,22 +61,6 @@ def hit_rate(rows: DataFrame, empty: float | None = None) -> DataFrame:
     return rows.agg(F.coalesce(F.avg(hit), F.lit(empty).cast("double")).alias("hit_rate"), F.count(hit).alias("n"))
 
 
-def percentile_interpolated(x: Column, q: float) -> Column:
-    return F.percentile(x, q)
-
-
-def percentile_clipped(x: Column, q: float) -> Column:
-    """The sorted value number min(n - 1, floor(n q)), from 0."""
-    s = F.sort_array(F.collect_list(x))
-    return F.element_at(s, F.least(F.size(s), F.floor(F.size(s) * F.lit(q)) + 1).cast("int"))
-
-
-def percentile_lower(x: Column, q: float) -> Column:
-    """The sorted value number floor(q (n - 1)), from 0."""
-    s = F.sort_array(F.collect_list(x))
-    return F.element_at(s, (F.floor(F.lit(q) * (F.size(s) - 1)) + 1).cast("int"))
-
-
 def clipped_from_counts(cells: Column, q: float) -> Column:
     """The clipped percentile of values given as an array of (value, n), ascending: for groups of few distinct values."""
     total = F.aggregate(cells, F.lit(0).cast("long"), lambda s, c: s + c["n"])
@@ -101,14 +87,6 @@ def latest_of(rows: DataFrame, by: list[str], order: list[str], value: str) -> D
     return rows.groupBy(*by).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def ranked_percentile(rows: DataFrame, by: list[str], x: str, q: float, lower: bool = False) -> DataFrame:
-    """The same values by rank instead of by gathering a group: for groups that fit no task."""
-    w = Window.partitionBy(*by)
-    numbered = rows.filter(F.col(x).isNotNull()).withColumns({"_r": F.row_number().over(w.orderBy(x)), "_n": F.count("*").over(w)})
-    at = F.floor(F.lit(q) * (F.col("_n") - 1)) + 1 if lower else F.least(F.col("_n"), F.floor(F.col("_n") * F.lit(q)) + 1)
-    return numbered.filter(F.col("_r") == at).select(*by, F.col(x).alias("value"))
-
-
 def improvement(rows: DataFrame, before: str, after: str, metrics: list[str]) -> DataFrame:
     """(mode, metrics) -> (metric, before, after, delta)."""
     long = rows.unpivot(["mode"], metrics, "metric", "value")
@@ -139,7 +117,8 @@ def gate_problems(means: DataFrame, threshold: float, least: int, metric: str =
 
 def quantisation(rows: DataFrame, base: str, most_drop: float = 0.03) -> DataFrame:
     """(label, latency, output_tokens, wall, faithfulness) rows -> one row a label against the base label."""
-    own = rows.groupBy("label").agg(F.percentile("latency", 0.5).alias("p50"), F.percentile("latency", 0.95).alias("p95"), (F.sum("output_tokens") / F.max("wall")).alias("tokens_per_s"), F.avg("faithfulness").alias("faithfulness"))
+    means = rows.groupBy("label").agg((F.sum("output_tokens") / F.max("wall")).alias("tokens_per_s"), F.avg("faithfulness").alias("faithfulness"))
+    own = means.join(order_statistics(rows, ["label"], "latency", {"p50": interpolated(0.5), "p95": interpolated(0.95)}), "label", "left")
     first = own.filter(F.col("label") == base).select(F.col("p50").alias("base_p50"), F.col("faithfulness").alias("base_faithfulness"))
     drop = F.col("base_faithfulness") - F.col("faithfulness")
     return own.join(first, how="left").select("label", "p50", "p95", "tokens_per_s", "faithfulness", drop.alias("drop"), (drop < most_drop).alias("passed"), (F.col("base_p50") / F.col("p50")).alias("speed"))

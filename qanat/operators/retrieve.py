@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qanat.functions.text import detect_article
+from qanat.operators.order import placed
 
 #: Queries and vectors of a block, in expectation; blocks meet in tasks, STRIPE queries at a time.
 BLOCK, VECTORS, STRIPE = 8_192, 65_536, 128
@@ -168,18 +169,18 @@ def hard_negatives(hits: DataFrame, gold: DataFrame, n: int = 16) -> DataFrame:
 
 def even_subset(rows: DataFrame, order: str, n: int) -> DataFrame:
     """n rows at even distances: numbers floor(i * total / n) in order."""
-    numbered = rows.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1).withColumn("_t", F.count("*").over(Window.partitionBy()))
-    i = F.ceil(F.col("_i") * n / F.col("_t"))
-    return numbered.filter((i < n) & (F.floor(i * F.col("_t") / n) == F.col("_i"))).drop("_i", "_t")
+    numbered, total = placed(rows, [F.col(order)], "_i")
+    i = F.ceil(F.col("_i") * n / F.lit(float(max(1, total))))
+    return numbered.filter((i < n) & (F.floor(i * total / F.lit(float(n))) == F.col("_i"))).drop("_i")
 
 
 def alternate(rows: DataFrame, order: str) -> DataFrame:
-    """Adds side: reference and live in turn, in order; for question sets, which are small."""
-    nth = F.row_number().over(Window.orderBy(order)) - 1
-    return rows.withColumn("side", F.when(nth % 2 == 0, "reference").otherwise("live"))
+    """Adds side: reference and live in turn, in order."""
+    numbered, _ = placed(rows, [F.col(order)], "_i")
+    return numbered.withColumn("side", F.when(F.col("_i") % 2 == 0, "reference").otherwise("live")).drop("_i")
 
 
 def part_of(rows: DataFrame, order: str, start: int, limit: int | None = None) -> DataFrame:
     """Rows from number ``start`` on, in order, ``limit`` at most."""
-    rest = rows.orderBy(order).offset(start)
-    return rest if limit is None else rest.limit(limit)
+    numbered, total = placed(rows, [F.col(order)], "_i")
+    return numbered.filter(F.col("_i").between(start, total if limit is None else start + limit - 1)).drop("_i")

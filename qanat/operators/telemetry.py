@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qanat.functions.vectors import dot, norm, unit
+from qanat.operators.order import interpolated, order_statistics
 
 #: Upper bounds of the latency histogram, in seconds.
 BUCKETS = (0.1, 0.25, 0.5, 1.0, 2.0, 3.0, 5.0, 8.0, 13.0, 21.0, 34.0, 60.0)
@@ -98,7 +99,9 @@ def repeated(alerts: DataFrame, by: list[str], every: int) -> DataFrame:
 
 def canary(rows: DataFrame, step: str = "1 minute", most_p95: float = 10.0, most_errors: float = 0.05, failures: int = 1) -> DataFrame:
     """(ts, latency, error) -> one row: how many windows fail either test, and whether the release goes on."""
-    by_window = rows.groupBy(F.window("ts", step).alias("w")).agg(F.percentile("latency", 0.95).alias("p95"), F.avg(F.col("error").cast("int")).alias("errors"))
+    cut = rows.withColumn("w", F.window("ts", step)["start"])
+    errors = cut.groupBy("w").agg(F.avg(F.col("error").cast("int")).alias("errors"))
+    by_window = errors.join(order_statistics(cut, ["w"], "latency", {"p95": interpolated(0.95)}), "w", "left")
     bad = F.count_if(~((F.col("p95") < most_p95) & (F.col("errors") < most_errors)))
     return by_window.agg(F.count("*").alias("windows"), bad.alias("failed")).withColumn("passed", F.col("failed") <= failures)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qanat.operators import evaluate as E
+from qanat.operators.order import interpolated, order_statistics
 from qanat.plans.base import query
 from qanat.sources import sinks
 from qanat.sources.tables import table
@@ -85,7 +86,7 @@ def best_config(spark: SparkSession, sf: str) -> DataFrame:  # A14
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:  # A11
-    out = table(spark, sf, "events").groupBy("event_type").agg(E.percentile_interpolated(F.col("value"), 0.5).alias("p50"), E.percentile_interpolated(F.col("value"), 0.95).alias("p95"))
+    out = order_statistics(table(spark, sf, "events"), ["event_type"], "value", {"p50": interpolated(0.5), "p95": interpolated(0.95)})
     return out.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from qanat.operators import telemetry
 from qanat.plans import telemetry_queries
 from qanat.plans.base import ORACLE_SQL, query
+from qanat.session import shared_path
 from qanat.sources.tables import table
-from qanat.streaming import stateful
-from qanat.streaming.run import finished, latest, source
+from qanat.streaming import alerts, delivery, stateful
+from qanat.streaming.run import drained, finished, latest, source
 
 
 @query(
@@ -49,3 +50,38 @@ def _thinking(spark: SparkSession, sf: str) -> DataFrame:
     out = finished(stateful.thinking_stream(deltas), "append")
     shown = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
     return out.groupBy("request").agg(F.array_join(shown, "").alias("text"))
+
+
+#: Runs of bad samples among those that the last watermark has passed, with the good sample that ends each, if any.
+PASSED = (
+    "WITH m AS (SELECT max(epoch_us(ts)) // 1000 AS mark FROM events), s AS (SELECT event_type, epoch_us(ts) AS us, event_id, coalesce(value > 50, false) AS bad FROM events, m WHERE epoch_us(ts) // 1000 < mark), "
+    "r AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER w AS run, min(CASE WHEN NOT bad THEN us END) OVER (PARTITION BY event_type ORDER BY us, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS good FROM s WINDOW w AS (PARTITION BY event_type ORDER BY us, event_id)), "
+    "b AS (SELECT *, us // 1000000 AS sec, min(us // 1000000) OVER (PARTITION BY event_type, run) AS since, row_number() OVER (PARTITION BY event_type, run ORDER BY us, event_id) AS k FROM r WHERE bad), "
+    "f AS (SELECT event_type, run, since, since + 300 AS fired, min(k) FILTER (WHERE sec - since >= 300) AS fk, max(sec) AS last, count(*) AS n, min(good) // 1000000 AS ended FROM b GROUP BY event_type, run, since HAVING max(sec) - since >= 300), "
+    "a AS (SELECT f.*, b.sec AS fsec, lag(fired) OVER (PARTITION BY f.event_type ORDER BY fired) AS before FROM f JOIN b ON b.event_type = f.event_type AND b.run = f.run AND b.k = f.fk) "
+)
+
+
+@query(
+    PASSED + ", n AS (SELECT a.event_type, a.run, fired + 3600 * g AS at FROM a, m, generate_series(1, 100) t(g) WHERE fired + 3600 * g < coalesce(ended, mark // 1000)) "
+    "SELECT event_type AS series, 'firing' AS kind, fired AS at, since, before FROM a UNION ALL SELECT event_type, 'resolved', ended, since, before FROM a WHERE ended IS NOT NULL "
+    "UNION ALL SELECT n.event_type, 'repeat', n.at, since, before FROM n JOIN a USING (event_type, run)"
+)
+def stream_alerts(spark: SparkSession, sf: str) -> DataFrame:  # T10 T11 as a stream: notices of firing, hourly reminders and resolution by event-time timers
+    return finished(_notices(spark, sf), "append").select("series", "kind", "at", "since", "before")
+
+
+def _notices(spark: SparkSession, sf: str) -> DataFrame:
+    rows = source(spark, sf, "events").withColumn("id", F.col("event_id"))
+    return alerts.alert_stream(rows, F.col("value") > 50, 300, "event_type")
+
+
+@query(
+    PASSED + ", e AS (SELECT 'firing' AS kind, fired AS at, event_type FROM a UNION ALL SELECT 'resolved', ended, event_type FROM a WHERE ended IS NOT NULL "
+    "UNION ALL SELECT 'repeat', fired + 3600 * g, event_type FROM a, m, generate_series(1, 100) t(g) WHERE fired + 3600 * g < coalesce(ended, mark // 1000)) "
+    "SELECT 'LatencyHigh ' || kind || ' at ' || (at // 10 * 10) || ': ' || string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS text, true AS delivered, 1 AS attempts FROM e GROUP BY kind, at // 10"
+)
+def alert_delivery(spark: SparkSession, sf: str) -> DataFrame:  # K12 T11: notices of ten seconds in one message, each sent once
+    folder = shared_path(spark, "alerts")
+    drained(_notices(spark, sf), "append", folder, delivery.sink(folder, "LatencyHigh", delivery.accepted))
+    return delivery.outcomes(spark, folder).select("text", "delivered", "attempts")

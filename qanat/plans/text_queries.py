@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from qanat.functions import text as T
 from qanat.operators import chunk, evaluate, extract
+from qanat.operators.order import clipped, lower, order_statistics
 from qanat.plans.base import query
+from qanat.session import written
 from qanat.sources.tables import spread, table
 
 #: ASCII white space as DuckDB writes it.
@@ -155,10 +157,10 @@ def header_breadcrumb(spark: SparkSession, sf: str) -> DataFrame:  # C7
 
 
 @query(f"SELECT lang, CAST(list_sort(list(len({WORDS})))[least(count(*), CAST(floor(count(*) * 0.95::DOUBLE) AS BIGINT) + 1)] AS INTEGER) AS p95, CAST(list_sort(list(len({WORDS})))[CAST(floor(0.95::DOUBLE * (count(*) - 1)) AS BIGINT) + 1] AS INTEGER) AS lower FROM documents GROUP BY lang")
-def word_count_p95(spark: SparkSession, sf: str) -> DataFrame:  # A12, both definitions, by rank
+def word_count_p95(spark: SparkSession, sf: str) -> DataFrame:  # A12, both definitions
     rows = table(spark, sf, "documents").select("lang", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("n"))
-    a = evaluate.ranked_percentile(rows, ["lang"], "n", 0.95).withColumnRenamed("value", "p95")
-    return a.join(evaluate.ranked_percentile(rows, ["lang"], "n", 0.95, lower=True).withColumnRenamed("value", "lower"), "lang")
+    found = order_statistics(written(rows, "word-counts"), ["lang"], "n", {"p95": clipped(0.95), "lower": lower(0.95)})
+    return found.select("lang", F.col("p95").cast("int").alias("p95"), F.col("lower").cast("int").alias("lower"))
 
 
 @query(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qanat.session import ensure_checkpoint_dir
+from qanat.session import shared_path
 
 
 def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,18 +16,21 @@ def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder}/{name}.[p]arquet")  # a pattern may name a file or a folder
 
 
-def finished(stream: DataFrame, mode: str) -> DataFrame:
+def drained(stream: DataFrame, mode: str, folder: str, put: Callable[[DataFrame, int], None]) -> None:
+    """Hands all there is to ``put``, batch by batch; run again over more input, it goes on where it ended."""
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def finished(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
     """All output rows with their batch number, written batch by batch to the shared folder, where state lies as well."""
-    spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4()}"
+    folder = folder or shared_path(stream.sparkSession, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")  # a batch that is run again replaces itself
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    drained(stream, mode, folder, put)
+    return stream.sparkSession.read.parquet(f"{folder}/out")
 
 
 def latest(out: DataFrame, keys: list[str]) -> DataFrame:

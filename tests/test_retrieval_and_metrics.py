@@ -29,12 +29,6 @@ def test_consistencies_differ(spark):
     assert [evaluate.consistency(rows.limit(0), k).head()["consistency"] for k in ("complete", "all", "strict")] == [0.0, None, 0.0]
 
 
-def test_three_percentiles(spark):
-    rows = spark.range(1, 101).select(F.col("id").cast("double").alias("x"))
-    got = rows.agg(evaluate.percentile_interpolated(F.col("x"), 0.95), evaluate.percentile_clipped(F.col("x"), 0.95), evaluate.percentile_lower(F.col("x"), 0.95)).head()
-    assert math.isclose(got[0], 95.05) and (got[1], got[2]) == (96, 95)
-
-
 @pytest.mark.parametrize(("n", "score", "scored", "md5", "problems"), [(20, 0.75, 20, "a", 0), (20, 0.74, 20, "a", 1), (10, 0.75, 10, "a", 1), (20, 0.75, 20, "b", 1), (20, 0.75, 10, "a", 1), (20, None, 0, "a", 2)])
 def test_gate(spark, n, score, scored, md5, problems):
     row = spark.createDataFrame([(n, score, scored)], "n_questions int, faithfulness double, faithfulness_n int")
