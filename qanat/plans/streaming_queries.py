@@ -77,9 +77,9 @@ def _notices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    PASSED + ", e AS (SELECT 'firing' AS kind, fired AS at, event_type FROM a UNION ALL SELECT 'resolved', ended, event_type FROM a WHERE ended IS NOT NULL "
+    PASSED + ", e AS (SELECT 'firing' AS kind, fired AS moment, event_type FROM a UNION ALL SELECT 'resolved', ended, event_type FROM a WHERE ended IS NOT NULL "
     "UNION ALL SELECT 'repeat', fired + 3600 * g, event_type FROM a, m, generate_series(1, 100) t(g) WHERE fired + 3600 * g < coalesce(ended, mark // 1000)) "
-    "SELECT 'LatencyHigh ' || kind || ' at ' || (at // 10 * 10) || ': ' || string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS text, true AS delivered, 1 AS attempts FROM e GROUP BY kind, at // 10"
+    "SELECT 'LatencyHigh ' || kind || ' at ' || (moment // 10 * 10) || ': ' || string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS text, true AS delivered, 1 AS attempts FROM e GROUP BY kind, moment // 10"
 )
 def alert_delivery(spark: SparkSession, sf: str) -> DataFrame:  # K12 T11: notices of ten seconds in one message, each sent once
     folder = shared_path(spark, "alerts")
