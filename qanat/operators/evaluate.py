@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qanat.functions.text import NUMERAL
 from qanat.operators.order import interpolated, order_statistics
 
 
@@ -168,22 +169,43 @@ def to_do(items: DataFrame, done: DataFrame, metrics: list[str], retry: bool = F
     return unseen if unseen.head(1) else incomplete
 
 
-def corpus_validation(rows: DataFrame, most: int = 10_000) -> DataFrame:
-    """(article_number, text_ar, text_en, is_repealed) -> (check, article_number): what is wrong with a corpus."""
+# A text's end that looks like a numbered heading, and the ends that a text may have.
+TAIL_HEADING_EN = r"(?:^|\s)\d{1,2}\.\s+[A-Z][^.!?;]{0,150}:?$"
+TAIL_HEADING_AR = rf"(?:^|\s)[-–—]?{NUMERAL}{{1,2}}[-–—.)]?\s+[^.؛؟]{{0,150}}$"
+ENDS = '[.:;)"”?]$'
+#: Findings that make a corpus unfit; the others are warnings.
+PROBLEMS = ("duplicate", "gap_after", "missing", "outside", "missing_repealed", "huge")
+NO_BODY = "repealed_no_individual_body_in_source"
+
+
+def corpus_validation(rows: DataFrame, most: int = 10_000, expected: int | None = None, repealed: DataFrame | None = None) -> DataFrame:
+    """(article_number, text_ar, text_en, ..) -> (check, article_number): what is wrong with a corpus.
+
+    expected: numbers run from 1 to it. repealed: (low, high) ranges that the book declares. Articles that the source
+    gives no body (source_status, if there is one) may be empty; text_ar_raw, if there, is searched for headings.
+    """
     numbers = rows.select("article_number").distinct()
     before = numbers.select((F.col("article_number") - 1).alias("article_number"))
     top = numbers.agg(F.max("article_number").alias("top"))
     gaps = numbers.join(before, "article_number", "left_anti").join(top).filter("article_number < top")
     empty = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    real = F.coalesce(F.col("source_status") != NO_BODY, F.lit(True)) if "source_status" in rows.columns else F.lit(True)
     checks = [
         ("duplicate", rows.groupBy("article_number").count().filter("count > 1")),
         ("gap_after", gaps),
-        ("empty_ar", rows.filter(empty("text_ar"))),
-        ("empty_en", rows.filter(empty("text_en"))),
+        ("empty_ar", rows.filter(real & empty("text_ar"))),
+        ("empty_en", rows.filter(real & empty("text_en"))),
         ("huge", rows.filter((F.length("text_ar") > most) | (F.length("text_en") > most))),
-        ("unterminated", rows.filter(~empty("text_en") & ~F.trim("text_en").rlike("[.;:!?)\"]$"))),
-        ("trailing_heading", rows.filter(F.col("text_en").rlike(r"(?:^|\s)\d{1,2}\.\s+[A-Z][^.!?;]{0,150}:?$"))),
+        ("unterminated", rows.filter(~empty("text_en") & ~F.rtrim("text_en").rlike(ENDS))),
+        ("trailing_heading", rows.filter(F.col("text_en").rlike(TAIL_HEADING_EN))),
     ]
+    if "text_ar_raw" in rows.columns:
+        checks.append(("trailing_heading_ar", rows.filter(F.col("text_ar_raw").rlike(TAIL_HEADING_AR))))
+    if expected is not None:
+        checks += [("missing", missing_numbers(rows, expected)), ("outside", numbers.filter(~F.col("article_number").between(1, expected)))]
+    if repealed is not None:
+        declared = repealed.select(F.explode(F.sequence("low", "high")).alias("article_number")).distinct()
+        checks.append(("missing_repealed", declared.join(rows.filter("is_repealed").select("article_number"), "article_number", "left_anti")))
     out = None
     for name, found in checks:
         part = found.select(F.lit(name).alias("check"), "article_number")
@@ -191,6 +213,22 @@ def corpus_validation(rows: DataFrame, most: int = 10_000) -> DataFrame:
     return out
 
 
+def corpus_profile(rows: DataFrame, levels: tuple[str, ...] = ("book", "chapter", "section", "topic")) -> DataFrame:
+    """(kind, name, n): records, distinct numbers, records by source status, and without each level of the hierarchy."""
+    wide = rows.agg(F.count("*").alias("records"), F.countDistinct("article_number").alias("numbers"), *[F.count_if(F.col(c).isNull()).alias(c) for c in levels])
+    names = [("total", "records"), ("total", "numbers"), *[("without", c) for c in levels]]
+    counts = wide.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).alias("name"), F.col(c).alias("n")) for k, c in names])))
+    status = rows.groupBy(F.coalesce("source_status", F.lit("unknown")).alias("name")).agg(F.count("*").alias("n"))
+    return counts.unionByName(status.withColumn("kind", F.lit("status")).select("kind", "name", "n"))
+
+
+def corpus_verdict(found: DataFrame) -> DataFrame:
+    """Findings -> one row: whether the corpus is fit, and the number of problems and warnings."""
+    problem = F.col("check").isin(*PROBLEMS)
+    out = found.agg(F.count_if(problem).alias("problems"), F.count_if(~problem).alias("warnings"))
+    return out.withColumn("ok", F.col("problems") == 0)
+
+
 def missing_numbers(rows: DataFrame, most: int) -> DataFrame:
     every = rows.sparkSession.range(1, most + 1).select(F.col("id").cast("int").alias("article_number"))
     return every.join(rows, "article_number", "left_anti")

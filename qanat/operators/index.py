@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,9 +12,11 @@ import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from qanat.functions.vectors import point_id
 from qanat.session import checkpointed
+from qanat.sources import versions
 
 Embed = Callable[[list[str]], np.ndarray]
 
@@ -66,27 +70,70 @@ def bucket(number: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(number), F.lit(buckets)).cast("int")
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame, buckets: int = 64) -> None:
-    """Replaces all chunks of the articles in ``rows``; running it twice changes nothing.
+def _buckets(parts: dict) -> dict[int, dict]:
+    return {int(name.removeprefix("bucket=")): part for name, part in parts.items()}
 
-    The table is partitioned by article bucket. Only the buckets that the rows touch are read and rewritten.
+
+def read(spark: SparkSession, path: str, version: int | None = None, buckets: set[int] | None = None) -> DataFrame:
+    """The table, of a version or the current one; of some buckets only, if they are given."""
+    parts = _buckets(versions.version(spark, path, version)["parts"])
+    schema = next(iter(parts.values()))["schema"]
+    folders = [f"{path}/{part['folder']}" for b, part in parts.items() if part["rows"] and (buckets is None or b in buckets)]
+    fields = StructType.fromJson(json.loads(schema))
+    return spark.read.schema(fields).parquet(*folders) if folders else spark.createDataFrame([], fields)
+
+
+def replace(spark: SparkSession, path: str, numbers: DataFrame, rows: DataFrame | None, buckets: int) -> int:
+    """Commits a version in which the articles ``numbers`` have ``rows`` and no others.
+
+    The table is a version of buckets of articles (``sources.versions``). Only the buckets that the numbers touch are
+    read, and written anew beside the old; readers see the old version until the new one is verified and committed.
     """
-    new = rows.withColumn("bucket", bucket(F.col("article_number"), buckets))
-    touched = [r[0] for r in new.select("bucket").distinct().collect()]  # ``buckets`` rows at most
-    if exists(spark, path):
-        old = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).join(new.select("article_number").distinct(), "article_number", "left_anti")
-        new = checkpointed(old.select(new.columns).unionByName(new))  # what is overwritten must have been read
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    place = lambda df: df.withColumn("bucket", bucket(F.col("article_number"), buckets))
+    numbers = checkpointed(place(numbers.select("article_number").distinct()))
+    touched = {r[0] for r in numbers.select("bucket").distinct().collect()}  # ``buckets`` rows at most
+    base, now = versions.top_number(spark, path), versions.current(spark, path)
+    if now and any(part["of"] != buckets for part in now["parts"].values()):
+        raise ValueError(f"{path} does not have {buckets} buckets")
+    new = place(rows) if rows is not None else None
+    if now:
+        kept = place(read(spark, path, now["version"], touched)).join(numbers.select("article_number"), "article_number", "left_anti")
+        new = kept if new is None else kept.select(new.columns).unionByName(new)
+    if new is None:
+        return 0
+    new = checkpointed(new)
+    columns = [c for c in new.columns if c != "bucket"]
+    sums = lambda df: {r["bucket"]: (r["rows"], r["digest"]) for r in df.groupBy("bucket").agg(*versions.digests(columns)).collect()}
+    wanted, folder = sums(new), f"data/{uuid.uuid4()}"
+    new.write.partitionBy("bucket").parquet(f"{path}/{folder}")
+    if wanted and sums(spark.read.schema(new.schema).parquet(f"{path}/{folder}")) != wanted:
+        raise versions.DamagedError(f"{path}: what was written does not verify")
+    schema = new.drop("bucket").schema.json()
+    part = lambda b, n, d: {"folder": f"{folder}/bucket={b}", "format": "parquet", "schema": schema, "rows": n, "digest": d, "of": buckets}
+    written = {f"bucket={b}": part(b, *wanted.get(b, (0, "0"))) for b in touched}
+    return versions.advance(spark, path, lambda old: old | written, base=base)
+
+
+def upsert(spark: SparkSession, path: str, rows: DataFrame, buckets: int = 64, attempts: int = 3) -> None:
+    """Replaces all chunks of the articles in ``rows``; running it twice changes nothing; begins anew if another was faster."""
+    for attempt in range(attempts):
+        try:
+            replace(spark, path, rows, rows, buckets)
+            return
+        except versions.ConflictError:
+            if attempt == attempts - 1:
+                raise
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+def delete(spark: SparkSession, path: str, numbers: DataFrame, buckets: int = 64) -> None:
+    """Removes all chunks of the articles (article_number)."""
+    replace(spark, path, numbers, None, buckets)
 
 
 def ensure(spark: SparkSession, path: str, build: Callable[[], DataFrame], buckets: int = 64) -> bool:
     """Builds the table if it is absent or empty; whether it did."""
-    if exists(spark, path) and spark.read.parquet(path).head(1):
+    now = versions.current(spark, path)
+    if now and any(part["rows"] for part in now["parts"].values()):
         return False
     upsert(spark, path, build(), buckets)
     return True

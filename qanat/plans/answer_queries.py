@@ -131,12 +131,34 @@ def trace_kinds(spark: SparkSession, sf: str) -> DataFrame:  # K13
     return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.length("text") > 200, "span").otherwise("event").alias("kind"))
 
 
-@query(
-    PAIRS + ", w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(question), '[\\s]+'), lambda x: x <> '')) AS q, list_distinct(list_filter(regexp_split_to_array(lower(answer), '[\\s]+'), lambda x: x <> '')) AS a FROM p) "
-    "SELECT conv_id, turn, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, a))::DOUBLE / len(q) ELSE 0 END, 6) AS answer_relevancy FROM w"
+#: The four metrics' pairs of texts: the answer is also the context, the question also the reference.
+JUDGED = PAIRS + ", j AS (SELECT conv_id, turn, unnest(['faithfulness', 'answer_relevancy', 'context_precision', 'context_recall']) AS metric, unnest([answer, question, answer, question]) AS a, unnest([answer, answer, question, answer]) AS b FROM p)"
+OVERLAP = (
+    "w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(a), '[\\s]+'), lambda x: x <> '')) AS q, list_distinct(list_filter(regexp_split_to_array(lower(b), '[\\s]+'), lambda x: x <> '')) AS r FROM j), "
+    "o AS (SELECT *, CASE WHEN length(a) > 0 AND length(b) > 0 THEN round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, r))::DOUBLE / len(q) ELSE 0 END, 6) END AS value FROM w)"
 )
+
+
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs(spark, sf).select("conv_id", "turn", F.col("question").alias("user_input"), F.col("answer").alias("response"), F.array(F.col("answer")).alias("contexts"), F.col("question").alias("reference"))
+
+
+@query(JUDGED + f", {OVERLAP} SELECT conv_id, turn, max(value) FILTER (metric = 'faithfulness') AS faithfulness, max(value) FILTER (metric = 'answer_relevancy') AS answer_relevancy, max(value) FILTER (metric = 'context_precision') AS context_precision, max(value) FILTER (metric = 'context_recall') AS context_recall FROM o GROUP BY conv_id, turn")
 def judge_scores(spark: SparkSession, sf: str) -> DataFrame:  # A22 R5
-    from qanat.operators.judge import judged
+    from qanat.operators.judge import METRICS, judged
+
+    return judged(_judged(spark, sf)).select("conv_id", "turn", *[F.round(m, 6).alias(m) for m in METRICS])
+
+
+@query(
+    JUDGED.replace("WITH ", "WITH RECURSIVE ", 1) + f", {OVERLAP}, t AS (SELECT conv_id, turn, metric, length(a) AS la, length(b) AS lb, 1 AS k, 4096 AS tokens FROM o WHERE value IS NOT NULL UNION ALL "
+    "SELECT conv_id, turn, metric, la, lb, k + 1, CASE WHEN la % 2 = 0 AND tokens > 3000 THEN greatest(512, tokens // 2) ELSE least(16384, tokens * 2) END FROM t WHERE k < 4 AND ((la % 2 = 0 AND tokens > 3000) OR tokens < 40 * lb)), "
+    "e AS (SELECT conv_id, turn, metric, max(k) AS attempts, arg_max(tokens, k) AS tokens, arg_max(CASE WHEN la % 2 = 0 AND tokens > 3000 THEN 'too_large' WHEN tokens < 40 * lb THEN 'truncation' END, k) AS fault, arg_max((la % 2 = 0 AND tokens > 3000) OR tokens < 40 * lb, k) AS bad FROM t GROUP BY ALL) "
+    "SELECT conv_id, turn, metric, CASE WHEN NOT coalesce(bad, true) THEN value END AS value, coalesce(attempts, 0) AS attempts, coalesce(tokens, 4096) AS tokens, CASE WHEN bad THEN fault END AS error FROM o LEFT JOIN e USING (conv_id, turn, metric)"
+)
+def judge_retries(spark: SparkSession, sf: str) -> DataFrame:  # A22: attempts and token budgets of a judge that refuses large requests and cuts answers off
+    from qanat.operators.judge import METRICS, judged
 
-    rows = pairs(spark, sf).select("conv_id", "turn", F.col("question").alias("user_input"), F.col("answer").alias("response"), F.array(F.col("answer")).alias("contexts"), F.col("answer").alias("reference"))
-    return judged(rows).select("conv_id", "turn", F.round("answer_relevancy", 6).alias("answer_relevancy"))
+    rows = judged(_judged(spark, sf), "strained", detail=True)
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.round(m, 6).alias("value"), F.col(f"{m}_took").alias("took")) for m in METRICS])
+    return rows.select("conv_id", "turn", F.inline(each)).select("conv_id", "turn", "metric", "value", "took.attempts", "took.tokens", "took.error")

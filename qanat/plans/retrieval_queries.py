@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from qanat.functions import vectors as V
 from qanat.operators import evaluate as E
-from qanat.operators import index, retrieve
+from qanat.operators import cache, index, retrieve
 from qanat.plans.base import query
+from qanat.session import shared_path
 from qanat.sources.tables import table
 
 #: Every fiftieth vector asks, of all vectors but itself; a vector's label is its article.
@@ -103,6 +104,32 @@ def distinct_articles(spark: SparkSession, sf: str) -> DataFrame:  # R7
     return best.select("qid", F.col("article_number").cast("int").alias("article_number"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(SCORES + ", b AS (SELECT qid, article_number, max(score) AS score FROM s GROUP BY qid, article_number) SELECT qid, article_number, row_number() OVER (PARTITION BY qid ORDER BY score DESC, article_number) AS rank, 'kept' AS origin FROM b QUALIFY rank <= 5")
+def cached_retrieval(spark: SparkSession, sf: str) -> DataFrame:  # R10: half of the questions, then all, then all again without a retriever
+    path = shared_path(spark, "cache")
+    questions = asked(spark, sf)
+
+    def dense(todo: DataFrame) -> DataFrame:
+        best = retrieve.dense_top_articles(questions.join(todo, "qid", "left_semi"), chunks(spark, sf), 5, skip_own=True)
+        return best.select("qid", F.col("article_number").cast("int").alias("article_number"), F.col("rank").cast("long").alias("rank"), F.lit("kept").alias("origin"))
+
+    def none(todo: DataFrame) -> DataFrame:
+        return todo.select("qid", F.lit(None).cast("int").alias("article_number"), F.lit(None).cast("long").alias("rank"), F.lit("computed again").alias("origin"))
+
+    cache.cached(questions.filter("qid % 100 = 0").select("qid"), ["qid"], dense, path, fingerprint="dense 5")
+    cache.cached(questions.select("qid"), ["qid"], dense, path, fingerprint="dense 5")
+    return cache.cached(questions.select("qid"), ["qid"], none, path, fingerprint="dense 5")
+
+
+@query(
+    "SELECT d.doc_id AS id, d.source AS answer, CAST(l.quality AS DOUBLE) AS faithfulness, 0.0::DOUBLE AS cost_usd, 0 AS tokens, 0.0::DOUBLE AS latency_s FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 0"
+)
+def reuse_results(spark: SparkSession, sf: str) -> DataFrame:  # R13: answers whose scores are all there, at no cost; a toxic row lacks its score
+    dataset = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("answer"), F.col("n_chars").alias("tokens"), F.lit(0.5).alias("cost_usd"))
+    results = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 0, F.col("quality")).alias("faithfulness"))
+    return cache.reused(dataset, results, ["faithfulness"])
+
+
 @query("SELECT vec_id, label AS article_number FROM embeddings WHERE label IN (2, 5)")
 def vector_scroll(spark: SparkSession, sf: str) -> DataFrame:  # S9
     rows = table(spark, sf, "embeddings").withColumnRenamed("label", "article_number")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from qanat.operators import index
 from qanat.plans.base import query
 from qanat.session import ensure_checkpoint_dir
-from qanat.sources import readers, sinks
+from qanat.sources import readers, sinks, versions
 from qanat.sources.tables import table
 
 
@@ -39,7 +39,7 @@ def json_round_trip(spark: SparkSession, sf: str) -> DataFrame:  # K1 S5
 def csv_allow_list(spark: SparkSession, sf: str) -> DataFrame:  # K2
     path = folder(spark)
     sinks.write_results(table(spark, sf, "documents").select("doc_id", "source", "lang"), path, ["doc_id", "source", "absent"])
-    return spark.read.option("header", True).schema("doc_id long, source string").csv(f"{path}/csv")
+    return versions.read(spark, path, "csv")
 
 
 @query("SELECT label AS article_number, CASE WHEN label = 3 THEN 1 ELSE count(*) END AS chunks, CASE WHEN label = 3 THEN 'new' ELSE 'old' END AS state FROM embeddings GROUP BY label")
@@ -49,7 +49,7 @@ def upsert_table(spark: SparkSession, sf: str) -> DataFrame:  # K3 K4 K5 V6 V9:
     index.ensure(spark, path, lambda: rows, buckets=4)
     index.upsert(spark, path, rows, buckets=4)
     index.upsert(spark, path, rows.filter("article_number = 3").groupBy("article_number").agg(F.min("vec_id").alias("vec_id")).withColumn("state", F.lit("new")), buckets=4)
-    return spark.read.parquet(path).groupBy("article_number", "state").agg(F.count("*").alias("chunks")).select("article_number", "chunks", "state")
+    return index.read(spark, path).groupBy("article_number", "state").agg(F.count("*").alias("chunks")).select("article_number", "chunks", "state")
 
 
 @query("SELECT n_name AS name, CAST(n_nationkey + 1 AS BIGINT) AS spans, n_regionkey AS score FROM nation")
@@ -103,6 +103,21 @@ def snapshot_fallback(spark: SparkSession, sf: str) -> DataFrame:  # K7: the sec
     return readers.first_readable(spark, [f"{path}-absent", path], "article_number int, book string")
 
 
+@query("SELECT n_nationkey AS article_number, n_name AS book, 'version 2' AS origin FROM nation UNION ALL SELECT n_nationkey, n_name, 'copy' FROM nation")
+def snapshot_restore(spark: SparkSession, sf: str) -> DataFrame:  # K7: copied, restored over a wrong version, and after the loss of all data fetched from the copy
+    path, spare = folder(spark), folder(spark)
+    rows = table(spark, sf, "nation").select(F.col("n_nationkey").alias("article_number"), F.col("n_name").alias("book"))
+    versions.commit(spark, path, {"articles": (rows.limit(0), "json"), "chunks": (rows.limit(0), "parquet")})
+    versions.commit(spark, path, {"articles": (rows, "json"), "chunks": (rows, "parquet")})
+    versions.copy(spark, path, spare)
+    versions.commit(spark, path, {"articles": (rows.withColumn("book", F.lit("wrong")), "json")})
+    versions.restore(spark, path, 2)
+    restored = versions.read(spark, path, "articles").withColumn("origin", F.lit("version 2"))
+    lost = folder(spark)
+    found = versions.ensure(spark, lost, ["articles", "chunks"], [f"{lost}-absent", spare])
+    return restored.unionByName(versions.read(spark, lost, "chunks").withColumn("origin", F.lit("copy" if found == spare else found)))
+
+
 @query("SELECT n_name AS key, n_nationkey AS faithfulness FROM nation")
 def keyed_records(spark: SparkSession, sf: str) -> DataFrame:  # S6: a file that is one object of records by key
     path = folder(spark)

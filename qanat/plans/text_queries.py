@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qanat.functions import text as T
@@ -167,7 +167,7 @@ def word_count_p95(spark: SparkSession, sf: str) -> DataFrame:  # A12, both defi
     "WITH n AS (SELECT doc_id + doc_id // 7 AS doc_id, text FROM documents), d AS (SELECT doc_id, text, lead(doc_id) OVER (ORDER BY doc_id) - doc_id AS gap FROM n) "
     "SELECT 'gap_after' AS \"check\", CAST(doc_id AS INTEGER) AS article_number FROM d WHERE gap > 1 UNION ALL SELECT 'empty_ar', CAST(doc_id AS INTEGER) FROM d "
     "UNION ALL SELECT 'empty_en', CAST(doc_id AS INTEGER) FROM d WHERE trim(text) = '' UNION ALL SELECT 'huge', CAST(doc_id AS INTEGER) FROM d WHERE length(text) > 10000 "
-    "UNION ALL SELECT 'unterminated', CAST(doc_id AS INTEGER) FROM d WHERE trim(text) <> '' AND NOT regexp_matches(trim(text), '[.;:!?)\"]$') "
+    "UNION ALL SELECT 'unterminated', CAST(doc_id AS INTEGER) FROM d WHERE trim(text) <> '' AND NOT regexp_matches(rtrim(text), '[.:;)\"”?]$') "
     "UNION ALL SELECT 'trailing_heading', CAST(doc_id AS INTEGER) FROM d WHERE regexp_matches(text, '(?:^|\\s)\\d{1,2}\\.\\s+[A-Z][^.!?;]{0,150}:?$')"
 )
 def corpus_validation(spark: SparkSession, sf: str) -> DataFrame:  # A18; a number is passed over after every seventh document, so that there are gaps to find
@@ -179,14 +179,90 @@ def missing_numbers(spark: SparkSession, sf: str) -> DataFrame:  # A18
     return evaluate.missing_numbers(english(spark, sf), 1149)
 
 
-@query()
-def extract_articles(spark: SparkSession, sf: str) -> DataFrame:  # S3 P4-P12 O1-O11: twenty documents as one book, two articles to a page
+#: Documents by twenties as books, numbered in them, with their text as a book's columns are read.
+BOOKS = "WITH d AS (SELECT doc_id // 20 AS book, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS n, trim(regexp_replace(nfc_normalize(replace(text, chr(160), ' ')), '\\s+', ' ', 'g')) AS t FROM documents)"
+CHAPTERS = ("I", "II", "III", "IV", "V")
+ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩"
+
+
+def _books(spark: SparkSession, sf: str, *between: Column, first: str = "") -> DataFrame:
+    """(doc_id, text): twenty documents as one book of chapters of four articles, three to a page (so few pages have no running headers); between: lines before and after an article's text."""
     from pyspark.sql import Window
 
     rows = table(spark, sf, "documents").withColumn("book", F.floor(F.col("doc_id") / 20)).withColumn("n", F.row_number().over(Window.partitionBy("book").orderBy("doc_id")))
-    body = F.concat(F.lit("Article "), "n", F.lit("\n"), F.regexp_replace("text", "\f", " "), F.when(F.col("n") % 2 == 0, "\f").otherwise("\n"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", body.alias("body")))), lambda x: x["body"]), "")
-    return extract.articles(rows.groupBy(F.col("book").alias("doc_id")).agg(whole.alias("text")))
+    chapter = F.when(F.col("n") % 4 == 1, F.concat(F.lit("Chapter "), F.get(F.array(*[F.lit(c) for c in CHAPTERS]), ((F.col("n") - 1) / 4).cast("int")), F.lit("\n"))).otherwise("")
+    line, end = F.regexp_replace("text", "\f", " "), F.when(F.col("n") % 3 == 0, "\f").otherwise("\n")
+    mark, after = between
+    body = F.concat(F.when(F.col("n") == 1, first).otherwise(""), chapter, F.lit("Article "), "n", mark, F.lit("\n"), line, after, end)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", body.alias("body")))), lambda x: x["body"]), "")  # twenty documents
+    return rows.groupBy(F.col("book").alias("doc_id")).agg(whole.alias("text"))
+
+
+@query(
+    BOOKS + ", c AS (SELECT *, ['I', 'II', 'III', 'IV', 'V'][CAST((n - 1) // 4 + 1 AS INTEGER)] AS c FROM d) "
+    "SELECT book AS doc_id, CAST(n AS INTEGER) AS article_number, 'Book I - Of all' AS book, 'Chapter ' || c AS chapter, t AS text_en, CASE WHEN n % 2 = 0 THEN 'نص' ELSE '' END AS text_ar, n IN (1, 2) AS is_repealed, CAST((n + 2) // 3 AS INTEGER) AS source_page, CASE WHEN n % 2 = 0 THEN 'normal' ELSE 'missing_arabic_text_in_source_pdf' END AS source_status, NULL AS repeal_note_en FROM c "
+    "UNION ALL SELECT book, CAST(k AS INTEGER), 'Book I - Of all', 'Chapter I', '', '', true, 1, 'repealed_no_individual_body_in_source', 'Articles 31 to 33 have been repealed.' FROM d, generate_series(31, 33) g(k) WHERE n = 3"
+)
+def extract_articles(spark: SparkSession, sf: str) -> DataFrame:  # S3 P4-P12 O1-O11: hierarchy, Arabic columns and repeals around whole texts
+    n = F.col("n")
+    mark = F.when(n % 2 == 0, F.concat(F.lit("     مادة "), F.translate(n.cast("string"), "0123456789", ARABIC_DIGITS), F.lit("\n                نص"))).otherwise("")
+    after = F.when(n == 2, "\nArticles 1 - 2 are repealed").when(n == 3, "\nArticles 31 to 33 have been repealed.").otherwise("")
+    out = extract.articles(_books(spark, sf, mark, after, first="Book I. Of all\n"))
+    return out.select("doc_id", "article_number", "book", "chapter", "text_en", "text_ar", "is_repealed", "source_page", "source_status", "repeal_note_en")
+
+
+@query(
+    BOOKS + " SELECT book AS doc_id, 'uncertain_line' AS problem, CAST(1 AS INTEGER) AS page, CAST(NULL AS INTEGER) AS number, CAST(NULL AS INTEGER) AS other, 'Words before all articles; no part of one.' AS text FROM d WHERE n = 1 "
+    "UNION ALL SELECT book, 'number_mismatch', (n + 2) // 3, n, n + 1, 'Article ' || n FROM d WHERE n % 4 = 2 "
+    "UNION ALL SELECT book, 'rejected_anchor', (n + 2) // 3, 500, n + 1, 'Article 500' FROM d WHERE n % 6 = 3 "
+    "UNION ALL SELECT book, 'rejected_heading', (n + 2) // 3, NULL, NULL, '9. Numbered point' FROM d WHERE n % 7 = 5"
+)
+def extraction_diagnostics(spark: SparkSession, sf: str) -> DataFrame:  # A18: numerals that differ, citations, points and strays planted around whole texts
+    n = F.col("n")
+    wrong = F.when(n % 4 == 2, n + 1).otherwise(n).cast("string")
+    mark = F.when(n % 2 == 0, F.concat(F.lit("     مادة "), F.translate(wrong, "0123456789", ARABIC_DIGITS))).otherwise("")
+    after = F.when(n % 6 == 3, "\nArticle 500\nsays so.").when(n % 7 == 5, "\n9. Numbered point\nthat goes on; it has an end.\nNo article follows.").otherwise("")
+    found = extract.diagnostics(_books(spark, sf, mark, after, first="Words before all articles; no part of one.\n"))
+    return found.select("doc_id", "problem", "page", "number", "other", "text")
+
+
+#: Documents as a corpus: numbers from 1 with a gap after every seventh, some without a body, with a heading left in the Arabic text, or repealed.
+CORPUS = (
+    "WITH a AS (SELECT CAST(doc_id + doc_id // 7 + 1 AS INTEGER) AS k, doc_id, text, CASE WHEN doc_id % 13 = 4 THEN 'repealed_no_individual_body_in_source' WHEN doc_id % 13 = 5 THEN NULL ELSE 'normal' END AS status, "
+    "CASE WHEN doc_id % 11 = 3 THEN 'نص المادة. ٢- عنوان جديد' ELSE 'نص المادة.' END AS raw FROM documents) "
+)
+
+
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("doc_id")
+    status = F.when(i % 13 == 4, evaluate.NO_BODY).when(i % 13 != 5, "normal")
+    raw = F.when(i % 11 == 3, "نص المادة. ٢- عنوان جديد").otherwise("نص المادة.")
+    level = F.when(i % 2 == 0, "Book I")
+    return table(spark, sf, "documents").select(
+        F.expr("doc_id + doc_id div 7 + 1").cast("int").alias("article_number"), F.when(i % 13 != 4, F.col("text")).alias("text_en"), F.when(i % 13 != 4, raw).alias("text_ar"), raw.alias("text_ar_raw"),
+        status.alias("source_status"), (i % 13 == 4).alias("is_repealed"), level.alias("book"), F.lit(None).cast("string").alias("chapter"), level.alias("section"), level.alias("topic"),
+    )
+
+
+@query(
+    CORPUS + ", w AS (SELECT k, status, CASE WHEN doc_id % 13 <> 4 THEN text END AS en, CASE WHEN doc_id % 13 <> 4 THEN raw END AS ar, raw, doc_id FROM a), g AS (SELECT k, lead(k) OVER (ORDER BY k) - k AS gap FROM a) "
+    "SELECT 'gap_after' AS \"check\", k AS article_number FROM g WHERE gap > 1 UNION ALL SELECT 'empty_en', k FROM w WHERE coalesce(status, '') <> 'repealed_no_individual_body_in_source' AND trim(coalesce(en, '')) = '' "
+    "UNION ALL SELECT 'huge', k FROM w WHERE length(en) > 10000 UNION ALL SELECT 'unterminated', k FROM w WHERE trim(en) <> '' AND NOT regexp_matches(rtrim(en), '[.:;)\"”?]$') "
+    "UNION ALL SELECT 'trailing_heading', k FROM w WHERE regexp_matches(en, '(?:^|\\s)\\d{1,2}\\.\\s+[A-Z][^.!?;]{0,150}:?$') UNION ALL SELECT 'trailing_heading_ar', k FROM w WHERE doc_id % 11 = 3 "
+    "UNION ALL SELECT 'missing', CAST(i AS INTEGER) FROM generate_series(1, 500) t(i) WHERE i NOT IN (SELECT k FROM a) UNION ALL SELECT 'outside', k FROM a WHERE k > 500 "
+    "UNION ALL SELECT 'missing_repealed', CAST(i AS INTEGER) FROM generate_series(1, 60) t(i) WHERE i NOT IN (SELECT k FROM a WHERE doc_id % 13 = 4)"
+)
+def corpus_audit(spark: SparkSession, sf: str) -> DataFrame:  # A18: with the numbers that are due, declared repeals, and headings left in Arabic
+    declared = spark.createDataFrame([(1, 40), (31, 60)], "low int, high int")
+    return evaluate.corpus_validation(corpus(spark, sf), expected=500, repealed=declared)
+
+
+@query(
+    CORPUS + "SELECT 'total' AS kind, 'records' AS name, count(*) AS n FROM a UNION ALL SELECT 'total', 'numbers', count(DISTINCT k) FROM a UNION ALL SELECT 'status', coalesce(status, 'unknown'), count(*) FROM a GROUP BY status "
+    "UNION ALL SELECT 'without', l, count(*) FILTER (WHERE l = 'chapter' OR doc_id % 2 = 1) FROM a, (VALUES ('book'), ('chapter'), ('section'), ('topic')) t(l) GROUP BY l"
+)
+def corpus_profile(spark: SparkSession, sf: str) -> DataFrame:  # A18: counts by status and of what the hierarchy lacks
+    return evaluate.corpus_profile(corpus(spark, sf))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS rows, count(*) FILTER (WHERE text IS NOT NULL) AS with_text, count(DISTINCT source) AS sources FROM documents")

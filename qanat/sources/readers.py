@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qanat.sources.files import exists
+
 ARTICLE = "article_number int, book string, chapter string, section string, topic string, text_ar string, text_en string, text_ar_raw string, is_repealed boolean, source_page int, citation string, source_status string, repeal_note_en string, repeal_note_ar string"
 
 
@@ -84,8 +86,6 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def first_readable(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """The first of the paths that is there."""
-    from qanat.operators.index import exists
-
     for p in paths:
         if exists(spark, p):
             return json_list(spark, p, schema)

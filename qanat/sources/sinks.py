@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from qanat.session import checkpointed
+from qanat.sources import versions
+from qanat.sources.files import exists
+
 
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
 def write_results(rows: DataFrame, path: str, fields: list[str]) -> None:
-    """JSON with all columns and CSV with the listed ones; committed whole or not at all."""
-    rows.write.mode("overwrite").json(f"{path}/json")
-    rows.select([f for f in fields if f in rows.columns]).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    """JSON with all columns and CSV with the listed ones, as parts of one version: committed both or not at all."""
+    rows = checkpointed(rows)  # both hold the same rows
+    listed = rows.select([f for f in fields if f in rows.columns])
+    versions.commit(rows.sparkSession, path, {"json": (rows, "json"), "csv": (listed, "csv")})
 
 
 def run_metrics(run_id: str, values: DataFrame) -> DataFrame:
@@ -32,8 +37,6 @@ def log_run(path: str, run_id: str, params: dict[str, str], values: DataFrame) -
 
 def promote(path: str, spark: SparkSession, name: str, config: str) -> None:
     """Appends the next version of a registered configuration; earlier ones are archived by ``registry``."""
-    from qanat.operators.index import exists
-
     top = 0
     if exists(spark, path):
         top = spark.read.parquet(path).filter(F.col("name") == name).agg(F.max("version")).head()[0] or 0

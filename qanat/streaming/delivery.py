@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qanat.operators.index import exists
+from qanat.sources.files import exists
 
 #: (key, text) -> whether it was delivered.
 Hook = Callable[[str, str], bool]

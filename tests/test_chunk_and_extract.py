@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from qanat.operators import chunk, extract
+from qanat.operators import chunk, evaluate, extract
 
 LAYOUT = """Chapter I
 1. Scope
@@ -68,6 +69,43 @@ def test_chunks_rebuild_their_text(spark, cfg):
     assert stats["total_chunks"] == len(by) and stats["chunk_type_repealed_notice"] == 2 and stats["articles_split"] == 1
 
 
+FAULTY = """Preface words
+Article 1   مادة ٢
+Body.
+3. A numbered line
+goes on here and on.
+Article 9
+more.
+Article 2   مادة ٢
+x."""
+
+
+def test_what_a_faulty_book_leaves_in_doubt(spark):
+    texts = spark.createDataFrame([(1, FAULTY), (2, LAYOUT)], "doc_id long, text string")
+    got = [tuple(r)[1:] for r in extract.diagnostics(texts).filter("doc_id = 1").orderBy("seq").collect()]
+    assert got == [
+        ("uncertain_line", 1, 1, None, None, "Preface words"), ("number_mismatch", 1, 2, 1, 2, "Article 1"),
+        ("rejected_heading", 1, 4, None, None, "3. A numbered line"), ("rejected_anchor", 1, 6, 9, 2, "Article 9"),
+    ]
+    assert [r["text_en"] for r in extract.articles(texts).filter("doc_id = 1").orderBy("article_number").collect()] == ["Body. 3. A numbered line goes on here and on. Article 9 more.", "x."]
+    assert extract.diagnostics(texts.limit(0)).collect() == []
+
+
+def test_corpus_checks_and_verdict(spark):
+    fine = "نص."
+    rows = [(1, "A.", fine, "normal", False), (2, "", "", evaluate.NO_BODY, True), (3, None, fine, None, False), (5, "B. 7. Heading", "نص. ٣- عنوان", "normal", False), (5, "C.”", fine, "normal", False), (9, "x" * 20, fine, "normal", True)]
+    corpus = spark.createDataFrame(rows, "article_number int, text_en string, text_ar string, source_status string, is_repealed boolean").withColumns({"text_ar_raw": F.col("text_ar"), **{c: F.lit(None).cast("string") for c in ("book", "chapter", "section", "topic")}})
+    declared = spark.createDataFrame([(2, 3), (9, 9)], "low int, high int")
+    found = evaluate.corpus_validation(corpus, most=19, expected=6, repealed=declared)
+    assert sorted(tuple(r) for r in found.collect()) == sorted([
+        ("duplicate", 5), ("gap_after", 3), ("gap_after", 5), ("empty_en", 3), ("huge", 9), ("unterminated", 5), ("unterminated", 9), ("trailing_heading", 5), ("trailing_heading_ar", 5),
+        ("missing", 4), ("missing", 6), ("outside", 9), ("missing_repealed", 3),
+    ])
+    assert tuple(evaluate.corpus_verdict(found).head()) == (8, 5, False) and evaluate.corpus_verdict(found.filter("`check` = 'empty_en'")).head()["ok"]
+    profile = {(r["kind"], r["name"]): r["n"] for r in evaluate.corpus_profile(corpus).collect()}
+    assert profile[("total", "records")] == 6 and profile[("total", "numbers")] == 5 and profile[("without", "topic")] == 6 and profile[("status", "unknown")] == 1
+
+
 def plain_chunks(pieces, limit, overlap, count, tail):
     """Pieces one after the other, each counted anew."""
     out, own = [], []

@@ -42,15 +42,71 @@ def test_gaps_and_spot_check(spark):
     assert 9 in [r["article_number"] for r in evaluate.spot_check(rows, [9], 2).collect()]
 
 
-def test_a_scorer_that_fails_gives_null():
-    from qanat.operators.judge import tried
+def kept(**how):
+    waits = []
+    return judge.Retry(sleep=waits.append, **how), waits
+
 
+def test_a_scorer_that_fails_gives_null():
     calls = []
 
-    def flaky(a, b):
+    def flaky(a, b, tokens):
         calls.append(a)
-        if len(calls) == 1 or a == "bad":
+        if calls.count(a) == 1 or a == "bad":
             raise ValueError(a)
         return 0.5
 
-    assert tried(flaky, "good", "x") == 0.5 and len(calls) == 2 and tried(flaky, "bad", "x") is None
+    retry, waits = kept()
+    assert judge.attempted(flaky, [("good", "x"), ("bad", "x")], retry) == [(0.5, 2, 4096, 2.0, None), (None, 4, 4096, 6.0, "other")]
+    assert waits == [2, 2, 2]
+
+
+@pytest.mark.parametrize(
+    ("need", "allowed", "want"),
+    [
+        (4096, 1 << 20, (1.0, 1, 4096)),
+        (5000, 1 << 20, (1.0, 2, 8192)),
+        (16384, 1 << 20, (1.0, 3, 16384)),
+        (16385, 1 << 20, (None, 4, 16384)),  # no more can be asked for
+        (100, 2048, (1.0, 2, 2048)),
+        (100, 600, (1.0, 4, 512)),
+        (100, 100, (None, 4, 512)),
+        (3000, 2500, (None, 4, 2048)),  # too large, cut off, too large, cut off
+    ],
+)
+def test_the_budget_grows_and_shrinks_within_limits(need, allowed, want):
+    def score(a, b, tokens):
+        if tokens > allowed:
+            raise RuntimeError("413 Request too large for model")
+        if tokens < need:
+            raise RuntimeError("stopped, finish_reason=length")
+        return 1.0
+
+    retry, waits = kept()
+    ((value, attempts, tokens, waited, _),) = judge.attempted(score, [("a", "b")], retry)
+    assert (value, attempts, tokens) == want
+    assert bool(waits) == (need > 16384) == (waited > 0)
+
+
+def test_a_batch_backs_off_once_for_all_its_rows():
+    rounds = []
+
+    def score(a, b, tokens):
+        rounds.append(a)
+        if rounds.count(a) < int(a):
+            raise RuntimeError("HTTP 429 slow down" if int(a) > 1 else "?")
+        return 1.0
+
+    retry, waits = kept(attempts=6, longest=15)
+    got = judge.attempted(score, [(str(n), "x") for n in (1, 2, 3, 5, 9)], retry)
+    assert waits == [5, 10, 15, 15, 15] and [g[1] for g in got] == [1, 2, 3, 5, 6]
+    assert [g[3] for g in got] == [0, 5, 15, 45, 60] and got[-1][4] == "rate_limit"
+
+
+def test_outcomes_stand_beside_the_metrics(spark):
+    row = spark.createDataFrame([("a b c", "b c", ["b"], "x" * 200), ("", "b", ["b"], None)], "user_input string, response string, contexts array<string>, reference string")
+    got = judge.judged(row, "strained", judge.QUICK, detail=True).collect()
+    took = [tuple(got[0][f"{m}_took"])[:2] for m in judge.METRICS]
+    assert took == [(1, 4096), (1, 4096), (2, 8192), (2, 2048)]
+    assert [got[0][m] for m in judge.METRICS] == [0.5, 2 / 3, 0.0, 0.0] and [got[1][m] for m in judge.METRICS] == [1.0, None, None, None]
+    assert got[1]["context_recall_took"]["attempts"] == 0

@@ -72,9 +72,9 @@ def test_upsert_twice_changes_nothing(spark, tmp_path):
     path = f"{tmp_path}/index"
     for _ in range(2):
         index.upsert(spark, path, rows, buckets=2)
-        assert tuple(index.counts(spark.read.parquet(path)).head()) == (4, 3)
+        assert tuple(index.counts(index.read(spark, path)).head()) == (4, 3)
     index.upsert(spark, path, rows.filter("article_number = 1 and language = 'en'").withColumn("text", F.lit("new")), buckets=2)
-    assert sorted((r["article_number"], r["text"]) for r in spark.read.parquet(path).collect()) == [(1, "new"), (2, "old"), (3, "old")]
+    assert sorted((r["article_number"], r["text"]) for r in index.read(spark, path).collect()) == [(1, "new"), (2, "old"), (3, "old")]
     assert not index.ensure(spark, path, lambda: rows)
 
 
