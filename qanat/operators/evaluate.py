@@ -229,6 +229,19 @@ def corpus_verdict(found: DataFrame) -> DataFrame:
     return out.withColumn("ok", F.col("problems") == 0)
 
 
+def set_profile(rows: DataFrame, order: str) -> DataFrame:
+    """(id, reference, expected_articles, language, category) -> one row: how many questions there are, with what."""
+    return rows.agg(
+        F.count("*").alias("questions"),
+        F.count_if(F.size("expected_articles") > 0).alias("with_gold"),
+        F.count_if(F.trim(F.coalesce("reference", F.lit(""))) != "").alias("with_reference"),
+        F.countDistinct("language").alias("languages"),
+        F.countDistinct("category").alias("categories"),
+        F.sum(F.greatest(F.size("expected_articles"), F.lit(0)).cast("long")).alias("gold"),
+        F.min_by("id", order).alias("first_id"),
+    )
+
+
 def missing_numbers(rows: DataFrame, most: int) -> DataFrame:
     every = rows.sparkSession.range(1, most + 1).select(F.col("id").cast("int").alias("article_number"))
     return every.join(rows, "article_number", "left_anti")

@@ -22,13 +22,13 @@ Embed = Callable[[list[str]], np.ndarray]
 
 
 def hashed(size: int = 64) -> Embed:
-    """The stand-in embedder: words hashed to signed dimensions, of unit length."""
+    """The stand-in embedder: words hashed by MD5, as any engine can, to signed dimensions, of unit length."""
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), size), np.float32)
         for row, text in zip(out, texts, strict=True):
             for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+                h = int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()[:8], "big")
                 row[h % size] += 1 if h >> 63 else -1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 

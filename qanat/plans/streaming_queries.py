@@ -38,15 +38,16 @@ def stream_drift(spark: SparkSession, sf: str) -> DataFrame:  # T2 T3 as a strea
     return out.select("stream", "n", *[F.round(c, 6).alias(c) for c in ("drift", "similarity", "similarity_drop")], "alert")
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS request, ltrim(string_agg(text, '' ORDER BY turn)) AS text FROM conversations GROUP BY conv_id")
-def stream_thinking(spark: SparkSession, sf: str) -> DataFrame:  # O12
+@query("SELECT CAST(conv_id AS VARCHAR) AS request, ltrim(string_agg(text || ' a <', '' ORDER BY turn)) AS text FROM conversations GROUP BY conv_id")
+def stream_thinking(spark: SparkSession, sf: str) -> DataFrame:  # O12: each turn ends in what could begin a tag
     return _thinking(spark, sf)
 
 
 def _thinking(spark: SparkSession, sf: str) -> DataFrame:
-    parts = F.array(F.lit("<thi"), F.concat(F.lit("nk>"), "role", F.lit("</thi")), F.concat(F.lit("nk>"), F.col("text")))
-    rows = source(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("request"), "turn", F.posexplode(parts).alias("i", "delta"))
-    deltas = rows.select("request", (F.col("turn") * 3 + F.col("i")).cast("long").alias("seq"), "delta", F.lit(False).alias("last"))
+    parts = F.array(F.lit("<thi"), F.concat(F.lit("nk>"), "role", F.lit("</thi")), F.concat(F.lit("nk>"), F.col("text"), F.lit(" a <")))
+    ends = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("end"))
+    rows = source(spark, sf, "conversations").join(ends, "conv_id").select(F.col("conv_id").cast("string").alias("request"), "turn", "end", F.posexplode(parts).alias("i", "delta"))
+    deltas = rows.select("request", (F.col("turn") * 3 + F.col("i")).cast("long").alias("seq"), "delta", ((F.col("turn") == F.col("end")) & (F.col("i") == 2)).alias("last"))
     out = finished(stateful.thinking_stream(deltas), "append")
     shown = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
     return out.groupBy("request").agg(F.array_join(shown, "").alias("text"))

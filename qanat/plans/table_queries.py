@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qanat.operators import index
@@ -20,12 +20,13 @@ def folder(spark: SparkSession) -> str:
 
 
 @query("SELECT 'q' || lpad(CAST(row_number() OVER (ORDER BY item_id) AS VARCHAR), 3, '0') AS id, text AS question, '' AS reference, CAST([item_id] AS INTEGER[]) AS expected_articles FROM benchmark")
-def evaluation_set(spark: SparkSession, sf: str) -> DataFrame:  # S4 S6 S7 S8: the questions as one object with odd keys, read back
+def evaluation_set(spark: SparkSession, sf: str) -> DataFrame:  # S4 S6 S7 S8: fifty questions to a file, each file one object with odd keys, read back
     path = folder(spark)
     record = F.struct(F.col("item_id"), F.struct(F.col("text").alias("user_input"), F.array(F.struct(F.col("item_id").alias("article_number"))).alias("articles")).alias("r"))
-    one = table(spark, sf, "benchmark").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(record)), lambda x: x["r"]).alias("questions"))).alias("value"))
-    one.write.text(path)
-    return readers.evaluation_set(spark, path).drop("language", "category")
+    shelf = F.lpad(F.floor(F.col("item_id") / 50).cast("string"), 9, "0").alias("shelf")
+    files = table(spark, sf, "benchmark").groupBy(shelf).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(record)), lambda x: x["r"]).alias("questions"))).alias("value"))
+    files.write.partitionBy("shelf").text(path)
+    return readers.evaluation_set(spark, f"{path}/shelf=*/part-*").drop("language", "category")
 
 
 @query("SELECT doc_id, source, n_chars FROM documents")
@@ -78,12 +79,13 @@ def load_test_summary(spark: SparkSession, sf: str) -> DataFrame:  # S11 A26: wr
     return readers.load_test(spark, path).select("name", "requests", "failures", F.round("avg_s", 4).alias("avg_s"))
 
 
-@query("SELECT min(item_id) + 0.5::DOUBLE AS value FROM benchmark WHERE item_id % 7 = 3")
-def log_number(spark: SparkSession, sf: str) -> DataFrame:  # S12: the first line of a log that names a size
+@query("SELECT max(item_id) + 0.5::DOUBLE AS value FROM benchmark WHERE item_id % 7 = 3")
+def log_number(spark: SparkSession, sf: str) -> DataFrame:  # S12: the first line of a log in many files that names a size
     path = folder(spark)
     line = F.when(F.col("item_id") % 7 == 3, F.concat(F.lit("weights take "), F.col("item_id") + F.lit(0.5), F.lit(" GiB"))).otherwise(F.concat(F.lit("step "), "item_id"))
-    table(spark, sf, "benchmark").orderBy("item_id").coalesce(1).select(line.alias("value")).write.text(path)
-    return readers.first_number(spark.read.text(path), r"weights take ([\d.]+) GiB")
+    rows = table(spark, sf, "benchmark").withColumn("shelf", F.lpad((999 - F.floor(F.col("item_id") / 9)).cast("string"), 9, "0")).repartition("shelf").sortWithinPartitions("shelf", F.desc("item_id"))
+    rows.select("shelf", line.alias("value")).write.partitionBy("shelf").text(path)
+    return readers.first_number(spark.read.text(f"{path}/shelf=*/part-*"), r"weights take ([\d.]+) GiB")
 
 
 @query("SELECT md5(n_name) AS md5 FROM nation WHERE n_nationkey = 4")
@@ -103,6 +105,28 @@ def snapshot_fallback(spark: SparkSession, sf: str) -> DataFrame:  # K7: the sec
     return readers.first_readable(spark, [f"{path}-absent", path], "article_number int, book string")
 
 
+#: Documents' texts as lines of pages: a page ends after every fortieth line.
+LAID = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents) "
+
+
+def _laid_out(spark: SparkSession, sf: str) -> str:
+    """A folder with a layout file for each document."""
+    path = folder(spark)
+    lines = F.transform(F.split("text", "\n"), lambda x, k: F.concat(F.when(k == 0, "").when(k % 40 == 0, "\f").otherwise("\n"), x))
+    rows = table(spark, sf, "documents").select((F.col("doc_id") % 8).alias("shelf"), F.concat(F.lit("doc "), "doc_id", F.lit("\n"), F.array_join(lines, ""), F.lit("\f")).alias("value"))
+    rows.write.partitionBy("shelf").option("lineSep", "\f").text(path)
+    return path
+
+
+@query(LAID + "SELECT doc_id, k // 40 AS page, k % 40 AS line, x AS text FROM l WHERE trim(x) <> ''")
+def layout_pages(spark: SparkSession, sf: str) -> DataFrame:  # S1 S2: texts written as layout files and read back by document, page and line
+    found = readers.layout_lines(spark, f"{_laid_out(spark, sf)}/shelf=*/part-*").filter("trim(text) <> ''")
+    start = F.when(F.col("text").rlike("^doc [0-9]+$"), F.struct(F.regexp_extract("text", "[0-9]+", 0).cast("long").alias("id"), "page", "line"))
+    own = found.withColumn("at", F.last(start, ignorenulls=True).over(Window.partitionBy("document").orderBy("page", "line")))
+    line = F.when(F.col("page") == F.col("at.page"), F.col("line") - F.col("at.line")).otherwise(F.col("line"))
+    return own.filter(start.isNull()).select(F.col("at.id").alias("doc_id"), (F.col("page") - F.col("at.page")).cast("long").alias("page"), (line - 1).cast("long").alias("line"), "text")
+
+
 @query("SELECT n_nationkey AS article_number, n_name AS book, 'version 2' AS origin FROM nation UNION ALL SELECT n_nationkey, n_name, 'copy' FROM nation")
 def snapshot_restore(spark: SparkSession, sf: str) -> DataFrame:  # K7: copied, restored over a wrong version, and after the loss of all data fetched from the copy
     path, spare = folder(spark), folder(spark)
@@ -132,6 +156,6 @@ def pushed_gauges(spark: SparkSession, sf: str) -> DataFrame:  # K11: every metr
     return sinks.gauges(scores, "nightly").filter("metric <> 'last_run_timestamp'").select("metric", F.col("labels")["job"].alias("job"), F.round("value", 6).alias("value"))
 
 
-@query("SELECT least(8, count(*)) AS questions, least(8, count(*)) AS \"different\" FROM benchmark")
-def question_pool(spark: SparkSession, sf: str) -> DataFrame:  # S17: how many are drawn; the draw itself is random
-    return readers.question_pool(table(spark, sf, "benchmark"), 8, 42).agg(F.count("*").alias("questions"), F.countDistinct("item_id").alias("different"))
+@query("SELECT item_id, text FROM benchmark ORDER BY md5('42:' || item_id), item_id LIMIT 8")
+def question_pool(spark: SparkSession, sf: str) -> DataFrame:  # S17: eight questions by a seed
+    return readers.question_pool(table(spark, sf, "benchmark"), 8, 42, "item_id").select("item_id", "text")

@@ -50,12 +50,11 @@ def token_estimate(spark: SparkSession, sf: str) -> DataFrame:  # C2 G10
 
 
 @query(
-    r"SELECT doc_id, substr(regexp_extract(trim(regexp_replace(text, '\s+', ' ', 'g')), '^(.*?[.!?؟۔])\s', 1), 1, 220) AS first FROM documents "
-    r"WHERE regexp_matches(trim(regexp_replace(text, '\s+', ' ', 'g')), '^.*?[.!?؟۔]\s')"
+    r"SELECT doc_id, substr(CASE WHEN regexp_matches(t, '^.*?[.!?؟۔]\s') THEN regexp_extract(t, '^(.*?[.!?؟۔])\s', 1) ELSE t END, 1, 220) AS first "
+    r"FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents)"
 )
 def first_sentence(spark: SparkSession, sf: str) -> DataFrame:  # N12
-    flat = T.collapse(F.col("text"))
-    return table(spark, sf, "documents").filter(flat.rlike(r"[.!?؟۔]\s")).select("doc_id", T.first_sentence(F.col("text")).alias("first"))
+    return table(spark, sf, "documents").select("doc_id", T.first_sentence(F.col("text")).alias("first"))
 
 
 @query("SELECT doc_id, regexp_replace(source || ' ' || lang, '\\W+', '_', 'g') AS tag, upper(trim(source, ' -:')) AS title FROM documents")
@@ -111,11 +110,92 @@ def english(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents")).select(F.col("doc_id").cast("int").alias("article_number"), F.lit("").alias("text_ar"), F.col("text").alias("text_en"), F.col("source").alias("book"), F.col("lang").alias("chapter"))
 
 
-@query()
-def chunk_articles(spark: SparkSession, sf: str) -> DataFrame:  # C1-C5 C7-C10 P14
+def _tokens(words: str) -> str:
+    return f"greatest(1, CAST(ceil(({words}) * 1.4::DOUBLE) AS INTEGER))"
+
+
+def _words(x: str) -> str:
+    return f"len(string_split({x}, ' '))"
+
+
+def _cut(source: str, target: str, marks: list[tuple[str, str]], always: bool = False) -> str:
+    """SQL of one level: the pieces over the budget are cut after marks, in order, the others stay."""
+    text = "x"
+    for pattern, kept in marks:
+        text = f"regexp_replace({text}, '{pattern}', '{kept}', 'g')"
+    whole = f"CASE WHEN {'true' if always else _tokens(_words('x')) + ' > budget'} THEN string_split({text}, chr(1)) ELSE [x] END"
+    return (
+        f"{target} AS (SELECT id, config, budget, list_concat(o, [i]) AS o, trim(y) AS x FROM (SELECT id, config, budget, o, unnest(ys) AS y, unnest(range(len(ys))) AS i "
+        f"FROM (SELECT id, config, budget, o, {whole} AS ys FROM {source})) WHERE trim(y) <> '')"
+    )
+
+
+def chunked(configs: dict[str, tuple[str, int]]) -> str:
+    """SQL of chunks (config, id, i, n, header, text) of the documents' texts, config -> (strategy, tokens): words count 1.4 tokens.
+
+    Filling is the recursive table r: from piece a a run takes all pieces that fit the limit, one at least. Plan 1 is
+    the even limit, plan 2 the budget; the even plan stands if it makes at most one chunk more than must be.
+    """
+    values = ", ".join(f"('{name}', '{strategy}', {tokens})" for name, (strategy, tokens) in configs.items())
+    sentences, clauses, commas = [("([.?!]) +", "\\1\x01")], [("([;:]) +", "\\1\x01"), (" +;", "\x01;")], [("(,) +", "\\1\x01")]
+    fits = f"len(list_filter(list_slice(w, a + 1, len(w)), lambda v: {_tokens('v - CASE WHEN a = 0 THEN 0 ELSE w[a] END')} <= lim))"
+    run = lambda a, b: f"w[{b}] - CASE WHEN {a} = 0 THEN 0 ELSE w[{a}] END"
+    return (
+        f"WITH RECURSIVE k(config, strategy, most) AS (VALUES {values}), "
+        "d AS (SELECT doc_id AS id, 'Civil Code, Article ' || doc_id || ' | ' || concat_ws(' > ', nullif(trim(source), ''), nullif(trim(lang), '')) AS header, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM documents), "
+        f"h AS (SELECT config, strategy, id, header, x, most - 2 - {_tokens(_words('header'))} AS budget, {_tokens(_words('x'))} AS total FROM d, k WHERE x <> ''), "
+        "u0 AS (SELECT id, config, budget, CAST([] AS BIGINT[]) AS o, x FROM h WHERE total > budget AND strategy = 'article'), "
+        + ", ".join([_cut("u0", "u1", sentences, always=True), _cut("u1", "u2", clauses), _cut("u2", "u3", commas), _cut("u3", "u4", [(" +", "\x01")])])
+        + ", v0 AS (SELECT id, config, budget, CAST([] AS BIGINT[]) AS o, x FROM h WHERE total > budget AND strategy = 'window'), "
+        + _cut("v0", "v1", [(" +", "\x01")], always=True)
+        + f", p AS (SELECT config, id, o, x, {_words('x')} AS n, sum({_words('x')}) OVER (PARTITION BY config, id ORDER BY o) AS upto FROM (SELECT * FROM u4 UNION ALL SELECT * FROM v1)), "
+        f"l AS (SELECT config, id, list(x ORDER BY o) AS xs, list(CAST(upto AS BIGINT) ORDER BY o) AS w, max({_tokens('n')}) AS longest FROM p GROUP BY config, id), "
+        "m AS (SELECT l.*, h.strategy, h.budget, h.total, CAST(ceil(h.total::DOUBLE / h.budget) AS INTEGER) AS least FROM l JOIN h USING (config, id)), "
+        "g AS (SELECT config, id, w, least, 1 AS plan, CAST(least(budget, greatest(longest, ceil(total::DOUBLE / least * 1.15::DOUBLE))) AS INTEGER) AS lim FROM m WHERE strategy = 'article' UNION ALL SELECT config, id, w, least, 2, budget FROM m), "
+        f"r AS (SELECT config, id, plan, lim, w, least, 0 AS a, greatest(1, len(list_filter(w, lambda v: {_tokens('v')} <= lim))) AS b FROM g "
+        f"UNION ALL SELECT config, id, plan, lim, w, least, a, a + greatest(1, {fits}) FROM (SELECT config, id, plan, lim, w, least, b AS a FROM r WHERE b < len(w))), "
+        f"e AS (SELECT *, row_number() OVER f - 1 AS i, count(*) OVER (PARTITION BY config, id, plan) AS c, lag(a) OVER f AS pa, lead(a) OVER f AS na, lead(b) OVER f AS nb FROM r WINDOW f AS (PARTITION BY config, id, plan ORDER BY a)), "
+        f"t AS (SELECT *, c > 1 AND i = c - 1 AND {_tokens(run('a', 'b'))} < 24 AND {_tokens(run('pa', 'b'))} <= lim AS joined, c > 1 AND i = c - 2 AND {_tokens(run('na', 'nb'))} < 24 AND {_tokens(run('a', 'nb'))} <= lim AS joins FROM e), "
+        "s AS (SELECT config, id, plan, i, a, CASE WHEN joins THEN nb ELSE b END AS b, least, count(*) OVER (PARTITION BY config, id, plan) AS n FROM t WHERE NOT joined), "
+        "z AS (SELECT config, id, min(CASE WHEN plan = 2 OR n <= least + 1 THEN plan END) AS plan FROM s GROUP BY config, id), "
+        "chunks AS (SELECT s.config, s.id, CAST(s.i AS INTEGER) AS i, CAST(s.n AS INTEGER) AS n, array_to_string(list_slice(m.xs, s.a + 1, s.b), ' ') AS text FROM s JOIN z USING (config, id, plan) JOIN m ON m.config = s.config AND m.id = s.id "
+        "UNION ALL SELECT config, id, 0, 1, x FROM h WHERE total <= budget), "
+        "c AS (SELECT chunks.*, h.header, 'art' || lpad(CAST(id AS VARCHAR), CAST(greatest(4, length(CAST(id AS VARCHAR))) AS INTEGER), '0') || '-en-' || lpad(CAST(i AS VARCHAR), CAST(greatest(2, length(CAST(i AS VARCHAR))) AS INTEGER), '0') AS chunk_id FROM chunks JOIN h USING (config, id)) "
+    )
+
+
+CHUNK_TOKENS = f"{_tokens(_words('header') + ' + ' + _words('text'))} + 2"
+
+
+@query(
+    chunked({"article_512": ("article", 512)}) + "SELECT chunk_id, CAST(id AS INTEGER) AS article_number, 'en' AS language, i AS chunk_index, n AS n_chunks, CASE WHEN n = 1 THEN 'article' ELSE 'article_part' END AS chunk_type, "
+    f"text, header || chr(10) || text AS embed_text, {CHUNK_TOKENS} AS token_count FROM c"
+)
+def chunk_articles(spark: SparkSession, sf: str) -> DataFrame:  # C1-C5 C7 C8 C10
     return chunk.chunk_articles(english(spark, sf)).drop("metadata")
 
 
+@query(
+    chunked({"article_512": ("article", 512)}) + "SELECT chunk_id, CAST(id AS INTEGER) AS article_number, 'en' AS language, coalesce(d.source, '') AS book, coalesce(d.lang, '') AS chapter, '' AS section, '' AS topic, false AS is_repealed, -1 AS source_page, "
+    "'Civil Code, Article ' || id AS citation, 'normal' AS source_status, i AS chunk_index, n AS n_chunks, CASE WHEN n = 1 THEN 'article' ELSE 'article_part' END AS chunk_type FROM c JOIN documents d ON d.doc_id = c.id"
+)
+def chunk_metadata(spark: SparkSession, sf: str) -> DataFrame:  # P14: what a chunk carries of its article, without nulls
+    return chunk.chunk_articles(english(spark, sf)).select("chunk_id", "metadata.*")
+
+
+NOTICE = "Article ' || doc_id || ' of the Civil Code has been repealed and is no longer in force."
+
+
+@query(
+    f"WITH a AS (SELECT *, '{NOTICE}' || CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' THEN ' Source note: ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) ELSE '' END AS en, 'المادة ' || doc_id || ' ملغاة ولم تعد سارية.' AS ar FROM benchmark, (SELECT item_id AS doc_id FROM benchmark) b WHERE item_id = doc_id) "
+    "SELECT CAST(doc_id AS INTEGER) AS article_number, 'en' AS language, en AS text, 'Civil Code, Article ' || doc_id || chr(10) || en AS embed_text FROM a UNION ALL SELECT CAST(doc_id AS INTEGER), 'ar', ar, 'المادة ' || doc_id || chr(10) || ar FROM a"
+)
+def repealed_notices(spark: SparkSession, sf: str) -> DataFrame:  # C9: every benchmark text as the note of a repealed article without a body
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").cast("int").alias("article_number"), F.lit(" ").alias("text_ar"), F.lit(None).cast("string").alias("text_en"), F.lit(True).alias("is_repealed"), F.col("text").alias("repeal_note_en"))
+    out = chunk.chunk_articles(rows).filter("chunk_type = 'repealed_notice' and n_chunks = 1 and metadata.is_repealed")
+    return out.select("article_number", "language", "text", "embed_text")
+
+
 @query("SELECT doc_id AS article_number, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS rebuilt FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
 def chunk_reconstruct(spark: SparkSession, sf: str) -> DataFrame:  # C11: the chunks of a text give it back, in order
     own = chunk.chunk_articles(english(spark, sf))
@@ -145,9 +225,9 @@ def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:  # C6 C8 C10 C12, by
     return chunk.chunk_stats(chunk.chunk_articles(english(spark, sf), chunk.ChunkConfig(strategy="window")))
 
 
-@query()
+@query(chunked({**{f"article_{n}": ("article", n) for n in (256, 384, 512, 768)}, "window_512": ("window", 512)}) + f"SELECT config, chunk_id, n AS n_chunks, {CHUNK_TOKENS} AS token_count, md5(text) AS text_md5 FROM c")
 def chunk_sweep(spark: SparkSession, sf: str) -> DataFrame:  # C13
-    return chunk.sweep(english(spark, sf)).groupBy("config").agg(F.count("*").alias("chunks"), F.max("token_count").alias("longest"))
+    return chunk.sweep(english(spark, sf)).select("config", "chunk_id", "n_chunks", "token_count", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("SELECT doc_id, 'Civil Code, Article ' || doc_id || ' | ' || source || ' > ' || lang AS header FROM documents")
@@ -265,9 +345,13 @@ def corpus_profile(spark: SparkSession, sf: str) -> DataFrame:  # A18: counts by
     return evaluate.corpus_profile(corpus(spark, sf))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS rows, count(*) FILTER (WHERE text IS NOT NULL) AS with_text, count(DISTINCT source) AS sources FROM documents")
-def set_profile(spark: SparkSession, sf: str) -> DataFrame:  # A25
-    return table(spark, sf, "documents").agg(F.count("*").alias("rows"), F.count("text").alias("with_text"), F.countDistinct("source").alias("sources"))
+@query(
+    "SELECT count(*) AS questions, count(*) FILTER (WHERE l.toxic = 0) AS with_gold, count(*) FILTER (WHERE trim(text) <> '') AS with_reference, count(DISTINCT lang) AS languages, count(DISTINCT source) AS categories, CAST(count(*) FILTER (WHERE l.toxic = 0) AS BIGINT) AS gold, arg_min(CAST(doc_id AS VARCHAR), doc_id) AS first_id FROM documents LEFT JOIN labels l USING (doc_id)"
+)
+def set_profile(spark: SparkSession, sf: str) -> DataFrame:  # A25: documents as questions, those with a clean label having gold
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    gold = F.when(F.col("toxic") == 0, F.array(F.col("quality").cast("int"))).otherwise(F.array().cast("array<int>"))
+    return evaluate.set_profile(rows.select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("text").alias("reference"), gold.alias("expected_articles"), F.col("lang").alias("language"), F.col("source").alias("category")), "doc_id")
 
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
@@ -276,19 +360,21 @@ def language_counts(spark: SparkSession, sf: str) -> DataFrame:  # C12
 
 
 @query(
-    "WITH l AS (SELECT item_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM benchmark), "
-    "w AS (SELECT item_id, n, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS en FROM l) "
-    "SELECT item_id, CAST(n AS INTEGER) AS n, CASE WHEN regexp_matches(en, '[A-Za-z]') THEN en ELSE trim(en) END AS en, 'مادة ١' AS ar FROM w WHERE NOT regexp_matches(en, '[^ -~]')"
+    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents) "
+    "SELECT doc_id, CAST(n AS INTEGER) AS n, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS en, 'مادة ١' AS ar FROM l"
 )
-def layout_split(spark: SparkSession, sf: str) -> DataFrame:  # P5: every line of plain ASCII, as the left column beside an Arabic one
-    rows = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).filter(~F.trim(F.regexp_replace("line", r"\s+", " ")).rlike("[^ -~]"))
-    split = T.split_columns(F.concat(F.regexp_replace(F.trim(F.regexp_replace("line", r"\s+", " ")), " +", " "), F.lit("     مادة ١")))
-    return rows.select("item_id", "n", split.alias("s")).select("item_id", "n", F.trim("s.en").alias("en"), "s.ar")
+def layout_split(spark: SparkSession, sf: str) -> DataFrame:  # P5: every line as the left column beside an Arabic one
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    split = T.split_columns(F.concat(F.trim(F.regexp_replace("line", r"\s+", " ")), F.lit("     مادة ١")))
+    return rows.select("doc_id", "n", split.alias("s")).select("doc_id", "n", "s.en", "s.ar")
 
 
-@query("SELECT item_id, text || ' end' AS en, 'مادة القانون ' || item_id AS ar FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark) WHERE regexp_matches(text, '[A-Za-z]') AND NOT regexp_matches(text, '[^ -~]')")
+@query(
+    "WITH f AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark), g AS (SELECT *, regexp_matches(t, '[A-Za-z]{2,}') AS latin FROM f) "
+    "SELECT item_id, CASE WHEN latin THEN t || ' end' ELSE 'end' END AS en, CASE WHEN latin THEN '' ELSE ltrim(t || ' ') END || 'مادة القانون ' || item_id AS ar FROM g"
+)
 def script_runs(spark: SparkSession, sf: str) -> DataFrame:  # P4: a fragment of both scripts, cut into its runs; a word of neither stays where it is
-    rows = table(spark, sf, "benchmark").select("item_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text")).filter(F.col("text").rlike("[A-Za-z]") & ~F.col("text").rlike("[^ -~]"))
+    rows = table(spark, sf, "benchmark").select("item_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
     mixed = F.concat("text", F.lit(" مادة القانون "), "item_id", F.lit(" end"))
     return rows.select("item_id", T.split_scripts(mixed).alias("s")).select("item_id", "s.en", "s.ar")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,14 +75,46 @@ def trace_rows(log: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _head(columns: list[str]) -> str:
+    return "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns) + "\n"
+
+
 def markdown(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
     """One row with a Markdown table."""
     cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |"))
-    head = "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns) + "\n"
+    head = _head(columns)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x["line"]), "\n")
     return rows.agg(F.concat(F.lit(head), body).alias("report"))
 
 
+@dataclass(frozen=True)
+class Section:
+    """A part of a summary: a table of rows (at most about a page of them), or what to do where there are none."""
+
+    title: str
+    rows: DataFrame | None
+    columns: tuple[str, ...]
+    order: str
+    hint: str
+    note: str = ""
+
+
+def evidence(spark: SparkSession, title: str, sections: list[Section]) -> DataFrame:
+    """(report, missing): Markdown of the sections that have rows, in order, and a list of those that have none."""
+    empty = spark.createDataFrame([], "report string")
+    out = None
+    for i, s in enumerate(sections):
+        table = empty if s.rows is None else markdown(s.rows, list(s.columns), s.order).filter(F.length("report") > len(_head(list(s.columns))))
+        found = table.agg(F.max("report").alias("body"))
+        text = F.concat(F.lit(f"## {s.title}\n\n"), "body", F.lit(f"\n\n{s.note}" if s.note else ""))
+        part = found.select(F.lit(i).alias("i"), text.alias("text"), F.when(F.col("body").isNull(), F.lit(f"- {s.title}: {s.hint}")).alias("missing"))
+        out = part if out is None else out.unionByName(part)
+    ordered = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("i", c)))), lambda x: x[c]), by)
+    parts = out.agg(ordered("text", "\n\n").alias("text"), ordered("missing", "\n").alias("missing"))
+    lacking = F.when(F.col("missing") != "", F.concat(F.lit("\n\n## Missing\n\n"), "missing")).otherwise("")
+    return parts.select(F.concat(F.lit(f"# {title}\n\n"), "text", lacking).alias("report"), F.when(F.col("missing") == "", 0).otherwise(F.size(F.split("missing", "\n"))).alias("missing"))
+
+
 def stream_text(answer: Column, sources: Column) -> Column:
     return F.concat(answer, F.lit("\n\nSources: "), F.array_join(sources, "; "), F.lit("\n"))

@@ -29,6 +29,50 @@ def test_binary_layout_and_lock(spark, tmp_path):
     assert [readers.locked_digest(spark, f"{tmp_path}/lock", n).head()["md5"] for n in ("a.json", "b.json", "c.json")] == ["0a1", "0b2", None]
 
 
+def test_layout_files_by_line(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("one\r\n \n  two\f\fthree é\n".encode())
+    (tmp_path / "b.txt").write_bytes(b"\xff\xfe")
+    (tmp_path / "c.txt").write_bytes(b"")
+    got = sorted((r["document"][-5], r["page"], r["line"], r["text"]) for r in readers.layout_lines(spark, f"{tmp_path}/*.txt").collect())
+    assert got[:3] == [("a", 1, 1, "one"), ("a", 1, 3, "  two"), ("a", 3, 1, "three é")] and len(got) == 4
+    assert got[3][:3] == ("b", 0, 0) and got[3][3].startswith("UnicodeDecodeError")
+    own = readers.layout_lines(spark, f"{tmp_path}/*.txt", lambda content: [content.hex(), "x"])
+    assert sorted((r["document"][-5], r["page"], r["text"]) for r in own.filter("page = 1").collect())[1] == ("b", 1, "fffe")
+
+
+def test_layout_lines_make_articles(spark, tmp_path):
+    from qanat.operators import extract
+
+    book = "Article 1\nFirst rule.\n\fArticle 2\nSecond rule.\n"
+    (tmp_path / "book.txt").write_text(book)
+    texts = readers.line_texts(readers.layout_lines(spark, f"{tmp_path}/book.txt")).withColumnRenamed("document", "doc_id")
+    got = [(r["article_number"], r["text_en"], r["source_page"]) for r in extract.articles(texts).orderBy("article_number").collect()]
+    assert got == [(1, "First rule.", 1), (2, "Second rule.", 2)]
+
+
+def test_logs_of_many_files_are_read_in_their_order(spark, tmp_path):
+    for name, lines in (("b.log", "x\ntook 2 GiB\n"), ("a.log", "x\n" * 50 + "took 1 GiB\ntook 3 GiB\n"), ("c.log", "took 4 GiB\n" * 500)):
+        (tmp_path / name).write_text(lines)
+    assert readers.first_number(spark.read.text(f"{tmp_path}/*.log"), r"took (\d+) GiB").head()["value"] == 1
+    assert readers.first_number(spark.read.text(f"{tmp_path}/*.log"), r"gave (\d+) GiB").head()["value"] is None
+
+
+def test_evidence_lists_what_is_missing(spark):
+    from qanat.sources.sinks import Section, evidence
+
+    rows = spark.createDataFrame([("b", 1), ("a", None)], "k string, n int")
+    got = evidence(spark, "T", [Section("One", None, ("k",), "k", "do this"), Section("Two", rows, ("k", "n"), "k", "-", "note"), Section("Three", rows.limit(0), ("k",), "k", "do that")]).head()
+    assert got["report"] == "# T\n\n## Two\n\n| k | n |\n|---|---|\n| a | - |\n| b | 1 |\n\nnote\n\n## Missing\n\n- One: do this\n- Three: do that" and got["missing"] == 2
+    assert evidence(spark, "T", [Section("Two", rows, ("k",), "k", "-")]).head()["missing"] == 0
+
+
+def test_question_draws_do_not_depend_on_partitions(spark):
+    rows = spark.range(100).withColumnRenamed("id", "k")
+    one = [r["k"] for r in readers.question_pool(rows, 10, 7, "k").collect()]
+    assert one == [r["k"] for r in readers.question_pool(rows.repartition(9), 10, 7, "k").collect()] and len(set(one)) == 10
+    assert one != [r["k"] for r in readers.question_pool(rows, 10, 8, "k").collect()]
+
+
 def test_log_and_load_test(spark, tmp_path):
     lines = spark.createDataFrame([("x",), ("Model loading took 7.64 GiB",), ("Model loading took 8 GiB",)], "value string").coalesce(1)
     assert readers.first_number(lines, r"Model loading took ([\d.]+) GiB").head()["value"] == 7.64

@@ -41,6 +41,5 @@ def test_against_duckdb(spark, sf, duck, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(names, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
-def test_runs(spark, sf, name):
-    assert registry.QUERIES[name](spark, sf).count() > 0
+def test_every_query_has_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLE_SQL)
