@@ -216,10 +216,47 @@ def test_url_models_tell_kinds_apart(spark):
 
 
 def test_url_likelihood_is_smoothed():
-    context, full, row = urls.slots(["ab", None, "b"])
-    counts = np.zeros((2, urls.SLOTS), np.float32)
-    p = urls.likelihood(counts, context, full)
-    assert np.allclose(p, np.log(1 / 256)) and row.tolist() == [0, 0, 0, 1, 2, 2]
+    ((own, row),) = urls.keys(["ab", None, "b"])
+    assert own.shape == (urls.ORDER + 1, 6) and row.tolist() == [0, 0, 0, 1, 2, 2]
+    assert urls.Model(np.zeros(0, np.int64), np.zeros((2, 0))).log_ratio(own).tolist() == [0.0] * 6
+
+
+def test_long_urls_are_read_in_pieces(monkeypatch):
+    asked = ["a", "http://x.org/" + "abcé" * 50, None, "b" * 33]
+    whole = [np.concatenate(x, -1) for x in zip(*urls.keys(asked), strict=True)]
+    monkeypatch.setattr(urls, "STEP", 7)
+    parts = list(urls.keys(asked))
+    assert len(parts) > 30 and all((np.concatenate(x, -1) == y).all() for x, y in zip(zip(*parts, strict=True), whole, strict=True))
+
+
+def kinds(n, seed):
+    """URLs of two kinds that differ in one word, among many words."""
+    rng = random.Random(seed)
+    words = ["".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=6)) for k in range(3000)]
+    return [(f"http://{rng.choice(words)}{rng.randrange(10**6)}.net/{rng.choice(words)}/{'garden' if good else 'casino'}-{rng.choice(words)}/{rng.randrange(10**6)}", good) for good in (True, False) for _ in range(n)]
+
+
+@pytest.mark.parametrize("most", [1 << 21, 20_000])
+def test_rare_contexts_go_first_and_kinds_stay_apart(spark, monkeypatch, most):
+    """The smaller model holds a fraction of the counts and tells the kinds apart as well."""
+    known, counts = urls.counted(spark.createDataFrame([(u, g, False) for u, g in kinds(4000, 1)], "url string, good boolean, held boolean").repartition(3), most)
+    assert 0.5 * min(most, 100_000) < (counts > 0).sum() <= most
+    model, asked = urls.Model(known, counts[:2]), kinds(500, 2)
+    score = np.zeros(len(asked))
+    for own, row in urls.keys([u for u, _ in asked]):
+        score += np.bincount(row, model.log_ratio(own), len(asked))
+    good = np.array([g for _, g in asked])
+    assert np.mean((score > np.median(score)) == good) > 0.97
+
+
+def test_url_table_cases(spark):
+    rows = [(1, "http://a.org/x"), (1, "http://a.org/x"), (2, None), (None, "http://b.net/y"), (3, "")]
+    more = spark.createDataFrame(rows, "page_id long, url string").select("*", *[F.lit("z").alias(c) for c in ("host", "path", "rule", "verdict", "score", "good", "held")])
+    got = [tuple(r) for r in urls.judge(more, URL_RULES).collect()]
+    assert len(got) == 5 and got[0] == got[1] and {g[0] for g in got} == {1, 2, 3, None}
+    assert all(g[4] == "allow" and g[5] > 0 or g[4] in ("allow", "block") for g in got)
+    one_kind = urls.judge(spark.createDataFrame([(i, f"http://a{i}.org/") for i in range(30)] + [(99, None)], "page_id long, url string"), URL_RULES).collect()
+    assert {r["verdict"] for r in one_kind if r["page_id"] != 99} == {"allow"}
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
@@ -337,8 +374,8 @@ def test_url_scores_equal_plain_ones(spark):
 
         return log_p
 
-    counts = urls.counted(spark.createDataFrame([(u, True) for u in good] + [(u, False) for u in bad], "url string, good boolean"))
-    got = {r["i"]: r["score"] for r in urls.scored(spark.createDataFrame(list(enumerate(asked)), "i int, url string"), counts).collect()}
+    known, counts = urls.counted(spark.createDataFrame([(u, True, False) for u in good] + [(u, False, False) for u in bad], "url string, good boolean, held boolean"))
+    got = {r["i"]: r["score"] for r in urls.scored(spark.createDataFrame(list(enumerate(asked)), "i int, url string"), urls.Model(known, counts[:2])).collect()}
     accepted, rejected = model(good), model(bad)
     want = {i: np.mean([accepted(at) - rejected(at) for at in places(u)]) for i, u in enumerate(asked)}
     assert got == pytest.approx(want, abs=1e-9)
