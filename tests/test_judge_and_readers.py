@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from qanat.operators import chunk, evaluate, judge
 from qanat.sources import readers
@@ -45,7 +46,7 @@ def test_layout_lines_make_articles(spark, tmp_path):
 
     book = "Article 1\nFirst rule.\n\fArticle 2\nSecond rule.\n"
     (tmp_path / "book.txt").write_text(book)
-    texts = readers.line_texts(readers.layout_lines(spark, f"{tmp_path}/book.txt")).withColumnRenamed("document", "doc_id")
+    texts = readers.line_texts(readers.layout_lines(spark, f"{tmp_path}/book.txt")).select(F.xxhash64("document").alias("doc_id"), "text")
     got = [(r["article_number"], r["text_en"], r["source_page"]) for r in extract.articles(texts).orderBy("article_number").collect()]
     assert got == [(1, "First rule.", 1), (2, "Second rule.", 2)]
 
