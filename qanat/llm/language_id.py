@@ -5,7 +5,8 @@ Document frequencies are counted over all labelled rows. The model is trained by
 elastic-net penalties on a bounded sample of them in one task: about ``SAMPLE`` rows of each language, and rows of about
 ``SAMPLE_BYTES`` of text. A temperature, fitted on a fifth of the sample that training leaves out, calibrates its
 probabilities. Every label value is learned; the model holds ``FEATURES`` weights of each. Prediction is one pass over
-every whole text, without a shuffle: a text's score is the sum of its n-grams' weights over their number.
+every whole text, without a shuffle: a text's score is the sum of its n-grams' weights over their number. A long text is
+read in pieces whose features are added up.
 
 Defined cases: a null text, or one without a letter (marks are none), is ``und`` with score 0; without a labelled row every text is; rows
 with null ids are predicted as any other and are held in; repeated rows are predicted alike; an empty table gives an
@@ -23,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qanat.llm import sums
-from qanat.llm.chars import Chars
+from qanat.llm.chars import Chars, folded
 from qanat.llm.ftrl import Ftrl, bounded_sample, packed
-from qanat.llm.words import slices
+from qanat.llm.words import is_long, row_slices, text_pieces
 
 LENGTHS, FEATURES, SAMPLE, SAMPLE_BYTES, EPOCHS = (1, 2, 3), 1 << 16, 1500, 64 << 20, 3
 ALPHA, BETA, L1, L2, SCALE = 0.5, 1.0, 0.05, 0.05, 10.0
@@ -43,13 +44,37 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Chars]:
     return (np.concatenate([h for h, _ in found]) & np.uint64(FEATURES - 1)).astype(np.int64), np.concatenate([r for _, r in found]), chars
 
 
+def long_counts(texts: pa.Array) -> tuple[np.ndarray, bool]:
+    """How often each feature occurs in one long text, read in pieces, and whether it has a letter.
+
+    A piece begins in white space, which ends the one before. With the last letter before it, it holds all n-grams that
+    reach over the cut; those of that letter alone are counted twice, and taken off.
+    """
+    total, letter, last = np.zeros(FEATURES, np.int64), False, ""
+    for piece in text_pieces(texts):
+        body = piece[0].as_py()
+        at, _, chars = features(pa.array([last + body]))
+        total += np.bincount(at, minlength=FEATURES)
+        if last:
+            total -= np.bincount(features(pa.array([last]))[0], minlength=FEATURES)
+        letter |= bool(chars.has_letter()[0])
+        full = np.flatnonzero(chars.points != 32)
+        last = chr(chars.raw[full[-1]]) if len(full) else last
+    return total, letter
+
+
 def vectors(rows: DataFrame) -> DataFrame:
     """(doc_id, text, lang) -> (lang, held, at, share): a row's distinct features and their relative frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _ in slices(batches):
-            at, row, _ = features(batch.column("text"))
-            pairs, counts = np.unique(row * FEATURES + at, return_counts=True)
+        for batch in row_slices(batches):
+            if is_long(batch.column("text")):
+                counts, _ = long_counts(batch.column("text"))
+                pairs = np.flatnonzero(counts)
+                counts = counts[pairs]
+            else:
+                at, row, _ = features(batch.column("text"))
+                pairs, counts = np.unique(row * FEATURES + at, return_counts=True)
             row = pairs // FEATURES
             share = (counts / np.bincount(row, counts, batch.num_rows)[row]).astype(np.float32)
             edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
@@ -73,7 +98,11 @@ def frequencies(rows: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(FEATURES + 1, np.int64), np.zeros(AT_ONCE * FEATURES, bool)
-        for batch, _ in slices(batches):
+        for batch in row_slices(batches):
+            counts[-1] += batch.num_rows
+            if is_long(batch.column("text")):
+                counts[:-1] += long_counts(batch.column("text"))[0] > 0
+                continue
             chars = Chars(batch.column("text"))
             found = [chars.ngrams(n) for n in LENGTHS]  # each by row
             for first in range(0, batch.num_rows, AT_ONCE):
@@ -82,7 +111,6 @@ def frequencies(rows: DataFrame) -> np.ndarray:
                     seen[(row[a:b] - first) * FEATURES + (h[a:b] & np.uint64(FEATURES - 1)).astype(np.int64)] = True
                 counts[:-1] += seen.reshape(AT_ONCE, FEATURES).sum(0, dtype=np.int64)
                 seen[:] = False
-            counts[-1] += batch.num_rows
         yield from sums.pieces(counts)
 
     return sums.summed(rows.select("text").mapInArrow(run, sums.SCHEMA), FEATURES + 1)
@@ -139,16 +167,20 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _ in slices(batches):
+        for batch in row_slices(batches):
             n = batch.num_rows
             names, score = np.full(n, NONE, object), np.zeros(n)
             if shared.value is not None:
                 langs, w, b, temperature = shared.value
-                at, row, chars = features(batch.column("text"))
-                total = np.maximum(np.bincount(row, minlength=n), 1)
-                found = np.stack([np.bincount(row, own[at], n) for own in w.T.copy()], 1)
+                if is_long(batch.column("text")):
+                    counts, letter = long_counts(batch.column("text"))
+                    total, found, fine = np.maximum(counts.sum(keepdims=True), 1), (counts @ w)[None], np.array([letter])
+                else:
+                    at, row, chars = features(batch.column("text"))
+                    total = np.maximum(np.bincount(row, minlength=n), 1)
+                    found = np.stack([np.bincount(row, own[at], n) for own in w.T.copy()], 1)
+                    fine = chars.has_letter()
                 p = softmax((found / total[:, None] + b) / temperature)
-                fine = chars.has_letter()
                 best = p.argmax(1)
                 names[fine], score[fine] = np.array(langs, object)[best[fine]], p.max(1)[fine]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names.tolist(), pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])

@@ -87,7 +87,8 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     aims = checkpointed(aims.withColumn("whole", whole).withColumn("more", F.col("target") - F.col("whole") * F.col("source_size")))
     found = thresholds(rows, aims.select("source", "more")).withColumnRenamed("source", "s2")
-    plan = checkpointed(aims.join(found, F.col("source").eqNullSafe(F.col("s2")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("below", F.lit(0)).alias("below")))
+    # a source that is taken a whole number of times has no threshold, or its documents without words would be taken once more
+    plan = checkpointed(aims.join(found, F.col("source").eqNullSafe(F.col("s2")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.when(F.col("more") > 0, F.coalesce("below", F.lit(0))).otherwise(0).alias("below")))
     full = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *marks).join(small_side(plan, SOURCES), F.col("source").eqNullSafe(F.col("s")))
     times = F.col("whole") + (F.col("h") < F.col("below")).cast("long")
     return full.select("_doc", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))

@@ -10,7 +10,8 @@ sequence ids, filled ones even ids.
 Tokenising works on each batch's distinct words, in lower case: runs without ASCII white space, cut as well between a
 letter and punctuation other than the apostrophe. The tokeniser folds case and cuts in all these places itself. Words'
 ids are looked up and joined by array operations. An added token of the tokeniser (such as <|endoftext|>) is one id and
-may reach over such cuts, so texts that hold one are encoded whole. The tokeniser stays as its file sets it.
+may reach over such cuts, so a run without white space that holds one is encoded as a whole. The tokeniser stays as its
+file sets it. A long text is read in pieces that end before white space.
 
 Defined cases: a null text is empty and holds the end id only; repeated rows are packed each; rows with null ids are
 packed as any other; an empty table gives an empty result; further columns of any name are kept apart.
@@ -19,6 +20,7 @@ packed as any other; an empty table gives an empty result; further columns of an
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qanat.llm.words import slices
+from qanat.llm.words import Texts, is_long, row_slices, text_pieces
 from qanat.session import checkpointed
 
 LENGTH, END = 2048, 1
@@ -38,6 +40,8 @@ POOL = 40_000
 AT_ONCE = 8192
 #: Bytes of text whose distinct words are taken together.
 STEP = 1 << 20
+WHITE = b" \t\n\x0b\x0c\r"
+SPACE = re.compile(b"[ \t-\r]")
 #: Distinct words whose ids a Python worker keeps.
 KEEP = 600_000
 
@@ -90,32 +94,45 @@ class WordIds:
         source = np.repeat(self.starts[at] - ends[:-1], lengths) + np.arange(ends[-1])
         return self.flat[source], ends[texts.first]
 
-    def holding(self, texts) -> list[int]:
-        """The texts that hold an added token, in any case."""
-        data, offsets = texts.bytes.tobytes().lower(), texts.offsets
-        found: set[int] = set()
+    def spans(self, texts) -> list[tuple[int, int]]:
+        """The runs without white space that hold an added token, in any case, in order; none reaches over a text's end."""
+        data = texts.bytes.tobytes().lower()
+        found: set[tuple[int, int]] = set()
         for token in self.added:
             at = data.find(token)
             while at >= 0:
-                own = int(np.searchsorted(offsets, at, "right")) - 1
-                if at + len(token) <= offsets[own + 1]:
-                    found.add(own)
-                    at = data.find(token, int(offsets[own + 1]))
-                else:
-                    at = data.find(token, at + 1)
+                text = int(np.searchsorted(texts.offsets, at, "right")) - 1
+                low, high = int(texts.offsets[text]), int(texts.offsets[text + 1])
+                if at + len(token) <= high:
+                    run = SPACE.search(data, at, high)
+                    end = run.start() if run else high
+                    begin = max(low, max(data.rfind(bytes([c]), low, at) for c in WHITE) + 1)
+                    found.add((begin, end))
+                at = data.find(token, at + 1)
         return sorted(found)
 
     def of(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids start and end."""
-        ids, edges = self.by_words(texts)
-        if not (special := self.holding(texts)):
-            return ids, edges
-        data, lengths, parts, at = texts.bytes.tobytes(), np.diff(edges), [], 0
-        for i in special:
-            own = np.array(self.tokenizer.encode(data[texts.offsets[i] : texts.offsets[i + 1]].decode("utf-8", "replace"), add_special_tokens=False).ids, ids.dtype)
-            parts += [ids[at : edges[i]], own]
+        if not (special := self.spans(texts)):
+            return self.by_words(texts)
+        cuts = np.unique(np.concatenate((texts.offsets, np.array(special, np.int64).ravel())))
+        parts = type(texts)(pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(texts.bytes))), True)
+        ids, edges = self.by_words(parts)
+        data, lengths, out, at = texts.bytes.tobytes(), np.diff(edges), [], 0
+        for a, b in special:
+            i = int(np.searchsorted(cuts, a))
+            own = np.array(self.tokenizer.encode(data[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids, ids.dtype)
+            out += [ids[at : edges[i]], own]
             lengths[i], at = len(own), edges[i + 1]
-        return np.concatenate([*parts, ids[at:]]), np.concatenate(([0], np.cumsum(lengths)))
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        return np.concatenate([*out, ids[at:]]), ends[np.searchsorted(cuts, texts.offsets)]
+
+    def column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``of``, for an array of texts; one long text is read in pieces."""
+        if not is_long(column):
+            return self.of(Texts(column, True))
+        ids = np.concatenate([self.of(Texts(piece, True))[0] for piece in text_pieces(column)])
+        return ids, np.array([0, len(ids)])
 
 
 def word_ids(path: str) -> WordIds:
@@ -181,15 +198,15 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, wit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last = word_ids(path), np.array([end], "<u4").tobytes()
-        for batch, texts in slices(batches, cut_points=True, step=STEP):
-            ids, edges = known.of(texts)
+        for batch in row_slices(batches, step=STEP):
+            ids, edges = known.column(batch.column("text"))
             ids = ids.astype("<u4")
             out: list[list] = [[], [], [], [], [], []]
             for row, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-                own = ids[a:b].tobytes() + last
-                for start in range(0, len(own), 4 * length):
-                    part = own[start : start + 4 * length]
-                    for to, v in zip(out, (row, start // 4, len(part) // 4, zlib.crc32(part), len(own) // 4, part if with_ids else None), strict=True):
+                total = b - a + 1
+                for start in range(0, total, length):
+                    part = ids[a + start : min(b, a + start + length)].tobytes() + (last if start + length >= total else b"")
+                    for to, v in zip(out, (row, start, len(part) // 4, zlib.crc32(part), total, part if with_ids else None), strict=True):
                         to.append(v)
             columns = [batch.column("doc_id").take(pa.array(out[0], pa.int64())), *(pa.array(c, pa.int64()) for c in out[1:5])]
             if with_ids:

@@ -8,12 +8,13 @@ a bounded sample of labelled rows: about ``SAMPLE`` of each label, and rows of a
 
 A row's severity is its expected grade; it is toxic if its score w x reaches a cut. The cut is set over all labelled
 rows, from histograms of their scores, each row scored by one of ``FOLDS`` further models that saw no row of its fold.
-The models are trained beside each other, a task each. Texts are never shuffled: a pass gives each row its scores, which
+Rows of a fold without which a label is lacking take no part in that; if all are, the cut is the lowest threshold. The
+models are trained beside each other, a task each. Texts are never shuffled: a pass gives each row its scores, which
 meet the labels alone.
 
 Defined cases: a text without a word (null and empty ones too) is clean with severity and grade 0, at any cut; without
 labels of both kinds every row is clean with severity 0; a document with several labels is toxic if one says so; rows
-with null ids are scored as any other; repeated rows are scored alike; an empty table gives an empty result; further
+with null ids are scored as any other; repeated rows are scored alike; a long text is read in pieces; an empty table gives an empty result; further
 columns are kept apart.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from qanat.llm.chars import Chars
 from qanat.llm.ftrl import Ftrl, bounded_sample, packed
-from qanat.llm.words import slices
+from qanat.llm.words import is_long, row_slices, text_pieces
 from qanat.session import checkpointed, small_side
 
 PREFIXES, FEATURES, SAMPLE, SAMPLE_BYTES, EPOCHS = (4, 5), 1 << 18, 6000, 64 << 20, 4
@@ -43,7 +44,7 @@ CHOSEN = 1_000_000
 LIMIT, BINS = 1024, 64
 
 Model = tuple[np.ndarray, np.ndarray, float]  # weights, thresholds, cut
-Models = list[tuple[np.ndarray, np.ndarray]]  # weights and thresholds: one without each fold, then that of all rows
+Models = list[tuple[np.ndarray, np.ndarray] | None]  # weights and thresholds: one without each fold, if the rest has both labels, then that of all rows
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -51,9 +52,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (feature, row), by row, and how often each occurs."""
-    h, row = Chars(texts).words(PREFIXES)
-    pairs, counts = np.unique(row * FEATURES + (h & np.uint64(FEATURES - 1)).astype(np.int64), return_counts=True)
+    """Distinct (feature, row), by row, and how often each occurs; a long text is read in pieces that end with its words."""
+
+    def counted(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        h, row = Chars(part).words(PREFIXES)
+        return np.unique(row * FEATURES + (h & np.uint64(FEATURES - 1)).astype(np.int64), return_counts=True)
+
+    if is_long(texts):
+        parts = [counted(p) for p in text_pieces(texts)]
+        pairs, where = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([n for _, n in parts]), len(pairs)).astype(np.int64)
+    else:
+        pairs, counts = counted(texts)
     return pairs % FEATURES, pairs // FEATURES, counts
 
 
@@ -61,7 +71,7 @@ def vectors(rows: DataFrame) -> DataFrame:
     """(doc_id, text, toxic) -> (doc_id, toxic, at, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _ in slices(batches):
+        for batch in row_slices(batches):
             at, row, counts = features(batch.column("text"))
             edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
             pack = lambda v: pa.array([v[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())  # noqa: B023, E731
@@ -132,32 +142,42 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Models | None:
         return pa.table({"part": pa.array([o[0] for o in own], pa.int32()), "w": pa.array([o[1] for o in own], pa.binary()), "cuts": pa.array([o[2] for o in own], pa.list_(pa.float64()))})
 
     found = {r["part"]: (np.frombuffer(r["w"], np.float32), np.array(r["cuts"])) for r in dealt.groupBy("part").applyInArrow(run, "part int, w binary, cuts array<double>").collect()}  # FOLDS + 1 models
-    return [found.get(p, found[FOLDS]) for p in range(FOLDS + 1)] if FOLDS in found else None
+    return [found.get(p) for p in range(FOLDS + 1)] if FOLDS in found else None
 
 
 def scores(texts: pa.Array, weights: list[np.ndarray], used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(whether a text has words, scores by text and model); ``used`` marks the features with a weight in any model."""
     n = len(texts)
-    h, row = Chars(texts).words(PREFIXES)
-    at = (h & np.uint64(FEATURES - 1)).astype(np.int64)
-    heavy = used[at]
-    pairs = np.unique(row[heavy] * FEATURES + at[heavy])
-    return np.bincount(row, minlength=n) > 0, np.stack([np.bincount(pairs // FEATURES, w[pairs % FEATURES], n) for w in weights], 1)
+
+    def weighty(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs of row and used feature, and whether each row has words."""
+        h, row = Chars(part).words(PREFIXES)
+        at = (h & np.uint64(FEATURES - 1)).astype(np.int64)
+        heavy = used[at]
+        return np.unique(row[heavy] * FEATURES + at[heavy]), np.bincount(row, minlength=n) > 0
+
+    if is_long(texts):
+        parts = [weighty(p) for p in text_pieces(texts)]
+        pairs, words = np.unique(np.concatenate([p for p, _ in parts])), np.any([w for _, w in parts], axis=0)
+    else:
+        pairs, words = weighty(texts)
+    return words, np.stack([np.bincount(pairs // FEATURES, w[pairs % FEATURES], n) for w in weights], 1)
 
 
 def out_of_fold(docs: DataFrame, models: Models) -> DataFrame:
-    """(doc_id, score) of each row with words, by the model that saw no row of its fold."""
-    shared = docs.sparkSession.sparkContext.broadcast([w for w, _ in models[:FOLDS]])
+    """(doc_id, score) of each row with words, by the model that saw no row of its fold; rows of a fold without one are left out."""
+    there = [p for p in range(FOLDS) if models[p] is not None]
+    shared = docs.sparkSession.sparkContext.broadcast([models[p][0] for p in there])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used = np.any(shared.value, axis=0)
-        for batch, _ in slices(batches):
+        for batch in row_slices(batches):
             words, found = scores(batch.column("text"), shared.value, used)
             at = np.flatnonzero(words)
-            own = found[at, batch.column("fold").to_numpy()[at]]
+            own = found[at, np.searchsorted(there, batch.column("fold").to_numpy()[at])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(own, pa.float64())], ["doc_id", "score"])
 
-    return docs.filter("doc_id is not null").select("doc_id", "text", fold().alias("fold")).mapInArrow(run, "doc_id long, score double")
+    return docs.filter(F.col("doc_id").isNotNull() & fold().isin(there)).select("doc_id", "text", fold().alias("fold")).mapInArrow(run, "doc_id long, score double")
 
 
 def set_cut(bins: np.ndarray, toxic: np.ndarray, counts: np.ndarray) -> float:
@@ -177,9 +197,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     models = fitted(docs, labels)
     if models is None:
         return None
+    if not any(models[:FOLDS]):
+        return *models[FOLDS], float(models[FOLDS][1][0])
     bin_ = F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("score"))) * BINS).alias("bin")
     cells = out_of_fold(docs, models).join(named(labels), "doc_id").groupBy(bin_, "toxic").agg(F.count("*").alias("n")).toArrow()  # 4 * LIMIT * BINS rows at most
-    return *models[FOLDS], set_cut(*(cells.column(c).to_numpy() for c in ("bin", "toxic", "n")))
+    return *models[FOLDS], set_cut(*(cells.column(c).to_numpy() for c in ("bin", "toxic", "n"))) if cells.num_rows else float(models[FOLDS][1][0])
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -188,7 +210,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     names = ["_severity", "_grade", "_toxic"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _ in slices(batches):
+        for batch in row_slices(batches):
             n = batch.num_rows
             severity, grade, toxic = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, bool)
             if shared.value is not None:

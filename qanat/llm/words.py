@@ -88,8 +88,8 @@ class Texts:
         return out
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", cut_points: bool = False, step: int = STEP) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """The batches in parts of about ``step`` bytes of text."""
+def row_slices(batches: Iterator[pa.RecordBatch], column: str = "text", step: int = STEP) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``step`` bytes of text; a longer text is a part of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -98,7 +98,35 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", cut_points:
         part = np.cumsum(sizes) // step
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):
-            yield (own := batch.slice(a, b - a)), Texts(own.column(column), cut_points)
+            yield batch.slice(a, b - a)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", cut_points: bool = False, step: int = STEP) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """``row_slices`` with their texts."""
+    for own in row_slices(batches, column, step):
+        yield own, Texts(own.column(column), cut_points)
+
+
+def is_long(texts: pa.Array, step: int | None = None) -> bool:
+    """Whether this is one text of more bytes than ``text_pieces`` takes at a time."""
+    return len(texts) == 1 and texts[0].is_valid and len(texts[0].as_buffer()) > (STEP if step is None else step)
+
+
+def text_pieces(texts: pa.Array, step: int | None = None) -> Iterator[pa.Array]:
+    """One text in pieces of about ``step`` bytes, each an array of its own; all but the first begin with white space."""
+    step = STEP if step is None else step
+    data = np.frombuffer(texts[0].as_buffer(), np.uint8)
+    at = 0
+    while at < len(data):
+        stop = min(at + step, len(data))
+        while stop < len(data):  # on to white space
+            gap = np.flatnonzero(_SPACE[data[stop : stop + step]])
+            if len(gap):
+                stop += int(gap[0])
+                break
+            stop = min(stop + step, len(data))
+        yield pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, stop - at], np.int64)), pa.py_buffer(data[at:stop]))
+        at = stop
 
 
 def shingle_sets(texts: Texts, width: int) -> Iterator[np.ndarray]:

@@ -5,6 +5,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +260,40 @@ def test_url_table_cases(spark):
     assert {r["verdict"] for r in one_kind if r["page_id"] != 99} == {"allow"}
 
 
+def long_texts():
+    rnd = random.Random(6)
+    parts = [*"aB é.,!?-1 \t\n中 \u0301", "word ", "  ", "Straße", "...", " . ", "İ", "x" * 12]
+    return ["".join(rnd.choice(parts) for _ in range(rnd.randint(3, 90))) for _ in range(120)] + ["   " * 30, "1 2 3 " * 20, "a" * 300, " a" * 60]
+
+
+@pytest.mark.parametrize("step", [1, 5, 40])
+def test_long_texts_in_pieces_have_the_same_features(monkeypatch, step):
+    from qanat.llm import words
+
+    for text in long_texts():
+        one = pa.array([text])
+        monkeypatch.setattr(words, "STEP", 1 << 20)
+        at, _, chars = language_id.features(one)
+        want, tox = np.bincount(at, minlength=language_id.FEATURES), toxicity.features(one)
+        used = np.arange(toxicity.FEATURES) % 3 > 0
+        scores = toxicity.scores(one, [np.arange(toxicity.FEATURES, dtype=float)], used)
+        monkeypatch.setattr(words, "STEP", step)
+        counts, letter = language_id.long_counts(one)
+        assert (counts == want).all() and letter == chars.has_letter()[0]
+        assert all((a == b).all() for a, b in zip(toxicity.features(one), tox, strict=True))
+        assert all((a == b).all() for a, b in zip(toxicity.scores(one, [np.arange(toxicity.FEATURES, dtype=float)], used), scores, strict=True))
+
+
+def test_folds_that_lack_a_label(spark, docs_of):
+    """One toxic row: without its fold there is no model, and the fold takes no part in setting the cut."""
+    rows = [(i, f"plain words number {i} of this text") for i in range(60)] + [(100, "vile hate " * 5)]
+    labels = spark.createDataFrame([(i, 0) for i in range(60)] + [(100, 1)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs_of(rows), labels).collect()}
+    assert len(got) == 61 and not any(got[i]["toxic"] for i in range(60))
+    two = spark.createDataFrame([(1, 0), (100, 1)], "doc_id long, toxic int")
+    assert toxicity.toxicity(docs_of(rows[1:2] + rows[-1:]), two).count() == 2
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home, sweet home.</a></li></ul></nav>
 <div class="ad">Buy this, now. And that, too.</div><div id="cookie-notice"><p>We use cookies, as all do.</p></div>

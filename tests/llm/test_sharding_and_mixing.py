@@ -110,3 +110,12 @@ def test_mixing_cases(docs_of):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, again), key=str)
     assert mixing.mixed_rows(docs).columns == docs.columns
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_documents_without_words_are_taken_twice_at_most(docs_of):
+    """A source at its cap is taken twice whole, its empty documents as often as the others."""
+    rows = [(i, "" if i % 2 else "two words") for i in range(40)]
+    small, large = docs_of(rows, source="a"), docs_of([(100 + i, "many words of a large source " * 20) for i in range(40)], source="b")
+    got = mixing.mix(small.unionByName(large)).select("_doc.doc_id", "_doc.source", "times", "source_size", "target").collect()
+    assert {r["times"] for r in got if r["source"] == "a"} == {2} and all(r["target"] == 2 * r["source_size"] for r in got if r["source"] == "a")
+    assert max(r["times"] for r in got) <= 2

@@ -162,3 +162,18 @@ def test_best_fit_takes_the_tightest_window():
             room.append(100 - lengths[i])
         seq.append(i)
     assert packing.best_fit_decreasing(lengths, 100)[0].max() + 1 == len(room)
+
+
+def test_long_texts_in_pieces_have_the_same_ids(monkeypatch):
+    from qanat.llm import words
+
+    own, known = Tokenizer.from_file(tokenizer_path()), packing.WordIds(tokenizer_path())
+    rnd = random.Random(5)
+    parts = [*"aZé É×÷.,'’!-(1 \n\t中ñ<|>", "<|endoftext|>", "<|startoftext|>", " word ", "x" * 30, "  \n "]
+    for step in (1, 7, 64):
+        monkeypatch.setattr(words, "STEP", step)
+        for _ in range(150):
+            text = "".join(rnd.choice(parts) for _ in range(rnd.randint(2, 60)))
+            ids, edges = known.column(pa.array([text]))
+            assert ids.tolist() == own.encode(text, add_special_tokens=False).ids and edges.tolist() == [0, len(ids)]
+    assert [len(x) for x in known.column(pa.array([None, ""]))] == [0, 3]
