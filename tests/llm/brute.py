@@ -50,23 +50,27 @@ def dedup(rows):
 
 
 def page_text(page):
-    """Main text of a page of nav, footer, .ad, article, p, h1, b, br and li only, by tag-path ratios over whole path strings."""
-    blocks, stack, text, number = [], [], "", 0
+    """Main text of a page of nav, footer, .ad, article, div, p, h1, b, a, br and li only, by tag-path ratios over whole path strings."""
+    blocks, stack, text, number, link = [], [], [], 0, False
 
     def close():
         nonlocal text
-        if text.split() and not any(t in ("head", "nav", "footer", 'div class="ad"') for t, _ in stack):
-            blocks.append((" ".join(html.unescape(text).split()), tuple(stack)))
-        text = ""
+        whole = "".join(t for t, _ in text)
+        if whole.split() and not any(t in ("head", "nav", "footer", 'div class="ad"') for t, _ in stack):
+            size = [(len("".join(html.unescape(t).split())), linked) for t, linked in text]
+            blocks.append((" ".join(html.unescape(whole).split()), tuple(stack), sum(n for n, linked in size if linked) / sum(n for n, _ in size)))
+        text = []
 
     for piece in re.split(r"(<script.*?</script>|<style.*?</style>|<title.*?</title>|<!--.*?-->|<[^>]*>)", page or "", flags=re.S):
         m = re.match(r"<(/?)(\w+)(.*)>", piece, re.S)
         tag = m[2] if m else None
         if not piece.startswith("<"):
-            text += piece
+            text.append((piece, link))
         elif tag == "br":
-            text += " "
-        elif m and tag not in ("b", "a", "meta", "script", "style", "title"):
+            text.append((" ", link))
+        elif tag == "a":
+            link = not m[1]
+        elif m and tag not in ("b", "meta", "script", "style", "title"):
             if m[1]:
                 if tag in [t.split()[0] for t, _ in stack]:
                     close()
@@ -80,18 +84,30 @@ def page_text(page):
             number += 1
             stack.append((tag + m[3], number))
     close()
-    paths = ["/".join(t for t, _ in s) for _, s in blocks]
-    mean = lambda f: [sum(f(b) for (b, _), q in zip(blocks, paths) if q == p) / paths.count(p) for p in paths]
+    paths = ["/".join(t for t, _ in s) for _, s, _ in blocks]
+    mean = lambda f: [sum(f(b) for (b, _, _), q in zip(blocks, paths) if q == p) / paths.count(p) for p in paths]
     smooth = lambda x: [(v + 0.25 * (x[max(i - 1, 0)] + x[min(i + 1, len(x) - 1)])) / 1.5 for i, v in enumerate(x)]
     fused = [a * (1 + b) ** 0.5 for a, b in zip(smooth(mean(len)), smooth(mean(lambda t: len(re.findall(r"[.,;:!?…、。，；：！？¿¡،؛؟]", t)))))]
-    ratio = {p: sum(f for f, q in zip(fused, paths) if q == p) / paths.count(p) for p in paths}
-    cut = 0.2 * sum(ratio[p] * len(t) for p, (t, _) in zip(paths, blocks)) / max(1, sum(len(t) for t, _ in blocks))
-    kept = [s for p, (_, s) in zip(paths, blocks) if ratio[p] >= cut]
+    size = sum(len(t) for t, _, _ in blocks)
+    named = 2 * sum(len(t) for (t, _, _), p in zip(blocks, paths) if "article" in p) >= size
+
+    def ratio(p):
+        own = [(f, len(t), linked) for f, q, (t, _, linked) in zip(fused, paths, blocks) if q == p]
+        free = 1 - sum(n * linked for _, n, linked in own) / sum(n for _, n, _ in own)
+        return sum(f for f, _, _ in own) / len(own) * free * (0.1 if named and "article" not in p else 1)
+
+    ratio = {p: ratio(p) for p in set(paths)}
+    cut = 0.6 * sum(ratio[p] * len(t) for p, (t, _, _) in zip(paths, blocks)) / max(1, size)
+    kept = [s for p, (_, s, _) in zip(paths, blocks) if ratio[p] >= cut]
     n = 0
     while kept and all(len(s) > n for s in kept) and len({s[n] for s in kept}) == 1:
         n += 1
     top = kept[0][: n - (len(kept) == 1)] if kept else ()
-    return "\n".join(t for p, (t, s) in zip(paths, blocks) if ratio[p] >= cut or top and top[-1][0].split()[0] not in ("html", "body") and s[: len(top)] == top)
+    inner = top and top[-1][0].split()[0] not in ("html", "body")
+    stay = [ratio[p] >= cut or inner and s[: len(top)] == top for p, (_, s, _) in zip(paths, blocks)]
+    for i in reversed(range(len(blocks) - 1)):
+        stay[i] = stay[i] or not inner and stay[i + 1] and blocks[i][1][-1][0] == "h1"
+    return "\n".join(t for (t, _, _), k in zip(blocks, stay) if k)
 
 
 def line_dedup(rows, least_points=40, least_docs=5):
