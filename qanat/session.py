@@ -41,6 +41,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(rows: DataFrame, most: int = 1000) -> DataFrame:
+    """``rows``, whose session from here on hands fewer of them to Python at a time, unless its own configuration says how many.
+
+    A batch of texts is held by the executor outside its heap and by the worker, so its size adds to both.
+    """
+    spark = rows.sparkSession
+    if not spark.sparkContext.getConf().contains(BATCH):
+        spark.conf.set(BATCH, str(most))
+    return rows
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path of this name in the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
