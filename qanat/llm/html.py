@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from qanat.llm.words import slices
+from qanat.session import text_batches
 
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template textarea iframe svg noembed noframes annotation annotation-xml title".split())
@@ -354,4 +355,4 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch, _ in slices(batches, "html"):
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([main_text(p) for p in batch.column("html").to_pylist()], pa.string())], ["page_id", "url", "text"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string")
+    return text_batches(pages).select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from qanat.llm import trie
 from qanat.llm.components import components
 from qanat.llm.words import shingle_sets, slices
-from qanat.session import checkpointed, small_side
+from qanat.session import checkpointed, small_side, text_batches
 
 #: N-grams that one task of a counting step holds at most, in expectation.
 SPREAD = 500_000
@@ -53,6 +53,8 @@ KNOWN = 1 << 18
 GATHER = 500_000
 #: Classes that pruning leaves whose ids are broadcast to find their texts.
 ALIVE = 1_000_000
+#: Rows that go whose ids are broadcast.
+GONE = 1_000_000
 
 
 def needed(n, percent: int):
@@ -363,7 +365,7 @@ def large_blocks(sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): the size of each row's set, and the smallest id that its links reach."""
-    rows = checkpointed(set_sizes(docs, width))
+    rows = checkpointed(set_sizes(text_batches(docs), width).hint("rebalance"))  # a few narrow bytes a document: no file for each split of the texts
     named = rows.filter("digest is not null and doc_id is not null")
     leading = F.expr("conv(hex(substring(digest, 1, 8)), 16, -10)").cast("long")  # number
     classes = checkpointed(named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n")).withColumn("class", leading))
@@ -425,9 +427,19 @@ def class_components(docs: DataFrame, classes: DataFrame, width: int, percent: i
 
 
 def kept_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row that names it; rows with null ids stay."""
+    """The rows of ``docs`` that stay: of each component the row that names it; rows with null ids stay.
+
+    Of rows that share an id the one of the longest text stays, of equally long ones that of the largest hash. Ids that
+    go are broadcast up to ``GONE`` of them, so texts stay where they are.
+    """
     found = checkpointed(jaccard_components(docs, width, percent))
-    stay = docs.join(found.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    if found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").head(1):  # rows that share an id
-        stay = stay.filter("doc_id is null").unionByName(stay.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    gone = checkpointed(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    stay = docs.join(small_side(gone, GONE), F.col("doc_id") == F.col("_gone"), "left_anti")
+    twice = checkpointed(found.filter("doc_id is not null and doc_id = component_id").groupBy(F.col("doc_id").alias("_twice")).agg(F.count("*").alias("n")).filter("n > 1").select("_twice"))
+    if twice.head(1):
+        same = F.col("doc_id") == F.col("_twice")
+        known = small_side(twice, GONE)
+        rank = F.struct(F.coalesce(F.length("text"), F.lit(-1)), F.xxhash64("text"))
+        one = stay.join(known, same, "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rank).alias("r"))
+        stay = stay.join(known, same, "left_anti").unionByName(one.select("r.*"))
     return stay

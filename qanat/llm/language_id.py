@@ -27,6 +27,7 @@ from qanat.llm import sums
 from qanat.llm.chars import Chars, folded
 from qanat.llm.ftrl import Ftrl, bounded_sample, packed
 from qanat.llm.words import is_long, row_slices, text_pieces
+from qanat.session import text_batches
 
 LENGTHS, FEATURES, SAMPLE, SAMPLE_BYTES, EPOCHS = (1, 2, 3), 1 << 16, 1500, 64 << 20, 3
 ALPHA, BETA, L1, L2, SCALE = 0.5, 1.0, 0.05, 0.05, 10.0
@@ -194,6 +195,6 @@ def held_out(doc_id: Column) -> Column:
 
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score); the model sees no held-out row."""
-    labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labelled = text_batches(docs).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     found = predict(docs, train(labelled))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from qanat.llm.sums import SCHEMA, pieces, summed
 from qanat.llm.words import Texts
-from qanat.session import checkpointed, written
+from qanat.session import checkpointed, text_batches, written
 
 #: Bytes of text read at a time; (item, term) pairs of a block, about; matches scored at a time; tasks merged at a time.
 STEP, PAIRS, CHUNK, FAN = 1 << 20, 1_000_000, 1 << 21, 64
@@ -265,7 +265,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 10, text: str = "text", k
     """(item_id, rank, doc_id, score): each item's k best documents with a score above 0."""
     spark = docs.sparkSession
     asked = checkpointed(item_terms(items, item_text, item_key))
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = text_batches(docs).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     blocks = max(1, math.ceil(asked.count() / pairs))
     out: DataFrame | None = None
     for number in range(blocks):

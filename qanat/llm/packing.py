@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qanat.llm.words import Texts, is_long, row_slices, text_pieces
-from qanat.session import checkpointed
+from qanat.session import checkpointed, text_batches
 
 LENGTH, END = 2048, 1
 #: Documents, and so remainders at most, of a pool, in expectation.
@@ -214,7 +214,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, wit
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return text_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, pool: int = POOL, with_ids: bool = False) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from qanat.llm.chars import Chars
 from qanat.llm.ftrl import Ftrl, bounded_sample, packed
 from qanat.llm.words import is_long, row_slices, text_pieces
-from qanat.session import checkpointed, small_side
+from qanat.session import checkpointed, small_side, text_batches
 
 PREFIXES, FEATURES, SAMPLE, SAMPLE_BYTES, EPOCHS = (4, 5), 1 << 18, 6000, 64 << 20, 4
 ALPHA, BETA, L1, L2 = 0.05, 1.0, 6.0, 0.1
@@ -194,7 +194,7 @@ def set_cut(bins: np.ndarray, toxic: np.ndarray, counts: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fitted on a bounded sample, its cut set over all labelled documents; None without labels of both kinds."""
-    models = fitted(docs, labels)
+    models = fitted(text_batches(docs), labels)
     if models is None:
         return None
     if not any(models[:FOLDS]):

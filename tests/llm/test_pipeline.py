@@ -1,3 +1,5 @@
+import pytest
+
 import corpus_pipeline
 from tests.llm import brute
 
@@ -23,3 +25,34 @@ def test_stages_compose(spark, sf, documents, tmp_path):
         seen.append(name)
     assert seen == ["toxicity", "exact_dedup", "ngram_jaccard_join", "mixing", "packing"]
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+ODD = [(1, None, None, None), (2, "", "en", "a"), (2, "", "en", "a"), (None, "a text without an id, of some words", "en", None), (None, None, None, None), (3, "x" * 200_000, "en", "b"), (3, "another text under the same id, of some words", "en", "b"), (4, "\u0000 \n\t", "en", "a")]
+
+
+@pytest.mark.parametrize("n", [0, 1, len(ODD)])
+def test_stages_take_odd_rows(spark, sf, documents, n):
+    """Nulls, empty and very long texts, repeated rows and ids, and tables without rows."""
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in ODD[:n]], documents.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, sf)
+        got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in after.collect())
+        ids = {(r["doc_id"] is None, r["doc_id"] or 0) for r in docs.collect()}
+        assert set(got) <= ids
+        if name in ("toxicity", "packing"):
+            assert set(got) == ids
+        if name == "exact_dedup":
+            assert len(got) == (5 if n == len(ODD) else n)  # the five empty texts are one
+        if name == "ngram_jaccard_join":
+            assert got == sorted([*[g for g in got if g[0]], *{g for g in got if not g[0]}])  # one row an id
+        if name != "packing":
+            assert after.columns == documents.columns
+
+
+def test_of_rows_that_share_an_id_the_longest_stays(spark, docs_of):
+    from qanat.llm import jaccard_join
+
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, "one two three four five six"), (7, "one two three four five six seven"), (7, "short"), (8, near), (9, near + " more"), (None, near), (None, None), (10, "")]
+    got = sorted((r["doc_id"] or 0, r["text"] or "-") for r in jaccard_join.kept_rows(docs_of(rows)).collect())
+    assert got == sorted([(7, "one two three four five six seven"), (8, near), (0, near), (0, "-"), (10, "-")])
