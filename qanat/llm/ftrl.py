@@ -34,7 +34,7 @@ LABELS = 100_000
 
 
 def bounded_sample(rows: DataFrame, key: Column, label: Column, most: int, size: Column, most_size: int) -> DataFrame:
-    """About ``most`` rows of each label at most, and rows of about ``most_size`` in all by ``size``, the same at every run.
+    """About ``most`` rows of each label at most, and rows of about ``most_size`` by ``size`` of each label, the same at every run.
 
     They are the rows whose hash lies below the label's share.
     """

@@ -2,7 +2,7 @@
 
 Features are hashed n-grams of 1 to 3 folded characters, weighted by relative frequency and inverse document frequency.
 Document frequencies are counted over all labelled rows. The model is trained by follow-the-regularised-leader with
-elastic-net penalties on a bounded sample of them in one task: about ``SAMPLE`` rows of each language, and rows of about
+elastic-net penalties on a bounded sample of them in one task: of each language about ``SAMPLE`` rows, and rows of about
 ``SAMPLE_BYTES`` of text. A temperature, fitted on a fifth of the sample that training leaves out, calibrates its
 probabilities. Every label value is learned; the model holds ``FEATURES`` weights of each. Prediction is one pass over
 every whole text, without a shuffle: a text's score is the sum of its n-grams' weights over their number. A long text is

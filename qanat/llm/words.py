@@ -6,6 +6,8 @@ A word is a run of bytes other than ASCII white space. Hashes are 64 bit; with `
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -88,6 +90,13 @@ class Texts:
         return out
 
 
+def give_back() -> None:
+    """Hands memory that was freed back to the system: a worker lives on after its task, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def row_slices(batches: Iterator[pa.RecordBatch], column: str = "text", step: int = STEP) -> Iterator[pa.RecordBatch]:
     """The batches in parts of about ``step`` bytes of text; a longer text is a part of its own."""
     for batch in batches:
@@ -99,6 +108,8 @@ def row_slices(batches: Iterator[pa.RecordBatch], column: str = "text", step: in
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):
             yield batch.slice(a, b - a)
+        del batch, sizes
+    give_back()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", cut_points: bool = False, step: int = STEP) -> Iterator[tuple[pa.RecordBatch, Texts]]:
