@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qanat.functions.text import prompt_tokens, strip_think
+from qanat.operators.judge import CUT_NAME, CUT_WORDS, SLOW_DOWN
 
 # The answer without sources, and prices by provider.
 NO_SOURCES = "لم يتم العثور على مصادر قانونية كافية للإجابة عن السؤال."
@@ -111,6 +113,6 @@ def sse(event: Column, data: Column) -> Column:
 def error_class(name: Column, message: Column) -> Column:
     """How a failed judge call is taken: cut off, told to slow down, or other."""
     both = F.lower(F.concat_ws(" ", name, message))
-    cut = (name == "IncompleteOutputException") | (message.contains("finish_reason") & message.contains("length"))
-    slow = both.contains("ratelimit") | both.contains("429") | both.contains("rate limit") | both.contains("resource_exhausted")
+    cut = (name == CUT_NAME) | functools.reduce(Column.__and__, [message.contains(x) for x in CUT_WORDS])
+    slow = functools.reduce(Column.__or__, [both.contains(x) for x in SLOW_DOWN])
     return F.when(cut, "truncation").when(slow, "rate_limit").otherwise("other")

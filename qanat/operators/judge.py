@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
+# What providers' failures say.
+TOO_LARGE = "request too large"
+CUT_NAME, CUT_WORDS = "IncompleteOutputException", ("finish_reason", "length")
+SLOW_DOWN = ("ratelimit", "429", "rate limit", "resource_exhausted")
 Score = Callable[[str, str], float]
 #: A scorer that is told how many tokens its answer may take.
 Budgeted = Callable[[str, str, int], float]
@@ -48,6 +52,7 @@ def scorer(name: str) -> Budgeted:
 class Retry:
     """How often a scorer is asked, with how many tokens, and how long it is left alone in between, in seconds."""
 
+    # The defaults.
     attempts: int = 4
     tokens: int = 4096
     least: int = 512
@@ -66,11 +71,11 @@ OUTCOME = "value double, attempts int, tokens int, waited double, error string"
 def failure(e: Exception) -> str:
     """What a scorer's failure asks for: a smaller request, a larger answer, time, or just another attempt."""
     text = f"{type(e).__name__} {e}"
-    if "request too large" in text.lower():
+    if TOO_LARGE in text.lower():
         return "too_large"
-    if type(e).__name__ == "IncompleteOutputException" or ("finish_reason" in text and "length" in text):
+    if type(e).__name__ == CUT_NAME or all(x in text for x in CUT_WORDS):
         return "truncation"
-    if any(x in text.lower() for x in ("ratelimit", "429", "rate limit", "resource_exhausted")):
+    if any(x in text.lower() for x in SLOW_DOWN):
         return "rate_limit"
     return "other"
 
