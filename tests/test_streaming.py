@@ -113,6 +113,13 @@ def test_short_runs_and_null_samples_do_not_fire(spark, tmp_path):
     assert notices_of(spark, tmp_path, [rows]).count() == 0
 
 
+def test_null_series_and_samples_without_a_time(spark, tmp_path):
+    base = 10**9
+    rows = [(None, base, 1, 60.0), (None, base + 400, 2, 60.0), (None, None, 3, 0.0), (None, base + 500, 4, 0.0), ("x", None, 5, 60.0), ("x", base + 9000, 6, 0.0)]
+    got = notices_of(spark, tmp_path, [rows])
+    assert sorted((r["series"], r["kind"], r["at"] - base, r["n"]) for r in got.collect()) == [(None, "firing", 300, 2), (None, "resolved", 500, 2)]
+
+
 def notes(spark, rows):
     return spark.createDataFrame(rows, alerts.NOTICE)
 
