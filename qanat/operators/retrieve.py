@@ -14,6 +14,8 @@ from qanat.operators.order import placed
 
 #: Queries and vectors of a block, in expectation; blocks meet in tasks, STRIPE queries at a time.
 BLOCK, VECTORS, STRIPE = 8_192, 65_536, 128
+#: Chunks that a lookup by number takes.
+LOOKED_UP = 100
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -28,10 +30,19 @@ def candidates(top_k: int) -> int:
 
 
 def exact_lookup(queries: DataFrame, chunks: DataFrame, skip_own: bool = False) -> DataFrame:
-    """All chunks of each query's article, in order of language and place, with score 1; skip_own leaves out chunk qid."""
-    found = queries.join(chunks, "article_number")
+    """The first LOOKED_UP chunks of each query's article, in order of language and place, with score 1; skip_own leaves out chunk qid.
+
+    An article's first chunks are chosen before queries meet them, so what is joined grows with the queries and not
+    with the articles' sizes too. What skip_own takes from a query are at most LOOKED_UP of them, as no more rows of an id are kept.
+    """
+    order = [F.col("language"), F.col("chunk_index"), *[F.col(c) for c in ("chunk_id",) if c in chunks.columns]]
+    first = chunks.filter("article_number is not null")
+    if skip_own:
+        first = ranked(first.filter("chunk_id is not null"), ["article_number", "chunk_id"], order, LOOKED_UP, "_nth")
+    first = ranked(first, ["article_number"], order, LOOKED_UP * (2 if skip_own else 1), "_nth").drop("_nth")
+    found = queries.join(first, "article_number")
     found = found.filter("chunk_id <> qid") if skip_own else found
-    return ranked(found.withColumn("score", F.lit(1.0)), ["qid"], [F.col("language"), F.col("chunk_index")], 100)
+    return ranked(found.withColumn("score", F.lit(1.0)), ["qid"], order, LOOKED_UP)
 
 
 def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, skip_own: bool = False) -> DataFrame:

@@ -253,3 +253,22 @@ def test_hash_embedding_by_hand(spark):
         size = math.sqrt(sum(x * x for x in want))
         assert got[t] == pytest.approx([x / size for x in want], abs=1e-6)
     assert len(got) == 2
+
+
+def test_lookups_join_no_more_of_an_article_than_they_take(spark, monkeypatch):
+    """Ids repeat and are missing; what is ranked by query is bounded for each of them."""
+    monkeypatch.setattr(retrieve, "LOOKED_UP", 3)
+    held = [(c, 1 + c % 2, "en" if c % 3 else "ar", c) for c in range(40)] + [(2, 1, "ar", -1)] * 5 + [(None, 1, "ar", -2), (4, None, "en", 0)]
+    chunks = spark.createDataFrame(held, "chunk_id int, article_number int, language string, chunk_index int")
+    queries = spark.createDataFrame([(q, a) for q, a in ((2, 1), (4, 1), (6, 1), (3, 2), (99, 2), (7, 9))], "qid int, article_number int")
+    for own in (True, False):
+        got = retrieve.exact_lookup(queries, chunks, skip_own=own)
+        want = []
+        for q, a in ((2, 1), (4, 1), (6, 1), (3, 2), (99, 2)):
+            rows = sorted((lang, at, -1 if c is None else c) for c, n, lang, at in held if n == a and not (own and c in (None, q)))
+            want += [(q, i + 1, lang, at) for i, (lang, at, _) in enumerate(rows[:3])]
+        assert sorted((r["qid"], r["rank"], r["language"], r["chunk_index"]) for r in got.collect()) == sorted(want)
+    joined, plain = [], retrieve.ranked
+    monkeypatch.setattr(retrieve, "ranked", lambda rows, *rest: joined.append(rows) or plain(rows, *rest))
+    retrieve.exact_lookup(queries, chunks)
+    assert joined[-1].count() == 5 * 3
