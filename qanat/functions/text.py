@@ -16,6 +16,8 @@ from pyspark.sql.types import StringType
 # Character classes and word lists that results depend on.
 BIDI = "[‎‏‪-‮⁦-⁩﻿]"
 ARABIC = "[؀-ۿ]"
+#: What ``(?U)\s`` matches, apart from the space.
+GAPS = "\t\n\x0b\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 ARABIC_LETTERS = "ء-ي"
 ARABIC_INDIC = "٠١٢٣٤٥٦٧٨٩"
 EASTERN = "۰۱۲۳۴۵۶۷۸۹"
@@ -42,9 +44,14 @@ def nfkc(x: pd.Series) -> pd.Series:
     return x.str.normalize("NFKC")
 
 
+def stripped(x: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(x, F.lit(" " + GAPS))
+
+
 def spaces(x: Column) -> Column:
     """Runs of blanks become one, over two line feeds become two, ends are trimmed."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[ \\t]+", " "), "\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
+    return stripped(F.regexp_replace(F.regexp_replace(x, "[ \\t]{2,}|\\t", " "), "\n{3,}", "\n\n"))
 
 
 def clean(x: Column) -> Column:
@@ -55,7 +62,7 @@ def clean(x: Column) -> Column:
 def collapse(x: Column) -> Column:
     """Without bidi controls, every run of white space one space; null becomes empty."""
     plain = F.replace(strip_bidi(F.coalesce(x, F.lit(""))), F.lit(" "), F.lit(" "))
-    return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(plain, r"(?U) \s+|[\s&&[^ ]]\s*", " "))  # single spaces are left alone
 
 
 def ascii_digits(x: Column) -> Column:
@@ -175,17 +182,21 @@ def split_scripts(x: Column) -> Column:
 
 def split_columns(line: Column) -> Column:
     """struct(en, ar) of a physical line whose columns lie two spaces or more apart."""
-    plain = F.replace(strip_bidi(line), F.lit(" "), F.lit(" "))
-    pieces = F.filter(F.split(F.trim(plain), r"(?U)\s{2,}"), lambda f: F.trim(f) != "")
+    plain = stripped(F.replace(strip_bidi(line), F.lit(" "), F.lit(" ")))
+    pieces = F.split(plain, r"(?U)\s{2,}")  # so a piece has single blanks only, and none at its ends
 
     def sides(f: Column) -> Column:
         arabic = script_of(f) == "ar"
         whole = F.struct(F.when(arabic, "").otherwise(f).alias("en"), F.when(arabic, f).otherwise("").alias("ar"))
-        return F.when(is_mixed(f), split_scripts(f)).otherwise(whole)
+        latin = F.struct(f.alias("en"), F.lit("").alias("ar"))
+        return F.when(~f.rlike(ARABIC), latin).when(is_mixed(f), split_scripts(f)).otherwise(whole)
+
+    def joined(parts: Column) -> Column:
+        side = lambda n: F.array_join(F.filter(F.transform(parts, lambda p: p[n]), lambda t: t != ""), " ")
+        return F.struct(side("en").alias("en"), side("ar").alias("ar"))
 
-    parts = F.transform(F.transform(pieces, spaces), sides)
-    side = lambda n: F.array_join(F.filter(F.transform(parts, lambda p: p[n]), lambda t: t != ""), " ")
-    return F.struct(side("en").alias("en"), side("ar").alias("ar"))
+    parts = F.transform(F.transform(pieces, lambda f: F.replace(f, F.lit("\t"), F.lit(" "))), sides)
+    return F.transform(F.array(parts), joined)[0]  # by a variable, so each piece is read once for both sides
 
 
 def token_estimate(x: Column) -> Column:

@@ -64,3 +64,10 @@ def test_point_id_is_a_version_5_uuid(spark, name):
 def test_same_digits(spark):
     row = spark.createDataFrame([("٣", "12"), ("۳", "12"), ("3", "12")], "t string, w string").select(T.same_digits(F.col("t"), F.col("w")).alias("y")).collect()
     assert [r["y"] for r in row] == ["١٢", "۱۲", "12"]
+
+
+def test_a_line_is_cut_once_for_both_columns(spark):
+    lines = ["\t one\ttwo   مادة ١ ", "a\u2003 b", "\u2003", "", None, "only", "Law of 5 أحكام عامة end  x", "\u00a0\u00a0x \t y"]
+    got = spark.createDataFrame(list(enumerate(lines)), "i int, line string").withColumn("s", T.split_columns(F.col("line")))
+    assert [tuple(r["s"]) if r["s"] else None for r in got.orderBy("i").collect()] == [("one two", "مادة ١"), ("a b", ""), ("", ""), ("", ""), (None, None), ("only", ""), ("Law of 5 end x", "أحكام عامة"), ("x y", "")]
+    assert got.select("s.en", "s.ar")._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2  # one of the pieces, one of a mixed piece's words
