@@ -139,3 +139,10 @@ def test_small_tail_is_merged():
     own = lambda pieces, limit: [chunk.Pieces(pieces, chunk.estimate).text(*r) for r in chunk.Pieces(pieces, chunk.estimate).runs(limit, 0, 24)]
     assert own([f"w{i}" for i in range(60)], 70) == [" ".join(f"w{i}" for i in range(50)), " ".join(f"w{i}" for i in range(50, 60))]
     assert own(["a " * 30, "b"], 60) == ["a " * 30 + " b"]
+
+
+def test_lines_are_cut_once(spark):
+    """What reads content lines finds them written, and does not cut the texts again."""
+    texts = spark.createDataFrame([(1, "Book I. Of all\nArticle 1\nA rule.\n\fArticle 2\nMore.")], "doc_id long, text string")
+    found = extract.content_lines(extract.physical_lines(extract.pages(texts)))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 5
