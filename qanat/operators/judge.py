@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qanat.session import text_batches
+
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
 # What providers' failures say.
 TOO_LARGE = "request too large"
@@ -146,6 +148,7 @@ def judged(rows: DataFrame, name: str = "overlap", retry: Retry = QUICK, detail:
 
     detail: also attempts, tokens, waited and error of each metric, in a struct of its name and ``_took``.
     """
+    text_batches(rows)
     text = F.array_join("contexts", " ")
     response, reference, asked = F.col("response"), F.col("reference"), F.col("user_input")
     pairs = {"faithfulness": (response, text), "answer_relevancy": (asked, response), "context_precision": (text, reference), "context_recall": (reference, text)}

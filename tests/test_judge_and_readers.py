@@ -155,3 +155,18 @@ def test_outcomes_stand_beside_the_metrics(spark):
     assert took == [(1, 4096), (1, 4096), (2, 8192), (2, 2048)]
     assert [got[0][m] for m in judge.METRICS] == [0.5, 2 / 3, 0.0, 0.0] and [got[1][m] for m in judge.METRICS] == [1.0, None, None, None]
     assert got[1]["context_recall_took"]["attempts"] == 0
+
+
+def test_texts_go_to_python_in_batches_of_bounded_bytes(spark):
+    from qanat.operators import chunk
+    from qanat.session import BATCH, BATCH_BYTES
+
+    text = "word " * 200_000
+    own = spark.createDataFrame([(i, text, "") for i in range(12)], "article_number int, text_en string, text_ar string").coalesce(1)
+    asked = own.selectExpr("text_en AS user_input", "text_en AS response", "array(text_en) AS contexts", "text_en AS reference")
+    for use in (lambda: chunk.chunk_articles(own), lambda: judge.judged(asked)):
+        spark.conf.unset(BATCH), spark.conf.unset(BATCH_BYTES)
+        use()
+        assert int(spark.conf.get(BATCH)) <= 1000 and int(spark.conf.get(BATCH_BYTES)) <= 4 << 20
+    sizes = own.select("text_en").mapInArrow(lambda batches: (b.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert max(r["n"] for r in sizes) < 12
