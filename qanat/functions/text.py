@@ -31,7 +31,7 @@ YEAR_WORDS = "لسنة|بسنة|سنة|لعام|عام"
 
 
 def strip_bidi(x: Column) -> Column:
-    return F.regexp_replace(x, BIDI, "")
+    return F.regexp_replace(x, rf"[\x{{200E}}-\x{{FEFF}}&&{BIDI}]", "")  # one comparison for most characters
 
 
 @F.pandas_udf(StringType())
@@ -51,12 +51,22 @@ def stripped(x: Column) -> Column:
 
 def spaces(x: Column) -> Column:
     """Runs of blanks become one, over two line feeds become two, ends are trimmed."""
-    return stripped(F.regexp_replace(F.regexp_replace(x, "[ \\t]{2,}|\\t", " "), "\n{3,}", "\n\n"))
+    return stripped(F.regexp_replace(F.regexp_replace(F.replace(x, F.lit("\t"), F.lit(" ")), " {2,}", " "), "\n{3,}", "\n\n"))
+
+
+def unmarked(x: Column) -> Column:
+    """Without bidi controls, in NFC; null becomes empty. Text of characters below U+0300 is so already and is not handed to Python."""
+    text = F.coalesce(x, F.lit(""))
+    return F.coalesce(nfc(F.when(text.rlike(r"[\x{300}-\x{10FFFF}]"), strip_bidi(text))), text)
+
+
+def plain_spaces(x: Column) -> Column:
+    return spaces(F.replace(x, F.lit(" "), F.lit(" ")))
 
 
 def clean(x: Column) -> Column:
     """Without bidi controls, in NFC, with plain spaces; null becomes empty."""
-    return spaces(F.replace(nfc(strip_bidi(F.coalesce(x, F.lit("")))), F.lit(" "), F.lit(" ")))
+    return plain_spaces(unmarked(x))
 
 
 def collapse(x: Column) -> Column:
@@ -183,7 +193,7 @@ def split_scripts(x: Column) -> Column:
 def split_columns(line: Column) -> Column:
     """struct(en, ar) of a physical line whose columns lie two spaces or more apart."""
     plain = stripped(F.replace(strip_bidi(line), F.lit(" "), F.lit(" ")))
-    pieces = F.split(plain, r"(?U)\s{2,}")  # so a piece has single blanks only, and none at its ends
+    pieces = F.split(plain, f"[ {GAPS}]{{2,}}")  # so a piece has single blanks only, and none at its ends
 
     def sides(f: Column) -> Column:
         arabic = script_of(f) == "ar"
@@ -196,7 +206,9 @@ def split_columns(line: Column) -> Column:
         return F.struct(side("en").alias("en"), side("ar").alias("ar"))
 
     parts = F.transform(F.transform(pieces, lambda f: F.replace(f, F.lit("\t"), F.lit(" "))), sides)
-    return F.transform(F.array(parts), joined)[0]  # by a variable, so each piece is read once for both sides
+    both = F.transform(F.array(parts), joined)[0]  # by a variable, so each piece is read once for both sides
+    latin = F.struct(F.replace(F.regexp_replace(plain, f"[ {GAPS[:7]}]{{2,}}", " "), F.lit("\t"), F.lit(" ")).alias("en"), F.lit("").alias("ar"))
+    return F.when(plain.rlike(r"[\x{600}-\x{10FFFF}]"), both).otherwise(latin)  # without Arabic and wide blanks a line is one piece
 
 
 def token_estimate(x: Column) -> Column:

@@ -161,3 +161,24 @@ def test_a_book_of_one_document_is_as_its_sql_says(spark, tmp_path):
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
     want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLE_SQL['extract_articles']})").fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+
+
+@pytest.mark.parametrize("name", ["extract_articles", "extraction_diagnostics"])
+def test_extraction_exchanges_texts_once(spark, sf, name):
+    """Books are exchanged as they are put together; no step after that exchanges or writes their lines."""
+    from qanat.plans import registry
+
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "ExistingRDD" not in plan and "SortMergeJoin" not in plan
+    assert [f for f in plan.split() if f.startswith("file:") and not f.startswith(f"file:{sf}")] == []
+
+
+def test_gathered_articles_of_decomposed_and_marked_text(spark):
+    """Bidi marks, composed letters, wide blanks and tabs, at once and by text that is unmarked before."""
+    from qanat.functions.text import unmarked
+
+    text = "Article 1  مادة ١\ncafé ‎one\ttwo   نص\nArticle 2\na b   c"
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for texts, done in ((rows, False), (rows.withColumn("text", unmarked(F.col("text"))), True)):
+        got = {r["article_number"]: (r["text_en"], r["text_ar"]) for r in extract.articles(texts, unmarked=done).collect()}
+        assert got == {1: ("café one two", "نص"), 2: ("a b c", "")}
