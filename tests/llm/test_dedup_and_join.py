@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from qanat.llm import exact_dedup, jaccard_join
@@ -167,3 +168,21 @@ def test_texts_that_share_their_smallest_id(docs_of, monkeypatch, large):
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 95)], "u long, v long")
     assert {r["node"]: r["root"] for r in components(links).collect()} == {**dict.fromkeys(range(61), 0), 90: 90, 95: 90, 100: 90}
+
+
+def test_sets_are_exchanged_once(spark, monkeypatch):
+    """Sets of small blocks learn their block by a broadcast and are exchanged by bin only, not once more to meet their block."""
+    plans = []
+    joined = jaccard_join.joined
+    monkeypatch.setattr(jaccard_join, "joined", lambda rows, by, percent: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or joined(rows, by, percent))
+    base = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*base[:55], f"x{i}", *base[56:]])) for i in range(5)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, 1, 80).collect()}
+    assert got == {i: 0 for i in range(5)} and len(plans) == 1
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0] and "Exchange hashpartitioning" not in plans[0]
+
+
+def test_counts_by_upper_halves_keep_the_order_whole():
+    """N-grams that share an upper half are counted together; each of them finds that count."""
+    x = np.array([(7 << 32) + 1, (7 << 32) + 2, (9 << 32) + 1], np.uint64)
+    assert jaccard_join.upper(x).tolist() == [7, 7, 9] and jaccard_join.upper(x).dtype == np.uint32
