@@ -56,3 +56,13 @@ def test_of_rows_that_share_an_id_the_longest_stays(spark, docs_of):
     rows = [(7, "one two three four five six"), (7, "one two three four five six seven"), (7, "short"), (8, near), (9, near + " more"), (None, near), (None, None), (10, "")]
     got = sorted((r["doc_id"] or 0, r["text"] or "-") for r in jaccard_join.kept_rows(docs_of(rows)).collect())
     assert got == sorted([(7, "one two three four five six seven"), (8, near), (0, near), (0, "-"), (10, "-")])
+
+
+def test_only_what_the_last_stage_reads_is_left(spark, sf, tmp_path, monkeypatch):
+    """A stage's rows are removed once the next stage is written, so no more than two copies of the texts lie there."""
+    monkeypatch.setattr(corpus_pipeline, "ensure_checkpoint_dir", lambda s: s.sparkContext.setCheckpointDir(str(tmp_path)))
+    keep = lambda spark, docs, sf: docs
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(k), keep) for k in range(5)])
+    got = corpus_pipeline.run(spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert [p.name for p in tmp_path.glob("*/pipeline-*/*")] == ["3"]
